@@ -1 +1 @@
-
+"""Structured Streaming forms of the metric and status operators."""
