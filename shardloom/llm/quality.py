@@ -1,7 +1,7 @@
 """Quality classifier: supervised subword embeddings.
 
-Every word and every character n-gram (bytes) of a text selects a learned vector by hash;
-a document is the average of its vectors, a softmax layer gives the label.  Vectors and
+Every word and every character n-gram (bytes) of a text selects a learned vector by hash,
+and so does a word that repeats the one before it (one vector for all such pairs); a document is the average of its vectors, a softmax layer gives the label.  Vectors and
 layer are trained together by stochastic gradient descent in numpy.
 
 Training reads a bounded sample of labelled rows: at most ``SAMPLE_ROWS`` rows and
@@ -31,6 +31,7 @@ from .words import SPACED, mix, raw_of, words_of
 SAMPLE_ROWS, SAMPLE_BYTES = 4000, 48 << 20
 BUCKET_BITS, DIM, GRAMS = 17, 12, (2, 3)
 EPOCHS, RATE, SEED = 6, 0.4, 7
+REPEAT = (1 << BUCKET_BITS) - 1
 
 
 def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -39,6 +40,10 @@ def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     w = words_of(texts, SPACED)
     mask = np.uint64((1 << BUCKET_BITS) - 1)
     out, rows = [(w.key & mask).astype(np.int32)], [w.row.astype(np.int32)]
+    if len(w.key) > 1:  # a word that repeats the one before is one feature, whatever the word
+        again = (w.key[1:] == w.key[:-1]) & (w.row[1:] == w.row[:-1])
+        out.append(np.full(int(again.sum()), REPEAT, np.int32))
+        rows.append(w.row[1:][again].astype(np.int32))
     of = np.repeat(np.arange(len(offsets) - 1, dtype=np.int32), np.diff(offsets))
     packed = raw.astype(np.uint32)
     for n in GRAMS:
