@@ -9,8 +9,9 @@ verified in the join condition; the first choice that both share reports the pai
 ``b`` follows from the number of fingerprints (six blocks up to two million), so that a
 key stays selective at any size; every ``b`` finds all pairs.
 
-Documents are linked into components by alternating large-star and small-star steps, a
-checkpoint after each.
+Links are contracted to stars inside tasks of bounded size; where there is more than one
+task, alternating large-star and small-star steps, a checkpoint after each pair, join up the
+components.
 
 Nulls: a null text is empty; a text without words has fingerprint 0, linked like any
 other.  A null doc_id is no component's id unless nothing else is in it.  Rows that repeat
@@ -20,6 +21,7 @@ texts are hashed piece by piece.  Other columns pass through ``deduplicated`` un
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
@@ -30,7 +32,7 @@ from pyspark.sql import functions as F
 from .common import mapped, shared_dir, table, text_of, written
 
 SHINGLE, DISTANCE = 4, 4
-PIECE = 50_000
+PIECE, EDGES_PER_TASK = 50_000, 500_000
 
 
 def fingerprint(text: str, shingle: int = SHINGLE) -> int:
@@ -93,26 +95,57 @@ def _xor() -> Column:
     return F.col("u").bitwiseXOR(F.col("v"))
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, root): root is the smallest node reachable; only nodes with an edge."""
+def local_roots(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes of a list of edges and the smallest node that each reaches in it."""
+    nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = at[: len(u)], at[len(u) :]
+    root = np.arange(len(nodes))
+    while True:
+        before = root.copy()
+        least = np.minimum(root[a], root[b])
+        for x in (a, b, before[a], before[b]):
+            np.minimum.at(root, x, least)
+        root = root[root]
+        if (root == before).all():
+            return nodes, nodes[root]
+
+
+def contracted(edges: DataFrame, parts: int) -> DataFrame:
+    """The same components with each of ``parts`` tasks' edges replaced by stars to the smallest node."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(list(batches)) if (batches := list(batches)) else None
+        if rows:
+            node, root = local_roots(np.asarray(rows["u"]), np.asarray(rows["v"]))
+            far = node != root
+            yield pa.RecordBatch.from_arrays([pa.array(node[far]), pa.array(root[far])], names=["u", "v"])
+
+    return edges.select("u", "v").repartition(parts).mapInArrow(run, "u long, v long")
+
+
+def components(edges: DataFrame, edges_per_task: int = EDGES_PER_TASK) -> DataFrame:
+    """(node, root): root is the smallest node reachable; only nodes with an edge.
+
+    Tasks contract up to ``edges_per_task`` edges each; what more than one task had is joined up
+    by alternating large-star and small-star steps until nothing changes.
+    """
     shared_dir(edges.sparkSession)
     state = lambda e: tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
     def star(e: DataFrame, large: bool) -> DataFrame:
-        """u has the neighbours v; each is linked to the smallest of u and all (large: its smaller) neighbours."""
+        """Each neighbour of u (large: each larger one) is linked to the smallest of u and its neighbours."""
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("low"))
         moved = both.join(low, "u")
         moved = moved.where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("low").alias("v")) if large else moved.select(F.col("v").alias("u"), F.col("low").alias("v")).union(low.select("u", F.col("low").alias("v")))
         return moved.where(F.col("u") != F.col("v")).distinct()
 
-    edges = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u != v").distinct().checkpoint()
-    now = state(edges)
-    while now[0]:
+    parts = -(-edges.count() // edges_per_task)
+    edges = contracted(edges, max(1, parts)).checkpoint()
+    now, before = state(edges), None
+    while parts > 1 and now != before:
         edges = star(star(edges, True), False).checkpoint()
         before, now = now, state(edges)
-        if before == now:
-            break
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
