@@ -240,9 +240,6 @@ def D23_missing_tasks(t: Tables) -> DataFrame:
     return C.missing_tasks(specs, ps.unionByName(master))
 
 
-_CUT = "2024-01-15"
-
-
 @query("""WITH m AS (SELECT max(event_id) // 2 AS h FROM events),
 b AS (SELECT user_id AS task, max(event_id) // 400 AS uid FROM events, m WHERE event_id < h AND event_type = 'click' GROUP BY 1),
 a AS (SELECT user_id AS task, max(event_id) // 4000 AS uid FROM events, m WHERE event_id >= h AND event_type = 'error' GROUP BY 1)

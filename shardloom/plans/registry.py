@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +18,14 @@ class Tables:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
 
+    def scratch(self, name: str) -> str:
+        """A new path in the folder that driver and executors share (``spark.checkpoint.dir``; a temporary one where it is unset)."""
+        shared = self.spark.conf.get("spark.checkpoint.dir", None) or self.spark.sparkContext.getCheckpointDir()
+        if not shared:
+            self.spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-shared-"))
+            shared = self.spark.sparkContext.getCheckpointDir()
+        return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("__"):
             raise AttributeError(name)

@@ -9,8 +9,6 @@ from ..sources import readers
 from . import fixtures as X
 from .registry import Tables, query
 
-LIST_SQL = "SELECT prefix, count(*)::BIGINT AS n_files, md5(string_agg(name, ',' ORDER BY name)) AS names_md5 FROM files GROUP BY prefix"
-
 
 @query(f"""
 WITH {X.SLICES_SQL},

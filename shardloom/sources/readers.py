@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -17,6 +17,16 @@ REPORT_SCHEMA = "ts timestamp, task_name string, task_index int, options string"
 MANIFEST_SCHEMA = "FileCount long, FileDir string, FileList array<string>"
 
 
+def _plain(path: Column | str) -> Column:
+    """A path without scheme and authority."""
+    return F.regexp_replace(F.regexp_replace(path, "^[a-z0-9]+://[^/]*", ""), "^[a-z0-9]+:/+", "/")
+
+
+def _file_path() -> Column:
+    """The path of a row's file, which Spark gives with blanks and signs encoded."""
+    return F.url_decode(F.regexp_replace("_metadata.file_path", r"\+", "%2B"))
+
+
 def list_files(spark: SparkSession, dirs: list[str]) -> DataFrame:
     """A row per file of each directory, not recursive: prefix, dir_ord, name, length.
 
@@ -32,10 +42,9 @@ def list_files(spark: SparkSession, dirs: list[str]) -> DataFrame:
 
 def read_file_manifest(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, DataFrame]:
     """JSON manifests as rows (manifest, FileCount, FileDir, FileList), and their files (prefix, dir_ord, name)."""
-    found = spark.read.schema(MANIFEST_SCHEMA).option("multiLine", True).json(paths).withColumn("manifest", F.col("_metadata.file_path"))
+    found = spark.read.schema(MANIFEST_SCHEMA).option("multiLine", True).json(paths).withColumn("manifest", _file_path())
     order = spark.createDataFrame(list(enumerate(paths)), "dir_ord int, given string")  # as many rows as paths given
-    name = lambda c: F.regexp_extract(c, "([^/]*)$", 1)
-    files = found.join(F.broadcast(order), name(F.col("manifest")) == name(F.col("given"))).select(F.coalesce("FileDir", F.lit("")).alias("prefix"), "dir_ord", F.explode("FileList").alias("name"))
+    files = found.join(F.broadcast(order), _plain("manifest") == _plain("given")).select(F.coalesce("FileDir", F.lit("")).alias("prefix"), "dir_ord", F.explode("FileList").alias("name"))
     return found, files
 
 
@@ -63,7 +72,7 @@ def read_samples_parquet(spark: SparkSession, paths: list[str] | str, schema: T.
 
 def read_lines(spark: SparkSession, paths: list[str] | str) -> DataFrame:
     """Text lines, with the file they are from: line, path."""
-    return spark.read.text(paths).select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("path"))
+    return spark.read.text(paths).select(F.col("value").alias("line"), _file_path().alias("path"))
 
 
 def read_slices(spark: SparkSession, slice_files: DataFrame, paths: list[str], fmt: str = "text", schema: str | None = None) -> DataFrame:
@@ -74,9 +83,8 @@ def read_slices(spark: SparkSession, slice_files: DataFrame, paths: list[str], f
     """
     reader = spark.read.format(fmt)
     rows = (reader.schema(schema) if schema else reader).load(paths)
-    plain = lambda c: F.regexp_replace(c, "^[a-z]+:/+", "/")
-    tags = slice_files.select(plain(F.col("path")).alias("__path"), *(c for c in ("slice_id", "epoch") if c in slice_files.columns))
-    return rows.withColumn("__path", plain(F.col("_metadata.file_path"))).join(tags, "__path").drop("__path")
+    tags = slice_files.select(_plain("path").alias("__path"), *(c for c in ("slice_id", "epoch") if c in slice_files.columns))
+    return rows.withColumn("__path", _plain(_file_path())).join(tags, "__path").drop("__path")
 
 
 def read_metric_stream(spark: SparkSession, path: str, files_per_trigger: int = 100) -> DataFrame:

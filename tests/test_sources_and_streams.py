@@ -14,14 +14,14 @@ from shardloom.streaming import flows, stateful
 
 
 def test_listing_manifests_lines_and_slices(spark, tmp_path):
-    for d, names in (("a", ["f1", "f0", "_hidden"]), ("b", ["g0"])):
+    for d, names in (("a", ["f1", "f +0%", "_hidden"]), ("b", ["g0"])):
         (tmp_path / d).mkdir()
         for n in names:
             (tmp_path / d / n).write_text(f"{d}/{n} 1\n{d}/{n} 2\n")
     dirs = [str(tmp_path / d) for d in "ab"]
     listing = sources.list_files(spark, dirs)
-    assert rows(listing.select("dir_ord", "name")) == [(0, "f0"), (0, "f1"), (1, "g0")]
-    cases = {"ok": {"FileCount": 2, "FileDir": dirs[0], "FileList": ["f0", "f1"]}, "no FileCount": {"FileList": ["f0"]}, "no FileList": {"FileCount": 1}, "count differs": {"FileCount": 3, "FileDir": dirs[0], "FileList": ["f0"]}, "files missing": {"FileCount": 1, "FileDir": dirs[1], "FileList": ["zz"]}}
+    assert rows(listing.select("dir_ord", "name")) == [(0, "f +0%"), (0, "f1"), (1, "g0")]
+    cases = {"ok": {"FileCount": 2, "FileDir": dirs[0], "FileList": ["f +0%", "f1"]}, "no FileCount": {"FileList": ["f0"]}, "no FileList": {"FileCount": 1}, "count differs": {"FileCount": 3, "FileDir": dirs[0], "FileList": ["f0"]}, "files missing": {"FileCount": 1, "FileDir": dirs[1], "FileList": ["zz"]}}
     paths = []
     for i, body in enumerate(cases.values()):
         paths.append(str(tmp_path / f"m{i}.json"))
@@ -31,9 +31,9 @@ def test_listing_manifests_lines_and_slices(spark, tmp_path):
     assert [r["status"] for r in status.orderBy("manifest").collect()] == list(cases)
     assert files.count() == 5
     assert sources.read_lines(spark, dirs[0]).count() == 4
-    chosen = spark.createDataFrame([(7, 0, f"{dirs[0]}/f1"), (8, 0, f"{dirs[1]}/g0")], "slice_id long, epoch int, path string")
+    chosen = spark.createDataFrame([(7, 0, f"{dirs[0]}/f1"), (8, 0, f"{dirs[1]}/g0"), (9, 1, f"{dirs[0]}/f +0%")], "slice_id long, epoch int, path string")
     found = sources.read_slices(spark, chosen, dirs)
-    assert rows(found.select("slice_id", "value")) == [(7, "a/f1 1"), (7, "a/f1 2"), (8, "b/g0 1"), (8, "b/g0 2")]
+    assert rows(found.select("slice_id", "value")) == [(7, "a/f1 1"), (7, "a/f1 2"), (8, "b/g0 1"), (8, "b/g0 2"), (9, "a/f +0% 1"), (9, "a/f +0% 2")]
 
 
 def test_samples(spark, tmp_path):
