@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import hash60, seeded_hash, top_bits
 from ..functions.indexing import global_index
+from ..functions.vectors import sum_vectors
 
 
 def split_label(df: DataFrame, label: str) -> tuple[DataFrame, DataFrame]:
@@ -52,19 +53,18 @@ def embedding_lookup(ids: DataFrame, table: DataFrame, dim: int, init: float = 0
 def embedding_lookup_sparse(bags: DataFrame, table: DataFrame, dim: int, combiner: str = "mean", init: float = 0.0) -> DataFrame:
     """One vector per bag (row_id): the weighted mean, sum or sqrtn of its ids' vectors.
 
-    ``bags``: row_id, id, optional weight.  Sums are combined per bag and dimension before
-    the shuffle, so that a large bag is no large group.
+    ``bags``: row_id, id, optional weight.  Sums are combined per bag before the shuffle, so
+    that a large bag is no large group.
     """
     if combiner not in ("mean", "sum", "sqrtn"):
         raise ValueError(f"unknown combiner {combiner}")
     weight = F.coalesce(F.col("weight").cast("double"), F.lit(1.0)) if "weight" in bags.columns else F.lit(1.0)
     ids = bags.select("row_id", F.col("id").alias("key"), weight.alias("weight"))
     found = embedding_lookup(ids, table, dim, init)
-    cells = found.select("row_id", "weight", F.posexplode("value").alias("dim", "v"))
-    sums = cells.groupBy("row_id", "dim").agg(F.sum(F.col("weight") * F.col("v")).alias("s"), F.sum("weight").alias("w"), F.sum(F.pow("weight", F.lit(2))).alias("w2"))
+    norms = (F.sum("weight").alias("w"), F.sum(F.col("weight") * F.col("weight")).alias("w2"))
+    sums = sum_vectors(found, "row_id", F.col("value"), dim, F.col("weight"), norms)
     by = {"mean": F.col("w"), "sqrtn": F.sqrt("w2"), "sum": F.lit(1.0)}[combiner]
-    parts = F.array_sort(F.collect_list(F.struct("dim", (F.col("s") / by).alias("v"))))  # dim cells at most
-    return sums.groupBy("row_id").agg(F.transform(parts, lambda x: x["v"]).alias("value"))
+    return sums.select("row_id", by.alias("by"), "value").select("row_id", F.transform("value", lambda x: x / F.col("by")).alias("value"))
 
 
 def input_layer(df: DataFrame, columns: list[str], name: str = "input") -> DataFrame:

@@ -5,13 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.vectors import sum_vectors
 
-def combine_gradients(grads: DataFrame) -> DataFrame:
-    """The sum of the gradients (key, grad array) of each id; summed per id and dimension before the shuffle."""
-    cells = grads.select("key", F.posexplode("grad").alias("dim", "g"))
-    sums = cells.groupBy("key", "dim").agg(F.sum(F.col("g").cast("double")).alias("g"))
-    parts = F.array_sort(F.collect_list(F.struct("dim", "g")))
-    return sums.groupBy("key").agg(F.transform(parts, lambda x: x["g"]).alias("grad"))
+
+def combine_gradients(grads: DataFrame, dim: int | None = None) -> DataFrame:
+    """The sum of the gradients (key, grad array) of each id; combined per id before the shuffle.  ``dim``: their width, if known."""
+    return sum_vectors(grads, "key", F.col("grad"), dim, name="grad")
 
 
 def apply_adagrad(table: DataFrame, slot: DataFrame, grads: DataFrame, lr: float) -> DataFrame:

@@ -169,9 +169,26 @@ def control_events(t: Tables) -> DataFrame:
     )
 
 
-@query()
+_DAY = 86_400
+
+
+@query(f"""
+WITH RECURSIVE ev AS (SELECT 'job-' || user_id AS job, event_id, epoch(ts) AS t, CASE event_type WHEN 'signup' THEN 'acquired' WHEN 'error' THEN 'closed' ELSE 'decision' END AS kind,
+  CASE event_type WHEN 'click' THEN 'up' WHEN 'view' THEN 'down' ELSE 'none' END AS action, floor(value / 10)::BIGINT AS new_n, 'ps#' || (event_id % 5) AS server,
+  row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+st AS (
+  SELECT DISTINCT job, 0::BIGINT AS k, -1::BIGINT AS event_id, '' AS o, 'RUNNING' AS phase, NULL::DOUBLE AS last, false AS pending, NULL::BIGINT AS target, []::VARCHAR[] AS acted FROM ev
+  UNION ALL
+  SELECT job, k, event_id, o, CASE o WHEN 'ACQUIRED' THEN 'SCALING' WHEN 'CLOSED' THEN 'RUNNING' WHEN 'UP' THEN 'ACQUIRE_RESOURCE' WHEN 'DOWN' THEN 'SCALING' ELSE phase END,
+    CASE WHEN o IN ('CLOSED', 'DOWN', 'PENDING') THEN t ELSE last END, CASE WHEN o IN ('UP', 'DOWN') THEN false ELSE pending OR o = 'PENDING' END,
+    CASE WHEN o IN ('UP', 'DOWN', 'PENDING') THEN new_n ELSE target END, CASE WHEN o = 'UP' AND NOT list_contains(acted, server) THEN list_append(acted, server) ELSE acted END
+  FROM (SELECT e.*, phase, last, pending, target, acted,
+    CASE WHEN kind = 'acquired' THEN CASE phase WHEN 'ACQUIRE_RESOURCE' THEN 'ACQUIRED' ELSE 'IGNORED' END WHEN kind = 'closed' THEN CASE phase WHEN 'SCALING' THEN 'CLOSED' ELSE 'IGNORED' END
+         WHEN phase <> 'RUNNING' THEN 'IGNORED' WHEN t - last < {_DAY} THEN 'WAITING' WHEN action = 'up' THEN 'UP' WHEN action = 'none' THEN 'NORMAL' WHEN pending THEN 'DOWN' ELSE 'PENDING' END AS o
+    FROM st JOIN ev e ON e.job = st.job AND e.k = st.k + 1))
+SELECT job, event_id, CASE WHEN o IN ('UP', 'DOWN') THEN 'FIRED' ELSE o END AS outcome, phase, target, len(acted) AS n_acted FROM st WHERE k > 0""")
 def D16_scaling_controller(t: Tables) -> DataFrame:
-    return C.scaling_controller(control_events(t), cooldown=86_400)
+    return C.scaling_controller(control_events(t), cooldown=_DAY)
 
 
 @query("""WITH u AS (SELECT 'ps#' || (user_id % 40) AS task, event_type AS status, ts, event_id FROM events UNION ALL SELECT 'worker#' || (event_id % 30), 'Running', ts, event_id FROM events WHERE event_id % 4 = 0)
@@ -218,14 +235,19 @@ def D21_scaling_state(t: Tables) -> DataFrame:
     return C.scaling_state(rows)
 
 
-@query()
+_FIRES = """WITH RECURSIVE e AS ({rows}), f AS (
+  SELECT task, min(x) AS x FROM e GROUP BY 1 UNION ALL SELECT f.task, min(e.x) FROM f JOIN e ON e.task = f.task AND e.x >= f.x + {n} GROUP BY 1)
+SELECT task, x AS {name} FROM f"""
+
+
+@query(_FIRES.format(rows="SELECT user_id AS task, event_id AS x FROM events", n=500, name="step"))
 def D22_every_n_steps(t: Tables) -> DataFrame:
     return C.every_n_steps(t.events.select(F.col("user_id").alias("task"), F.col("event_id").alias("step")), 500)
 
 
-@query()
+@query(_FIRES.format(rows="SELECT user_id AS task, epoch_us(ts) AS x FROM events", n=_DAY * 1_000_000, name="us"))
 def D22_every_n_secs(t: Tables) -> DataFrame:
-    return C.every_n_secs(t.events.select(F.col("user_id").alias("task"), "ts"), 86_400).select("task", F.unix_micros("ts").alias("us"))
+    return C.every_n_secs(t.events.select(F.col("user_id").alias("task"), "ts"), _DAY).select("task", F.unix_micros("ts").alias("us"))
 
 
 @query("""WITH w AS (SELECT s_suppkey AS job, 'ps' AS role, s_nationkey % 4 AS n FROM supplier UNION ALL SELECT s_suppkey, 'worker', s_nationkey % 7 FROM supplier

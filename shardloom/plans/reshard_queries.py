@@ -176,7 +176,7 @@ _GRADS = "g AS (SELECT l_partkey % 500 AS key, dim, sum(g) AS g FROM (SELECT l_p
 
 @query(f"WITH {_GRADS} SELECT key, dim, round(g + {X.NUDGE}::DOUBLE, 5) + 0::DOUBLE AS v FROM g")
 def C21_combine_gradients(t: Tables) -> DataFrame:
-    return X.cells(gradients.combine_gradients(_grads(t)), "key", value="grad", digits=5)
+    return X.cells(gradients.combine_gradients(_grads(t), 3), "key", value="grad", digits=5)
 
 
 @query(f"""WITH {_GRADS}, e AS (SELECT vec_id AS key, unnest(range(3))::INT AS dim, unnest(embedding[1:3])::DOUBLE AS x FROM embeddings),
@@ -185,7 +185,7 @@ SELECT key, dim, round(CASE WHEN g IS NULL THEN x ELSE x - 0.1::DOUBLE * g / sqr
 def C22_apply_adagrad(t: Tables) -> DataFrame:
     table = X.embedding(t).select("key", F.slice("value", 1, 3).alias("value"))
     slot = table.select("key", F.array_repeat(F.lit(0.1), 3).alias("acc"))
-    grads = gradients.combine_gradients(_grads(t)).where("key % 2 = 0")
+    grads = gradients.combine_gradients(_grads(t), 3).where("key % 2 = 0")
     return X.cells(gradients.apply_adagrad(table, slot, grads, 0.1), "key", digits=5)
 
 

@@ -195,6 +195,11 @@ def test_lookup_sparse(spark, combiner, expected):
         features.embedding_lookup_sparse(bags, table, 1, "max")
 
 
+def test_known_and_unknown_width_give_the_same(spark):
+    grads = spark.createDataFrame([(1, [1.0, 2.0]), (1, [3.0, 4.0]), (2, [5.0, 6.0])], "key long, grad array<double>")
+    assert rows(gradients.combine_gradients(grads)) == rows(gradients.combine_gradients(grads, 2)) == [(1, [4.0, 6.0]), (2, [5.0, 6.0])]
+
+
 def test_eviction_and_repeat(spark):
     table = spark.createDataFrame([(1, [3.0, 4.0], 10), (2, [0.1, 0.1], 5000)], "key long, value array<float>, version long")
     assert [r["key"] for r in features.evict_by_step(table, 5000).collect()] == [2]
