@@ -12,7 +12,10 @@ hashes, sorted, with their counts, as one packed row.  The task that has a range
 counts of all groups and answers each group with the totals, in the order of the hashes sent,
 so that an answer holds no hash.  Scoring a group derives the same sorted hashes again
 and reads the totals off by place.  All counts are exact, over all training documents, and
-travel as packed rows whose number grows with the input; no n-gram is dropped.
+travel as packed rows whose number grows with the input; no n-gram is dropped.  A packed row
+holds about (group bytes) * (range bytes) / (input bytes) / 6 hashes: the defaults suit
+executors of 3 GB and inputs up to some terabytes; for more, give both sizes the memory of
+larger executors, else rows hold single hashes and the packing saves nothing.
 
 Tokens: words of the lower-cased (A-Z) text, then one end; the context of the first word is
 the end.  Hashes have 64 bits.  The base score is a smoothed unigram model of its own.
@@ -57,10 +60,10 @@ def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return token, pair(before, token), np.repeat(np.arange(w.rows), counts + 1)
 
 
-def grouped(docs: DataFrame) -> tuple[DataFrame, int, int]:
+def grouped(docs: DataFrame, group_bytes: int = GROUP_BYTES, range_bytes: int = RANGE_BYTES) -> tuple[DataFrame, int, int]:
     """(doc_id, text, part, grp) with part 0 held out, 1 training, 2 training and tuning; the number of groups and of ranges."""
     size = docs.agg(F.sum(F.octet_length(text_of()))).first()[0] or 0
-    groups, ranges = int(size // GROUP_BYTES) + 1, int(size // RANGE_BYTES) + 1
+    groups, ranges = int(size // group_bytes) + 1, int(size // range_bytes) + 1
     rest = fold(MODULUS)
     part = F.when(rest == HELD_OUT, 0).when(rest == TUNING, 2).otherwise(1)
     tuning = int(groups // MODULUS) + 1  # tuning documents have groups of their own
@@ -216,10 +219,10 @@ def unbinned(b: np.ndarray) -> np.ndarray:
     return np.where(b < 0, np.exp2((b + 1) / BINS_PER_OCTAVE), 0.0)
 
 
-def score(docs: DataFrame) -> DataFrame:
+def score(docs: DataFrame, group_bytes: int = GROUP_BYTES, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """A row per document: doc_id, part, n_tokens, n_known, train_tokens, base_score, score (log10 probability)."""
     spark = docs.sparkSession
-    dealt, _, ranges = grouped(docs)
+    dealt, _, ranges = grouped(docs, group_bytes, range_bytes)
     answers = written(counted(dealt, ranges), "counts")
     sums = {r["kind"]: r for r in answers.groupBy("kind").agg(F.sum("tokens").alias("n"), F.sum("distinct").alias("v"), F.sum("tuned").alias("kept")).collect()}
     n, v, kept = (int(sums[0][x]) if 0 in sums else 0 for x in ("n", "v", "kept"))
