@@ -14,18 +14,14 @@ def global_index(df: DataFrame, order: list[Column], bucket: Column, name: str,
     each bucket's offset, and rows are numbered inside their bucket only.  No task ever holds
     more than a bucket.
     """
-    marked = df.withColumn("__bucket", bucket)
-    keys = [*by, "__bucket"]
-    counts = marked.groupBy(*keys).agg(F.count("*").alias("__n"))
-    before = Window.partitionBy(*by).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*(F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__offset"))
-    same = None
-    for i, k in enumerate(keys):
-        test = F.col(k).eqNullSafe(F.col(f"__k{i}"))
-        same = test if same is None else same & test
-    inside = F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1
-    placed = marked.withColumn("__inside", inside).join(offsets, same)
-    return placed.withColumn(name, F.col("__inside") + F.col("__offset")).drop("__bucket", "__inside", "__offset", *(f"__k{i}" for i in range(len(keys))))
+    # As a struct the key is never null, so plain equality joins it and the numbering's shuffle serves the join.
+    marked = df.withColumn("__key", F.struct(*by, bucket.alias("__bucket")))
+    counts = marked.groupBy("__key").agg(F.count("*").alias("__n"))
+    before = Window.partitionBy(*(F.col(f"__key.{c}") for c in by)).orderBy("__key.__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("__key", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__offset"))
+    inside = F.row_number().over(Window.partitionBy("__key").orderBy(*order)) - 1
+    placed = marked.withColumn("__inside", inside).join(offsets, "__key")
+    return placed.withColumn(name, F.col("__inside") + F.col("__offset")).drop("__key", "__inside", "__offset")
 
 
 def as_of(left: DataFrame, right: DataFrame, value: str, name: str, time: str = "ts", by: tuple[str, ...] = (), tie: str | None = None, bucket_seconds: int = 86_400) -> DataFrame:
@@ -40,12 +36,11 @@ def as_of(left: DataFrame, right: DataFrame, value: str, name: str, time: str =
     tied = F.col(tie) if tie else F.lit(0)
     rows = left.withColumns({"__left": F.lit(1), "__tie": F.lit(0).cast("long"), "__value": F.lit(None).cast(kind)})
     marks = right.select(*by, F.col(time), F.lit(0).alias("__left"), tied.cast("long").alias("__tie"), F.col(value).alias("__value"))
-    both = rows.unionByName(marks, allowMissingColumns=True).withColumn("__bucket", bucket)
-    keys = [*by, "__bucket"]
-    inside = Window.partitionBy(*keys).orderBy(time, "__left", "__tie").rowsBetween(Window.unboundedPreceding, 0)
-    lasts = marks.withColumn("__bucket", bucket).groupBy(*keys).agg(F.max_by("__value", F.struct(F.col(time), F.col("__tie"))).alias("__last"))
-    every = both.select(*keys).distinct().join(lasts, keys, "left")
-    earlier = Window.partitionBy(*by).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    carried = every.select(*keys, F.last("__last", ignorenulls=True).over(earlier).alias("__carried"))
-    found = both.withColumn("__own", F.last("__value", ignorenulls=True).over(inside)).where("__left = 1").join(carried, keys)
+    both = rows.unionByName(marks, allowMissingColumns=True).withColumn("__key", F.struct(*by, bucket.alias("__bucket")))
+    inside = Window.partitionBy("__key").orderBy(time, "__left", "__tie").rowsBetween(Window.unboundedPreceding, 0)
+    lasts = both.groupBy("__key").agg(F.max_by("__value", F.when(F.col("__left") == 0, F.struct(F.col(time), F.col("__tie")))).alias("__last"), F.min("__left").alias("__none"))
+    earlier = Window.partitionBy(*(F.col(f"__key.{c}") for c in by)).orderBy("__key.__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    last = F.when(F.col("__none") == 0, F.col("__last"))  # of a bucket with a right row
+    carried = lasts.select("__key", F.last(last, ignorenulls=True).over(earlier).alias("__carried"))
+    found = both.withColumn("__own", F.last("__value", ignorenulls=True).over(inside)).where("__left = 1").join(carried, "__key")
     return found.select(*left.columns, F.coalesce("__own", "__carried").alias(name))

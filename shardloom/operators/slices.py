@@ -50,9 +50,11 @@ def slice_files(slices: DataFrame) -> DataFrame:
 
 def expand_epochs(slices: DataFrame, num_epochs: int) -> DataFrame:
     """The slice list once per epoch: pos, epoch, idx, slice_id, with pos = epoch * n + idx."""
+    if num_epochs < 1:
+        raise ValueError("num_epochs must be positive")
     placed = global_index(slices.select("slice_id"), [F.col("slice_id")], _id_bucket("slice_id"), "idx")
     total = placed.agg(F.count("*").alias("__n"))  # one row
-    rows = placed.join(F.broadcast(total), F.lit(True)).withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(num_epochs - 1)))) if num_epochs > 0 else placed.join(F.broadcast(total), F.lit(False)).withColumn("epoch", F.lit(0))
+    rows = placed.join(F.broadcast(total), F.lit(True)).withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(num_epochs - 1))))
     return rows.select((F.col("epoch") * F.col("__n") + F.col("idx")).alias("pos"), "epoch", "idx", "slice_id")
 
 
