@@ -164,7 +164,8 @@ def deduplicated(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTAN
     """The document of each component with the smallest doc_id, with its own columns."""
     marked = near_duplicates(docs, shingle, distance).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     kept = written(marked.groupBy(F.col("doc_id").alias("__kept")).agg(F.count("*").alias("__rows")), "kept")
-    out = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__kept")))
+    # Shuffled at every size: the table of kept documents grows with the input.
+    out = docs.join(kept.hint("merge"), F.col("doc_id").eqNullSafe(F.col("__kept")))
     if kept.where("__rows > 1").limit(1).count():  # rows that repeat a doc_id: one of them stays
         again = out.where("__rows > 1").dropDuplicates(["__kept"])
         out = out.where("__rows = 1").unionByName(again)
