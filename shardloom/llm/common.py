@@ -7,13 +7,14 @@ import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Texts that one vectorised step works on, in bytes; a longer text is a step of its own.
-STEP_BYTES = 2 << 20
+STEP_BYTES = 1 << 20
 #: Rows of a lookup table up to which it is broadcast; beyond, the join shuffles.
 BROADCAST_ROWS = 50_000
 
@@ -86,8 +87,6 @@ def unit_hash(*parts: Column) -> Column:
 
 def steps(batch: pa.RecordBatch, column: str = "text", limit: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of a batch with at most ``limit`` bytes of text each, or one row."""
-    import numpy as np
-
     lengths = np.asarray(pc.binary_length(batch.column(column)).fill_null(0), dtype=np.int64)
     ends, at = np.cumsum(lengths), 0
     while at < batch.num_rows:
@@ -97,6 +96,17 @@ def steps(batch: pa.RecordBatch, column: str = "text", limit: int = STEP_BYTES)
         at = stop
 
 
+def filtered(df: DataFrame, keep: Callable[[pa.Array], np.ndarray], column: str = "text") -> DataFrame:
+    """The rows whose texts ``keep`` holds for, with all their columns; a null counts as empty.  No shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in steps(batch, column):
+                yield part.filter(pa.array(keep(pc.fill_null(part.column(column), ""))))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def mapped(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
     """``fn`` on each small slice of the rows; ``df`` must have a column ``text`` without nulls."""
 

@@ -18,13 +18,14 @@ Empty tables give empty results or no hits.  Other columns are not looked at.
 from __future__ import annotations
 
 from collections import defaultdict
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mapped, table, text_of, written
+from .common import filtered, mapped, table, text_of, written
 from .words import ALNUM, Words, pair, words_of
 
 WIDTH, BLOCK_BYTES, LANE = 10, 8 << 20, 256
@@ -144,47 +145,66 @@ def united(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def find_passages(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """A row per document: doc_id, n_words, spans (array of first and end word), items (sorted)."""
-    spark = docs.sparkSession
+def pattern_blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> list:
+    """The benchmark as broadcast lists of (item_id, text), each of about ``block_bytes``."""
     bench = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item"), text_of().alias("text"))
     size = bench.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = int(size // block_bytes) + 1
+    parts = (bench.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k) if blocks > 1 else bench for k in range(blocks))
+    return [benchmark.sparkSession.sparkContext.broadcast([(r["item"], r["text"]) for r in part.collect()]) for part in parts]
+
+
+class Searcher:
+    """Compiles a block once per task."""
+
+    def __init__(self, shared, width: int):  # noqa: ANN001
+        self.shared, self.width, self.tables = shared, width, None
+
+    def __call__(self, texts: pa.Array) -> tuple[Words, list[list[tuple[int, int]]], list[set[str]]]:
+        if self.tables is None:
+            self.tables = compile_patterns(self.shared.value, self.width)
+        return search(texts, self.tables)
+
+
+def find_passages(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """A row per document: doc_id, n_words, spans (array of first and end word), items (sorted)."""
     schema = "doc_id long, text string, n_words long, spans array<struct<a:long,b:long>>, items array<string>"
     none = F.expr("cast(array() as array<struct<a:long,b:long>>)"), F.expr("cast(array() as array<string>)")
     found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"), F.lit(0).cast("long").alias("n_words"), none[0].alias("spans"), none[1].alias("items"))
-    for k in range(blocks):
-        part = bench.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k) if blocks > 1 else bench
-        shared = spark.sparkContext.broadcast([(r["item"], r["text"]) for r in part.collect()])
-        final = k == blocks - 1
-        compiled: list = []
-
-        def fn(batch: pa.RecordBatch, shared=shared, final=final, compiled=compiled) -> pa.RecordBatch:
-            if not compiled:
-                compiled.append(compile_patterns(shared.value, width))
-            w, spans, items = search(batch.column("text"), compiled[0])
+    kind = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
+
+    def step(searcher: Searcher, final: bool) -> Callable[[pa.RecordBatch], pa.RecordBatch]:
+        def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
+            w, spans, items = searcher(batch.column("text"))
             old_spans, old_items = batch.column("spans").to_pylist(), batch.column("items").to_pylist()
             spans = [[{"a": a, "b": b} for a, b in united([*x, *((y["a"], y["b"]) for y in o)])] for x, o in zip(spans, old_spans, strict=True)]
             items = [sorted({*x, *o}) for x, o in zip(items, old_items, strict=True)]
-            kind = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
             text = pa.nulls(batch.num_rows, pa.string()) if final else batch.column("text")
-            return pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), text, pa.array(w.counts(), pa.int64()), pa.array(spans, kind), pa.array(items, pa.list_(pa.string()))], names=["doc_id", "text", "n_words", "spans", "items"]
-            )
+            columns = [batch.column("doc_id"), text, pa.array(w.counts(), pa.int64()), pa.array(spans, kind), pa.array(items, pa.list_(pa.string()))]
+            return pa.RecordBatch.from_arrays(columns, names=["doc_id", "text", "n_words", "spans", "items"])
+
+        return fn
 
-        found = mapped(found, fn, schema)
+    blocks = pattern_blocks(benchmark, block_bytes)
+    for k, shared in enumerate(blocks):
+        final = k == len(blocks) - 1
+        found = mapped(found, step(Searcher(shared, width), final), schema)
         found = found if final else written(found, "passages")
     return found.drop("text")
 
 
-def contaminated_ids(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    return find_passages(docs, benchmark).where(F.size("spans") > 0).select("doc_id").distinct()
+def clean(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The documents in which no window occurs, with their own columns; no shuffle, a pass per block."""
+    blocks = pattern_blocks(benchmark, block_bytes)
+    for k, shared in enumerate(blocks):
+        searcher = Searcher(shared, width)
 
+        def keep(texts: pa.Array, searcher: Searcher = searcher) -> np.ndarray:
+            return np.array([not s for s in searcher(texts)[1]], bool)
 
-def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents in which no window occurs, with their own columns."""
-    found = written(contaminated_ids(docs, benchmark).withColumnRenamed("doc_id", "__hit"), "contaminated")
-    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("__hit")), "left_anti")
+        docs = filtered(docs, keep)
+        docs = docs if k == len(blocks) - 1 else written(docs, "clean")
+    return docs
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

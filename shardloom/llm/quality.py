@@ -18,6 +18,7 @@ pass through ``accepted`` unchanged.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,13 +26,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold, mapped, table, text_of
+from .common import filtered, fold, mapped, table, text_of
 from .words import SPACED, mix, raw_of, words_of
 
-SAMPLE_ROWS, SAMPLE_BYTES = 4000, 48 << 20
+SAMPLE_ROWS, SAMPLE_BYTES = 4000, 24 << 20
 BUCKET_BITS, DIM, GRAMS = 17, 12, (2, 3)
 EPOCHS, RATE, SEED = 6, 0.4, 7
 REPEAT = (1 << BUCKET_BITS) - 1
+PIECE = 2 << 20
 
 
 def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -58,15 +60,30 @@ def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(out), np.concatenate(rows)
 
 
+def pieces(texts: pa.Array) -> Iterator[tuple[pa.Array, slice]]:
+    """The texts at once, or a single long one in pieces cut before blanks, with their place; no feature spans a cut."""
+    if len(texts) != 1 or len(text := texts[0].as_py()) <= PIECE:
+        yield texts, slice(0, len(texts))
+        return
+    at = 0
+    while at < len(text):
+        cut = text.find(" ", at + PIECE)
+        cut = len(text) if cut < 0 else cut
+        yield pa.array([text[at:cut]], pa.large_string()), slice(0, 1)
+        at = cut
+
+
 @dataclass
 class Model:
     weight: np.ndarray  # of each bucket, float32
     bias: float
 
     def scores(self, texts: pa.Array) -> np.ndarray:
-        bucket, row = features(texts)
-        n = np.bincount(row, minlength=len(texts))
-        total = np.bincount(row, weights=self.weight[bucket], minlength=len(texts))
+        n, total = np.zeros(len(texts)), np.zeros(len(texts))
+        for part, at in pieces(texts):
+            bucket, row = features(part)
+            n[at] += np.bincount(row, minlength=len(part))
+            total[at] += np.bincount(row, weights=self.weight[bucket], minlength=len(part))
         return 1 / (1 + np.exp(-np.clip(total / np.maximum(n, 1) + self.bias, -30, 30)))
 
 
@@ -141,18 +158,7 @@ def fitted(docs: DataFrame, labels: DataFrame) -> Model:
 def accepted(docs: DataFrame, model: Model) -> DataFrame:
     """The documents with a score of 0.5 or more, with their own columns; no shuffle."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    from pyspark.sql.functions import pandas_udf
-
-    @pandas_udf("double")
-    def score(texts):  # noqa: ANN001, ANN202
-        from .common import steps
-
-        batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.large_string())], names=["text"])
-        import pandas as pd
-
-        return pd.Series(np.concatenate([shared.value.scores(x.column("text")) for x in steps(batch)]) if len(texts) else np.zeros(0))
-
-    return docs.where(score(text_of()) >= 0.5)
+    return filtered(docs, lambda texts: shared.value.scores(texts) >= 0.5)
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

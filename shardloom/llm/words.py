@@ -18,6 +18,8 @@ def _bytes_table(keep: bytes, lower: bool) -> np.ndarray:
     return lut
 
 
+#: Bytes of text hashed at once.
+HASHED_BYTES = 4 << 20
 #: What a byte becomes; 0 parts words. All bytes of characters beyond ASCII belong to words.
 ALNUM = _bytes_table(bytes([*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]), True)
 SPACED = _bytes_table(bytes(b for b in range(256) if b not in b" \t\n\x0b\f\r"), True)
@@ -79,6 +81,13 @@ def raw_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, at - at[0]
 
 
+def _keys(folded: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Polynomial hashes of the words that begin at ``start``; zero bytes between them add nothing."""
+    spans = np.diff(np.append(start, len(folded)))
+    offset = np.arange(len(folded)) - np.repeat(start, spans)  # of a byte in its word
+    return np.add.reduceat(_tables()[0][folded] * powers(int(spans.max()))[offset], start)
+
+
 def words_of(texts: pa.Array, lut: np.ndarray) -> Words:
     raw, offsets = raw_of(texts)
     rows = len(offsets) - 1
@@ -97,10 +106,11 @@ def words_of(texts: pa.Array, lut: np.ndarray) -> Words:
     if not len(start):
         return Words(raw, empty, empty, empty, np.zeros(0, np.uint64), rows)
     length = end - start
-    values, _ = _tables()
-    offset = np.zeros(len(raw), np.int64)  # of a byte in its word
-    offset[start[0] :] = np.arange(len(raw) - start[0]) - np.repeat(start - start[0], np.diff(np.append(start, len(raw))))
-    offset[~inside] = 0
-    key = np.add.reduceat(values[folded] * powers(int(length.max()) + 1)[offset], start)
+    key = np.empty(len(start), np.uint64)
+    at = 0
+    while at < len(start):  # in bounded pieces: a hash takes eight times the bytes of its text
+        stop = max(at + 1, int(np.searchsorted(end, start[at] + HASHED_BYTES, side="right")))
+        key[at:stop] = _keys(folded[start[at] : end[stop - 1]], start[at:stop] - start[at])
+        at = stop
     row = np.searchsorted(offsets, start, side="right") - 1
     return Words(raw, start, end, row, mix(key + length.astype(np.uint64)), rows)
