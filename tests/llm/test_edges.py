@@ -225,12 +225,10 @@ def test_lm_probabilities_sum_to_one(spark):
     assert np.allclose(weights.sum(1), 1) and weights[3, 0] > 0.9
 
 
-def test_lm_groups_and_ranges_do_not_matter(spark, monkeypatch):
+def test_lm_groups_and_ranges_do_not_matter(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     one = {r["doc_id"]: r for r in lm_scoring.score(docs).collect()}
-    monkeypatch.setattr(lm_scoring, "GROUP_BYTES", 40_000)
-    monkeypatch.setattr(lm_scoring, "RANGE_BYTES", 60_000)
-    for r in lm_scoring.score(docs).collect():
+    for r in lm_scoring.score(docs, 40_000, 60_000).collect():
         assert (r["n_known"], r["train_tokens"]) == (one[r["doc_id"]]["n_known"], one[r["doc_id"]]["train_tokens"])
         assert r["score"] == pytest.approx(one[r["doc_id"]]["score"], rel=1e-9)
 
@@ -288,6 +286,17 @@ def test_words_of_rows():
     assert len(set(words.words_of(pa.array([f"w{i}" for i in range(5000)], pa.large_string()), words.ALNUM).key.tolist())) == 5000
 
 
+def test_long_texts_in_pieces(monkeypatch):
+    text = " ".join(f"w{i % 97}" for i in range(3000))
+    whole = words.words_of(pa.array(["a", text, "b c"], pa.large_string()), words.SPACED)
+    model = quality.train(["good day"] * 5 + ["bad bad"] * 5, [1] * 5 + [0] * 5)
+    score = model.scores(pa.array([text], pa.large_string()))[0]
+    monkeypatch.setattr(words, "HASHED_BYTES", 50)
+    monkeypatch.setattr(quality, "PIECE", 100)
+    assert (words.words_of(pa.array(["a", text, "b c"], pa.large_string()), words.SPACED).key == whole.key).all()
+    assert abs(model.scores(pa.array([text], pa.large_string()))[0] - score) < 0.02
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline
 
@@ -300,3 +309,10 @@ def test_pipeline_stages(spark, tmp_path):
         docs = out
     assert corpus_pipeline.STAGES[-1][1](spark, docs, folder).count() == docs.count()
     assert [k for k, _ in corpus_pipeline.STAGES] == ["quality", "near_duplicates", "decontamination", "mixing", "tokens"]
+
+
+def test_clean_in_blocks(spark):
+    docs, bench = (common.table(spark, "/root/testdata/sf0.001", t) for t in ("documents", "benchmark"))
+    hit = {r["doc_id"] for r in decontamination.find_passages(docs, bench).where("size(spans) > 0").collect()}
+    kept = {r["doc_id"] for r in decontamination.clean(docs, bench, block_bytes=3000).collect()}
+    assert hit and not hit & kept and len(hit) + len(kept) == docs.count()
