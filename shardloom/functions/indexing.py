@@ -12,7 +12,7 @@ def global_index(df: DataFrame, order: list[Column], bucket: Column, name: str,
     ``bucket`` is a coarse column that never falls along ``order``.  Rows are counted per
     bucket (combined before the shuffle), a running sum over the small table of buckets gives
     each bucket's offset, and rows are numbered inside their bucket only.  No task ever holds
-    more than a bucket.
+    more than a bucket.  ``df`` is read twice: pass a table or a checkpoint, not a long plan.
     """
     # As a struct the key is never null, so plain equality joins it and the numbering's shuffle serves the join.
     marked = df.withColumn("__key", F.struct(*by, bucket.alias("__bucket")))

@@ -18,7 +18,7 @@ def files(t: Tables) -> DataFrame:
 
 
 def slices(t: Tables) -> DataFrame:
-    return S.make_slices(files(t), SLICE)
+    return t.cut(S.make_slices(files(t), SLICE), "slices")
 
 
 def plan(t: Tables) -> DataFrame:
@@ -26,7 +26,7 @@ def plan(t: Tables) -> DataFrame:
 
 
 def shuffled(t: Tables) -> DataFrame:
-    return S.shuffle_epochs(plan(t), SEED)
+    return t.cut(S.shuffle_epochs(t.cut(plan(t), "plan"), SEED), "epochs")
 
 
 def requests(t: Tables) -> DataFrame:

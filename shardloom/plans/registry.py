@@ -26,6 +26,12 @@ class Tables:
             shared = self.spark.sparkContext.getCheckpointDir()
         return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
+    def cut(self, df: DataFrame, name: str) -> DataFrame:
+        """``df`` as a written table, for plans that read it more than once."""
+        path = self.scratch(name)
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("__"):
             raise AttributeError(name)
