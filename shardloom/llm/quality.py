@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import filtered, fold, mapped, table, text_of
-from .words import SPACED, mix, raw_of, words_of
+from .words import SPACED, raw_of, words_of
 
 SAMPLE_ROWS, SAMPLE_BYTES = 4000, 24 << 20
 BUCKET_BITS, DIM, GRAMS = 17, 12, (2, 3)
