@@ -51,11 +51,16 @@ class DigestIndex:
         """Appends the digests that are new; adding a batch again changes nothing."""
         best = F.min(F.struct((-F.col("n_points")).alias("n"), F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id")))
         groups = batch.groupBy("digest").agg(best.alias("best"), F.count("*").alias("group_size"))
-        groups = groups.select("digest", F.col("best.id").alias("keep_id"), "group_size")
+        # Written first: the optimizer would move the anti-join below the aggregation, to all rows of a digest.
+        groups = written(groups.select("digest", F.col("best.id").alias("keep_id"), "group_size"), "digest-groups")
         known = self.spark.table(self.name).select("digest").hint("merge")
         new = groups.join(known, "digest", "left_anti")
         self._append(new.repartition(self.buckets, "digest"))
 
+    def forget(self) -> None:
+        """Takes the index out of the catalog; its files stay."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+
     def rows(self) -> DataFrame:
         """Read as plain files: both sides of a join are then shuffled, and adaptive execution can split a hot digest."""
         return self.spark.read.schema(self.schema).parquet(self.path)
@@ -64,8 +69,11 @@ class DigestIndex:
 def mark_duplicates(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
     """Adds the texts of ``docs`` to the index and returns a row per document: doc_id, keep_id, group_size, kept, text_sha256."""
     batch = written(digests(docs), "digests")
-    index = index or DigestIndex(docs.sparkSession)
+    own = index is None
+    index = DigestIndex(docs.sparkSession) if own else index
     index.add(batch)
+    if own:
+        index.forget()
     return batch.join(index.rows().hint("merge"), "digest").select(
         "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256")
     )
