@@ -10,7 +10,7 @@ first), so that any document can be unpacked without the rest, by numpy.
 
 Encoding: byte-level BPE never joins what stands before a run of blanks with what follows,
 so texts are cut there and each distinct piece is encoded by the tokenizers library once
-per worker; the table of pieces is bounded and emptied when it is full.  A piece is cut by
+per worker; the table of pieces (by 64-bit hashes) is bounded and emptied when it is full.  A piece is cut by
 the vocabulary's published pattern and its parts go straight to the library's BPE model,
 which is less than half the work of an encoding with offsets.  A text with blanks beyond
 ASCII is encoded as a whole.
@@ -26,7 +26,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import repeat
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -35,9 +35,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import freed_shuffles, scratch, steps, table, text_of
+from .words import mix, raw_of, words_of
 
 TOKENIZER, END_ID, VOCABULARY = "byte_bpe_50k.json", 2, 50_257
-BLOCK_IDS, PIECES, SEGMENT = 1 << 16, 600_000, 1 << 20
+BLOCK_IDS, PIECES = 1 << 16, 3 << 19
 BLOCK_SCHEMA = "shard int, block long, start long, n_ids long, width int, doc_ids array<long>, doc_at array<long>, payload binary"
 
 _ODD_BLANK = re.compile("[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200d\u2028\u2029\u202f\u205f\u2060\u3000\ufeff]")
@@ -53,6 +54,62 @@ def _letters() -> dict[int, str]:
 
 
 _BYTE_LETTERS = _letters()
+#: Blanks and line feeds part pieces (0); a zero byte stands as 255, which UTF-8 never has.
+_PIECES_APART = np.arange(256, dtype=np.uint8)
+_PIECES_APART[[0, 10, 32]] = 255, 0, 0
+_ASCII_WORD = np.isin(np.arange(256), np.frombuffer(b"0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", np.uint8))
+
+
+class PieceTable:
+    """Ids of pieces by a 64-bit key, in open addressing: numpy looks up a whole batch at once."""
+
+    def __init__(self, limit: int):
+        self.limit = limit
+        self.mask = (1 << (2 * limit - 1).bit_length()) - 1
+        self.clear()
+
+    def clear(self) -> None:
+        self.n = self.used = 0
+        self.keys = np.zeros(self.mask + 1, np.uint64)  # 0: free
+        self.values = np.zeros(self.mask + 1, np.int32)
+        self.flat = np.zeros(1 << 16, np.uint32)
+        self.start, self.length = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int32)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The entry of each key, -1 for none."""
+        out = np.full(len(keys), -1, np.int32)
+        open_, slot = np.arange(len(keys)), (keys & np.uint64(self.mask)).astype(np.int64)
+        while len(open_):
+            there, wanted = self.keys[slot], keys[open_]
+            hit = there == wanted
+            out[open_[hit]] = self.values[slot[hit]]
+            more = ~hit & (there != 0)
+            open_, slot = open_[more], (slot[more] + 1) & self.mask
+        return out
+
+    def add(self, keys: np.ndarray, ids: list[list[int]]) -> None:
+        """New distinct keys."""
+        sizes = np.fromiter(map(len, ids), np.int32, len(ids))
+        total, entry = int(sizes.sum()), self.n + np.arange(len(keys))
+        while self.used + total > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        while self.n + len(keys) > len(self.start):
+            self.start, self.length = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.length))
+        self.flat[self.used : self.used + total] = np.fromiter(chain.from_iterable(ids), np.uint32, total)
+        self.start[entry], self.length[entry] = self.used + np.cumsum(sizes) - sizes, sizes
+        self.n, self.used = self.n + len(keys), self.used + total
+        if 2 * self.n > self.mask:  # a batch of more pieces than the limit
+            full = self.keys != 0
+            keys, entry = np.concatenate([self.keys[full], keys]), np.concatenate([self.values[full], entry])
+            self.mask = (1 << (4 * self.n).bit_length()) - 1
+            self.keys, self.values = np.zeros(self.mask + 1, np.uint64), np.zeros(self.mask + 1, np.int32)
+        slot = (keys & np.uint64(self.mask)).astype(np.int64)
+        while len(keys):
+            free = self.keys[slot] == 0
+            self.keys[slot[free]] = keys[free]  # of keys for one slot the last one stays
+            own = free & (self.keys[slot] == keys)
+            self.values[slot[own]] = entry[own]
+            keys, entry, slot = keys[~own], entry[~own], (slot[~own] + 1) & self.mask
 
 
 class Encoder:
@@ -65,100 +122,98 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
         self.pattern = regex.compile(public_tokenizers.PATTERN)
-        self.limit = limit
-        self.clear()
-
-    def clear(self) -> None:
-        self.index: dict[str, int] = {}
-        self.flat, self.used = np.zeros(1 << 20, np.uint32), 0
-        self.start, self.length = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+        self.table = PieceTable(limit)
+        self.newline = np.uint32(self.whole("\n")[0])
+        self.marks = {ord(x): np.uint32(self.whole(x)[0]) for x in ".,"}
 
     def whole(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
+    def cut(self, text: str) -> list[str]:
+        """Parts of the pattern; for a word, or a word and a stop or comma, without the regular expression."""
+        word = text[1:] if text[0] == " " else text
+        if word.isalpha():
+            return [text]
+        if word[-1:] in (".", ",") and word[:-1].isalpha():
+            return [text[:-1], word[-1]]
+        return self.pattern.findall(text)
+
     def parts(self, texts: list[str]) -> list[list[int]]:
         """Ids of short texts: the parts of the pattern, each distinct one through the BPE model once."""
-        cut = [self.pattern.findall(x) for x in texts]
-        model = self.model
-        known = {x: [y.id for y in model.tokenize(x.encode().decode("latin-1").translate(_BYTE_LETTERS))] for x in dict.fromkeys(p for c in cut for p in c)}
+        cut, tokenize, known = [self.cut(x) for x in texts], self.model.tokenize, {}
+        for x in dict.fromkeys(chain.from_iterable(cut)):
+            letters = "Ġ" + x[1:] if x[0] == " " and x.isascii() and x[1:].isalpha() else x.encode().decode("latin-1").translate(_BYTE_LETTERS)
+            known[x] = [y.id for y in tokenize(letters)]
         return [known[c[0]] if len(c) == 1 else [i for p in c for i in known[p]] for c in cut]
 
-    @staticmethod
-    def keys(text: str) -> Iterator[list[str]]:
-        """Keys of the pieces: "x" is " x", "\\nx" is itself, " x" is "x" (as at the start of a text)."""
-        if text[0] in " \n" or text[-1] in " \n" or any(x in text for x in _NOT_PLAIN):
-            yield [" " + x for x in _PIECE.findall(text)]
-            return
-        at, first = 0, " "
-        while at < len(text):
-            cut = text.find(" ", at + SEGMENT) if len(text) - at > SEGMENT else -1
-            cut = len(text) if cut < 0 else cut
-            found = text[at:cut].replace("\n", " \n").split(" ")
-            found[0] = first + found[0]
-            yield found
-            at, first = cut + 1, ""
-
-    def learn(self, keys: list[str]) -> None:
-        texts = [k[1:] if k[0] == " " else k if k[0] == "\n" else " " + k for k in keys]
-        for at in range(0, len(keys), 1 << 16):
-            found = self.parts(texts[at : at + (1 << 16)])
-            sizes = np.fromiter(map(len, found), np.int64, len(found))
-            total, n = int(sizes.sum()), len(self.index)
-            while self.used + total > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-            while n + len(found) > len(self.start):
-                self.start, self.length = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.length))
-            self.flat[self.used : self.used + total] = np.fromiter((i for x in found for i in x), np.uint32, total)
-            self.start[n : n + len(found)] = self.used + np.cumsum(sizes) - sizes
-            self.length[n : n + len(found)] = sizes
-            self.index.update(zip(keys[at : at + (1 << 16)], range(n, n + len(found)), strict=True))
-            self.used += total
-
-    def ids_of(self, keys: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all keys in a row, and each key's number of ids."""
-        at = np.fromiter(map(self.index.get, keys, repeat(-1)), np.int64, len(keys))
-        missing = np.flatnonzero(at < 0)
-        if len(missing):
-            new = list(dict.fromkeys([keys[i] for i in missing.tolist()]))
-            if len(self.index) + len(new) > self.limit and self.index:
-                self.clear()
-                return self.ids_of(keys)
-            self.learn(new)
-            at[missing] = np.fromiter((self.index[keys[i]] for i in missing.tolist()), np.int64, len(missing))
-        sizes = self.length[at]
-        ends = np.cumsum(sizes)
-        where = np.repeat(self.start[at] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
-        return self.flat[where], sizes
+    def plain(self, text: str) -> bool:
+        """Whether single blanks and line feeds part the words."""
+        return not (text[0] in " \n" or text[-1] in " \n" or any(x in text for x in _NOT_PLAIN)) and (not _ODD_BLANK.search(text) if not text.isascii() else not any(x in text for x in "\x1c\x1d\x1e\x1f"))
+
+    def plain_ids(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of plain texts: a word after a blank, a line feed and a word, or a bare word at the start.
+
+        A stop or comma that ends a word after an ASCII letter or digit is a part of its own.
+        """
+        array = pa.array(texts, pa.large_string())
+        raw, offsets = raw_of(array)
+        ends = np.append(_PIECES_APART[raw[1:]] == 0, True)
+        ends[offsets[1:] - 1] = True
+        marks = np.flatnonzero(((raw == 46) | (raw == 44)) & ends)
+        marks = marks[(marks > 0) & _ASCII_WORD[raw[marks - 1]]]
+        marks = marks[~np.isin(marks, offsets)]  # what begins a text follows no word
+        apart = raw.copy()
+        apart[marks] = 32
+        w = words_of(pa.LargeStringArray.from_buffers(len(array), pa.py_buffer(offsets), pa.py_buffer(apart)), _PIECES_APART)
+        mark = np.zeros(len(raw) + 1, np.uint8)
+        mark[marks] = raw[marks]
+        mark = mark[w.end]
+        first = np.concatenate([[True], w.row[1:] != w.row[:-1]])
+        after_line = np.zeros(len(w.key), bool)
+        after_line[~first] = w.raw[w.start[~first] - 1] == 10
+        bare = first | after_line
+        keys = mix(w.key + bare.astype(np.uint64) * np.uint64(0x632BE59BD9B4E019)) | np.uint64(1)
+        at = self.table.find(keys)
+        if (at < 0).any():
+            new, place = np.unique(keys[at < 0], return_index=True)
+            if self.table.n + len(new) > self.table.limit and self.table.n:
+                self.table.clear()
+                new, place = np.unique(keys, return_index=True)
+            else:
+                place = np.flatnonzero(at < 0)[place]
+            data = w.raw.tobytes()
+            words = [data[a:b].decode() for a, b in zip(w.start[place].tolist(), w.end[place].tolist(), strict=True)]
+            self.table.add(new, self.parts([x if b else " " + x for x, b in zip(words, bare[place].tolist(), strict=True)]))
+            at = self.table.find(keys)
+        length = self.table.length[at].astype(np.int64)
+        size = length + after_line + (mark > 0)
+        begin = np.cumsum(size) - size
+        out = np.empty(int(size.sum()), np.uint32)
+        out[begin[after_line]] = self.newline
+        for byte, token in self.marks.items():
+            ended = mark == byte
+            out[(begin + size)[ended] - 1] = token
+        inside = np.arange(int(length.sum())) - np.repeat(np.cumsum(length) - length, length)
+        out[np.repeat(begin + after_line, length) + inside] = self.table.flat[np.repeat(self.table.start[at], length) + inside]
+        ends = np.cumsum(np.bincount(w.row, weights=size, minlength=len(texts))).astype(np.int64)
+        return np.split(out, ends[:-1])
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        out: list[list[np.ndarray]] = [[] for _ in texts]
-        held: list[tuple[int, int]] = []  # text, number of keys
-        keys: list[str] = []
-
-        def flush() -> None:
-            ids, sizes = self.ids_of(keys)
-            ends = np.concatenate([[0], np.cumsum(sizes)])
-            at = 0
-            for i, n in held:
-                out[i].append(ids[ends[at] : ends[at + n]])
-                at += n
-            held.clear()
-            keys.clear()
-
+        out = [np.zeros(0, np.uint32)] * len(texts)
+        plain = []
         for i, text in enumerate(texts):
             if not text:
                 continue
-            if not text.isascii() and _ODD_BLANK.search(text) or text.isascii() and any(x in text for x in "\x1c\x1d\x1e\x1f"):
-                out[i].append(np.array(self.whole(text), np.uint32))
-                continue
-            for found in self.keys(text):
-                held.append((i, len(found)))
-                keys += found
-                if len(keys) > 200_000:
-                    flush()
-        if keys:
-            flush()
-        return [np.concatenate(x) if len(x) > 1 else x[0] if x else np.zeros(0, np.uint32) for x in out]
+            if self.plain(text):
+                plain.append(i)
+            elif not text.isascii() and _ODD_BLANK.search(text) or any(x in text for x in "\x1c\x1d\x1e\x1f"):
+                out[i] = np.array(self.whole(text), np.uint32)
+            else:
+                out[i] = np.array([*chain.from_iterable(self.parts(_PIECE.findall(text)))], np.uint32)
+        if plain:
+            for i, ids in zip(plain, self.plain_ids([texts[i] for i in plain]), strict=True):
+                out[i] = ids
+        return out
 
 
 @lru_cache(2)
@@ -171,6 +226,8 @@ def width_of(vocabulary: int) -> int:
 
 
 def pack(ids: np.ndarray, width: int) -> bytes:
+    if width == 16:
+        return ids.astype(">u2").tobytes()
     if width % 8 == 0:
         return ids.astype(">u4").view(np.uint8).reshape(-1, 4)[:, 4 - width // 8 :].tobytes()
     bits = (ids[:, None] >> np.arange(width - 1, -1, -1, dtype=np.uint32)) & 1
@@ -180,6 +237,8 @@ def pack(ids: np.ndarray, width: int) -> bytes:
 def unpack(payload: bytes, width: int, first: int, stop: int) -> np.ndarray:
     """Ids ``first`` to ``stop`` (exclusive) of a payload."""
     n = stop - first
+    if width == 16:
+        return np.frombuffer(payload, ">u2")[first:stop].astype(np.uint32)
     if width % 8 == 0:
         size = width // 8
         cells = np.zeros((n, 4), np.uint8)
