@@ -175,12 +175,13 @@ def test_encoder_equals_library(texts):
         assert ids.tolist() == coder.tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
 
 
-def test_encoder_with_a_full_table_and_segments(monkeypatch):
-    monkeypatch.setattr(token_files, "SEGMENT", 50)
+def test_encoder_with_a_full_table():
     coder = token_files.Encoder(token_files.tokenizer_path(), limit=30)
-    texts = [" ".join(f"w{i}x{j}" for i in range(60)) + "\nline two" for j in range(5)]
-    for text, ids in zip(texts, coder.encode(texts), strict=True):
-        assert ids.tolist() == coder.tokenizer.encode(text, add_special_tokens=False).ids
+    texts = [" ".join(f"w{i}x{j}" for i in range(25)) + "\nline two, end." for j in range(5)]
+    for text in texts * 2:
+        assert coder.encode([text, "a"])[0].tolist() == coder.tokenizer.encode(text, add_special_tokens=False).ids
+    many = " ".join(f"v{i}" for i in range(3000))  # more pieces than the table's limit in one batch
+    assert token_files.Encoder(token_files.tokenizer_path(), limit=300).encode([many])[0].tolist() == coder.whole(many)
 
 
 def test_token_files(spark, odd, empty):
