@@ -116,3 +116,35 @@ def mapped(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema
                 yield fn(part)
 
     return df.mapInArrow(run, schema)
+
+
+def with_text_hash(docs: DataFrame) -> DataFrame:
+    """``docs`` with text_hash: with doc_id it tells rows apart, but for rows that repeat both."""
+    return docs.withColumn("text_hash", F.xxhash64(text_of()))
+
+
+def best_rows(rows: DataFrame, key: str) -> DataFrame:
+    """Of the rows (doc_id, text_hash, key) of each key the one with the smallest doc_id (null last), then text_hash.
+
+    key, none, id, hash, rows (how many repeat both).
+    """
+    repeats = rows.groupBy(key, "doc_id", "text_hash").agg(F.count("*").alias("rows"))
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"), "rows"))
+    return repeats.groupBy(key).agg(best.alias("best")).select(key, "best.*")
+
+
+def one_row_each(docs: DataFrame, best: DataFrame) -> DataFrame:
+    """One row of ``docs`` per root of ``best`` (root, none, id, hash, rows), with its own columns.
+
+    It is the one with the smallest doc_id, null last; of several texts under it the one with the
+    smallest XXH64; of rows that repeat both, any one.
+    """
+    kept = best.groupBy("root").agg(F.min(F.struct("none", "id", "hash", "rows")).alias("best"))
+    kept = written(kept.select(F.col("best.id").alias("__kept"), F.col("best.hash").alias("__hash"), F.col("best.rows").alias("__rows")), "kept")
+    # Shuffled at every size: the table of kept documents grows with the input.
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__kept")) & (F.xxhash64(text_of()) == F.col("__hash"))
+    out = docs.join(kept.hint("merge"), same)
+    if kept.where("__rows > 1").limit(1).count():
+        again = out.where("__rows > 1").dropDuplicates(["__kept", "__hash"])
+        out = out.where("__rows = 1").unionByName(again)
+    return out.select(*(out[c] for c in docs.columns))

@@ -1,0 +1,174 @@
+"""Near copies: groups of texts linked by a Jaccard similarity of 0.8 or more of their sets of five-word shingles.
+
+Words are parted by the six ASCII blanks, A-Z count as a-z; a text of fewer words is one shingle.
+Texts with one set are one row from the start.  Candidates share all six MinHash values of one
+of 32 bands: a pair at similarity 0.8 shares none with a probability of 6e-5, at 0.85 of 3e-7.
+Every candidate is verified by the exact similarity of the two sets.
+
+A large group would make a square of pairs, so there are two passes.  First each member of a
+bucket is compared with the bucket's smallest and what is verified is contracted.  Then, in the
+buckets that still hold several components, all pairs across them whose 192 MinHash values
+agree in ``LEAST_ALIKE`` of cases (five standard deviations below 0.8) are compared too.
+
+Nulls: a null text is empty; texts without words are one group.  Of each group one row stays,
+whatever its ids: see ``common.one_row_each``.  Empty tables give empty results.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import best_rows, mapped, one_row_each, text_of, with_text_hash, written
+from .simhash import components
+from .words import SPACED, mix, pair, words_of
+
+SHINGLE, BANDS, BAND_ROWS = 5, 32, 6
+#: The least similarity, as a fraction.
+ALIKE, OF = 4, 5
+LEAST_ALIKE = 0.65
+N_HASHES = BANDS * BAND_ROWS
+_random = np.random.default_rng(20240501)
+_FACTORS = _random.integers(0, 2**31, N_HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+_SHIFTS = _random.integers(0, 2**32, N_HASHES, dtype=np.uint32)
+
+
+def shingle_sets(texts: pa.Array, width: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct 64-bit hashes of each text's shingles, one text after the other, and where each text's begin and end."""
+    w = words_of(texts, SPACED)
+    counts = w.counts()
+    ends = np.cumsum(counts)
+    n = np.where(counts > 0, np.maximum(1, counts - width + 1), 0)
+    row = np.repeat(np.arange(w.rows), n)
+    at = np.repeat(ends - counts, n) + np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+    hashes, stop = np.zeros(len(row), np.uint64), ends[row]
+    for i in range(width):
+        inside = at + i < stop
+        hashes[inside] = pair(hashes[inside], w.key[at[inside] + i])
+    order = np.lexsort((hashes, row))
+    hashes, row = hashes[order], row[order]
+    new = np.ones(len(row), bool)
+    new[1:] = (hashes[1:] != hashes[:-1]) | (row[1:] != row[:-1])
+    hashes, row = hashes[new], row[new]
+    return hashes, np.searchsorted(row, np.arange(w.rows + 1))
+
+
+def min_hashes(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """A row of ``N_HASHES`` values per set; ``starts`` of sets that are not empty."""
+    short = (hashes >> np.uint64(32)).astype(np.uint32)
+    return np.stack([np.minimum.reduceat(short * a + b, starts) for a, b in zip(_FACTORS, _SHIFTS, strict=True)], 1)
+
+
+def _signed(values: np.ndarray) -> pa.Array:
+    return pa.array(values.view(np.int64))
+
+
+def signatures(docs: DataFrame) -> DataFrame:
+    """A row per document: doc_id, text_hash, set_key, bands (a key of each), low (a byte of each MinHash value)."""
+
+    def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
+        hashes, at = shingle_sets(batch.column("text"))
+        some = np.flatnonzero(at[1:] > at[:-1])
+        key = np.zeros(batch.num_rows, np.uint64)
+        bands, low = np.zeros((len(some), BANDS), np.uint64), np.zeros((len(some), N_HASHES), np.uint8)
+        if len(some):
+            starts = at[some]
+            key[some] = mix(np.add.reduceat(mix(hashes), starts) + (at[some + 1] - starts).astype(np.uint64))
+            values = min_hashes(hashes, starts)
+            low = values.astype(np.uint8)
+            bands += np.arange(BANDS, dtype=np.uint64)
+            for i in range(BAND_ROWS):
+                bands = pair(bands, values[:, i::BAND_ROWS].astype(np.uint64))
+        offsets = np.zeros(batch.num_rows + 1, np.int32)
+        offsets[some + 1] = 1
+        offsets = np.cumsum(offsets, dtype=np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(offsets * BANDS), _signed(bands.ravel()))
+        packed = pa.BinaryArray.from_buffers(pa.binary(), batch.num_rows, [None, pa.py_buffer(offsets * N_HASHES), pa.py_buffer(low.tobytes())])
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), _signed(key), lists, packed], names=["doc_id", "text_hash", "set_key", "bands", "low"])
+
+    return mapped(_source(docs), fn, "doc_id long, text_hash long, set_key long, bands array<long>, low binary")
+
+
+def _source(docs: DataFrame) -> DataFrame:
+    return with_text_hash(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text_hash", text_of().alias("text"))
+
+
+def sets_of(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """node, shingles of the texts that ``rows`` (node, id, hash) name."""
+
+    def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
+        hashes, at = shingle_sets(batch.column("text"))
+        return pa.RecordBatch.from_arrays([batch.column("node"), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), _signed(hashes))], names=["node", "shingles"])
+
+    source = _source(docs)
+    wanted = source.join(rows.hint("merge"), source.doc_id.eqNullSafe(rows.id) & (source.text_hash == rows.hash)).select("node", "text")
+    return mapped(wanted, fn, "node long, shingles array<long>").dropDuplicates(["node"])
+
+
+def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (u, v) with a similarity of ``ALIKE / OF`` or more.  The hot side, u, is joined last: that join may be split."""
+    u, v = sets.select(F.col("node").alias("u"), F.col("shingles").alias("a")), sets.select(F.col("node").alias("v"), F.col("shingles").alias("b"))
+    shared = F.size(F.array_intersect("a", "b"))
+    return pairs.join(v, "v").join(u, "u").where(shared * (ALIKE + OF) >= (F.size("a") + F.size("b")) * ALIKE).select("u", "v")
+
+
+def _bucket_pairs(node: np.ndarray, part: np.ndarray, low: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs across the parts of a bucket that may be alike."""
+    for i in range(len(node) - 1):
+        other = i + 1 + np.flatnonzero(part[i + 1 :] != part[i])
+        other = other[(low[other] == low[i]).mean(1) >= LEAST_ALIKE] if len(other) else other
+        if len(other):
+            yield np.minimum(node[i], node[other]), np.maximum(node[i], node[other])
+
+
+def across(rows: DataFrame) -> DataFrame:
+    """Pairs (u, v) to compare in the buckets of ``rows`` (band, node, part, low)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def found(rest: pa.Table) -> Iterator[pa.RecordBatch]:
+            for u, v in _bucket_pairs(np.asarray(rest["node"]), np.asarray(rest["part"]), np.frombuffer(b"".join(rest["low"].to_pylist()), np.uint8).reshape(-1, N_HASHES)):
+                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+
+        held: list[pa.Table] = []
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            band = np.asarray(rows["band"])
+            cuts = [0, *(np.flatnonzero(band[1:] != band[:-1]) + 1).tolist(), len(band)]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                if a < b and held and held[0]["band"][0].as_py() != band[a]:
+                    yield from found(pa.concat_tables(held))
+                    held = []
+                held.append(rows.slice(a, b - a))
+        if held:
+            yield from found(pa.concat_tables(held))
+
+    return rows.repartition("band").sortWithinPartitions("band").mapInArrow(run, "u long, v long").distinct()
+
+
+def linked(docs: DataFrame, signs: DataFrame, best: DataFrame) -> DataFrame:
+    """(node, root) of the sets that are alike, as of ``simhash.components``."""
+    sets = written(signs.groupBy(F.col("set_key").alias("node")).agg(F.first("bands").alias("bands"), F.first("low").alias("low")), "sets")
+    rows = sets.select("node", F.explode("bands").alias("band"))
+    buckets = written(rows.groupBy("band").agg(F.min("node").alias("u"), F.count("*").alias("n")).where("n > 1").drop("n"), "buckets")
+    members = written(rows.join(buckets, "band"), "members")
+    texts = written(sets_of(docs, best.join(members.select(F.col("node").alias("set_key")).distinct(), "set_key").select(F.col("set_key").alias("node"), "id", "hash")), "shingles")
+    stars = members.where("node > u").select("u", F.col("node").alias("v")).distinct()
+    first = written(verified(stars, texts), "links")
+    parts = members.select("band", "node").join(components(first), "node", "left").select("band", "node", F.coalesce("root", "node").alias("part"))
+    parts = written(parts, "parts")
+    mixed = parts.groupBy("band").agg(F.min("part").alias("a"), F.max("part").alias("b")).where("a < b").select("band")
+    pairs = written(across(parts.join(mixed, "band").join(sets.select("node", "low"), "node")), "pairs")
+    return components(first.unionByName(written(verified(pairs, texts), "links")))
+
+
+def deduplicated(docs: DataFrame) -> DataFrame:
+    """One row of each group of near copies, with its own columns."""
+    signs = written(signatures(docs), "signatures")
+    best = written(best_rows(signs, "set_key"), "representatives")
+    roots = linked(docs, signs, best)
+    groups = best.join(roots, best.set_key == roots.node, "left").select(F.coalesce("root", "set_key").alias("root"), "none", "id", "hash", "rows")
+    return one_row_each(docs, groups)

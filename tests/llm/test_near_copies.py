@@ -1,0 +1,82 @@
+"""The pipeline's near-duplicate stage against brute force."""
+
+import numpy as np
+import pytest
+from conftest import DATA, rows
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from shardloom.llm import near_copies
+
+
+def shingles(text):
+    w = (text or "").encode().lower().split()
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def groups(texts):
+    """Position of the first text of each one's group."""
+    sets, root = [shingles(t) for t in texts], list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(sets)):
+        for j in range(i):
+            if sets[i] == sets[j] or 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    return [find(i) for i in range(len(texts))]
+
+
+def kept(spark, texts):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return sorted(r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, docs, DATA).collect())
+
+
+def edited(random, words, similarity):
+    """A copy in which so many words change, far apart, that about this similarity is left."""
+    out, n = list(words), len(words) - 4
+    changes = int(n * (1 - similarity) / (1 + similarity) / 5)
+    for at in random.choice(np.arange(1, len(words) // 6), changes, False) * 6:
+        out[at] = f"x{random.integers(1 << 40)}"
+    return out
+
+
+def test_stage_finds_all_from_080_on(spark):
+    random, texts = np.random.default_rng(7), []
+    for i in range(120):
+        words = [f"w{x}" for x in random.integers(0, 5000, 400)]
+        texts += [" ".join(words), " ".join(edited(random, words, (0.7, 0.78, 0.805, 0.83, 0.9, 0.95)[i % 6]))]
+    wanted = groups(texts)
+    assert 70 < sum(a != i for i, a in enumerate(wanted)) < 110  # the others are below 0.8 and must stay
+    assert kept(spark, texts) == sorted(set(wanted))
+
+
+def test_stage_joins_a_group_without_a_middle(spark):
+    """Each text is like the next only; and a group of near copies around one text."""
+    random = np.random.default_rng(8)
+    words = [f"w{x}" for x in range(300)]
+    chain = [" ".join(words[i * 15 : i * 15 + 200]) for i in range(6)]
+    star = [f"c{x}" for x in random.integers(0, 5000, 300)]
+    texts = [*chain, *(" ".join(edited(random, star, 0.85)) for _ in range(40))]
+    assert kept(spark, texts) == sorted(set(groups(texts)))
+
+
+def test_stage_on_given_documents(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").orderBy("doc_id").limit(250).select(F.col("doc_id"), "text").collect()
+    assert kept(spark, [r["text"] for r in docs]) == sorted(set(groups([r["text"] for r in docs])))
+
+
+def test_repeated_shingles_do_not_link(spark):
+    """Two texts with one much repeated shingle and otherwise different words."""
+    texts = ["the same words again and " * 200 + " ".join(f"{c}{i}" for i in range(60)) for c in "ab"]
+    assert kept(spark, texts) == [0, 1]
+
+
+@pytest.mark.parametrize("text", ["", None, "one", "one two three four five six"])
+def test_short_texts(spark, text):
+    assert kept(spark, [text, text, "other words"]) == [0, 2]
+    assert rows(near_copies.deduplicated(spark.createDataFrame([], "doc_id long, text string"))) == []
