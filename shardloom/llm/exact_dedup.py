@@ -3,7 +3,8 @@
 Texts are equal when they are identical after all of ``[\\x20\\x09-\\x0D]`` is deleted;
 their SHA-256 stands for them.  The index is a table bucketed and sorted by digest:
 a batch is reduced to one row per digest (combined before its shuffle), deduplicated by a
-sort-merge anti-join to the index, and what is new is appended.
+sort-merge anti-join to the index, and what is new is appended.  An index that is opened
+again, also in a session whose catalog doesn't know it, goes on with the rows it has.
 
 Nulls: a null text is the empty text; a null doc_id stands after all others and is kept
 only if no other row has its text.  Ties (same length) go to the smallest doc_id.  Rows
@@ -15,6 +16,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,9 +42,33 @@ class DigestIndex:
         self.spark = spark
         self.path = path or scratch(spark, "digest-index")
         self.name = f"digest_index_{uuid.uuid5(uuid.NAMESPACE_URL, self.path).hex}"
-        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.buckets = self._stored_buckets(buckets)
         if not spark.catalog.tableExists(self.name):
-            self._append(spark.createDataFrame([], self.schema))
+            # Not saveAsTable: creating a table from rows empties a folder that has files.
+            place = self.path.replace("\\", "\\\\").replace("'", "\\'")
+            spark.sql(f"CREATE TABLE {self.name} ({self.schema}) USING parquet CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS LOCATION '{place}'")
+
+    def _stored_buckets(self, wanted: int | None) -> int:
+        """The number of buckets that the files were written with, kept beside them; a new index gets ``wanted`` or the number of shuffle partitions."""
+        place = f"{self.path}/_buckets"
+        try:
+            return self.spark.read.schema("buckets int").parquet(place).first()["buckets"]
+        except AnalysisException as missing:
+            if missing.getCondition() != "PATH_NOT_FOUND":
+                raise
+        if not wanted and self._has_rows():
+            raise ValueError(f"{self.path} was written without its number of buckets; give it as buckets=")
+        wanted = wanted or int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        self.spark.range(1, numPartitions=1).select(F.lit(wanted).cast("int").alias("buckets")).write.parquet(place)
+        return wanted
+
+    def _has_rows(self) -> bool:
+        try:
+            return bool(self.rows().limit(1).count())
+        except AnalysisException as missing:
+            if missing.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return False
 
     def _append(self, rows: DataFrame) -> None:
         rows.write.mode("append").format("parquet").option("path", self.path).bucketBy(self.buckets, "digest").sortBy("digest").saveAsTable(self.name)
