@@ -13,7 +13,8 @@ so texts are cut there and each distinct piece is encoded by the tokenizers libr
 per worker; the table of pieces (by 64-bit hashes) is bounded and emptied when it is full.  A piece is cut by
 the vocabulary's published pattern and its parts go straight to the library's BPE model,
 which is less than half the work of an encoding with offsets.  A text with blanks beyond
-ASCII is encoded as a whole.
+ASCII or with the content of an added token (``<|endoftext|>``, which becomes that token) is
+encoded as a whole.
 
 Nulls: a null text is empty and has only the end id; null doc_ids come first.  Rows that
 repeat a doc_id stand side by side, in the order of their texts.  Empty tables give empty
@@ -119,7 +120,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
         self.model = self.tokenizer.model
         self.pattern = regex.compile(public_tokenizers.PATTERN)
         self.table = PieceTable(limit)
@@ -204,7 +205,9 @@ class Encoder:
         for i, text in enumerate(texts):
             if not text:
                 continue
-            if self.plain(text):
+            if any(x in text for x in self.added):
+                out[i] = np.array(self.whole(text), np.uint32)
+            elif self.plain(text):
                 plain.append(i)
             elif not text.isascii() and _ODD_BLANK.search(text) or any(x in text for x in "\x1c\x1d\x1e\x1f"):
                 out[i] = np.array(self.whole(text), np.uint32)

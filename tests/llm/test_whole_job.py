@@ -2,7 +2,7 @@
 
 import pytest
 
-from shardloom.llm import exact_dedup
+from shardloom.llm import exact_dedup, token_files
 
 
 @pytest.mark.parametrize("buckets", [None, 4, 8])
@@ -18,3 +18,20 @@ def test_index_keeps_its_rows_when_the_catalog_forgets_it(spark, buckets):
     again.forget()
     marks = exact_dedup.mark_duplicates(spark.createDataFrame([(6, "a"), (7, "d")], "doc_id long, text string"), exact_dedup.DigestIndex(spark, index.path))
     assert sorted((r["doc_id"], r["kept"]) for r in marks.collect()) == [(6, False), (7, True)]
+
+
+def test_added_tokens_in_texts():
+    coder = token_files.encoder(token_files.tokenizer_path())
+    texts = ["one <|endoftext|> two", "one two", "<|endoftext|>", "a\n<|endoftext|><|endoftext|>b  c", "<|endoftext"]
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(token_files.tokenizer_path())
+    for text, ids in zip(texts, coder.encode(texts), strict=True):
+        assert ids.tolist() == library.encode(text, add_special_tokens=False).ids, text
+    assert coder.encode(texts)[0].tolist() == [505, 220, 50256, 734]
+
+
+def test_added_tokens_in_files(spark):
+    docs = spark.createDataFrame([(1, "one <|endoftext|> two"), (2, "x")], "doc_id long, text string")
+    got = {r["doc_id"]: (r["start"], r["n_tokens"]) for r in token_files.token_output(docs).collect()}
+    assert got == {1: (0, 5), 2: (5, got[2][1])}
