@@ -15,7 +15,8 @@ components.
 
 Nulls: a null text is empty; a text without words has fingerprint 0, linked like any
 other.  A null doc_id is no component's id unless nothing else is in it.  Rows that repeat
-a doc_id are one row each in the result.  Empty tables give empty results.  Very long
+a doc_id are one row each in the result of ``near_duplicates``; ``deduplicated`` keeps one row
+of each component, also if ids are null or repeated.  Empty tables give empty results.  Very long
 texts are hashed piece by piece.  Other columns pass through ``deduplicated`` unchanged.
 """
 
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mapped, shared_dir, table, text_of, written
+from .common import best_rows, mapped, one_row_each, shared_dir, table, text_of, with_text_hash, written
 
 SHINGLE, DISTANCE = 4, 4
 PIECE, EDGES_PER_TASK = 50_000, 500_000
@@ -52,14 +53,16 @@ def fingerprint(text: str, shingle: int = SHINGLE) -> int:
     return int.from_bytes(np.packbits(2 * votes > n).tobytes(), "big", signed=True)
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, fp (the 64 bits as a long)."""
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, *others: str) -> DataFrame:
+    """doc_id, ``others`` (columns of longs), fp (the 64 bits as a long)."""
+    kept = ("doc_id", *others)
 
     def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = [fingerprint(x, shingle) for x in batch.column("text").to_pylist()]
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, pa.int64())], names=["doc_id", "fp"])
+        return pa.RecordBatch.from_arrays([*map(batch.column, kept), pa.array(found, pa.int64())], names=[*kept, "fp"])
 
-    return mapped(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")), fn, "doc_id long, fp long")
+    source = docs.select(*(F.col(c).cast("long").alias(c) for c in kept), text_of().alias("text"))
+    return mapped(source, fn, ", ".join(f"{c} long" for c in (*kept, "fp")))
 
 
 def blocks_for(n: int, distance: int) -> int:
@@ -161,15 +164,12 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, distance: int = DIS
 
 
 def deduplicated(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
-    """The document of each component with the smallest doc_id, with its own columns."""
-    marked = near_duplicates(docs, shingle, distance).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    kept = written(marked.groupBy(F.col("doc_id").alias("__kept")).agg(F.count("*").alias("__rows")), "kept")
-    # Shuffled at every size: the table of kept documents grows with the input.
-    out = docs.join(kept.hint("merge"), F.col("doc_id").eqNullSafe(F.col("__kept")))
-    if kept.where("__rows > 1").limit(1).count():  # rows that repeat a doc_id: one of them stays
-        again = out.where("__rows > 1").dropDuplicates(["__kept"])
-        out = out.where("__rows = 1").unionByName(again)
-    return out.select(*(out[c] for c in docs.columns))
+    """One row of each component, whatever its ids (``common.one_row_each`` says which), with its own columns."""
+    found = written(fingerprints(with_text_hash(docs), shingle, "text_hash"), "fingerprints")
+    best = written(best_rows(found, "fp"), "representatives")
+    roots = components(written(links(best, best.count(), distance), "links"))
+    groups = best.join(roots, best.fp == roots.node, "left").select(F.coalesce("root", "fp").alias("root"), "none", "id", "hash", "rows")
+    return one_row_each(docs, groups)
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,22 +2,15 @@
 
 import pytest
 
-from shardloom.llm import exact_dedup, token_files
+from shardloom.llm import exact_dedup, near_copies, simhash, token_files
 
 
-@pytest.mark.parametrize("buckets", [None, 4, 8])
-def test_index_keeps_its_rows_when_the_catalog_forgets_it(spark, buckets):
-    batch = lambda *r: exact_dedup.digests(spark.createDataFrame(list(r), "doc_id long, text string"))
-    index = exact_dedup.DigestIndex(spark, buckets=4)
-    index.add(batch((1, "a"), (2, "b")))
-    index.forget()
-    again = exact_dedup.DigestIndex(spark, index.path, buckets)
-    again.add(batch((3, "a"), (4, "c"), (5, "b ")))
-    assert sorted(r["keep_id"] for r in again.rows().collect()) == [1, 2, 4]
-    assert sorted(r["keep_id"] for r in spark.table(again.name).collect()) == [1, 2, 4]
-    again.forget()
-    marks = exact_dedup.mark_duplicates(spark.createDataFrame([(6, "a"), (7, "d")], "doc_id long, text string"), exact_dedup.DigestIndex(spark, index.path))
-    assert sorted((r["doc_id"], r["kept"]) for r in marks.collect()) == [(6, False), (7, True)]
+@pytest.mark.parametrize("deduplicated", [simhash.deduplicated, near_copies.deduplicated])
+def test_one_row_of_each_group_whatever_its_ids(spark, deduplicated):
+    a, b, c, d = ("".join(f" {x}{i}" for i in range(40)) for x in "abcd")
+    data = [(None, a), (None, b), (7, c), (7, d), (7, d), (9, d), (7, c + " "), (None, c), (8, a), (8, a)]
+    out = deduplicated(spark.createDataFrame(data, "doc_id long, text string")).collect()
+    assert sorted((str(r["doc_id"]), r["text"].strip()[0]) for r in out) == [("7", "c"), ("7", "d"), ("8", "a"), ("None", "b")]
 
 
 def test_added_tokens_in_texts():
@@ -35,3 +28,18 @@ def test_added_tokens_in_files(spark):
     docs = spark.createDataFrame([(1, "one <|endoftext|> two"), (2, "x")], "doc_id long, text string")
     got = {r["doc_id"]: (r["start"], r["n_tokens"]) for r in token_files.token_output(docs).collect()}
     assert got == {1: (0, 5), 2: (5, got[2][1])}
+
+
+@pytest.mark.parametrize("buckets", [None, 4, 8])
+def test_index_keeps_its_rows_when_the_catalog_forgets_it(spark, buckets):
+    batch = lambda *r: exact_dedup.digests(spark.createDataFrame(list(r), "doc_id long, text string"))
+    index = exact_dedup.DigestIndex(spark, buckets=4)
+    index.add(batch((1, "a"), (2, "b")))
+    index.forget()
+    again = exact_dedup.DigestIndex(spark, index.path, buckets)
+    again.add(batch((3, "a"), (4, "c"), (5, "b ")))
+    assert sorted(r["keep_id"] for r in again.rows().collect()) == [1, 2, 4]
+    assert sorted(r["keep_id"] for r in spark.table(again.name).collect()) == [1, 2, 4]
+    again.forget()
+    marks = exact_dedup.mark_duplicates(spark.createDataFrame([(6, "a"), (7, "d")], "doc_id long, text string"), exact_dedup.DigestIndex(spark, index.path))
+    assert sorted((r["doc_id"], r["kept"]) for r in marks.collect()) == [(6, False), (7, True)]
