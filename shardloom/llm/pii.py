@@ -2,7 +2,7 @@
 
 Kinds: email, ip, card (12 to 19 digits that pass Luhn) and phone (9 to 15 digits) make up
 the base; iban (mod-97) and ssn (number groups in use, confirmed by a context word) are
-added.  A span's score starts from its kind's prior; words close before it that speak for
+added; an IBAN is as long as its country's are, whatever follows it.  A span's score starts from its kind's prior; words close before it that speak for
 its kind raise it, words that speak for another use (versions, orders, ...) lower it.
 Base spans are always reported; added ones from ``LEAST`` on.
 
@@ -40,7 +40,16 @@ _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01234567
 _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}")
+_IBAN_LENGTHS = {
+    country: int(length)
+    for length, countries in (x.split(":") for x in (
+        "15:NO 16:BE 18:DK,FI,FK,FO,GL,NL,SD 19:MK,SI 20:AT,BA,EE,KZ,LT,LU,MN,XK 21:CH,HR,LI,LV 22:BG,BH,CR,DE,GB,GE,IE,ME,RS,VA "
+        "23:AE,GI,IL,IQ,OM,SO,TL 24:AD,CZ,ES,MD,PK,RO,SA,SE,SK,TN,VG 25:LY,PT,ST 26:IS,TR 27:BI,DJ,FR,GR,IT,MC,MR,SM "
+        "28:AL,AZ,BY,CY,DO,GT,HN,HU,LB,NI,PL,SV 29:BR,EG,PS,QA,UA 30:JO,KW,MU,YE 31:MT,SC 32:LC 33:RU"
+    ).split())
+    for country in countries.split(",")
+}
 _SSN = re.compile(r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])")
 _DIGIT = re.compile("[0-9]")
 _WORD = re.compile("[a-z]+")
@@ -74,6 +83,28 @@ def _emails(text: str):
             yield at, last
 
 
+def _iban_end(text: str, start: int, stop: int) -> int | None:
+    """Where an IBAN that begins at ``start`` ends: at its country's length, for another country at the last word edge where mod-97 holds."""
+    length = _IBAN_LENGTHS.get(text[start : start + 2])
+    places = [i for i in range(start, stop) if text[i] != " "]
+    for n in (length,) if length else range(len(places), 14, -1):
+        if n > len(places):
+            continue
+        end = places[n - 1] + 1
+        if (end == len(text) or not (text[end].isascii() and text[end].isalnum())) and mod97(text[start:end].replace(" ", "")):
+            return end
+    return None
+
+
+def _ibans(text: str):
+    at = 0
+    while m := _IBAN.search(text, at):
+        end = _iban_end(text, *m.span())
+        if end:
+            yield m.start(), end
+        at = end or m.start() + 1
+
+
 def _small(part: str) -> bool:
     return len(part := part.lstrip("0")) < 4 and int(part or "0") <= 255
 
@@ -91,7 +122,7 @@ def proposals(text: str):
             yield *m.span(), "card"
     if "+" in text:
         yield from ((*m.span(), "phone") for m in _PHONE.finditer(text) if 9 <= len(_digits(m[0])) <= 15)
-    yield from ((*m.span(), "iban") for m in _IBAN.finditer(text) if mod97(m[0].replace(" ", "")))
+    yield from ((a, b, "iban") for a, b in _ibans(text))
     yield from ((*m.span(), "ssn") for m in _SSN.finditer(text))
 
 

@@ -1,8 +1,9 @@
 """Rows, texts and sessions for which an operator once did less than the whole job."""
 
+import numpy as np
 import pytest
 
-from shardloom.llm import exact_dedup, near_copies, simhash, token_files
+from shardloom.llm import exact_dedup, near_copies, pii, simhash, token_files
 
 
 @pytest.mark.parametrize("deduplicated", [simhash.deduplicated, near_copies.deduplicated])
@@ -43,3 +44,27 @@ def test_index_keeps_its_rows_when_the_catalog_forgets_it(spark, buckets):
     again.forget()
     marks = exact_dedup.mark_duplicates(spark.createDataFrame([(6, "a"), (7, "d")], "doc_id long, text string"), exact_dedup.DigestIndex(spark, index.path))
     assert sorted((r["doc_id"], r["kept"]) for r in marks.collect()) == [(6, False), (7, True)]
+
+
+def ibans(text):
+    return [text[a:b] for a, b, kind, _ in pii.spans_of(text) if kind == "iban"]
+
+
+def test_ibans_before_other_words():
+    assert ibans("IBAN DE89370400440532013000 BIC COBADEFFXXX") == ["DE89370400440532013000"]
+    assert ibans("IBAN DE89 3704 0044 0532 0130 00 2024") == ["DE89 3704 0044 0532 0130 00"]
+    assert ibans("NO93 8601 1117 947 AND GB82 WEST 1234 5698 7654 32 OR ELSE") == ["NO93 8601 1117 947", "GB82 WEST 1234 5698 7654 32"]
+    assert ibans("AB12 3456 DE89 3704 0044 0532 0130 00") == ["DE89 3704 0044 0532 0130 00"]  # begins inside a failed one
+    assert ibans("DE89370400440532013001 BIC") == ibans("DE89370400440532013000X") == ibans("xDE89370400440532013000") == []
+    assert pii.masked("IBAN DE89370400440532013000 BIC COBADEFFXXX") == "IBAN <iban> BIC COBADEFFXXX"
+
+
+def test_iban_of_a_country_without_a_known_length():
+    body = "ZZ00ABCD123456789012"
+    check = 98 - int("".join(str(int(c, 36)) for c in body[4:] + body[:4])) % 97
+    text = f"ZZ{check:02d}ABCD123456789012"
+    assert ibans(f"iban {text} x") == [text] and ibans(f"iban {text} Z") in ([text], [f"{text} Z"])
+
+
+def test_iban_scan_is_linear():
+    assert ibans("AA11 " * 40_000) == [] and np.isfinite(len(ibans("DE89 3704 " * 20_000)))
