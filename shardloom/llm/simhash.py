@@ -5,35 +5,37 @@ shingles.  Fingerprints, not documents, are compared, so exact copies cost one r
 64 bits are cut into ``b`` blocks: two fingerprints that differ in at most ``distance``
 bits agree on at least ``b - distance`` blocks, so each fingerprint is put under every
 choice of that many blocks, the join is on these keys and the Hamming distance is
-verified in the join condition; the first choice that both share reports the pair.
+verified in the join condition.
 ``b`` follows from the number of fingerprints (six blocks up to two million), so that a
 key stays selective at any size; every ``b`` finds all pairs.
 
-Links are contracted to stars inside tasks of bounded size; where there is more than one
-task, alternating large-star and small-star steps, a checkpoint after each pair, join up the
-components.
+A bucket is a star first: each fingerprint is compared with the bucket's smallest, and what
+is linked is contracted.  Then only pairs across the parts that are left are compared.
+Components: links are contracted to stars inside tasks of bounded size; where there is more
+than one task, alternating large-star and small-star steps, a checkpoint after each pair, join
+them up.
 
 Nulls: a null text is empty; a text without words has fingerprint 0, linked like any
 other.  A null doc_id is no component's id unless nothing else is in it.  Rows that repeat
-a doc_id are one row each in the result of ``near_duplicates``; ``deduplicated`` keeps one row
-of each component, also if ids are null or repeated.  Empty tables give empty results.  Very long
-texts are hashed piece by piece.  Other columns pass through ``deduplicated`` unchanged.
+a doc_id are one row each in the result.  A bit that half of the hashes have is not set.  Empty
+tables give empty results.  Very long texts are hashed piece by piece.  Other columns are not
+looked at.  The pipeline's stage, at five words and a similarity of 0.8, is ``wide_simhash``.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import best_rows, mapped, one_row_each, shared_dir, table, text_of, with_text_hash, written
+from .common import mapped, table, text_of, written
+from .components import components
 
 SHINGLE, DISTANCE = 4, 4
-PIECE, EDGES_PER_TASK = 50_000, 500_000
+PIECE = 50_000
 
 
 def fingerprint(text: str, shingle: int = SHINGLE) -> int:
@@ -53,16 +55,14 @@ def fingerprint(text: str, shingle: int = SHINGLE) -> int:
     return int.from_bytes(np.packbits(2 * votes > n).tobytes(), "big", signed=True)
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE, *others: str) -> DataFrame:
-    """doc_id, ``others`` (columns of longs), fp (the 64 bits as a long)."""
-    kept = ("doc_id", *others)
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """doc_id, fp (the 64 bits as a long)."""
 
     def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = [fingerprint(x, shingle) for x in batch.column("text").to_pylist()]
-        return pa.RecordBatch.from_arrays([*map(batch.column, kept), pa.array(found, pa.int64())], names=[*kept, "fp"])
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, pa.int64())], names=["doc_id", "fp"])
 
-    source = docs.select(*(F.col(c).cast("long").alias(c) for c in kept), text_of().alias("text"))
-    return mapped(source, fn, ", ".join(f"{c} long" for c in (*kept, "fp")))
+    return mapped(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")), fn, "doc_id long, fp long")
 
 
 def blocks_for(n: int, distance: int) -> int:
@@ -73,103 +73,47 @@ def blocks_for(n: int, distance: int) -> int:
     return b
 
 
-def links(fps: DataFrame, n: int, distance: int = DISTANCE) -> DataFrame:
-    """Pairs (u, v) of the distinct fingerprints in ``fps`` with at most ``distance`` differing bits, u < v, once each."""
+def placed(fps: DataFrame, n: int, distance: int = DISTANCE) -> DataFrame:
+    """fp, choice, bits: each fingerprint under every choice of so many blocks that two close ones must share one."""
     b = blocks_for(n, distance)
     edges = [64 * i // b for i in range(b + 1)]
     masks = [((1 << (hi - lo)) - 1) << lo for lo, hi in zip(edges, edges[1:], strict=False)]
     signed = lambda x: x - (1 << 64) if x >> 63 else x
-    choices = list(combinations(range(b), b - distance))
-    kept = F.array(*(F.lit(signed(sum(masks[i] for i in c))) for c in choices))
-    rows = fps.select("fp", F.posexplode(kept).alias("choice", "mask")).select("fp", "choice", F.col("fp").bitwiseAND(F.col("mask")).alias("bits"))
-    u, v = rows.select(F.col("fp").alias("u"), "choice", "bits"), rows.select(F.col("fp").alias("v"), "choice", "bits")
-    # The choice is the first that both share if each block before its last that isn't in it differs.
-    earlier = [[masks[i] for i in range(c[-1]) if i not in c] for c in choices]
-    width = max(map(len, earlier))
-    differs = F.lit(True)
-    for i in range(width):
-        column = F.array(*(F.lit(signed(x[i]) if i < len(x) else -1) for x in earlier))
-        differs = differs & (_xor().bitwiseAND(F.element_at(column, F.col("choice") + 1)) != 0)
-    pairs = u.join(v, ["choice", "bits"]).where((F.col("u") < F.col("v")) & (F.bit_count(_xor()) <= distance) & differs)
-    return pairs.select("u", "v")
-
-
-def _xor() -> Column:
-    return F.col("u").bitwiseXOR(F.col("v"))
-
-
-def local_roots(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Nodes of a list of edges and the smallest node that each reaches in it."""
-    nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
-    a, b = at[: len(u)], at[len(u) :]
-    root = np.arange(len(nodes))
-    while True:
-        before = root.copy()
-        least = np.minimum(root[a], root[b])
-        for x in (a, b, before[a], before[b]):
-            np.minimum.at(root, x, least)
-        root = root[root]
-        if (root == before).all():
-            return nodes, nodes[root]
-
-
-def contracted(edges: DataFrame, parts: int) -> DataFrame:
-    """The same components with each of ``parts`` tasks' edges replaced by stars to the smallest node."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = pa.Table.from_batches(list(batches)) if (batches := list(batches)) else None
-        if rows:
-            node, root = local_roots(np.asarray(rows["u"]), np.asarray(rows["v"]))
-            far = node != root
-            yield pa.RecordBatch.from_arrays([pa.array(node[far]), pa.array(root[far])], names=["u", "v"])
-
-    return edges.select("u", "v").repartition(parts).mapInArrow(run, "u long, v long")
-
-
-def components(edges: DataFrame, edges_per_task: int = EDGES_PER_TASK) -> DataFrame:
-    """(node, root): root is the smallest node reachable; only nodes with an edge.
-
-    Tasks contract up to ``edges_per_task`` edges each; what more than one task had is joined up
-    by alternating large-star and small-star steps until nothing changes.
+    kept = F.array(*(F.lit(signed(sum(masks[i] for i in c))) for c in combinations(range(b), b - distance)))
+    return fps.select("fp", F.posexplode(kept).alias("choice", "mask")).select("fp", "choice", F.col("fp").bitwiseAND(F.col("mask")).alias("bits"))
+
+
+def linked(fps: DataFrame, n: int, distance: int = DISTANCE) -> DataFrame:
+    """(node, root) of the distinct fingerprints in ``fps`` that have links, as of ``components``.
+
+    Each fingerprint is compared with the smallest of its bucket and what is close is contracted; then only pairs
+    across different parts of a bucket are compared, so that a dense group doesn't write the square of its size.
     """
-    shared_dir(edges.sparkSession)
-    state = lambda e: tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-
-    def star(e: DataFrame, large: bool) -> DataFrame:
-        """Each neighbour of u (large: each larger one) is linked to the smallest of u and its neighbours."""
-        both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("low"))
-        moved = both.join(low, "u")
-        moved = moved.where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("low").alias("v")) if large else moved.select(F.col("v").alias("u"), F.col("low").alias("v")).union(low.select("u", F.col("low").alias("v")))
-        return moved.where(F.col("u") != F.col("v")).distinct()
-
-    parts = -(-edges.count() // edges_per_task)
-    edges = contracted(edges, max(1, parts)).checkpoint()
-    now, before = state(edges), None
-    while parts > 1 and now != before:
-        edges = star(star(edges, True), False).checkpoint()
-        before, now = now, state(edges)
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    rows = placed(fps, n, distance)
+    buckets = written(rows.groupBy("choice", "bits").agg(F.min("fp").alias("u"), F.count("*").alias("n")).where("n > 1").drop("n"), "buckets")
+    members = written(rows.join(buckets, ["choice", "bits"]), "members")
+    close = F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= distance
+    stars = written(members.select("u", F.col("fp").alias("v")).where((F.col("u") < F.col("v")) & close).distinct(), "links")
+    parts = members.drop("u").join(components(stars), F.col("fp") == F.col("node"), "left").select("choice", "bits", "fp", F.coalesce("root", "fp").alias("part"))
+    parts = written(parts, "parts")
+    several = parts.groupBy("choice", "bits").agg(F.min("part").alias("a"), F.max("part").alias("b")).where("a < b").select("choice", "bits")
+    parts = written(parts.join(several, ["choice", "bits"]), "parts")
+    u, v = (parts.select("choice", "bits", F.col("fp").alias(x), F.col("part").alias(f"{x}_part")) for x in "uv")
+    across = u.join(v, ["choice", "bits"]).where((F.col("u_part") < F.col("v_part")) & close)
+    across = across.groupBy("u", "v_part").agg(F.min("v").alias("v")).select("u", "v")  # one link to each other part is enough
+    return components(stars.unionByName(written(across, "links")))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
     """A row per document: doc_id, fp, component_id."""
     found = written(fingerprints(docs, shingle), "fingerprints")
     reps = written(found.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "representatives")
-    roots = components(written(links(reps, reps.count(), distance), "links"))
-    joined = reps.join(roots, reps.fp == roots.node, "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
-    least = joined.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    classes = written(joined.join(least, "root").select("fp", "component_id"), "classes")
-    return found.join(classes, "fp").select("doc_id", "fp", "component_id")
-
-
-def deduplicated(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
-    """One row of each component, whatever its ids (``common.one_row_each`` says which), with its own columns."""
-    found = written(fingerprints(with_text_hash(docs), shingle, "text_hash"), "fingerprints")
-    best = written(best_rows(found, "fp"), "representatives")
-    roots = components(written(links(best, best.count(), distance), "links"))
-    groups = best.join(roots, best.fp == roots.node, "left").select(F.coalesce("root", "fp").alias("root"), "none", "id", "hash", "rows")
-    return one_row_each(docs, groups)
+    roots = linked(reps, reps.count(), distance)
+    joined = written(reps.join(roots, reps.fp == roots.node, "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root")), "roots")
+    least = written(joined.groupBy("root").agg(F.min("least_id").alias("component_id")), "components")
+    # Both sides are shuffled for this join alone, so that adaptive execution can split a large component.
+    classes = written(joined.join(least.hint("merge"), "root").select("fp", "component_id"), "classes")
+    return found.join(classes.hint("merge"), "fp").select("doc_id", "fp", "component_id")
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
