@@ -22,11 +22,13 @@ BROADCAST_ROWS = 50_000
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where it is unset (tests on one machine) a temporary one is made and set.
+    Only where it is unset and Spark runs in one process (tests) a temporary one is made and set.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         if not spark.sparkContext.getCheckpointDir():
+            if not spark.sparkContext.master.startswith("local["):
+                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-shared-"))
         found = spark.sparkContext.getCheckpointDir()
     return found.rstrip("/")
@@ -140,11 +142,11 @@ def one_row_each(docs: DataFrame, best: DataFrame) -> DataFrame:
     smallest XXH64; of rows that repeat both, any one.
     """
     kept = best.groupBy("root").agg(F.min(F.struct("none", "id", "hash", "rows")).alias("best"))
-    kept = written(kept.select(F.col("best.id").alias("__kept"), F.col("best.hash").alias("__hash"), F.col("best.rows").alias("__rows")), "kept")
-    # Shuffled at every size: the table of kept documents grows with the input.
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__kept")) & (F.xxhash64(text_of()) == F.col("__hash"))
-    out = docs.join(kept.hint("merge"), same)
-    if kept.where("__rows > 1").limit(1).count():
-        again = out.where("__rows > 1").dropDuplicates(["__kept", "__hash"])
-        out = out.where("__rows = 1").unionByName(again)
-    return out.select(*(out[c] for c in docs.columns))
+    kept = written(kept.select("best.id", "best.hash", "best.rows"), "kept")
+    # The rows travel as one column, so that no name of theirs clashes.  Shuffled at every size: the table of kept documents grows with the input.
+    packed = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("own_id"), F.xxhash64(text_of()).alias("own_hash"))
+    out = packed.join(kept.hint("merge"), F.col("own_id").eqNullSafe(F.col("id")) & (F.col("own_hash") == F.col("hash")))
+    if kept.where("rows > 1").limit(1).count():
+        again = out.where("rows > 1").dropDuplicates(["id", "hash"])
+        out = out.where("rows = 1").unionByName(again)
+    return out.select("row.*")

@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from shardloom.llm import common, decontamination, exact_dedup, licenses, lm_scoring, mixing, pii, quality, simhash, token_files, toxicity, words
+from shardloom.llm import common, components, decontamination, exact_dedup, licenses, lm_scoring, mixing, pii, quality, simhash, token_files, toxicity, wide_simhash, words
 
 SCHEMA = "doc_id long, text string, source string, n_chars long, digest string, copies string, rate string, fp string, spans string"
 LONG = "word " * 40_000
@@ -88,28 +88,44 @@ def test_targets_equal_resharing(spark, sizes):
 def test_simhash(spark, odd, empty):
     got = {(r["doc_id"], r["fp"]): r["component_id"] for r in simhash.near_duplicates(odd).collect()}
     assert got[(1, 0)] == got[(2, 0)] == got[(7, 0)] == 1
-    assert simhash.near_duplicates(empty).count() == 0 and simhash.deduplicated(empty).count() == 0
-    out = simhash.deduplicated(odd)
+    assert simhash.near_duplicates(empty).count() == 0 and wide_simhash.deduplicated(empty).count() == 0
+    out = wide_simhash.deduplicated(odd)
     assert out.columns == odd.columns
     assert sorted(str(r["doc_id"]) for r in out.collect()) == ["1", "3", "4", "6", "None"]
 
 
 @pytest.mark.parametrize("n", [100, 3_000_000, 10**9, 10**10])
-def test_all_links_for_any_block_count(spark, n):
+def test_all_components_for_any_block_count(spark, n):
     random = np.random.default_rng(3)
     base = random.integers(-(2**62), 2**62, 60)
     near = [int(b) ^ sum(1 << int(i) for i in random.choice(63, k, False)) for b in base for k in (1, 3, 4, 5)]
     values = sorted({*map(int, base), *near})
-    df = spark.createDataFrame([(v,) for v in values], "fp long")
-    found = rows(simhash.links(df, n))
-    wanted = [(a, b) for i, a in enumerate(values) for b in values[i + 1 :] if bin((a ^ b) & (2**64 - 1)).count("1") <= 4]
-    assert sorted(found) == sorted(wanted) and len(found) >= 180
+    got = dict(rows(simhash.linked(spark.createDataFrame([(v,) for v in values], "fp long"), n)))
+    links = [(a, b) for i, a in enumerate(values) for b in values[i + 1 :] if bin((a ^ b) & (2**64 - 1)).count("1") <= 4]
+    nodes, roots = components.local_roots(*np.array(links).T)
+    wanted = {int(a): int(b) for a, b in zip(nodes, roots, strict=True)}
+    assert {a: got.get(a, a) for a in wanted} == wanted and set(got) <= set(wanted) and len(links) >= 180
+
+
+def test_dense_group_writes_no_square(spark, monkeypatch):
+    """1,954 fingerprints within two bits of one, and a chain of groups four bits apart."""
+    near = lambda x: [x, *(x ^ (1 << i) for i in range(62)), *(x ^ (1 << i) ^ (1 << j) for i in range(62) for j in range(i))]
+    values = sorted({*near(0x0123456789ABCDEF), *(0x7EDCBA9876543210 >> 1 ^ (1 << 4 * k) - 1 for k in range(12))})
+    sizes = []
+    real = simhash.written
+    monkeypatch.setattr(simhash, "written", lambda df, name: sizes.append((name, (out := real(df, name)).count())) or out)
+    got = dict(rows(simhash.linked(spark.createDataFrame([(v,) for v in values], "fp long"), len(values))))
+    array = np.array(values, np.uint64)
+    links = [(a, int(b)) for i, a in enumerate(values) for b in array[i + 1 :][np.bitwise_count(array[i + 1 :] ^ array[i]) <= 4]]
+    nodes, roots = components.local_roots(*np.array(links).T)
+    assert {int(a): got.get(int(a), int(a)) for a in nodes} == {int(a): int(b) for a, b in zip(nodes, roots, strict=True)}
+    assert len(links) > 1_000_000 and max(n for name, n in sizes if name == "links") < 15 * len(values)  # at most one a choice of blocks
 
 
 @pytest.mark.parametrize("per_task", [1000, 20])
 def test_components(spark, per_task):
     chain = [(i, i + 1) for i in range(0, 60)] + [(100, 101), (101, 105), (-5, 200)] + [(300, i) for i in range(301, 330)]
-    found = rows(simhash.components(spark.createDataFrame(chain, "u long, v long"), per_task))
+    found = rows(components.components(spark.createDataFrame(chain, "u long, v long"), per_task))
     wanted = [(i, 0) for i in range(1, 61)] + [(101, 100), (105, 100), (200, -5)] + [(i, 300) for i in range(301, 330)]
     assert found == sorted(wanted, key=repr)
 

@@ -3,14 +3,13 @@
 import numpy as np
 import pytest
 
-from shardloom.llm import exact_dedup, near_copies, pii, simhash, token_files
+from shardloom.llm import exact_dedup, pii, token_files, wide_simhash
 
 
-@pytest.mark.parametrize("deduplicated", [simhash.deduplicated, near_copies.deduplicated])
-def test_one_row_of_each_group_whatever_its_ids(spark, deduplicated):
+def test_one_row_of_each_group_whatever_its_ids(spark):
     a, b, c, d = ("".join(f" {x}{i}" for i in range(40)) for x in "abcd")
     data = [(None, a), (None, b), (7, c), (7, d), (7, d), (9, d), (7, c + " "), (None, c), (8, a), (8, a)]
-    out = deduplicated(spark.createDataFrame(data, "doc_id long, text string")).collect()
+    out = wide_simhash.deduplicated(spark.createDataFrame(data, "doc_id long, text string")).collect()
     assert sorted((str(r["doc_id"]), r["text"].strip()[0]) for r in out) == [("7", "c"), ("7", "d"), ("8", "a"), ("None", "b")]
 
 

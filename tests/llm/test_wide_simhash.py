@@ -6,7 +6,7 @@ from conftest import DATA, rows
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from shardloom.llm import near_copies
+from shardloom.llm import wide_simhash
 
 
 def shingles(text):
@@ -79,4 +79,4 @@ def test_repeated_shingles_do_not_link(spark):
 @pytest.mark.parametrize("text", ["", None, "one", "one two three four five six"])
 def test_short_texts(spark, text):
     assert kept(spark, [text, text, "other words"]) == [0, 2]
-    assert rows(near_copies.deduplicated(spark.createDataFrame([], "doc_id long, text string"))) == []
+    assert rows(wide_simhash.deduplicated(spark.createDataFrame([], "doc_id long, text string"))) == []
