@@ -6,6 +6,28 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Rows that a time bucket holds about, where its length is taken from the data.
+BUCKET_ROWS = 200_000
+
+
+def bucket_seconds(df: DataFrame, time: str = "ts", rows: int = BUCKET_ROWS) -> int:
+    """The length of time buckets of about ``rows`` rows, from the span and the number of the rows; one second at least."""
+    at = F.unix_timestamp(F.col(time).cast("timestamp"))
+    low, high, n = df.agg(F.min(at), F.max(at), F.count(at)).first()
+    return max(1, int((high - low + 1) * rows / n)) if n else 86_400
+
+
+def time_bucket(df: DataFrame, time: str = "ts") -> Column:
+    return F.floor(F.unix_timestamp(F.col(time).cast("timestamp")) / bucket_seconds(df, time))
+
+
+def name_bucket(df: DataFrame, name: str = "name", lengths: tuple[int, ...] = (8, 12, 16, 24, 32, 64, 128)) -> Column:
+    """The shortest of these beginnings of the names that parts them into buckets of about ``BUCKET_ROWS`` rows."""
+    n, *parts = df.agg(F.count("*"), *(F.approx_count_distinct(F.substring(name, 1, k)) for k in lengths)).first()
+    enough = [k for k, found in zip(lengths, parts, strict=True) if n <= BUCKET_ROWS * max(1, found)]
+    return F.substring(name, 1, enough[0] if enough else lengths[-1])
+
+
 def global_index(df: DataFrame, order: list[Column], bucket: Column, name: str, by: tuple[str, ...] = ()) -> DataFrame:
     """Adds the 0-based position ``name`` of each row in ``order``, within each group of ``by``.
 
@@ -24,15 +46,16 @@ def global_index(df: DataFrame, order: list[Column], bucket: Column, name: str,
     return placed.withColumn(name, F.col("__inside") + F.col("__offset")).drop("__key", "__inside", "__offset")
 
 
-def as_of(left: DataFrame, right: DataFrame, value: str, name: str, time: str = "ts", by: tuple[str, ...] = (), tie: str | None = None, bucket_seconds: int = 86_400) -> DataFrame:
+def as_of(left: DataFrame, right: DataFrame, value: str, name: str, time: str = "ts", by: tuple[str, ...] = (), tie: str | None = None, seconds: int | None = None) -> DataFrame:
     """Adds to each left row, as ``name``, the ``value`` of the last right row at or before its time.
 
     Rows are compared inside time buckets; what a bucket inherits is the last value of the
-    buckets before it, from a table with a row per bucket.  Right rows of one time are
-    ordered by ``tie``.  Without an earlier right row the value is null.
+    buckets before it, from a table with a row per bucket.  A bucket is ``seconds`` long, by
+    default so long that it has about ``BUCKET_ROWS`` rows.  Right rows of one time are ordered by ``tie``.  Without an earlier right row the value is null.
     """
     kind = right.schema[value].dataType
-    bucket = F.floor(F.unix_timestamp(F.col(time).cast("timestamp")) / bucket_seconds)
+    seconds = bucket_seconds(left.select(time).unionByName(right.select(time)), time) if seconds is None else seconds
+    bucket = F.floor(F.unix_timestamp(F.col(time).cast("timestamp")) / seconds)
     tied = F.col(tie) if tie else F.lit(0)
     rows = left.withColumns({"__left": F.lit(1), "__tie": F.lit(0).cast("long"), "__value": F.lit(None).cast(kind)})
     marks = right.select(*by, F.col(time), F.lit(0).alias("__left"), tied.cast("long").alias("__tie"), F.col(value).alias("__value"))

@@ -107,12 +107,12 @@ def superseded_files(writes: DataFrame) -> DataFrame:
 def chunk_blobs(df: DataFrame, size: int = CHUNK, key: str = "id", blob: str = "blob") -> DataFrame:
     """Binary values in numbered chunks of ``size`` bytes; an empty value is one empty chunk."""
     n = F.greatest(F.ceil(F.octet_length(blob) / size), F.lit(1))
-    rows = df.where(F.col(blob).isNotNull()).select(key, blob, F.explode(F.sequence(F.lit(0).cast("long"), n - 1)).alias("chunk_no"))
-    return rows.select(key, "chunk_no", F.substring(F.col(blob), (F.col("chunk_no") * size + 1).cast("int"), F.lit(size)).alias("chunk"))
+    cut = F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda i: F.substring(F.col(blob), (i * size + 1).cast("int"), F.lit(size)))
+    return df.where(F.col(blob).isNotNull()).select(key, F.posexplode(cut).alias("chunk_no", "chunk")).withColumn("chunk_no", F.col("chunk_no").cast("long"))
 
 
 def assemble_blobs(chunks: DataFrame, key: str = "id") -> DataFrame:
     """The values back from their chunks."""
     parts = F.array_sort(F.collect_list(F.struct("chunk_no", "chunk")))
-    blob = F.aggregate(F.transform(parts, lambda x: x["chunk"]), F.lit(b"").cast("binary"), lambda a, x: F.concat(a, x))
-    return chunks.groupBy(key).agg(blob.alias("blob"))
+    joined = F.array_join(F.transform(parts, lambda x: F.hex(x["chunk"])), "")  # in one step, not chunk by chunk
+    return chunks.groupBy(key).agg(F.unhex(joined).alias("blob"))

@@ -12,9 +12,9 @@ from ..functions.indexing import global_index
 from ..functions.vectors import sum_vectors
 
 
-def split_label(df: DataFrame, label: str) -> tuple[DataFrame, DataFrame]:
-    """The label column and the feature columns, each as a DataFrame over the same rows."""
-    return df.select(F.col(label).alias("label")), df.drop(label)
+def split_label(df: DataFrame, label: str) -> DataFrame:
+    """Per row the label, and the other columns as the struct ``features``."""
+    return df.select(F.col(label).alias("label"), F.struct(*(F.col(c) for c in df.columns if c != label)).alias("features"))
 
 
 def repeat(df: DataFrame, n: int) -> DataFrame:
@@ -107,14 +107,15 @@ def bloom_positions(col: Column, m: int, k: int) -> Column:
     return F.array(*(F.pmod(hash60(F.concat_ws(":", F.lit(i), col.cast("string"))), F.lit(m)) for i in range(k)))
 
 
-def bloom_counter_filter(ids: DataFrame, freq: int, capacity: int, fpp: float, key: str = "id") -> DataFrame:
+def bloom_counter_filter(ids: DataFrame, freq: int, capacity: int | None = None, fpp: float = 0.01, key: str = "id") -> DataFrame:
     """Distinct ids whose count, estimated by a counting Bloom filter, reaches ``freq``: id, estimate.
 
     Own rule: k MD5 positions per id, an id's estimate is its smallest counter.  Counters are
-    summed from one row per id, and an estimate is never below the true count.
+    summed from one row per id, and an estimate is never below the true count.  Without a
+    ``capacity`` the filter is sized for the number of distinct ids.
     """
-    m, k = bloom_sizes(capacity, fpp)
     counts = ids.groupBy(key).agg(F.count("*").alias("__n"))
+    m, k = bloom_sizes(max(1, counts.count()) if capacity is None else capacity, fpp)
     spread = counts.select(key, "__n", F.explode(F.array_distinct(bloom_positions(F.col(key), m, k))).alias("__pos"))
     cells = spread.groupBy("__pos").agg(F.sum("__n").alias("__cell"))
     return spread.join(cells, "__pos").groupBy(key).agg(F.min("__cell").alias("estimate")).where(F.col("estimate") >= freq)

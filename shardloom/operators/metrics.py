@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.indexing import global_index
+from ..functions.indexing import global_index, time_bucket
 from ..functions.scalars import glob_to_regex, task_id
 
+#: Subscriptions up to which their patterns are part of the plan.
+MOST_PATTERNS = 1000
 REPORT_JSON = "MetricType array<string>, MetricValue array<double>"
 PERIOD = "10 seconds"
 
@@ -39,9 +41,12 @@ def reject_duplicate_tags(reports: DataFrame) -> tuple[DataFrame, DataFrame]:
 def subscribe(metrics: DataFrame, subs: DataFrame) -> DataFrame:
     """Metrics for each subscriber with a matching glob (subscriber, pattern), once per subscriber.
 
-    Patterns are matched to the distinct metric types, then metrics join their types, so
-    that the pattern test doesn't run per metric.
+    Up to ``MOST_PATTERNS`` subscriptions are tested on each metric as it passes, without a join or
+    a second reading.  More are matched to the distinct metric types, and metrics join their types.
     """
+    listed = subs.select("subscriber", "pattern").distinct().limit(MOST_PATTERNS + 1).collect()
+    if len(listed) <= MOST_PATTERNS:
+        return subscribe_small(metrics, [tuple(r) for r in listed])
     rules = subs.select("subscriber", glob_to_regex(F.col("pattern")).alias("regex")).distinct()
     types = metrics.select("type").distinct()
     wanted = types.join(rules, F.expr("type rlike regex")).select("type", "subscriber").distinct()
@@ -51,6 +56,8 @@ def subscribe(metrics: DataFrame, subs: DataFrame) -> DataFrame:
 def subscribe_small(metrics: DataFrame, subs: list[tuple[str, str]]) -> DataFrame:
     """The same for a listed handful of subscriptions, without a join (streams)."""
     names = sorted({s for s, _ in subs})
+    if not names:
+        return metrics.withColumn("subscriber", F.lit("")).where("false")
 
     def matches(name: str) -> Column:
         test = F.lit(False)
@@ -77,15 +84,19 @@ def window_snapshot(metrics: DataFrame, period: str = PERIOD, watermark: str | N
 
 def metric_sequence(metrics: DataFrame, order: list[str], by: tuple[str, ...] = ("subscriber", "type"), bucket: Column | None = None) -> DataFrame:
     """The FIFO number (from 0) of each metric per subscriber and type."""
-    bucket = F.floor(F.unix_timestamp(F.col("ts").cast("timestamp")) / 86_400) if bucket is None else bucket
+    bucket = time_bucket(metrics) if bucket is None else bucket
     return global_index(metrics, [F.col(c) for c in order], bucket, "seq", by)
 
 
 def task_actions(reports: DataFrame, tasks: DataFrame) -> DataFrame:
-    """The reports of the asked tasks in time order: task, status (OK, NOT_FOUND), reports."""
-    rows = reports.select(task_id(F.col("task_name"), F.col("task_index")).alias("task"), F.struct("ts", "options").alias("r"))
-    found = tasks.select("task").distinct().join(rows, "task", "left").groupBy("task").agg(F.array_sort(F.collect_list("r")).alias("reports"))
-    return found.select("task", F.when(F.size("reports") > 0, "OK").otherwise("NOT_FOUND").alias("status"), F.transform("reports", lambda x: x["options"]).alias("reports"))
+    """The reports of the asked tasks: task, status (OK, NOT_FOUND), seq (place in time order, from 0), ts, options.
+
+    A row per report, so that no task's history has to fit one row; a task without reports has one row.
+    """
+    rows = reports.select(task_id(F.col("task_name"), F.col("task_index")).alias("task"), "ts", "options")
+    numbered = global_index(rows, [F.col("ts"), F.col("options")], time_bucket(rows), "seq", ("task",))
+    found = tasks.select("task").distinct().join(numbered, "task", "left")
+    return found.select("task", F.when(F.col("seq").isNotNull(), "OK").otherwise("NOT_FOUND").alias("status"), "seq", "ts", "options")
 
 
 def parse_metric_tag(col: Column) -> Column:

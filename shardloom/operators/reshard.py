@@ -85,7 +85,9 @@ def dense_gather(parts: DataFrame) -> DataFrame:
 
 
 def dense_mod_layout(col: Column, num_rows: int, n: int) -> Column:
-    """Row of an id when lookups go by ``id mod n`` over row-split parts."""
+    """Row of an id when lookups go by ``id mod n`` over row-split parts; the parts must be of one length."""
+    if num_rows % n:
+        raise ValueError(f"{num_rows} rows don't split into {n} parts of one length")
     return (F.pmod(col, F.lit(n)) * F.lit(num_rows // n) + F.floor(col / n)).cast("long")
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import epoch_seed, seeded_hash, top_bits
-from ..functions.indexing import as_of, global_index
+from ..functions.indexing import as_of, global_index, name_bucket, time_bucket
 
 ID_BUCKET = 4096
 
@@ -20,11 +20,12 @@ def make_slices(files: DataFrame, slice_size: int, bucket: Column | None = None)
 
     ``files``: prefix, dir_ord (the directory's place), name.  Slices never span directories,
     ids run on over directories, the last slice of a directory may be short.  ``bucket`` is a
-    monotone function of the name for the numbering; by default its first eight characters.
+    monotone function of the name for the numbering; by default a beginning of it that is long
+    enough for the number of files.
     """
     if slice_size < 1:
         raise ValueError("slice_size must be positive")
-    placed = global_index(files, [F.col("name")], F.substring("name", 1, 8) if bucket is None else bucket, "__idx", ("prefix", "dir_ord"))
+    placed = global_index(files, [F.col("name")], name_bucket(files) if bucket is None else bucket, "__idx", ("prefix", "dir_ord"))
     per_dir = files.groupBy("prefix", "dir_ord").agg(F.count("*").alias("__files"))
     before = Window.orderBy("dir_ord", "prefix").rowsBetween(Window.unboundedPreceding, -1)  # over directories
     first = F.coalesce(F.sum(F.ceil(F.col("__files") / slice_size)).over(before), F.lit(0))
@@ -104,7 +105,7 @@ def restore_state(states: DataFrame, configs: DataFrame, time: str = "saved_at")
 
 def assign_slices(plan: DataFrame, requests: DataFrame, bucket: Column | None = None) -> DataFrame:
     """Who gets which slice: the k-th request (by time, then task, then request_id) gets the k-th slice of the plan."""
-    bucket = F.floor(F.unix_timestamp(F.col("ts").cast("timestamp")) / 86_400) if bucket is None else bucket
+    bucket = time_bucket(requests) if bucket is None else bucket
     asked = global_index(requests, [F.col("ts"), F.col("task"), F.col("request_id")], bucket, "rank")
     queue = global_index(plan.select("pos", "slice_id"), [F.col("pos")], _id_bucket("pos"), "rank")
     return asked.join(queue, "rank").select("request_id", "task", "pos", "slice_id")

@@ -135,7 +135,7 @@ def F4_epoch_seconds(t: Tables) -> DataFrame:
 
 @query("SELECT event_id, strftime(ts + INTERVAL 8 HOUR, '%Y-%m-%dT%H:%M:%S') || '+08:00' AS local FROM events")
 def F5_utc_to_local(t: Tables) -> DataFrame:
-    return t.events.select("event_id", C.utc_to_local(F.col("ts"), "Asia/Shanghai", "+08:00").alias("local"))
+    return t.events.select("event_id", C.utc_to_local(F.col("ts"), "Asia/Shanghai").alias("local"))
 
 
 @query("""SELECT o_orderkey, to_base64(('{"config_name":"' || o_orderpriority || '","slice_index":' || o_custkey || '}')::BLOB) AS state, o_custkey AS slice_index FROM orders""")

@@ -97,8 +97,8 @@ SCORES_SQL = "scores AS (SELECT doc_id, quality AS label, (n_chars % 997) / 1000
 def reports(t: Tables) -> DataFrame:
     """Two metrics per event, in lists of unequal length for some, with a repeated tag for others."""
     index = (F.col("user_id") % 5).cast("int")
-    tag = lambda m: F.concat(F.lit(f"gazer/{m}/job_ps/replica_0/task_"), index.cast("string"), F.lit("/device_CPU_0"))
-    second = F.when(F.col("event_id") % 50 == 0, tag("mem")).when(F.col("event_id") % 50 == 1, F.lit("gazer/loss")).otherwise(tag("cpu"))
+    tag = lambda m: F.concat(F.lit(f"sys/{m}/job_ps/replica_0/task_"), index.cast("string"), F.lit("/device_CPU_0"))
+    second = F.when(F.col("event_id") % 50 == 0, tag("mem")).when(F.col("event_id") % 50 == 1, F.lit("sys/loss")).otherwise(tag("cpu"))
     values = F.when(F.col("event_id") % 50 == 2, F.array(F.col("value") * 20)).otherwise(F.array(F.col("value") * 20, F.col("value")))
     body = F.to_json(F.struct(F.array(tag("mem"), second).alias("MetricType"), values.alias("MetricValue")))
     return t.events.select(F.col("ts").cast("timestamp").alias("ts"), F.lit("job_ps").alias("task_name"), index.alias("task_index"), body.alias("options"), "event_id")
@@ -106,9 +106,9 @@ def reports(t: Tables) -> DataFrame:
 
 REPORTS_SQL = """
 tags AS (SELECT event_id, floor(epoch(ts))::BIGINT AS sec, ts, (user_id % 5)::INT AS i, value,
-  'gazer/mem/job_ps/replica_0/task_' || (user_id % 5) || '/device_CPU_0' AS mem,
-  CASE event_id % 50 WHEN 0 THEN 'gazer/mem/job_ps/replica_0/task_' || (user_id % 5) || '/device_CPU_0' WHEN 1 THEN 'gazer/loss'
-       ELSE 'gazer/cpu/job_ps/replica_0/task_' || (user_id % 5) || '/device_CPU_0' END AS other
+  'sys/mem/job_ps/replica_0/task_' || (user_id % 5) || '/device_CPU_0' AS mem,
+  CASE event_id % 50 WHEN 0 THEN 'sys/mem/job_ps/replica_0/task_' || (user_id % 5) || '/device_CPU_0' WHEN 1 THEN 'sys/loss'
+       ELSE 'sys/cpu/job_ps/replica_0/task_' || (user_id % 5) || '/device_CPU_0' END AS other
   FROM events),
 metrics AS (SELECT event_id, sec, ts, 'job_ps#' || i AS task, mem AS type, value * 20 AS value FROM tags WHERE event_id % 50 <> 0
   UNION ALL SELECT event_id, sec, ts, 'job_ps#' || i, other, value FROM tags WHERE event_id % 50 NOT IN (0, 2))"""

@@ -9,8 +9,8 @@ from ..operators import scaling as C
 from . import fixtures as X
 from .registry import Tables, query
 
-SUBS = [("trainer", "gazer/mem/*"), ("trainer", "*task_[0-2]*"), ("viewer", "gazer/?pu/*"), ("viewer", "gazer/mem/*task_[!1-4]*")]
-SUBS_SQL = "(type GLOB 'gazer/mem/*' OR type GLOB '*task_[0-2]*')", "(type GLOB 'gazer/?pu/*' OR type GLOB 'gazer/mem/*task_[!1-4]*')"
+SUBS = [("trainer", "sys/mem/*"), ("trainer", "*task_[0-2]*"), ("viewer", "sys/?pu/*"), ("viewer", "sys/mem/*task_[!1-4]*")]
+SUBS_SQL = "(type GLOB 'sys/mem/*' OR type GLOB '*task_[0-2]*')", "(type GLOB 'sys/?pu/*' OR type GLOB 'sys/mem/*task_[!1-4]*')"
 SUBSCRIBED_SQL = f"""{X.REPORTS_SQL},
 sub AS (SELECT 'trainer' AS subscriber, * FROM metrics WHERE {SUBS_SQL[0]} UNION ALL SELECT 'viewer', * FROM metrics WHERE {SUBS_SQL[1]})"""
 
@@ -62,11 +62,12 @@ def D6_metric_sequence(t: Tables) -> DataFrame:
     return found.select("subscriber", "type", epoch_seconds(F.col("ts")).alias("sec"), F.round("value", 6).alias("value"), "seq")
 
 
-@query("""SELECT 'job_ps#' || i AS task, CASE WHEN n IS NULL THEN 'NOT_FOUND' ELSE 'OK' END AS status, coalesce(n, 0) AS n
-FROM (SELECT DISTINCT s_nationkey AS i FROM supplier) LEFT JOIN (SELECT (user_id % 5)::INT AS i, count(*) AS n FROM events GROUP BY 1) USING (i)""")
+@query("""SELECT 'job_ps#' || i AS task, CASE WHEN seq IS NULL THEN 'NOT_FOUND' ELSE 'OK' END AS status, seq, micros
+FROM (SELECT DISTINCT s_nationkey AS i FROM supplier)
+LEFT JOIN (SELECT (user_id % 5)::INT AS i, epoch_us(ts) AS micros, row_number() OVER (PARTITION BY user_id % 5 ORDER BY ts) - 1 AS seq FROM events) USING (i)""")
 def D7_task_actions(t: Tables) -> DataFrame:
     asked = t.supplier.select(task_id(F.lit("job_ps"), F.col("s_nationkey")).alias("task"))
-    return M.task_actions(X.reports(t), asked).select("task", "status", F.size("reports").cast("long").alias("n"))
+    return M.task_actions(X.reports(t), asked).select("task", "status", "seq", F.unix_micros("ts").alias("micros"))
 
 
 @query(f"""WITH {X.REPORTS_SQL}
@@ -275,7 +276,7 @@ def D24_task_changes(t: Tables) -> DataFrame:
 
 
 @query(f"""WITH {X.REPORTS_SQL},
-s AS (SELECT sec // 86400 AS day, split_part(type, '/', 5) AS task, arg_max(value, (ts, value)) AS mb FROM metrics WHERE type LIKE 'gazer/mem/job_ps/%/%/%' GROUP BY 1, 2),
+s AS (SELECT sec // 86400 AS day, split_part(type, '/', 5) AS task, arg_max(value, (ts, value)) AS mb FROM metrics WHERE type LIKE 'sys/mem/job_ps/%/%/%' GROUP BY 1, 2),
 k AS (SELECT day, count(*) FILTER (mb * 1048576 / {X.LIMIT}.0 > 0.8) AS oom, count(*) FILTER (mb * 1048576 / {X.LIMIT}.0 > 0.6 AND mb * 1048576 / {X.LIMIT}.0 <= 0.8) AS up,
   count(*) FILTER (mb * 1048576 / {X.LIMIT}.0 < 0.4) AS down FROM s GROUP BY 1), n AS (SELECT 5::BIGINT AS old_n)
 SELECT 'job_ps' AS job, day::BIGINT AS day, old_n, {_DECIDE} FROM k, n""")

@@ -19,9 +19,11 @@ class Tables:
         self.spark, self.sf_dir = spark, sf_dir
 
     def scratch(self, name: str) -> str:
-        """A new path in the folder that driver and executors share (``spark.checkpoint.dir``; a temporary one where it is unset)."""
+        """A new path in the folder that driver and executors share (``spark.checkpoint.dir``; a temporary one where it is unset and Spark runs in one process)."""
         shared = self.spark.conf.get("spark.checkpoint.dir", None) or self.spark.sparkContext.getCheckpointDir()
         if not shared:
+            if not self.spark.sparkContext.master.startswith("local["):
+                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
             self.spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-shared-"))
             shared = self.spark.sparkContext.getCheckpointDir()
         return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"

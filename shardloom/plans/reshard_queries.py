@@ -15,9 +15,10 @@ def C1_shard_mod(t: Tables) -> DataFrame:
     return t.embeddings.select("vec_id", R.shard_mod(F.col("vec_id"), 5).alias("shard"))
 
 
-@query("SELECT o_orderkey, greatest(o_orderkey // 2143, (o_orderkey - 6) // 2142)::INT AS shard FROM orders WHERE o_orderkey < 15000")
+@query("WITH n AS (SELECT max(o_orderkey) + 1 AS n FROM orders) SELECT o_orderkey, greatest(o_orderkey // (n // 7 + 1), (o_orderkey - n % 7) // (n // 7))::INT AS shard FROM orders, n")
 def C2_shard_div(t: Tables) -> DataFrame:
-    return t.orders.where("o_orderkey < 15000").select("o_orderkey", R.shard_div(F.col("o_orderkey"), 15_000, 7).alias("shard"))
+    num_ids = (t.orders.agg(F.max("o_orderkey")).first()[0] or 0) + 1
+    return t.orders.select("o_orderkey", R.shard_div(F.col("o_orderkey"), num_ids, 7).alias("shard"))
 
 
 @query(f"WITH {X.EMB_SQL} SELECT key, part, (key % 5)::INT AS to_part, version, freq, round(list_sum(value::DOUBLE[]), 4) AS total FROM emb WHERE part <> key % 5")
@@ -79,9 +80,10 @@ def C10_dense_gather(t: Tables) -> DataFrame:
     return R.dense_gather(_split(t).select("part", "local_row", "value")).select("row_id", F.col("value")[1].alias("price"))
 
 
-@query("SELECT c_custkey, ((c_custkey % 4) * 250 + c_custkey // 4)::BIGINT AS row_no FROM customer")
+@query("WITH n AS (SELECT max(c_custkey) // 4 + 1 AS n FROM customer) SELECT c_custkey, ((c_custkey % 4) * n + c_custkey // 4)::BIGINT AS row_no FROM customer, n")
 def C11_dense_mod_layout(t: Tables) -> DataFrame:
-    return t.customer.select("c_custkey", R.dense_mod_layout(F.col("c_custkey"), 1000, 4).alias("row_no"))
+    num_rows = ((t.customer.agg(F.max("c_custkey")).first()[0] or 0) // 4 + 1) * 4  # room for the largest id
+    return t.customer.select("c_custkey", R.dense_mod_layout(F.col("c_custkey"), num_rows, 4).alias("row_no"))
 
 
 def _bags(t: Tables) -> DataFrame:
@@ -179,13 +181,16 @@ def C21_combine_gradients(t: Tables) -> DataFrame:
     return X.cells(gradients.combine_gradients(_grads(t), 3), "key", value="grad", digits=5)
 
 
-@query(f"""WITH {_GRADS}, e AS (SELECT vec_id AS key, unnest(range(3))::INT AS dim, unnest(embedding[1:3])::DOUBLE AS x FROM embeddings),
-s AS (SELECT key, dim, x, 0.1::DOUBLE + CASE WHEN key % 2 = 0 AND g IS NOT NULL THEN g * g ELSE 0 END AS acc, CASE WHEN key % 2 = 0 THEN g END AS g FROM e LEFT JOIN g USING (key, dim))
+@query(f"""WITH {_GRADS}, e AS (SELECT vec_id AS key, unnest(range(64))::INT AS dim, unnest(embedding)::DOUBLE AS x FROM embeddings),
+w AS (SELECT key, d AS dim, g * ((d + 1) / 64::DOUBLE) AS g FROM g JOIN (SELECT unnest(range(64)) AS d) ON d % 3 = dim),
+s AS (SELECT key, dim, x, 0.1::DOUBLE + coalesce(g * g, 0) AS acc, g FROM e LEFT JOIN w USING (key, dim))
 SELECT key, dim, round(CASE WHEN g IS NULL THEN x ELSE x - 0.1::DOUBLE * g / sqrt(acc) END + {X.NUDGE}::DOUBLE, 5) + 0::DOUBLE AS v FROM s""")
 def C22_apply_adagrad(t: Tables) -> DataFrame:
-    table = X.embedding(t).select("key", F.slice("value", 1, 3).alias("value"))
-    slot = table.select("key", F.array_repeat(F.lit(0.1), 3).alias("acc"))
-    grads = gradients.combine_gradients(_grads(t), 3).where("key % 2 = 0")
+    """Gradients as wide as the table, for the keys that have one; keys without keep their vectors."""
+    table = X.embedding(t).select("key", "value")
+    slot = table.select("key", F.array_repeat(F.lit(0.1), X.DIM).alias("acc"))
+    wide = F.transform(F.sequence(F.lit(0), F.lit(X.DIM - 1)), lambda i: F.get("grad", i % 3) * ((i + 1) / F.lit(float(X.DIM))))
+    grads = gradients.combine_gradients(_grads(t), 3).withColumn("grad", wide)
     return X.cells(gradients.apply_adagrad(table, slot, grads, 0.1), "key", digits=5)
 
 

@@ -78,7 +78,7 @@ def _report_files(t: Tables) -> str:
     path = t.scratch("reports")
     rows = X.reports(t).drop("event_id")
     late = rows.agg(F.max("ts").alias("ts")).select((F.col("ts") + F.expr("interval 1 day")).alias("ts"), F.lit("job_ps").alias("task_name"), F.lit(0).alias("task_index"), F.lit("{}").alias("options"))
-    body = F.lit('{"MetricType": ["gazer/mem/none"], "MetricValue": [0.0]}')
+    body = F.lit('{"MetricType": ["sys/mem/none"], "MetricValue": [0.0]}')
     rows.unionByName(late.withColumn("options", body)).repartitionByRange(4, "ts").sortWithinPartitions("ts").write.json(path)
     return path
 
@@ -103,7 +103,7 @@ def A9_read_metric_stream(t: Tables) -> DataFrame:
     out = t.scratch("metrics")
     valid, _ = metrics.reject_duplicate_tags(readers.read_metric_stream(t.spark, _report_files(t)))
     writers.write_snapshots(metrics.explode_metrics(valid), out, t.scratch("stream-state")).awaitTermination()
-    found = t.spark.read.parquet(out).where("type <> 'gazer/mem/none'")
+    found = t.spark.read.parquet(out).where("type <> 'sys/mem/none'")
     return found.groupBy("task", "type").agg(F.count("*").alias("n"), F.round(F.max("value"), 4).alias("most"))
 
 

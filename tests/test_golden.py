@@ -228,7 +228,7 @@ def test_first_cpu_sample_is_zero(spark):
 
 
 def test_tags_of_other_length_are_null(spark):
-    df = spark.createDataFrame([("gazer/mem/job_ps/replica_0/task_0/device_CPU_0",), ("a/b/c/d/e",)], "t string")
+    df = spark.createDataFrame([("sys/mem/job_ps/replica_0/task_0/device_CPU_0",), ("a/b/c/d/e",)], "t string")
     found = [r["x"] for r in df.select(metrics.parse_metric_tag(F.col("t")).alias("x")).collect()]
     assert found[0]["job"] == "job_ps" and found[1] is None
 
@@ -293,3 +293,48 @@ def test_tasks(spark):
     before = spark.createDataFrame([("a", 1), ("b", 1), ("c", 1)], "task string, uid long")
     after = spark.createDataFrame([("a", 1), ("b", 2), ("d", 1)], "task string, uid long")
     assert rows(scaling.task_changes(before, after)) == [("a", "running"), ("b", "replaced"), ("c", "deleted"), ("d", "added")]
+
+
+def test_globs_never_fail(spark):
+    import fnmatch
+
+    globs = ["[abc", "[", "[]", "[]a]", "[!]", "[!]a]", "[z-a]", "[!z-a]", "[a-", "a[b-]c", "[*]", "[?]x", "[a^b]", "[^a]", "[a\\]", "a\\*", "[[]", "[a&&b]", "x{2}", "a|b", "", "*\n*", "[a-cx-z]?"]
+    texts = ["[abc", "[", "[]", "]", "a", "b", "c", "z", "abc", "ab-c", "a-c", "*", "?x", "^", "\\", "a\\b", "&", "x{2}", "a|b", "", "l\nm", "yy", "[!]", "[a-"]
+    pairs = spark.createDataFrame([(g, t, fnmatch.fnmatchcase(t, g)) for g in globs for t in texts], "g string, s string, yes boolean")
+    found = pairs.where(F.regexp_like(F.col("s"), scalars.glob_to_regex(F.col("g"))) != F.col("yes")).collect()
+    assert not found
+
+
+def test_local_time_has_the_offset_of_its_day(spark):
+    times = ["2024-01-15 23:30:00", "2024-07-15 23:30:00", "2024-03-31 01:00:00"]
+    df = spark.createDataFrame([(t,) for t in times], "t string").select(F.col("t").cast("timestamp").alias("t"))
+    at = lambda zone: [r[0] for r in df.select(scalars.utc_to_local(F.col("t"), zone)).collect()]
+    assert at("Europe/Berlin") == ["2024-01-16T00:30:00+01:00", "2024-07-16T01:30:00+02:00", "2024-03-31T03:00:00+02:00"]
+    assert at("America/St_Johns")[0] == "2024-01-15T20:00:00-03:30" and at("Asia/Shanghai")[0] == "2024-01-16T07:30:00+08:00"
+
+
+def test_layout_needs_parts_of_one_length(spark):
+    with pytest.raises(ValueError, match="one length"):
+        reshard.dense_mod_layout(F.col("id"), 10, 4)
+
+
+def test_label_stands_apart(spark):
+    df = spark.createDataFrame([(1, 2.0, "x")], "y int, a double, b string")
+    found = features.split_label(df, "y")
+    assert found.columns == ["label", "features"] and found.select("label", "features.*").first().asDict() == {"label": 1, "a": 2.0, "b": "x"}
+
+
+def test_many_subscriptions_join(spark, monkeypatch):
+    data = spark.createDataFrame([("sys/mem/a", 1.0), ("sys/cpu/a", 2.0), ("other", 3.0)], "type string, value double")
+    subs = spark.createDataFrame([("u", "sys/*"), ("u", "*mem*"), ("v", "*"), ("w", "none")], "subscriber string, pattern string")
+    listed = rows(metrics.subscribe(data, subs).select("subscriber", "type", "value"))
+    monkeypatch.setattr(metrics, "MOST_PATTERNS", 2)
+    assert listed == rows(metrics.subscribe(data, subs).select("subscriber", "type", "value")) and len(listed) == 5
+    monkeypatch.undo()
+    assert metrics.subscribe(data, subs.where("false")).count() == 0
+
+
+def test_task_actions_in_order(spark):
+    reports = spark.createDataFrame([("ps", 0, s, f"o{s}") for s in (86_400 * 3, 5, 90_000, 7)], "task_name string, task_index int, s long, options string").withColumn("ts", F.timestamp_seconds("s"))
+    asked = spark.createDataFrame([("ps#0",), ("ps#1",)], "task string")
+    assert rows(metrics.task_actions(reports, asked).select("task", "status", "seq", "options")) == [("ps#0", "OK", 0, "o5"), ("ps#0", "OK", 1, "o7"), ("ps#0", "OK", 2, "o90000"), ("ps#0", "OK", 3, "o259200"), ("ps#1", "NOT_FOUND", None, None)]
