@@ -1,23 +1,28 @@
 """License scan with a positional rare-token index, with DataFrame operations only.
 
-Texts are lower-cased (A-Z) and cut into words; the index holds, for each template, its
-words with their offsets.  A word's document frequency over all texts says how rare it is.
-Each file is looked up by the rarest words of the templates (its anchors): every place of
-an anchor, less the anchor's offset, proposes a start; where all anchors of a template
-agree on a start, its words are compared in full (mandatory key phrases).  Base templates
-are exact phrases.  Templates of the method's own are recognised by anchors in the same
-way and confirmed by a key phrase that must occur in the text.
-
-The table of templates is fixed by this module, so its lookups are literals in the plan;
-only texts with an anchor are unfolded into places, one row each.
-
-Nulls: a null text is empty; rows that repeat a doc_id are one row each; empty tables give
-empty results; other columns are not looked at.
+Texts are lower-cased (A-Z) and cut into words.  The index holds postings (word, template,
+offsets): for each template its words that are rare over all documents (in a ``RARE``th of them
+at most, or among the template's ``KEPT`` rarest).  Each file's licence words are looked up there by a
+join; of each template a file goes on with its ``TOP`` words of highest IDF, rarest first.
+Every place of such a word, less its offset in the template, proposes a start; the starts
+on which two of the words agree are what is left after intersecting the postings, and there
+the template's mandatory key phrases must stand, at their offsets: exactly for base templates,
+whose key is the whole phrase, and within ``SLACK`` words for the others, which may have
+names or changes inside.  Templates are data: more of them make a longer index, not a longer plan.
+
+A file's words are kept for the second step only if two of them are licence words other than
+``COMMON``; each base phrase has two such words.
+
+Nulls: a null text is empty.  Ties between words of one frequency go to the smaller word; a
+template that stands in a text several times has several places.  A very long text is one
+row, and the work on it grows with its length.  Rows that repeat a doc_id are one row each; empty
+tables give empty results; other columns are not looked at.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import re
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,36 +30,90 @@ from pyspark.sql import functions as F
 from .common import ascii_lower, table, text_of, written
 
 SPLIT = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-ANCHORS = 2
+TOP, SLACK, KEPT, RARE = 4, 16, 8, 20
+COMMON = {*"a above all and any are as at be by can for from if in is it may not of on one or other out that the this to under was will with you".split()}
+
+
+def cut(text: str) -> list[str]:
+    return [w for w in re.split(SPLIT, text.lower()) if w]
 
 
 @dataclass(frozen=True)
 class Template:
     label: str
-    phrase: str  # words, blank-separated
-    key: str = ""  # a phrase that must occur too; empty: none
+    text: str
+    keys: tuple[tuple[str, int | None], ...] = field(default=())  # phrases that must stand there, and offsets of those that the text doesn't have
     base: bool = False
 
     @property
     def words(self) -> list[str]:
-        return self.phrase.split()
+        return cut(self.text)
+
+    def phrases(self) -> list[tuple[int, list[str]]]:
+        """(offset, words) of the mandatory phrases; without any the whole text is one."""
+        words, found = self.words, []
+        for key, offset in self.keys:
+            k = cut(key)
+            found.append((offset if offset is not None else next(i for i in range(len(words)) if words[i : i + len(k)] == k), k))
+        return found or [(0, words)]
 
 
-#: Phrases and labels.
+#: Phrases, texts and labels.
 TEMPLATES = (
     Template("mit", "under the mit license", base=True),
     Template("apache-2", "apache license version 2", base=True),
     Template("cc-by-nc", "cc by nc", base=True),
-    Template("mit", "permission is hereby granted free of charge to any person obtaining a copy", "without restriction"),
-    Template("bsd", "redistribution and use in source and binary forms", "with or without modification"),
-    Template("gpl", "gnu general public license", "free software"),
-    Template("lgpl", "gnu lesser general public license", "free software"),
-    Template("mpl-2", "mozilla public license v 2 0", "source code form"),
-    Template("spdx", "spdx license identifier"),
+    Template(
+        "mit",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, "
+        "including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished "
+        "to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+        (("permission is hereby granted free of charge", None), ("without restriction", None)),
+    ),
+    Template(
+        "isc",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice "
+        "appear in all copies.",
+        (("with or without fee is hereby granted", None),),
+    ),
+    Template(
+        "bsd",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the "
+        "above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the "
+        "following disclaimer in the documentation and/or other materials provided with the distribution.",
+        (("redistribution and use in source and binary forms", None), ("with or without modification", None)),
+    ),
+    Template(
+        "zlib",
+        "This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is "
+        "granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely",
+        (("authors be held liable", None), ("alter it and redistribute it freely", None)),
+    ),
+    Template(
+        "gpl",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of "
+        "the License, or (at your option) any later version.",
+        (("free software", None), ("gnu general public license", None)),
+    ),
+    Template(
+        "lgpl",
+        "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 "
+        "of the License, or (at your option) any later version.",
+        (("free software", None), ("gnu lesser general public license", None)),
+    ),
+    Template("gpl", "licensed under the gnu general public license"),
+    Template("lgpl", "licensed under the gnu lesser general public license"),
+    Template("mpl-2", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", (("source code form", None), ("mozilla public license v 2 0", None))),
+    Template("unlicense", "This is free and unencumbered software released into the public domain."),
     Template("cc-by-sa", "cc by sa"),
-    Template("all-rights-reserved", "all rights reserved", "copyright"),
-)
-VOCABULARY = sorted({w for t in TEMPLATES for w in (*t.words, *t.key.split())})
+    Template("all-rights-reserved", "all rights reserved", (("all rights reserved", None), ("copyright", -SLACK // 2))),
+    *(
+        Template(label, f"spdx license identifier {name}")
+        for label, name in (("apache-2", "apache 2 0"), ("bsd", "bsd 2 clause"), ("bsd", "bsd 3 clause"), ("gpl", "gpl 2 0"), ("gpl", "gpl 3 0"), ("isc", "isc"), ("lgpl", "lgpl 2 1"), ("lgpl", "lgpl 3 0"), ("mit", "mit"), ("mpl-2", "mpl 2 0"), ("unlicense", "unlicense"), ("zlib", "zlib"))
+    ),
+)
+VOCABULARY = sorted({w for t in TEMPLATES for w in t.words})
+CONTENT = [w for w in VOCABULARY if w not in COMMON]
 
 
 def word_array() -> Column:
@@ -62,67 +121,92 @@ def word_array() -> Column:
     return F.filter(F.split(ascii_lower(text_of()), SPLIT), lambda w: w != "")
 
 
-def has_all(words: list[str]) -> Column:
-    wanted = F.array(*(F.lit(w) for w in dict.fromkeys(words)))
-    return F.size(F.array_except(wanted, F.col("known"))) == 0
-
-
 def parsed(docs: DataFrame) -> DataFrame:
-    """doc_id, n_words, known (the vocabulary words in the text) and, where all words of a template occur, text."""
+    """file_id, doc_id, n_words, known (the licence words in the text) and, where they may make up a template, text."""
     found = docs.select("doc_id", text_of().alias("text"), word_array().alias("words"))
     known = F.array_distinct(F.filter("words", lambda w: w.isin(VOCABULARY)))
     found = found.select("doc_id", "text", F.size("words").cast("long").alias("n_words"), known.alias("known"))
-    possible = F.lit(False)
-    for t in TEMPLATES:
-        possible = possible | has_all(t.words)
-    return found.select("doc_id", "n_words", "known", F.when(possible, F.col("text")).alias("text"))
+    content = F.size(F.filter("known", lambda w: w.isin(CONTENT)))
+    return found.select(F.monotonically_increasing_id().alias("file_id"), "doc_id", "n_words", "known", F.when(content > 1, F.col("text")).alias("text"))
+
+
+def rarity(files: DataFrame) -> tuple[int, dict[str, int]]:
+    """The number of texts, and those that have each licence word; at most a row per licence word comes to the driver."""
+    found = files.select(F.explode("known").alias("w")).groupBy("w").count().collect()
+    return files.count(), {r[0]: r[1] for r in found}
+
+
+def index(spark: SparkSession, n: int, df: dict[str, int]) -> DataFrame:
+    """word, posting (template, df, word, offsets), of: the indexed words of the template; a few rows per template."""
+    rows = []
+    for t, template in enumerate(TEMPLATES):
+        places: dict[str, list[int]] = {}
+        for i, w in enumerate(template.words):
+            places.setdefault(w, []).append(i)
+        order = sorted(set(places) & set(df), key=lambda w: (df[w], w))  # a word in no text finds none
+        rare = [w for i, w in enumerate(order) if i < KEPT or df[w] * RARE <= n]
+        rows += [(w, (t, df[w], w, places[w]), len(rare)) for w in rare]
+    return spark.createDataFrame(rows, "word string, posting struct<template:int,df:long,word:string,offsets:array<int>>, of int")
+
+
+def looked_up(files: DataFrame, postings: DataFrame) -> DataFrame:
+    """A row per file with indexed words: file_id, found (array of postings), share (the largest part of a template's indexed words)."""
+    hits = files.select("file_id", F.explode("known").alias("word")).join(F.broadcast(postings), "word")  # fixed by the templates
+    by_template = hits.groupBy("file_id", F.col("posting.template").alias("template")).agg(F.sort_array(F.collect_list("posting")).alias("postings"), (F.count("*") / F.first("of")).alias("share"))
+    anchors = F.struct("template", F.slice("postings", 1, TOP).alias("anchors"))
+    return by_template.groupBy("file_id").agg(F.max("share").alias("share"), F.collect_list(F.when(F.size("postings") > 1, anchors)).alias("found"))
 
 
-def rarity(known: DataFrame) -> dict[str, int]:
-    """Texts of each vocabulary word, over all documents; at most a row per vocabulary word."""
-    return {r[0]: r[1] for r in known.select(F.explode("known").alias("w")).groupBy("w").count().collect()}
+def _templates() -> Column:
+    def one(t: Template) -> Column:
+        keys = F.array(*(F.struct(F.lit(at).alias("at"), F.array(*map(F.lit, words)).alias("words")) for at, words in t.phrases()))
+        return F.struct(F.lit(t.label).alias("label"), F.lit(t.base).alias("base"), F.lit(0 if t.base else SLACK).alias("slack"), keys.alias("keys"))
 
+    return F.array(*map(one, TEMPLATES))
 
-def anchors_of(template: Template, df: dict[str, int]) -> list[tuple[int, str]]:
-    """(offset, word) of the template's rarest words."""
-    order = sorted(range(len(template.words)), key=lambda i: (df.get(template.words[i], 0), i))
-    return sorted((i, template.words[i]) for i in order[:ANCHORS])
+
+def _agreed(anchors: Column, rare: Column) -> Column:
+    """The starts that two of the anchors propose."""
+
+    def starts(a: Column) -> Column:
+        return F.flatten(F.transform(F.filter(rare, lambda x: x["word"] == a["word"]), lambda x: F.transform(a["offsets"], lambda o: x["place"] - o)))
+
+    proposed = F.transform(anchors, starts)
+    both = F.transform(proposed, lambda s, i: F.flatten(F.transform(F.slice(proposed, i + 2, F.lit(TOP)), lambda other: F.array_intersect(s, other))))
+    return F.array_distinct(F.flatten(both))
+
+
+def _places(template: Column, agreed: Column, words: Column) -> Column:
+    """Where the first key phrase stands, for the starts at which all of them do."""
+
+    def stands(key: Column, start: Column) -> Column:
+        low, high = F.greatest(F.lit(0), start + key["at"] - template["slack"]), F.greatest(F.lit(0), start + key["at"] + template["slack"])
+        return F.filter(F.sequence(low, high), lambda p: F.slice(words, p + 1, F.size(key["words"])) == key["words"])
+
+    sure = F.filter(agreed, lambda s: (~template["base"] | (s >= 0)) & F.forall(template["keys"], lambda k: F.size(stands(k, s)) > 0))
+    first = F.transform(sure, lambda s: F.get(stands(F.get(template["keys"], F.lit(0)), s), F.lit(0)))
+    return F.transform(F.array_distinct(first), lambda p: F.struct(template["label"].alias("label"), p.alias("place"), template["base"].alias("base")))
 
 
 def scan(docs: DataFrame) -> DataFrame:
     """A row per document: doc_id, n_words, places (label, first word, base) of all matches, score.
 
-    The score is 1 with a match, else half the largest share of a template's words that the text has.
+    The score is 1 with a match, else half the largest share of a template's indexed words that the text has.
     """
     files = written(parsed(docs), "licenses")
-    df = rarity(files)
-    anchors = [anchors_of(t, df) for t in TEMPLATES]
-    rare = sorted({w for a in anchors for _, w in a})
-    none = F.expr("cast(array() as array<struct<label:string,place:int,base:boolean>>)")
+    candidates = looked_up(files, index(docs.sparkSession, *rarity(files)))
+    cut = files.join(candidates, "file_id", "left").select("doc_id", "n_words", "share", "found", F.when(F.size("found") > 0, word_array()).alias("words"))
+    anchors = F.flatten(F.transform("found", lambda f: F.transform(f["anchors"], lambda a: a["word"])))
+    rare = F.filter(F.transform("words", lambda w, i: F.struct(w.alias("word"), i.alias("place"))), lambda x: F.array_contains(F.col("anchors"), x["word"]))
+    cut = cut.withColumn("anchors", F.array_distinct(anchors)).withColumn("rare", rare).withColumn("templates", _templates())
 
-    def starts(index: Column, offset: int, word: str) -> Column:
-        return F.transform(F.filter(index, lambda x: x["word"] == word), lambda x: x["place"] - offset)
-
-    def places_of(t: Template, anchor: list[tuple[int, str]], words: Column, index: Column, joined: Column) -> Column:
-        agreed = starts(index, *anchor[0])
-        for other in anchor[1:]:
-            agreed = F.array_intersect(agreed, starts(index, *other))
-        phrase = F.array(*map(F.lit, t.words))
-        sure = F.filter(agreed, lambda at: (at >= 0) & (F.slice(words, at + 1, F.lit(len(t.words))) == phrase))
-        if t.key:
-            sure = F.filter(sure, lambda at: F.contains(joined, F.lit(f" {t.key} ")))
-        return F.transform(sure, lambda at: F.struct(F.lit(t.label).alias("label"), at.alias("place"), F.lit(t.base).alias("base")))
-
-    def matches(words: Column, index: Column, joined: Column) -> Column:
-        return F.concat(*(places_of(t, anchor, words, index, joined) for t, anchor in zip(TEMPLATES, anchors, strict=True)))
-
-    cut = files.select("doc_id", "n_words", "known", F.when(F.col("text").isNotNull(), word_array()).alias("words"))
-    index = F.filter(F.transform("words", lambda w, i: F.struct(w.alias("word"), i.alias("place"))), lambda x: x["word"].isin(rare))
-    cut = cut.select("*", index.alias("index"), F.concat(F.lit(" "), F.array_join("words", " "), F.lit(" ")).alias("joined"))
-    places = F.when(F.size("index") > 0, matches(F.col("words"), F.col("index"), F.col("joined"))).otherwise(none)
-    share = F.greatest(*((F.size(F.array_intersect("known", F.array(*map(F.lit, t.words)))) / len(set(t.words))) for t in TEMPLATES))
-    placed = cut.select("doc_id", "n_words", F.coalesce(places, none).alias("places"), share.alias("share"))
-    return placed.select("doc_id", "n_words", "places", F.when(F.size("places") > 0, F.lit(1.0)).otherwise(F.col("share") / 2).alias("score"))
+    def matches(f: Column) -> Column:
+        return _places(F.get("templates", f["template"]), _agreed(f["anchors"], F.col("rare")), F.col("words"))
+
+    none = F.expr("cast(array() as array<struct<label:string,place:int,base:boolean>>)")
+    places = F.when(F.size("rare") > 1, F.flatten(F.transform("found", matches))).otherwise(none)
+    placed = cut.select("doc_id", "n_words", F.coalesce(places, none).alias("places"), "share")
+    return placed.select("doc_id", "n_words", "places", F.when(F.size("places") > 0, F.lit(1.0)).otherwise(F.coalesce("share", F.lit(0.0)) / 2).alias("score"))
 
 
 def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
