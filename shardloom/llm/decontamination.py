@@ -6,26 +6,29 @@ the shift table says how far the window may jump at a block, blocks that end a p
 select a bucket of patterns by suffix hash, and the bytes of the words are compared to
 confirm.  Texts are cut into lanes that all jump at once, so the search is vectorised.
 
-The patterns are sent to the executors in blocks of at most ``block_bytes`` of benchmark
-text; a larger benchmark is searched block after block, with the hits so far carried along
-in a written table.  Nothing is left out and each block's memory is bounded.
+The search tables are compiled once, on the driver, from at most ``block_bytes`` of benchmark
+text, and broadcast as arrays.  A larger benchmark is searched block after block: a pass
+over the texts for each, of which only digests of texts with hits and their hits are written
+and joined to the documents at the end.  Nothing is left out and each block's memory is bounded
+(but an item of more bytes than a block is not cut).
 
 Nulls: a null text has no words; a null item_id counts as the text "null".  Items without
-words give no window.  Rows that repeat a doc_id or item_id are searched like others.
+words give no window.  Rows that repeat a doc_id or item_id are searched like others; an item
+whose windows occur in several places counts once.  Very long texts are steps of their own.
 Empty tables give empty results or no hits.  Other columns are not looked at.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
-from collections.abc import Callable
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import filtered, mapped, table, text_of, written
+from .common import BROADCAST_ROWS, ascii_lower, filtered, mapped, table, text_of, written
 from .words import ALNUM, Words, pair, words_of
 
 WIDTH, BLOCK_BYTES, LANE = 10, 8 << 20, 256
@@ -33,19 +36,50 @@ SHIFT_BITS = 18
 _FOLD = bytes(b if b else 32 for b in ALNUM)
 
 
+class Benchmark:
+    """The words of a block of items: hashes, and their folded bytes with single blanks between."""
+
+    def __init__(self, items: list[tuple[str, str]]):
+        w = words_of(pa.array([text for _, text in items], pa.large_string()), ALNUM)
+        self.names = [item for item, _ in items]
+        self.key, self.row, self.counts = w.key, w.row, w.counts()
+        length = w.end - w.start
+        self.start = np.cumsum(length + 1) - (length + 1)
+        self.end = self.start + length
+        joined = np.full(int(self.end[-1]) if len(length) else 0, 32, np.uint8)
+        inside = np.arange(int(length.sum())) - np.repeat(np.cumsum(length) - length, length)
+        joined[np.repeat(self.start, length) + inside] = ALNUM[w.raw[np.repeat(w.start, length) + inside]]
+        self.data = joined.tobytes()
+
+    def window(self, first: int, length: int) -> bytes:
+        return self.data[self.start[first] : self.end[first + length - 1]]
+
+
 class Patterns:
-    """The search tables for one pattern length (in words)."""
-
-    def __init__(self, keys: np.ndarray, texts: list[bytes], items: list[list[str]]):
-        self.keys, self.texts, self.items = keys, texts, items
-        n, self.length = keys.shape
-        self.block = min(2, self.length)
-        most = self.length - self.block + 1
-        self.shift = np.full(1 << SHIFT_BITS, most, np.int32)
-        for end in range(self.block, self.length + 1):  # the rightmost place counts
-            slot = self.slot(self.block_key(keys.T[end - self.block : end]))
-            np.minimum.at(self.shift, slot, self.length - end)
-        suffix = self.block_key(keys.T[self.length - self.block :])
+    """The search tables of the windows of one length (in words) that begin at the words ``first`` of a benchmark."""
+
+    def __init__(self, bench: Benchmark, first: np.ndarray, length: int):
+        self.bench, self.length = bench, length
+        self.block = min(2, length)
+        words = [bench.key[first + i] for i in range(length)]
+        whole = words[0]
+        for x in words[1:]:
+            whole = pair(whole, x)
+        order = np.lexsort((bench.row[first], whole))
+        first, whole, row = first[order], whole[order], bench.row[first][order]
+        new = np.append(True, whole[1:] != whole[:-1])
+        head = first[np.maximum.accumulate(np.where(new, np.arange(len(first)), 0))]
+        for i in np.flatnonzero(~new).tolist():  # equal hashes of unlike windows part them
+            new[i] = bench.window(int(first[i]), length) != bench.window(int(head[i]), length)
+        pattern = np.cumsum(new) - 1
+        self.first = first[new]
+        owned = np.append(True, (pattern[1:] != pattern[:-1]) | (row[1:] != row[:-1]))
+        self.owner, self.owner_at = row[owned], np.searchsorted(pattern[owned], np.arange(len(self.first) + 1))
+        words = [bench.key[self.first + i] for i in range(length)]
+        self.shift = np.full(1 << SHIFT_BITS, length - self.block + 1, np.int32)
+        for end in range(self.block, length + 1):  # the rightmost place counts
+            np.minimum.at(self.shift, self.slot(self.block_key(words[end - self.block : end])), length - end)
+        suffix = self.block_key(words[length - self.block :])
         self.order = np.argsort(suffix, kind="stable")
         self.suffix = suffix[self.order]
 
@@ -57,6 +91,10 @@ class Patterns:
     def block_key(words) -> np.ndarray:
         return pair(words[0], words[1]) if len(words) == 2 else words[0]
 
+    def owners(self, pattern: int) -> list[str]:
+        """The items that have the window."""
+        return [self.bench.names[i] for i in self.owner[self.owner_at[pattern] : self.owner_at[pattern + 1]].tolist()]
+
     def places(self, w: Words) -> tuple[np.ndarray, np.ndarray]:
         """(last word of a window, pattern) of every occurrence."""
         none = np.zeros(0, np.int64)
@@ -88,11 +126,11 @@ class Patterns:
         pattern = self.order[slot]
         same = np.ones(len(ends), bool)
         for i in range(self.length):
-            same &= w.key[ends - self.length + 1 + i] == self.keys[pattern, i]
+            same &= w.key[ends - self.length + 1 + i] == self.bench.key[self.first[pattern] + i]
         ends, pattern = ends[same], pattern[same]
         data = w.raw.tobytes() if len(ends) else b""
         sure = [
-            b" ".join(data[w.start[e - self.length + 1] : w.end[e]].translate(_FOLD).split()) == self.texts[p]
+            b" ".join(data[w.start[e - self.length + 1] : w.end[e]].translate(_FOLD).split()) == self.bench.window(int(self.first[p]), self.length)
             for e, p in zip(ends.tolist(), pattern.tolist(), strict=True)
         ]
         return ends[sure], pattern[sure]
@@ -100,20 +138,13 @@ class Patterns:
 
 def compile_patterns(items: list[tuple[str, str]], width: int = WIDTH) -> list[Patterns]:
     """Search tables of the windows of (item_id, text), one per pattern length."""
-    owners: dict[tuple[bytes, ...], list[str]] = defaultdict(list)
-    for item, text in items:
-        words = text.encode().translate(_FOLD).split()
-        for i in range(max(len(words) - width + 1, bool(words))):
-            window = tuple(words[i : i + width])
-            if item not in owners[window]:
-                owners[window].append(item)
-    found = []
-    for length in sorted({len(x) for x in owners}):
-        windows = [x for x in owners if len(x) == length]
-        texts = [b" ".join(x) for x in windows]
-        keys = words_of(pa.array([x.decode() for x in texts], pa.large_string()), ALNUM).key.reshape(-1, length)
-        found.append(Patterns(keys, texts, [owners[x] for x in windows]))
-    return found
+    bench = Benchmark(items)
+    lengths = np.minimum(bench.counts, width)
+    windows = np.where(lengths > 0, bench.counts - lengths + 1, 0)
+    begin = np.repeat(np.cumsum(bench.counts) - bench.counts, windows)
+    first = begin + np.arange(len(begin)) - np.repeat(np.cumsum(windows) - windows, windows)
+    of = np.repeat(lengths, windows)
+    return [Patterns(bench, first[of == n], n) for n in np.unique(of).tolist()]
 
 
 def search(texts: pa.Array, tables: list[Patterns]) -> tuple[Words, list[list[tuple[int, int]]], list[set[str]]]:
@@ -127,7 +158,7 @@ def search(texts: pa.Array, tables: list[Patterns]) -> tuple[Words, list[list[tu
         for end, p in sorted(zip(ends.tolist(), pattern.tolist(), strict=True)):
             row = int(w.row[end])
             first, stop = end - t.length + 1 - int(begin[row]), end + 1 - int(begin[row])
-            items[row].update(t.items[p])
+            items[row].update(t.owners(p))
             if spans[row] and spans[row][-1][0] <= first <= spans[row][-1][1]:
                 spans[row][-1] = (spans[row][-1][0], max(stop, spans[row][-1][1]))
             else:
@@ -145,66 +176,88 @@ def united(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def pattern_blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> list:
-    """The benchmark as broadcast lists of (item_id, text), each of about ``block_bytes``."""
-    bench = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item"), text_of().alias("text"))
+def pattern_blocks(benchmark: DataFrame, width: int, block_bytes: int) -> Iterator[tuple[Broadcast, bool]]:
+    """The search tables of about ``block_bytes`` of benchmark at a time, broadcast, and whether the block is the only one.
+
+    Items that repeat id and text count once.  A block leaves the driver and the executors before the next one comes.
+    """
+    bench = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item"), text_of().alias("text")).distinct()
     size = bench.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = int(size // block_bytes) + 1
-    parts = (bench.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k) if blocks > 1 else bench for k in range(blocks))
-    return [benchmark.sparkSession.sparkContext.broadcast([(r["item"], r["text"]) for r in part.collect()]) for part in parts]
+    for k in range(blocks):
+        part = bench.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k) if blocks > 1 else bench
+        tables = compile_patterns(sorted((r["item"], r["text"]) for r in part.collect()), width)
+        shared = benchmark.sparkSession.sparkContext.broadcast(tables)
+        yield shared, blocks == 1
+        if blocks > 1:
+            shared.destroy()
 
 
-class Searcher:
-    """Compiles a block once per task."""
+SPANS = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
 
-    def __init__(self, shared, width: int):  # noqa: ANN001
-        self.shared, self.width, self.tables = shared, width, None
 
-    def __call__(self, texts: pa.Array) -> tuple[Words, list[list[tuple[int, int]]], list[set[str]]]:
-        if self.tables is None:
-            self.tables = compile_patterns(self.shared.value, self.width)
-        return search(texts, self.tables)
+def _searched(source: DataFrame, key: str, shared: Broadcast) -> DataFrame:
+    """key, n_words, spans, items (sorted) of the rows (key, text)."""
 
+    def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
+        w, spans, items = search(batch.column("text"), shared.value)
+        rows = [[{"a": a, "b": b} for a, b in united(x)] for x in spans]
+        columns = [batch.column(key), pa.array(w.counts(), pa.int64()), pa.array(rows, SPANS), pa.array([sorted(x) for x in items], pa.list_(pa.string()))]
+        return pa.RecordBatch.from_arrays(columns, names=[key, "n_words", "spans", "items"])
 
-def find_passages(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """A row per document: doc_id, n_words, spans (array of first and end word), items (sorted)."""
-    schema = "doc_id long, text string, n_words long, spans array<struct<a:long,b:long>>, items array<string>"
-    none = F.expr("cast(array() as array<struct<a:long,b:long>>)"), F.expr("cast(array() as array<string>)")
-    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"), F.lit(0).cast("long").alias("n_words"), none[0].alias("spans"), none[1].alias("items"))
-    kind = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
+    return mapped(source, fn, f"{key} {source.schema[key].dataType.simpleString()}, n_words long, spans array<struct<a:long,b:long>>, items array<string>")
 
-    def step(searcher: Searcher, final: bool) -> Callable[[pa.RecordBatch], pa.RecordBatch]:
-        def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
-            w, spans, items = searcher(batch.column("text"))
-            old_spans, old_items = batch.column("spans").to_pylist(), batch.column("items").to_pylist()
-            spans = [[{"a": a, "b": b} for a, b in united([*x, *((y["a"], y["b"]) for y in o)])] for x, o in zip(spans, old_spans, strict=True)]
-            items = [sorted({*x, *o}) for x, o in zip(items, old_items, strict=True)]
-            text = pa.nulls(batch.num_rows, pa.string()) if final else batch.column("text")
-            columns = [batch.column("doc_id"), text, pa.array(w.counts(), pa.int64()), pa.array(spans, kind), pa.array(items, pa.list_(pa.string()))]
-            return pa.RecordBatch.from_arrays(columns, names=["doc_id", "text", "n_words", "spans", "items"])
 
-        return fn
+def _digest() -> Column:
+    return F.sha2(text_of(), 256)
 
-    blocks = pattern_blocks(benchmark, block_bytes)
-    for k, shared in enumerate(blocks):
-        final = k == len(blocks) - 1
-        found = mapped(found, step(Searcher(shared, width), final), schema)
-        found = found if final else written(found, "passages")
-    return found.drop("text")
 
+def _hits(docs: DataFrame, shared: Broadcast) -> DataFrame:
+    """A row per distinct text with hits: digest, spans, items."""
+    found = _searched(docs.select(_digest().alias("digest"), text_of().alias("text")), "digest", shared).where(F.size("items") > 0)
+    return found.groupBy("digest").agg(F.first("spans").alias("spans"), F.first("items").alias("items"))
 
-def clean(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The documents in which no window occurs, with their own columns; no shuffle, a pass per block."""
-    blocks = pattern_blocks(benchmark, block_bytes)
-    for k, shared in enumerate(blocks):
-        searcher = Searcher(shared, width)
 
-        def keep(texts: pa.Array, searcher: Searcher = searcher) -> np.ndarray:
-            return np.array([not s for s in searcher(texts)[1]], bool)
+def _merged(hits: DataFrame) -> DataFrame:
+    """One row per digest of the blocks' hits."""
 
-        docs = filtered(docs, keep)
-        docs = docs if k == len(blocks) - 1 else written(docs, "clean")
-    return docs
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            spans = [[{"a": a, "b": b} for a, b in united([(x["a"], x["b"]) for x in row])] for row in batch.column("spans").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("digest"), pa.array(spans, SPANS), batch.column("items")], names=["digest", "spans", "items"])
+
+    found = hits.groupBy("digest").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    return found.mapInArrow(run, "digest string, spans array<struct<a:long,b:long>>, items array<string>")
+
+
+def find_passages(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """A row per document: doc_id, n_words, spans (array of first and end word), items (sorted)."""
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
+    hits = None
+    for shared, only in pattern_blocks(benchmark, width, block_bytes):
+        if only:
+            return _searched(ids, "doc_id", shared)
+        found = written(_hits(docs, shared), "passages")
+        hits = found if hits is None else hits.unionByName(found)
+    none = F.expr("cast(array() as array<struct<a:long,b:long>>)"), F.expr("cast(array() as array<string>)")
+    n_words = F.regexp_count(ascii_lower(F.col("text")), F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")).cast("long")
+    keyed = ids.select("doc_id", n_words.alias("n_words"), _digest().alias("digest"))
+    joined = keyed.join(_merged(hits).hint("merge"), "digest", "left")
+    return joined.select("doc_id", "n_words", F.coalesce("spans", none[0]).alias("spans"), F.coalesce("items", none[1]).alias("items"))
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The documents in which no window occurs, with their own columns; with one block of benchmark no shuffle."""
+    hits = None
+    for shared, only in pattern_blocks(benchmark, width, block_bytes):
+        if only:
+            return filtered(docs, lambda texts, shared=shared: np.array([not s for s in search(texts, shared.value)[1]], bool))
+        found = written(_hits(docs, shared).select("digest"), "passages")
+        hits = found if hits is None else hits.union(found)
+    hits = written(hits.distinct(), "passages")
+    right = F.broadcast(hits) if hits.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else hits.hint("merge")
+    packed = docs.select(F.struct("*").alias("row"), _digest().alias("own_digest"))
+    return packed.join(right, F.col("own_digest") == F.col("digest"), "left_anti").select("row.*")
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
