@@ -10,13 +10,14 @@ first), so that any document can be unpacked without the rest, by numpy.
 
 Encoding: byte-level BPE never joins what stands before a run of blanks with what follows,
 so texts are cut there and each distinct piece is encoded by the tokenizers library once
-per worker; the table of pieces (by 64-bit hashes) is bounded and emptied when it is full.  A piece is cut by
+per worker; the table of pieces (by 64-bit hashes, compared byte by byte) is bounded and emptied when it is full.  A piece is cut by
 the vocabulary's published pattern and its parts go straight to the library's BPE model,
 which is less than half the work of an encoding with offsets.  A text with blanks beyond
 ASCII or with the content of an added token (``<|endoftext|>``, which becomes that token) is
 encoded as a whole.
 
-Nulls: a null text is empty and has only the end id; null doc_ids come first.  Rows that
+Nulls: a null text is empty and has only the end id; null doc_ids come first.  A very long
+text is encoded as one and makes a block of its own length.  Rows that
 repeat a doc_id stand side by side, in the order of their texts.  Empty tables give empty
 files.  Other columns are not looked at.
 """
@@ -73,8 +74,9 @@ class PieceTable:
         self.n = self.used = 0
         self.keys = np.zeros(self.mask + 1, np.uint64)  # 0: free
         self.values = np.zeros(self.mask + 1, np.int32)
-        self.flat = np.zeros(1 << 16, np.uint32)
+        self.flat, self.data = np.zeros(1 << 16, np.uint32), np.zeros(1 << 18, np.uint8)
         self.start, self.length = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int32)
+        self.data_start, self.data_length, self.data_used = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int32), 0
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         """The entry of each key, -1 for none."""
@@ -88,17 +90,30 @@ class PieceTable:
             open_, slot = open_[more], (slot[more] + 1) & self.mask
         return out
 
-    def add(self, keys: np.ndarray, ids: list[list[int]]) -> None:
+    def same(self, at: np.ndarray, raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> bool:
+        """Whether the entries are of the pieces with the bytes ``raw[start:end]``."""
+        length = end - start
+        if (self.data_length[at] != length).any():
+            return False
+        inside = np.arange(int(length.sum())) - np.repeat(np.cumsum(length) - length, length)
+        return bool((self.data[np.repeat(self.data_start[at], length) + inside] == raw[np.repeat(start, length) + inside]).all())
+
+    def add(self, keys: np.ndarray, ids: list[list[int]], pieces: list[bytes]) -> None:
         """New distinct keys."""
+        bytes_ = np.fromiter(map(len, pieces), np.int32, len(pieces))
+        while self.data_used + int(bytes_.sum()) > len(self.data):
+            self.data = np.concatenate([self.data, np.zeros_like(self.data)])
         sizes = np.fromiter(map(len, ids), np.int32, len(ids))
         total, entry = int(sizes.sum()), self.n + np.arange(len(keys))
         while self.used + total > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         while self.n + len(keys) > len(self.start):
-            self.start, self.length = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.length))
+            self.start, self.length, self.data_start, self.data_length = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.length, self.data_start, self.data_length))
         self.flat[self.used : self.used + total] = np.fromiter(chain.from_iterable(ids), np.uint32, total)
         self.start[entry], self.length[entry] = self.used + np.cumsum(sizes) - sizes, sizes
-        self.n, self.used = self.n + len(keys), self.used + total
+        self.data_start[entry], self.data_length[entry] = self.data_used + np.cumsum(bytes_) - bytes_, bytes_
+        self.data[self.data_used : self.data_used + int(bytes_.sum())] = np.frombuffer(b"".join(pieces), np.uint8)
+        self.n, self.used, self.data_used = self.n + len(keys), self.used + total, self.data_used + int(bytes_.sum())
         if 2 * self.n > self.mask:  # a batch of more pieces than the limit
             full = self.keys != 0
             keys, entry = np.concatenate([self.keys[full], keys]), np.concatenate([self.values[full], entry])
@@ -183,9 +198,11 @@ class Encoder:
             else:
                 place = np.flatnonzero(at < 0)[place]
             data = w.raw.tobytes()
-            words = [data[a:b].decode() for a, b in zip(w.start[place].tolist(), w.end[place].tolist(), strict=True)]
-            self.table.add(new, self.parts([x if b else " " + x for x, b in zip(words, bare[place].tolist(), strict=True)]))
+            pieces = [data[a:b] for a, b in zip(w.start[place].tolist(), w.end[place].tolist(), strict=True)]
+            self.table.add(new, self.parts([x.decode() if b else " " + x.decode() for x, b in zip(pieces, bare[place].tolist(), strict=True)]), pieces)
             at = self.table.find(keys)
+        if not self.table.same(at, w.raw, w.start, w.end):  # pieces with one 64-bit key
+            return [np.array(self.whole(x), np.uint32) for x in texts]
         length = self.table.length[at].astype(np.int64)
         size = length + after_line + (mark > 0)
         begin = np.cumsum(size) - size
@@ -229,6 +246,8 @@ def width_of(vocabulary: int) -> int:
 
 
 def pack(ids: np.ndarray, width: int) -> bytes:
+    if len(ids) and int(ids.max()) >> width:
+        raise ValueError(f"the id {int(ids.max())} takes more than {width} bits; give the tokenizer's vocabulary size")
     if width == 16:
         return ids.astype(">u2").tobytes()
     if width % 8 == 0:
@@ -314,6 +333,17 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     return placed.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
+def read_document(spark: SparkSession, path: str, doc_id: int | None) -> list[np.ndarray]:
+    """The ids of the rows with this doc_id; only their bits of their blocks are unpacked."""
+    blocks = spark.read.schema(BLOCK_SCHEMA).parquet(path)
+    place = F.filter(F.transform("doc_ids", lambda d, i: F.when(d.eqNullSafe(F.lit(doc_id).cast("long")), i)), lambda i: i.isNotNull())
+    found = []
+    for b in blocks.withColumn("places", place).where(F.size("places") > 0).orderBy("shard", "block").collect():
+        at = [*b["doc_at"], b["n_ids"]]
+        found += [unpack(b["payload"], b["width"], at[i], at[i + 1]) for i in b["places"]]
+    return found
+
+
 def token_output(docs: DataFrame) -> DataFrame:
     """Writes the token files of ``docs`` to the shared folder and describes each document from them."""
     path = scratch(docs.sparkSession, "tokens")
