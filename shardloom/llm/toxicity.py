@@ -2,15 +2,15 @@
 
 Folding: lower case, look-alike letters of other scripts and full-width forms to Latin,
 digits and signs that stand for letters inside words to those letters, joiners dropped.
-The lexicon starts from fixed seed terms and is extended by terms and word beginnings that
-labelled rows show in toxic texts far more often; a weight is a term's log odds.  Terms
-match at the start of a word; whole-word terms must also end there.  A match inside an
-exception phrase doesn't count.  The weighted sum is normalised by the length of the text
-and a logistic curve, fitted on the same rows, makes it a score.
+The lexicon is learned: terms and word beginnings that labelled rows show in toxic texts far
+more often; a weight is a term's log odds.  Terms match at the start of a word; whole-word
+terms must also end there.  A match that begins inside an exception phrase doesn't count.  The
+weighted sum is divided by the square root of the text's length over ``LONG`` and a logistic
+curve, fitted on the same rows, makes it a score.
 
 Learning reads a bounded sample of labelled rows (``quality.sample``); scoring reads every
-text whole.  Nulls: a null text is empty, its score is that of no match.  Without labels
-the seed weights and a default curve are used.  Empty tables give empty results; rows that
+text whole, in a time that grows with its length.  Nulls: a null text is empty, its score is
+that of no match.  Without labels of both kinds fixed seed terms and a default curve are used.  Empty tables give empty results; rows that
 repeat a doc_id are scored each; other columns are not looked at.
 """
 
@@ -33,7 +33,7 @@ SAMPLE_ROWS = 8000
 #: A learned term occurs in so many toxic texts, and its log odds are at least this.
 LEAST_DOCS, LEAST_ODDS, TERMS = 6, 4.0, 2000
 STEMS, STEM_WORDS = range(4, 8), 3
-#: Seed terms and phrases in which they are harmless.
+#: Terms for use without labels, and phrases in which such words are harmless.
 SEEDS = ("clown", "disgusting", "idiot", "loser", "moron", "pathetic", "scum", "stupid", "trash", "worthless")
 EXCEPTIONS = ("clown fish", "clown nose", "pathetic fallacy", "pond scum", "sore loser", "trash bag", "trash bin", "trash can", "trash collection", "worthless cheque")
 #: Characters that look like Latin letters, and signs used for letters.
@@ -43,7 +43,7 @@ LOOKALIKES = {
 }
 LEET = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "l"}
 JOINERS = "­​‌‍⁠﻿"
-SEED_WEIGHT, MOST_WEIGHT, DEFAULT_CURVE, LONG = 4.0, 6.0, (1.5, -3.0), 5000
+SEED_WEIGHT, MOST_WEIGHT, DEFAULT_CURVE, LONG = 4.0, 6.0, (1.5, -3.0), 1000
 
 _MARKS = re.compile("[" + re.escape("".join(LEET)) + "]")
 _PARTS = re.compile(r"[^\W_]+")
@@ -99,18 +99,29 @@ class Lexicon:
                         spared.append((start, end))
                     else:
                         words[start] = max(words.get(start, 0.0), weight)
-        return {at: w for at, w in words.items() if not any(a <= at <= b for a, b in spared)} if spared else words
+        return _outside(words, spared) if spared else words
 
     def strength(self, text: str) -> float:
         """The sum of the weights, lowered for long texts."""
-        total = sum(self.matches(text).values())
-        return total / (1 + math.log1p(len(text) / LONG)) if total else 0.0
+        return sum(self.matches(text).values()) / math.sqrt(1 + len(text) / LONG)
 
     def score(self, text: str) -> float:
         slope, shift = self.curve
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, slope * self.strength(text) + shift))))
 
 
+def _outside(words: dict[int, float], spared: list[tuple[int, int]]) -> dict[int, float]:
+    """The words that begin in none of the spans, in one sweep over both in order."""
+    spans, at, reach, out = sorted(spared), 0, -1, {}
+    for start in sorted(words):
+        while at < len(spans) and spans[at][0] <= start:
+            reach = max(reach, spans[at][1])
+            at += 1
+        if start > reach:
+            out[start] = words[start]
+    return out
+
+
 def _terms(text: str, wanted: dict | None = None) -> set[str]:
     words = set(_PARTS.findall(foldings(text)[-1]))
     stems = {f"{w[:k]}*" for w in words for k in STEMS if len(w) > k}
@@ -118,12 +129,12 @@ def _terms(text: str, wanted: dict | None = None) -> set[str]:
 
 
 def learn(texts: list[str], labels: list[int]) -> Lexicon:
-    """Seed terms with learned weights, learned terms, and the curve."""
-    weights = dict.fromkeys(SEEDS, SEED_WEIGHT)
+    """Learned terms and the curve; without texts of both kinds the seed terms."""
+    weights: dict[str, float] = {}
     rows = sorted(set(zip(texts, labels, strict=True)))  # equal texts count once
     toxic, clean = [t for t, y in rows if y == 1], [t for t, y in rows if y == 0]
     if not toxic or not clean:
-        return Lexicon(weights)
+        return Lexicon(dict.fromkeys(SEEDS, SEED_WEIGHT))
     inside, words_of_stem = Counter(), {}
     for text in toxic:
         found = _terms(text)
@@ -133,12 +144,12 @@ def learn(texts: list[str], labels: list[int]) -> Lexicon:
                 for k in STEMS:
                     if len(w) > k:
                         words_of_stem.setdefault(w[:k] + "*", set()).add(w)
-    inside = {t: n for t, n in inside.items() if n >= LEAST_DOCS and (t[-1] != "*" or len(words_of_stem.get(t, ())) >= STEM_WORDS) or t in weights}
+    inside = {t: n for t, n in inside.items() if n >= LEAST_DOCS and (t[-1] != "*" or len(words_of_stem.get(t, ())) >= STEM_WORDS)}
     outside = Counter()
     for text in clean:
         outside.update(_terms(text, inside))
     odds = {t: math.log((n + 0.5) / (len(toxic) + 1)) - math.log((outside[t] + 0.5) / (len(clean) + 1)) for t, n in inside.items()}
-    strong = sorted((t for t in odds if odds[t] >= LEAST_ODDS and t not in weights), key=lambda t: (t[-1] != "*", len(t), t))
+    strong = sorted((t for t in odds if odds[t] >= LEAST_ODDS), key=lambda t: (t[-1] != "*", len(t), t))
     taken: set[str] = set()
     for term in strong:  # the shortest beginnings first; what begins with one is covered by it
         bare = term.rstrip("*")
@@ -146,9 +157,6 @@ def learn(texts: list[str], labels: list[int]) -> Lexicon:
             weights[term] = min(MOST_WEIGHT, odds[term])
             if term[-1] == "*":
                 taken.add(bare)
-    for term in SEEDS:
-        if inside.get(term, 0) >= LEAST_DOCS:
-            weights[term] = min(MOST_WEIGHT, max(1.0, odds[term]))
     lexicon = Lexicon(weights)
     x = np.array([lexicon.strength(t) for t, _ in rows])
     return Lexicon(weights, _curve(x, np.array([y for _, y in rows], float)))
