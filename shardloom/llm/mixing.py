@@ -12,7 +12,8 @@ above their own cap.
 
 Nulls: a null text has no words, a null source is a source of its own, a null doc_id draws
 as the text "null".  Rows that repeat a doc_id draw alike.  A source without words has rate
-0.  Empty tables give empty results.  Other columns pass through ``mixed`` unchanged.
+0.  The windows run over the table of sources in one task: some millions of sources at most.
+A very long text is one row and may miss its source's target by its size.  Empty tables give empty results.  Other columns pass through ``mixed`` unchanged.
 """
 
 from __future__ import annotations
@@ -77,10 +78,10 @@ def plan(docs: DataFrame, seed: str = SEED) -> DataFrame:
 
 def mixed(docs: DataFrame, seed: str = SEED) -> DataFrame:
     """The mix itself: each document as often as it is taken, with its own columns."""
-    by_source = rates(docs.select("source", n_words().alias("size"))).select("source", F.col("rate").alias("__rate"))
-    found = looked_up(docs, written(by_source, "rates"))
-    found = found.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), copies(F.col("__rate"), seed))))
-    return found.select(*(found[c] for c in docs.columns))
+    by_source = written(rates(docs.select("source", n_words().alias("size"))).select("source", "rate"), "rates")
+    packed = docs.select(F.struct("*").alias("row"), F.col("source"), F.col("doc_id"))  # one column, so that no name clashes
+    found = looked_up(packed, by_source)
+    return found.select("row", F.explode(F.array_repeat(F.lit(1), copies(F.col("rate"), seed)))).select("row.*")
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
