@@ -333,3 +333,43 @@ def test_clean_in_blocks(spark):
     hit = {r["doc_id"] for r in decontamination.find_passages(docs, bench).where("size(spans) > 0").collect()}
     kept = {r["doc_id"] for r in decontamination.clean(docs, bench, block_bytes=3000).collect()}
     assert hit and not hit & kept and len(hit) + len(kept) == docs.count()
+
+
+def brute_licenses(text):
+    """(label, place) of the method's own templates, each start tried: two indexed words agree and all key phrases stand near."""
+    w, found = [x for x in licenses.cut(text or "")], set()
+    for t in licenses.TEMPLATES:
+        offsets = {}
+        for i, x in enumerate(t.words):
+            offsets.setdefault(x, []).append(i)
+        starts = {}
+        for i, x in enumerate(w):
+            for o in offsets.get(x, ()):
+                starts.setdefault(i - o, set()).add(x)
+        slack = 0 if t.base else licenses.SLACK
+        for start in (s for s, words in starts.items() if len(words) > 1 and (s >= 0 or not t.base)):
+            stands = [[p for p in range(max(0, start + at - slack), max(0, start + at + slack) + 1) if w[p : p + len(k)] == k] for at, k in t.phrases()]
+            if all(stands):
+                found.add((t.label, stands[0][0]))
+    return found
+
+
+def test_license_labels_equal_brute_force(spark):
+    """Whole licence texts have all labels that brute force finds; of changed and cut ones a label may go where only words agree that aren't among a file's top ones."""
+    own = [t.text for t in licenses.TEMPLATES if not t.base]
+    filler = " ".join(f"filler{i}" for i in range(50))
+    texts = [*own, *(f"{filler} {t} {filler}" for t in own), *(t.replace("software", "program") for t in own), f"{own[0]} {own[1]}", *(t[: len(t) // 2] for t in own), filler, "", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: {(p["label"], p["place"]) for p in r["places"]} for r in licenses.scan(docs).collect()}
+    for i, text in enumerate(texts):
+        wanted = brute_licenses(text)
+        assert got[i] <= wanted, (text, got[i], wanted)
+        assert i >= 2 * len(own) or {x for x, _ in got[i]} == {x for x, _ in wanted}, (text, got[i], wanted)
+    changed = {i - 2 * len(own) for i in range(2 * len(own), 3 * len(own)) if brute_licenses(texts[i]) and not got[i]}
+    assert len(changed) <= 1
+
+
+def test_license_of_a_long_text(spark):
+    text = "copy person license " * 20_000 + "under the mit license " + "spdx license " * 5000
+    got = licenses.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()["places"]
+    assert [(p["label"], p["place"]) for p in got if p["base"]] == [("mit", 60_000)]
