@@ -1,11 +1,13 @@
 """Quality classifier: supervised subword embeddings.
 
-Every word and every character n-gram (bytes) of a text selects a learned vector by hash,
-and so does a word that repeats the one before it (one vector for all such pairs); a document is the average of its vectors, a softmax layer gives the label.  Vectors and
-layer are trained together by stochastic gradient descent in numpy.
-
-Training reads a bounded sample of labelled rows: at most ``SAMPLE_ROWS`` rows and
-``SAMPLE_BYTES`` bytes of text, in the order of a hash of doc_id, whole texts.  Scoring reads
+Every word and every character n-gram of a text selects a learned vector by hash, and so does
+a word that repeats the one before it (one vector of its own for all such pairs); a document is
+the average of its vectors, a softmax layer gives the label.  Vectors and layer are trained
+together by stochastic gradient descent in numpy.
+
+Training reads a bounded sample of labelled rows: at most ``SAMPLE_ROWS`` ids and
+``SAMPLE_BYTES`` bytes of text, whole texts in the order of a hash of doc_id; a text that no
+longer fits is passed over.  Of rows that repeat a doc_id one is learned from.  Scoring reads
 every text whole.  The layer is linear in the average, so scoring looks up one number per
 feature: the vector's product with the difference of the layer's two rows.
 
@@ -18,27 +20,29 @@ pass through ``accepted`` unchanged.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import filtered, fold, mapped, table, text_of
-from .words import SPACED, raw_of, words_of
+from .words import SPACED, words_of
 
 SAMPLE_ROWS, SAMPLE_BYTES = 4000, 24 << 20
 BUCKET_BITS, DIM, GRAMS = 17, 12, (2, 3)
 EPOCHS, RATE, SEED = 6, 0.4, 7
-REPEAT = (1 << BUCKET_BITS) - 1
+REPEAT = 1 << BUCKET_BITS
+BUCKETS = REPEAT + 1
 PIECE = 2 << 20
 
 
 def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bucket of each feature, and its text: words as they are, then n-grams inside each text."""
-    raw, offsets = raw_of(texts)
     w = words_of(texts, SPACED)
     mask = np.uint64((1 << BUCKET_BITS) - 1)
     out, rows = [(w.key & mask).astype(np.int32)], [w.row.astype(np.int32)]
@@ -46,15 +50,15 @@ def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         again = (w.key[1:] == w.key[:-1]) & (w.row[1:] == w.row[:-1])
         out.append(np.full(int(again.sum()), REPEAT, np.int32))
         rows.append(w.row[1:][again].astype(np.int32))
-    of = np.repeat(np.arange(len(offsets) - 1, dtype=np.int32), np.diff(offsets))
-    packed = raw.astype(np.uint32)
+    chars = np.frombuffer("".join(texts.to_pylist()).encode("utf-32-le", "surrogatepass"), np.uint32)
+    of = np.repeat(np.arange(len(texts), dtype=np.int32), np.asarray(pc.utf8_length(texts)))
     for n in GRAMS:
-        if len(raw) >= n:
-            gram = packed[: len(raw) - n + 1].copy()
-            for i in range(1, n):
-                gram = (gram << np.uint32(8)) | packed[i : len(raw) - n + 1 + i]
+        if len(chars) >= n:
+            gram = np.full(len(chars) - n + 1, n, np.uint32)
+            for i in range(n):
+                gram = (gram ^ chars[i : len(chars) - n + 1 + i]) * np.uint32(2654435761)
+                gram ^= gram >> np.uint32(15)
             inside = of[: len(gram)] == of[n - 1 :]
-            gram = (gram ^ np.uint32(n << 28)) * np.uint32(2654435761)
             out.append((gram >> np.uint32(32 - BUCKET_BITS)).astype(np.int32)[inside])
             rows.append(of[: len(inside)][inside])
     return np.concatenate(out), np.concatenate(rows)
@@ -92,9 +96,9 @@ def train(texts: list[str], labels: list[int]) -> Model:
     y = np.array(labels, np.int64)
     if not len(y) or y.min() == y.max():
         share = np.clip(y.mean() if len(y) else 0.5, 1e-3, 1 - 1e-3)
-        return Model(np.zeros(1 << BUCKET_BITS, np.float32), float(np.log(share / (1 - share))))
+        return Model(np.zeros(BUCKETS, np.float32), float(np.log(share / (1 - share))))
     random = np.random.default_rng(SEED)
-    vectors = random.normal(0, 0.1, (1 << BUCKET_BITS, DIM)).astype(np.float32)
+    vectors = random.normal(0, 0.1, (BUCKETS, DIM)).astype(np.float32)
     layer, bias = random.normal(0, 0.3, (2, DIM)).astype(np.float32), np.zeros(2, np.float32)
     share = np.bincount(y, minlength=2) / len(y)
     worth = np.minimum(np.sqrt(0.5 / share), 3).astype(np.float32)  # rarer labels weigh more
@@ -128,16 +132,16 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column, rows:
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & learn)
     picked = known.groupBy("doc_id").agg(F.min(label).alias("__label")).orderBy(F.md5(F.concat_ws(":", F.lit(label), F.col("doc_id").cast("string")))).limit(rows)
     picked = docs.sparkSession.createDataFrame([(int(r[0]), int(r[1])) for r in picked.collect()], "__id long, __label int")
-    found = docs.join(F.broadcast(picked), F.col("doc_id") == F.col("__id")).select("__id", "__label", text_of().alias("text"))  # at most ``rows`` ids
-    sizes = found.select("__id", F.octet_length("text").alias("n")).groupBy("__id").agg(F.max("n").alias("n")).collect()
+    found = docs.join(F.broadcast(picked), F.col("doc_id") == F.col("__id"))  # at most ``rows`` ids
+    found = found.select("__id", "__label", text_of().alias("text")).withColumn("hash", F.xxhash64("text"))
+    sizes = found.groupBy("__id").agg(F.min(F.struct("hash", F.octet_length("text").alias("n"))).alias("one")).select("__id", "one.*").collect()
     total, keep = 0, []
-    for r in sorted(sizes, key=lambda r: (r["n"], r["__id"])):
-        if total + r["n"] > most_bytes:
-            break
-        total += r["n"]
-        keep.append(r["__id"])
-    chosen = set(keep)
-    got = sorted({(r["__id"], r["text"], r["__label"]) for r in found.where(F.col("__id").isin(keep) if len(keep) < len(sizes) else F.lit(True)).collect() if r["__id"] in chosen})
+    for r in sorted(sizes, key=lambda r: hashlib.md5(f"{label}:{r['__id']}".encode()).hexdigest()):
+        if total + r["n"] <= most_bytes:
+            total += r["n"]
+            keep.append((r["__id"], r["hash"]))
+    chosen = F.broadcast(docs.sparkSession.createDataFrame(keep, "__id long, hash long"))
+    got = sorted((r["__id"], r["text"], r["__label"]) for r in found.join(chosen, ["__id", "hash"]).dropDuplicates(["__id", "hash"]).collect())
     return [x[1] for x in got], [x[2] for x in got]
 
 
