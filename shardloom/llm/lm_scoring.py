@@ -12,16 +12,18 @@ hashes, sorted, with their counts, as one packed row.  The task that has a range
 counts of all groups and answers each group with the totals, in the order of the hashes sent,
 so that an answer holds no hash.  Scoring a group derives the same sorted hashes again
 and reads the totals off by place.  All counts are exact, over all training documents, and
-travel as packed rows whose number grows with the input; no n-gram is dropped.  A packed row
-holds about (group bytes) * (range bytes) / (input bytes) / 6 hashes: the defaults suit
-executors of 3 GB and inputs up to some terabytes; for more, give both sizes the memory of
-larger executors, else rows hold single hashes and the packing saves nothing.
+travel as packed rows; no n-gram is dropped.  A packed row holds about (group bytes) * (range
+bytes) / (input bytes) / 6 hashes.  So that it never holds fewer than about a hundred, both
+sizes are at least the root of ``ROW_BYTES`` times the input: the number of packed rows grows
+with the input, not with its square, and a task's memory with the root of the input (12 MB of
+text up to 0.2 TB, 77 MB at 10 TB, 245 MB at 100 TB, of which a task needs some twenty times).
 
 Tokens: words of the lower-cased (A-Z) text, then one end; the context of the first word is
 the end.  Hashes have 64 bits.  The base score is a smoothed unigram model of its own.
 
 Nulls: a null text is empty and has only the end; a null doc_id counts as the text "null".
-Rows that repeat a doc_id are one row each.  Without training documents all counts are 0.
+Rows that repeat a doc_id are one row each; rows that repeat id and text share a group.  A text
+longer than a group is a group's only large one.  Without training documents all counts are 0.
 Empty tables give empty results; other columns are not looked at.
 """
 
@@ -38,7 +40,7 @@ from .common import fold, freed_shuffles, steps, table, text_of, written
 from .words import SPACED, U64, pair, words_of
 
 MODULUS, HELD_OUT, TUNING = 7, 2, 5
-GROUP_BYTES, RANGE_BYTES = 12 << 20, 24 << 20
+GROUP_BYTES, RANGE_BYTES, ROW_BYTES = 12 << 20, 24 << 20, 600
 END = U64(0x5851F42D4C957F2D)
 BINS_PER_OCTAVE, ROUNDS = 8, 30
 LEVELS = 34  # buckets of context frequency: none, then one per power of two
@@ -63,11 +65,12 @@ def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def grouped(docs: DataFrame, group_bytes: int = GROUP_BYTES, range_bytes: int = RANGE_BYTES) -> tuple[DataFrame, int, int]:
     """(doc_id, text, part, grp) with part 0 held out, 1 training, 2 training and tuning; the number of groups and of ranges."""
     size = docs.agg(F.sum(F.octet_length(text_of()))).first()[0] or 0
-    groups, ranges = int(size // group_bytes) + 1, int(size // range_bytes) + 1
+    least = int((size * ROW_BYTES) ** 0.5)
+    groups, ranges = int(size // max(group_bytes, least)) + 1, int(size // max(range_bytes, least)) + 1
     rest = fold(MODULUS)
     part = F.when(rest == HELD_OUT, 0).when(rest == TUNING, 2).otherwise(1)
     tuning = int(groups // MODULUS) + 1  # tuning documents have groups of their own
-    spread = F.xxhash64("doc_id", F.octet_length("text"))
+    spread = F.xxhash64("doc_id", "text")
     dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).withColumn("part", part)
     grp = F.when(F.col("part") == 2, -1 - F.pmod(spread, F.lit(tuning))).otherwise(F.pmod(spread, F.lit(groups)))
     return dealt.select("doc_id", "text", "part", grp.cast("int").alias("grp")), groups, ranges
