@@ -2,13 +2,14 @@
 
 Kinds: email, ip, card (12 to 19 digits that pass Luhn) and phone (9 to 15 digits) make up
 the base; iban (mod-97) and ssn (number groups in use, confirmed by a context word) are
-added; an IBAN is as long as its country's are, whatever follows it.  A span's score starts from its kind's prior; words close before it that speak for
-its kind raise it, words that speak for another use (versions, orders, ...) lower it.
-Base spans are always reported; added ones from ``LEAST`` on.
+added; an IBAN is as long as its country's are, whatever follows it.  A span's score starts
+from its kind's prior; words close before or after it that speak for its kind raise it, words
+that speak for another use (versions, orders, ...) lower it.  Base spans are always reported,
+with their scores; added ones from ``LEAST`` on.  An IBAN in lower case needs a known country.
 
 Nulls: a null text is empty.  Texts without a digit or an @ cost two substring searches.
 All patterns run in linear time, so very long texts are no special case.  Rows that repeat
-a doc_id are one row each; empty tables give empty results; other columns are not looked at.
+a doc_id are one row each; of kinds that find the same place each is a span; empty tables give empty results; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from .common import mapped, table, text_of
 
 KINDS = ("email", "ip", "card", "phone", "iban", "ssn")
 BASE, LEAST, NEAR = KINDS[:4], 0.5, 48
-PRIOR = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.9, "ssn": 0.3}
+PRIOR = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.7, "ssn": 0.3}
 SPEAKS_FOR = {
     "email": {"email", "mail", "contact", "write"},
     "ip": {"ip", "address", "host", "server", "login"},
@@ -40,7 +41,7 @@ _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01234567
 _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}")
+_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Za-z]{2}[0-9]{2}(?:\x20?[A-Za-z0-9]){11,30}")
 _IBAN_LENGTHS = {
     country: int(length)
     for length, countries in (x.split(":") for x in (
@@ -85,13 +86,14 @@ def _emails(text: str):
 
 def _iban_end(text: str, start: int, stop: int) -> int | None:
     """Where an IBAN that begins at ``start`` ends: at its country's length, for another country at the last word edge where mod-97 holds."""
-    length = _IBAN_LENGTHS.get(text[start : start + 2])
+    length = _IBAN_LENGTHS.get(text[start : start + 2].upper())
     places = [i for i in range(start, stop) if text[i] != " "]
     for n in (length,) if length else range(len(places), 14, -1):
         if n > len(places):
             continue
         end = places[n - 1] + 1
-        if (end == len(text) or not (text[end].isascii() and text[end].isalnum())) and mod97(text[start:end].replace(" ", "")):
+        found = text[start:end].replace(" ", "")
+        if (length or found.isupper()) and (end == len(text) or not (text[end].isascii() and text[end].isalnum())) and mod97(found):
             return end
     return None
 
@@ -126,14 +128,14 @@ def proposals(text: str):
     yield from ((*m.span(), "ssn") for m in _SSN.finditer(text))
 
 
-def score(text: str, start: int, kind: str) -> float:
-    near = set(_WORD.findall(text[max(0, start - NEAR) : start].lower()))
-    return min(1.0, max(0.0, PRIOR[kind] + 0.3 * bool(near & SPEAKS_FOR[kind]) - 0.3 * bool(near & SPEAKS_AGAINST)))
+def score(text: str, start: int, end: int, kind: str) -> float:
+    near = {*_WORD.findall(text[max(0, start - NEAR) : start].lower()), *_WORD.findall(text[end : end + NEAR].lower())}
+    return round(min(1.0, max(0.0, PRIOR[kind] + 0.3 * bool(near & SPEAKS_FOR[kind]) - 0.3 * bool(near & SPEAKS_AGAINST))), 2)
 
 
 def spans_of(text: str) -> list[tuple[int, int, str, float]]:
     found = sorted(proposals(text), key=lambda x: (x[0], KINDS.index(x[2])))
-    scored = [(a, b, kind, score(text, a, kind)) for a, b, kind in found]
+    scored = [(a, b, kind, score(text, a, b, kind)) for a, b, kind in found]
     return [x for x in scored if x[2] in BASE or x[3] >= LEAST]
 
 
@@ -168,4 +170,5 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
     line = F.transform("spans", lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string")))
-    return found.select("doc_id", *map(number, BASE), "base_sha256", F.array_join(line, ",").alias("spans"))
+    scores = F.transform("spans", lambda x: F.round(x["score"], 2).cast("string"))
+    return found.select("doc_id", *map(number, BASE), "base_sha256", F.array_join(line, ",").alias("spans"), F.array_join(scores, ",").alias("scores"))
