@@ -4,12 +4,14 @@ Texts are equal when they are identical after all of ``[\\x20\\x09-\\x0D]`` is d
 their SHA-256 stands for them.  The index is a table bucketed and sorted by digest:
 a batch is reduced to one row per digest (combined before its shuffle), deduplicated by a
 sort-merge anti-join to the index, and what is new is appended.  An index that is opened
-again, also in a session whose catalog doesn't know it, goes on with the rows it has.
+again, also in a session whose catalog doesn't know it, goes on with the rows it has; a
+group's size is the number of its rows in the batch that brought its digest.
 
 Nulls: a null text is the empty text; a null doc_id stands after all others and is kept
 only if no other row has its text.  Ties (same length) go to the smallest doc_id.  Rows
 that repeat a doc_id with one text are one row each in the result and are marked alike.
-Empty tables give empty results; other columns are not looked at.
+Very long texts are hashed whole, a row at a time.  Empty tables give empty results; other
+columns are not looked at.
 """
 
 from __future__ import annotations
