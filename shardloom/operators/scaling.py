@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
@@ -112,12 +113,28 @@ def control(state: Controller, rows: pd.DataFrame, cooldown: float, clear_flag:
 
 
 def scaling_controller(events: DataFrame, cooldown: float = 300, clear_flag: bool = True) -> DataFrame:
-    """What comes of each job's events (see ``control``): sequential inside a job, parallel over jobs."""
+    """What comes of each job's events (see ``control``): sequential inside a job, parallel over jobs.
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        return control(Controller(), rows, cooldown, clear_flag)
+    Events come sorted, batch by batch, and only the job's state is carried on: a job's history is never in memory at once.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, state = None, None
+        for batch in batches:
+            out = []
+            for job, rows in batch.groupby("job", sort=False, dropna=False):
+                state = state if state is not None and _same(job, last) else Controller()
+                last = job
+                out.append(control(state, rows, cooldown, clear_flag))
+            if out:
+                yield pd.concat(out)
+
+    return events.repartition("job").sortWithinPartitions("job", "ts", "event_id").mapInPandas(run, CONTROL_SCHEMA)
 
-    return events.groupBy("job").applyInPandas(run, CONTROL_SCHEMA)
+
+def _same(a: object, b: object) -> bool:
+    """Equal, or both missing."""
+    return a == b or bool(pd.isna(a) and pd.isna(b))
 
 
 def latest_status(updates: DataFrame) -> DataFrame:
@@ -164,13 +181,20 @@ def _fires(rows: pd.DataFrame, value: str, n: float, last: float | None) -> tupl
 
 def every_n_steps(rows: DataFrame, n: int, by: str = "task", value: str = "step") -> DataFrame:
     """The rows (by, value) at which a check fires: a task's first, then each at least ``n`` after the last firing."""
-    schema = rows.select(by, value).schema
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(value)
-        return group[_fires(group, value, n, None)[0]]
-
-    return rows.select(by, value).groupBy(by).applyInPandas(run, schema)
+    rows = rows.select(by, value)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, last = None, None
+        for batch in batches:  # sorted; the last firing of a task is carried on
+            kept = []
+            for task, x in zip(batch[by].tolist(), batch[value].tolist(), strict=True):
+                if not _same(task, key):
+                    key, last = task, None
+                kept.append(last is None or x - last >= n)
+                last = x if kept[-1] else last
+            yield batch[kept]
+
+    return rows.repartition(by).sortWithinPartitions(F.col(by), F.col(value).asc_nulls_last()).mapInPandas(run, rows.schema)
 
 
 def every_n_secs(rows: DataFrame, seconds: float, by: str = "task", time: str = "ts") -> DataFrame:

@@ -338,3 +338,17 @@ def test_task_actions_in_order(spark):
     reports = spark.createDataFrame([("ps", 0, s, f"o{s}") for s in (86_400 * 3, 5, 90_000, 7)], "task_name string, task_index int, s long, options string").withColumn("ts", F.timestamp_seconds("s"))
     asked = spark.createDataFrame([("ps#0",), ("ps#1",)], "task string")
     assert rows(metrics.task_actions(reports, asked).select("task", "status", "seq", "options")) == [("ps#0", "OK", 0, "o5"), ("ps#0", "OK", 1, "o7"), ("ps#0", "OK", 2, "o90000"), ("ps#0", "OK", 3, "o259200"), ("ps#1", "NOT_FOUND", None, None)]
+
+
+def test_state_is_carried_over_batches(spark):
+    """Histories that are longer than a batch."""
+    events = spark.createDataFrame([(f"j{i % 2}", i, 100 * i, "decision", 4, ("SCALING_UP", "NORMAL", "SCALING_DOWN")[i % 3], [f"ps#{i}"]) for i in range(60)], "job string, event_id long, t long, kind string, new_n long, action string, servers array<string>")
+    events = events.withColumn("ts", F.timestamp_seconds("t")).drop("t")
+    steps = spark.createDataFrame([(t, s) for t in ("a", "b", None) for s in range(0, 70, 3)], "task string, step long")
+    whole = rows(scaling.scaling_controller(events)), rows(scaling.every_n_steps(steps, 7))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+    try:
+        assert whole == (rows(scaling.scaling_controller(events)), rows(scaling.every_n_steps(steps, 7)))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(whole[0]) == 60 and [r for r in whole[1] if r[0] is None] == [(None, s) for s in range(0, 70, 9)]
