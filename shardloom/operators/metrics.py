@@ -58,12 +58,14 @@ def subscribe_small(metrics: DataFrame, subs: list[tuple[str, str]]) -> DataFram
     names = sorted({s for s, _ in subs})
     if not names:
         return metrics.withColumn("subscriber", F.lit("")).where("false")
+    patterns = metrics.sparkSession.createDataFrame([(p,) for p in sorted({p for _, p in subs})], "p string")
+    regex = dict(tuple(r) for r in patterns.select("p", glob_to_regex(F.col("p"))).collect())  # once, not for each metric
 
     def matches(name: str) -> Column:
         test = F.lit(False)
         for s, pattern in subs:
             if s == name:
-                test = test | F.regexp_like("type", glob_to_regex(F.lit(pattern)))
+                test = test | F.col("type").rlike(regex[pattern])
         return F.when(test, F.lit(name))
 
     return metrics.withColumn("subscriber", F.explode(F.filter(F.array(*map(matches, names)), lambda x: x.isNotNull())))
