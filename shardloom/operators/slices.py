@@ -120,7 +120,7 @@ def dispatch_outcomes(requests: DataFrame, control: DataFrame, plan: DataFrame)
     """
     gated = as_of(requests, control.withColumn("__act", F.col("action")), "__act", "gate", tie="control_id")
     open_ = gated.where(F.col("gate").isin("ready", "start")).select("request_id", "task", "ts")
-    given = assign_slices(plan, open_).select("request_id", F.col("slice_id"))
+    given = assign_slices(plan, open_, time_bucket(requests)).select("request_id", F.col("slice_id"))
     status = (
         F.when(F.col("gate").isNull(), "UNAVAILABLE").when(F.col("gate") == "stop", "RETRY_LATER").when(F.col("slice_id").isNull(), "OUT_OF_RANGE").otherwise("OK")
     )
