@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 
@@ -67,3 +67,52 @@ def as_of(left: DataFrame, right: DataFrame, value: str, name: str, time: str =
     carried = lasts.select("__key", F.last(last, ignorenulls=True).over(earlier).alias("__carried"))
     found = both.withColumn("__own", F.last("__value", ignorenulls=True).over(inside)).where("__left = 1").join(carried, "__key")
     return found.select(*left.columns, F.coalesce("__own", "__carried").alias(name))
+
+
+def key_bucket(df: DataFrame, by: tuple[str, ...], time: str = "ts") -> Column | None:
+    """A time bucket of about ``BUCKET_ROWS`` rows of the most frequent key; None if no key has more than that."""
+    at = F.unix_timestamp(F.col(time).cast("timestamp"))
+    keys = df.groupBy(*by).agg(F.count("*").alias("n"), F.min(at).alias("low"), F.max(at).alias("high"))
+    low, high, n = keys.agg(F.min("low"), F.max("high"), F.max("n")).first()
+    if low is None or n <= BUCKET_ROWS:
+        return None
+    return F.floor(at / max(1, int((high - low + 1) * BUCKET_ROWS / n)))
+
+
+def row_before(df: DataFrame, value: Column, order: tuple[str, ...], name: str, by: tuple[str, ...], time: str = "ts") -> DataFrame:
+    """Adds, as ``name``, a struct with the ``value`` of the row before in ``order`` of the same ``by``; null for the first.
+
+    ``order`` begins with ``time``; rows alike in it follow ``value``.  A key with many rows is
+    cut into time buckets; a bucket's first row takes the last value of the bucket before it, from a
+    table with a row per bucket.  ``df`` is read several times: pass a table, not a long plan.
+    """
+    valued = df.withColumn("__value", F.struct(value.alias("value")))
+    bucket, sort = key_bucket(df, by, time), (*order, "__value")
+    if bucket is None:
+        return valued.withColumn(name, F.lag("__value").over(Window.partitionBy(*by).orderBy(*sort))).drop("__value")
+    keyed = valued.withColumn("__key", F.struct(*by, bucket.alias("__bucket")))
+    lasts = keyed.groupBy("__key").agg(F.max_by("__value", F.struct(*sort)).alias("__last"))
+    carried = lasts.select("__key", F.lag("__last").over(_buckets_of(by)).alias("__carried"))
+    inside = keyed.withColumn("__own", F.lag("__value").over(Window.partitionBy("__key").orderBy(*sort)))
+    return inside.join(carried, "__key").withColumn(name, F.coalesce("__own", "__carried")).drop("__value", "__key", "__own", "__carried")
+
+
+def sum_before(df: DataFrame, amount: str, order: tuple[str, ...], name: str, by: tuple[str, ...], time: str = "ts") -> DataFrame:
+    """Adds, as ``name``, the sum of ``amount`` over the rows before in ``order`` of the same ``by``; 0 for the first.
+
+    Keys with many rows are cut as in ``row_before``; ``order`` begins with ``time``.
+    """
+    bucket = key_bucket(df, by, time)
+    rows = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    total = lambda c, w: F.coalesce(F.sum(c).over(rows(w)), F.lit(0))
+    if bucket is None:
+        return df.withColumn(name, total(amount, Window.partitionBy(*by).orderBy(*order)))
+    keyed = df.withColumn("__key", F.struct(*by, bucket.alias("__bucket")))
+    sums = keyed.groupBy("__key").agg(F.sum(amount).alias("__sum"))
+    offsets = sums.select("__key", total("__sum", _buckets_of(by)).alias("__offset"))
+    inside = keyed.withColumn("__inside", total(amount, Window.partitionBy("__key").orderBy(*order)))
+    return inside.join(offsets, "__key").withColumn(name, F.col("__inside") + F.col("__offset")).drop("__key", "__inside", "__offset")
+
+
+def _buckets_of(by: tuple[str, ...]) -> WindowSpec:
+    return Window.partitionBy(*(F.col(f"__key.{c}") for c in by)).orderBy("__key.__bucket")

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.indexing import sum_before
+
 CHUNK = 64 << 20
 
 
@@ -88,9 +90,7 @@ def conflate(puts: DataFrame, takes: DataFrame) -> DataFrame:
     Returns buffer, take_id, put_id (null: the slot was empty), overwritten.
     """
     rows = puts.select("buffer", "ts", F.lit(0).alias("is_take"), F.col("put_id").alias("id")).unionByName(takes.select("buffer", "ts", F.lit(1).alias("is_take"), F.col("take_id").alias("id")))
-    order = Window.partitionBy("buffer").orderBy("ts", "is_take", "id")
-    number = F.coalesce(F.sum("is_take").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    numbered = rows.withColumn("nth", number)  # puts and the take that ends them share a number
+    numbered = sum_before(rows, "is_take", ("ts", "is_take", "id"), "nth", ("buffer",))  # puts and the take that ends them share a number
     put = F.col("is_take") == 0
     groups = numbered.groupBy("buffer", "nth").agg(
         F.max(F.when(~put, F.col("id"))).alias("take_id"), F.max_by("id", F.when(put, F.struct("ts", "id"))).alias("put_id"), F.count(F.when(put, 1)).alias("puts")

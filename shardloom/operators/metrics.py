@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.indexing import global_index, time_bucket
+from ..functions.indexing import global_index, row_before, time_bucket
 from ..functions.scalars import glob_to_regex, task_id
 
 #: Subscriptions up to which their patterns are part of the plan.
@@ -110,11 +110,10 @@ def parse_metric_tag(col: Column) -> Column:
 
 def cpu_usage(samples: DataFrame, ticks: int = 100) -> DataFrame:
     """Percent of a CPU from cumulative ticks (task, ts, cpu_ticks); 0 for a task's first sample."""
-    w = Window.partitionBy("task").orderBy("ts", "cpu_ticks")
-    seconds = F.unix_timestamp(F.col("ts").cast("timestamp")) - F.unix_timestamp(F.lag("ts").over(w).cast("timestamp"))
-    delta = F.col("cpu_ticks") - F.lag("cpu_ticks").over(w)
-    usage = F.when(seconds > 0, delta / (seconds * ticks) * 100.0)
-    return samples.withColumn("cpu_percent", F.coalesce(usage, F.lit(0.0)))
+    rows = row_before(samples, F.struct("ts", "cpu_ticks"), ("ts", "cpu_ticks"), "__before", ("task",))
+    seconds = F.unix_timestamp(F.col("ts").cast("timestamp")) - F.unix_timestamp(F.col("__before.value.ts").cast("timestamp"))
+    usage = F.when(seconds > 0, (F.col("cpu_ticks") - F.col("__before.value.cpu_ticks")) / (seconds * ticks) * 100.0)
+    return rows.withColumn("cpu_percent", F.coalesce(usage, F.lit(0.0))).drop("__before")
 
 
 def rss_mb(pages: Column, page_size: int = 4096) -> Column:
@@ -138,5 +137,5 @@ def resource_total(listing: DataFrame, sizes: DataFrame) -> DataFrame:
 
 def memory_growth(metrics: DataFrame) -> DataFrame:
     """Difference to the sample before of the same task (task, ts, value); null for the first."""
-    w = Window.partitionBy("task").orderBy("ts", "value")
-    return metrics.withColumn("growth", F.col("value") - F.lag("value").over(w))
+    rows = row_before(metrics, F.col("value"), ("ts", "value"), "__before", ("task",))
+    return rows.withColumn("growth", F.col("value") - F.col("__before.value")).drop("__before")

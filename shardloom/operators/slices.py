@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import epoch_seed, seeded_hash, top_bits
-from ..functions.indexing import as_of, global_index, name_bucket, time_bucket
+from ..functions.indexing import as_of, global_index, name_bucket, row_before, time_bucket
 
 ID_BUCKET = 4096
 
@@ -91,8 +91,8 @@ def data_state(handed_out: DataFrame, plan: DataFrame) -> DataFrame:
 def state_changes(states: DataFrame, content: list[str], time: str = "saved_at", key: str = "config_name") -> DataFrame:
     """The rows whose content differs from the row before of the same config."""
     digest = F.md5(F.to_json(F.struct(*content), {"ignoreNullFields": "false"}))
-    before = F.lag("__digest").over(Window.partitionBy(key).orderBy(time))
-    return states.withColumn("__digest", digest).withColumn("__before", before).where("__before is null or __before <> __digest").drop("__digest", "__before")
+    rows = row_before(states, digest, (time,), "__before", (key,), time)
+    return rows.where(~F.col("__before.value").eqNullSafe(digest)).drop("__before")
 
 
 def restore_state(states: DataFrame, configs: DataFrame, time: str = "saved_at") -> DataFrame:

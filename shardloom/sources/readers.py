@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,14 +28,13 @@ def _file_path() -> Column:
 def list_files(spark: SparkSession, dirs: list[str]) -> DataFrame:
     """A row per file of each directory, not recursive: prefix, dir_ord, name, length.
 
-    Hidden names (leading ``_`` or ``.``) are left out; contents are never read.
+    ``dirs`` are absolute paths, listed in one relation.  Hidden names (leading ``_`` or ``.``) are left out; contents are never read.
     """
-
-    def one(order: int, path: str) -> DataFrame:
-        files = spark.read.format("binaryFile").load(path).select("path", "length")
-        return files.select(F.lit(path).alias("prefix"), F.lit(order).alias("dir_ord"), F.regexp_extract("path", "([^/]*)$", 1).alias("name"), "length")
-
-    return reduce(DataFrame.unionByName, (one(i, d) for i, d in enumerate(dirs)))
+    files = spark.read.format("binaryFile").load(list(dict.fromkeys(dirs))).select("path", "length")
+    files = files.select(_plain(F.regexp_extract("path", "^(.*)/[^/]*$", 1)).alias("__dir"), F.regexp_extract("path", "([^/]*)$", 1).alias("name"), "length")
+    order = spark.createDataFrame(list(enumerate(dirs)), "dir_ord int, prefix string")  # as many rows as directories given
+    found = files.join(F.broadcast(order), F.col("__dir") == F.regexp_replace(_plain("prefix"), "(.)/+$", "$1"))
+    return found.select("prefix", "dir_ord", "name", "length")
 
 
 def read_file_manifest(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, DataFrame]:

@@ -8,9 +8,10 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from conftest import rows
-from shardloom.functions import scalars
+from shardloom.functions import indexing, scalars
 from shardloom.functions.indexing import as_of, global_index
 from shardloom.operators import backup, capacity, evaluation, features, gradients, metrics, reshard, scaling, slices
+from shardloom.sources import readers
 
 MB = 1024 * 1024
 
@@ -352,3 +353,25 @@ def test_state_is_carried_over_batches(spark):
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert len(whole[0]) == 60 and {r[1] for r in whole[1] if r[0] is None} == set(range(0, 70, 9))
+
+
+@pytest.mark.parametrize("rows_each", [2, 5, 10_000])
+def test_hot_keys_cut_into_time_buckets(spark, monkeypatch, rows_each):
+    """A key with many rows gives the same rows before and running sums as one window over it."""
+    from pyspark.sql import Window
+
+    monkeypatch.setattr(indexing, "BUCKET_ROWS", rows_each)
+    key = F.when(F.col("id") % 3 > 0, "hot").when(F.col("id") % 30 > 0, F.col("id").cast("string"))  # a third of the rest has no key
+    df = spark.range(300).select("id", key.alias("k"), F.timestamp_seconds(F.when(F.col("id") % 50 > 0, F.pmod(F.xxhash64("id"), F.lit(400)))).alias("ts"), (F.col("id") % 7).alias("x"))
+    w = Window.partitionBy("k").orderBy("ts", "id")
+    wanted = df.select("id", F.lag("x").over(w).alias("last"), F.coalesce(F.sum("x").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("sum"))
+    got = indexing.sum_before(indexing.row_before(df, F.col("x"), ("ts", "id"), "before", ("k",)), "x", ("ts", "id"), "sum", ("k",))
+    assert rows(got.select("id", F.col("before.value").alias("last"), "sum")) == rows(wanted)
+
+
+def test_list_files_of_directories_given_twice(spark, tmp_path):
+    for name in ("b", "a=1", "c d"):
+        spark.range(2).selectExpr("cast(id as string)").repartition(2).write.text(f"file://{tmp_path}/{name}")
+    dirs = [f"{tmp_path}/b", f"file://{tmp_path}/a=1/", f"{tmp_path}/b", f"{tmp_path}/c d"]
+    found = readers.list_files(spark, dirs).groupBy("dir_ord", "prefix").agg(F.count("*").alias("n"), F.sum("length").alias("bytes"))
+    assert rows(found) == [(i, d, 2, 4) for i, d in enumerate(dirs)]
