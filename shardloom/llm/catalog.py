@@ -10,4 +10,4 @@ QUERIES = {
     )
 }
 
-SQL = {"op2_mixing": mixing.SQL, "op9_decontamination": decontamination.SQL, "op10_exact_dedup": exact_dedup.SQL}
+SQL = {"op2_mixing": mixing.SQL, "op3_licenses": licenses.SQL, "op9_decontamination": decontamination.SQL, "op10_exact_dedup": exact_dedup.SQL}

@@ -85,6 +85,16 @@ class DigestIndex:
         new = groups.join(known, "digest", "left_anti")
         self._append(new.repartition(self.buckets, "digest"))
 
+    def compacted(self, path: str | None = None) -> DigestIndex:
+        """The index with one file per bucket, at a new path; this one stays as it is.
+
+        Each append adds a file to each of its buckets; here each bucket is written anew by one
+        task.  If the job fails, the old index is still whole; take the new one once this returns.
+        """
+        new = DigestIndex(self.spark, path, self.buckets)
+        new._append(self.rows().repartition(self.buckets, "digest"))
+        return new
+
     def forget(self) -> None:
         """Takes the index out of the catalog; its files stay."""
         self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")

@@ -217,3 +217,62 @@ def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", F.size(base).cast("long").alias("n_base"), F.array_min(first).cast("long").alias("first_word"), F.array_max(first).cast("long").alias("last_word"),
         labels(base).alias("base_labels"), labels(F.col("places")).alias("labels"), "score",
     )
+
+
+def _rows(values) -> str:
+    """SQL rows; texts and numbers only, of ``TEMPLATES``."""
+    cell = lambda x: "'" + x + "'" if isinstance(x, str) else str(x)
+    return ", ".join("(" + ", ".join(map(cell, row)) + ")" for row in values)
+
+
+def sql() -> str:
+    """The same rows without the index: all template words of all texts, numbered, joined and counted."""
+    keys = [(t, k, at, words) for t, template in enumerate(TEMPLATES) for k, (at, words) in enumerate(template.phrases())]
+    return f"""
+WITH templates(template, label, base, slack) AS (VALUES {_rows((t, x.label, x.base, 0 if x.base else SLACK) for t, x in enumerate(TEMPLATES))}),
+template_words(template, place, word) AS (VALUES {_rows((t, i, w) for t, x in enumerate(TEMPLATES) for i, w in enumerate(x.words))}),
+keys(template, k, off, n) AS (VALUES {_rows((t, k, at, len(words)) for t, k, at, words in keys)}),
+key_words(template, k, i, word) AS (VALUES {_rows((t, k, i, w) for t, k, _, words in keys for i, w in enumerate(words))}),
+common(word) AS (VALUES {_rows((w,) for w in sorted(COMMON))}),
+d AS MATERIALIZED (
+  SELECT row_number() OVER () AS file, doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS words
+  FROM documents),
+w AS MATERIALIZED (
+  SELECT file, word, place FROM (SELECT file, unnest(words) AS word, generate_subscripts(words, 1) - 1 AS place FROM d) WHERE word IN (SELECT word FROM template_words)),
+df AS (SELECT word, count(DISTINCT file) AS df FROM w GROUP BY word),
+ranked AS (
+  SELECT template, word, df, row_number() OVER (PARTITION BY template ORDER BY df, word) AS nth
+  FROM (SELECT DISTINCT template, word FROM template_words) JOIN df USING (word)),
+indexed AS (SELECT *, count(*) OVER (PARTITION BY template) AS n_words FROM ranked WHERE nth <= {KEPT} OR df * {RARE} <= (SELECT count(*) FROM d)),
+hits AS MATERIALIZED (
+  SELECT file, template, word, row_number() OVER (PARTITION BY file, template ORDER BY df, word) AS nth, count(*) OVER (PARTITION BY file, template) AS n, n_words
+  FROM (SELECT DISTINCT file, word FROM w) JOIN indexed USING (word)),
+shares AS (SELECT file, max(n / n_words::DOUBLE) AS share FROM hits GROUP BY file),
+searched AS (SELECT file FROM w WHERE word NOT IN (SELECT word FROM common) GROUP BY file HAVING count(DISTINCT word) > 1),
+starts AS (
+  SELECT file, h.template, w.place - t.place AS start
+  FROM (SELECT * FROM hits SEMI JOIN searched USING (file) WHERE nth <= {TOP} AND n > 1) h JOIN w USING (file, word) JOIN template_words t ON t.template = h.template AND t.word = w.word
+  GROUP BY ALL HAVING count(DISTINCT w.word) > 1),
+stands AS (
+  SELECT file, template, k, w.place - i AS place FROM w JOIN key_words USING (word) JOIN keys USING (template, k) GROUP BY file, template, k, w.place - i, n HAVING count(*) = n),
+found AS (
+  SELECT s.file, s.template, s.start, k, min(p.place) AS place
+  FROM starts s JOIN templates USING (template) JOIN keys USING (template) JOIN stands p USING (file, template, k)
+  WHERE (NOT base OR start >= 0) AND p.place BETWEEN greatest(0, start + off - slack) AND greatest(0, start + off + slack)
+  GROUP BY ALL),
+sure AS (
+  SELECT file, template, min(place) FILTER (k = 0) AS place FROM found GROUP BY file, template, start
+  HAVING count(*) = (SELECT count(*) FROM keys WHERE keys.template = found.template)),
+places AS (SELECT DISTINCT file, label, base, template, place FROM sure JOIN templates USING (template)),
+by_file AS (
+  SELECT file, count(*) FILTER (base) AS n_base, min(place) FILTER (base) AS first_word, max(place) FILTER (base) AS last_word,
+         string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels
+  FROM places GROUP BY file)
+SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word, coalesce(base_labels, '') AS base_labels,
+       coalesce(labels, '') AS labels, CASE WHEN labels IS NOT NULL THEN 1.0::DOUBLE ELSE coalesce(share, 0.0::DOUBLE) / 2 END AS score
+FROM d LEFT JOIN by_file USING (file) LEFT JOIN shares USING (file)
+"""
+
+
+SQL = sql()

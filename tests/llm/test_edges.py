@@ -1,11 +1,13 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables, clashing columns; parts of the methods on their own."""
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
 from conftest import rows
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from oracle import canonical
 from pyspark.sql import functions as F
 
 from shardloom.llm import common, components, decontamination, exact_dedup, licenses, lm_scoring, mixing, pii, quality, simhash, token_files, toxicity, wide_simhash, words
@@ -55,6 +57,18 @@ def test_digest_index_takes_batches(spark):
     assert again.rows().count() == 2
 
 
+def test_compacted_index(spark):
+    index = exact_dedup.DigestIndex(spark, buckets=2)
+    for i in range(3):
+        index.add(exact_dedup.digests(spark.createDataFrame([(10 * i + j, f"text {i * j}") for j in range(8)], "doc_id long, text string")))
+    new = index.compacted()
+    files = lambda x: x.rows().select(F.input_file_name()).distinct().count()
+    assert files(new) == 2 < files(index)
+    assert rows(new.rows()) == rows(index.rows())
+    new.add(exact_dedup.digests(spark.createDataFrame([(99, "text 0"), (98, "new")], "doc_id long, text string")))
+    assert new.rows().count() == index.rows().count() + 1
+
+
 def test_mixing(spark, odd, empty):
     plan = {(r["doc_id"], r["size"]): r for r in mixing.plan(odd).collect()}
     assert plan[(3, 40_000)]["size"] == 40_000 and plan[(1, 0)]["source_size"] == 40_003
@@ -223,6 +237,19 @@ def test_licenses(spark, odd, empty):
     assert licenses.scan(odd).count() == 9 and licenses.scan(empty).count() == 0
 
 
+def test_licenses_of_awkward_rows_equal_sql(spark, odd, empty, tmp_path):
+    texts = ["Under the MIT License; under the mit license", "cc by nc sa cc by nc", "spdx-license-identifier: apache-2.0", "Copyright 2020 X. All rights reserved", "all rights reserved", None]
+    texts += [" ".join(t.words) for t in licenses.TEMPLATES] + [" ".join(t.words[len(t.words) // 3 :]) for t in licenses.TEMPLATES] + [" x y ".join([t.text, t.text]) for t in licenses.TEMPLATES]
+    more = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for name, docs in (("some", odd.unionByName(more, allowMissingColumns=True)), ("none", empty)):
+        docs.write.parquet(f"file://{tmp_path}/{name}/documents.parquet")
+        con = duckdb.connect()
+        con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/{name}/documents.parquet/*.parquet'")
+        got, wanted = licenses.op3_licenses(spark, f"file://{tmp_path}/{name}").toPandas(), con.sql(licenses.SQL).df()
+        assert canonical(got) == canonical(wanted)
+    assert len(got) == 0
+
+
 def test_lm(spark, odd, empty):
     got = {r["doc_id"]: r for r in lm_scoring.score(odd).collect()}
     assert got[1]["n_tokens"] == 1 and got[3]["n_tokens"] == 40_001 and all(np.isfinite([r["score"] for r in got.values()]))
