@@ -7,7 +7,7 @@ Nulls: a null text is the empty text in every stage; rows with null or repeated
 of their own (what tells near copies apart is the row, not its id), a null source is a source of its
 own, and null ids come first in the token files.  Texts without words are near copies of each other.
 Ties between near copies: see ``wide_simhash``.  Texts are never cut; a very long one is a step of its own.
-Without labels nothing is rejected; without benchmark rows nothing is contaminated; empty documents give
+Without labels nothing is rejected (with labels of 0 alone, everything); without benchmark rows nothing is contaminated; empty documents give
 an empty result.  All columns pass unchanged up to the last stage, whatever their names.
 """
 
