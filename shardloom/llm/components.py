@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_dir
+from .common import shared_dir, written
 
 EDGES_PER_TASK = 500_000
 
@@ -66,3 +66,17 @@ def components(edges: DataFrame, edges_per_task: int = EDGES_PER_TASK) -> DataFr
         edges = star(star(edges, True), False).checkpoint()
         before, now = now, state(edges)
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
+
+
+def between_parts(members: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The two sides of a join that looks for links between the parts of a bucket: members (``keys``, part, ...) with ``largest``.
+
+    Buckets of one part are left out.  The members of a bucket's largest part stand in the second
+    side only, so that one stranger in a bucket isn't the reason to pair a large part with itself.
+    """
+    several = members.groupBy(*keys).agg(F.min("part").alias("a"), F.max("part").alias("b")).where("a < b").select(*keys)
+    members = written(members.join(several, keys), "parts")
+    sizes = members.groupBy(*keys, "part").agg(F.count("*").alias("n"))
+    largest = sizes.groupBy(*keys).agg(F.max(F.struct("n", "part")).alias("most")).select(*keys, F.col("most.part").alias("largest"))
+    members = written(members.join(largest, keys), "parts")
+    return members.where("part != largest"), members

@@ -10,7 +10,8 @@ verified in the join condition.
 key stays selective at any size; every ``b`` finds all pairs.
 
 A bucket is a star first: each fingerprint is compared with the bucket's smallest, and what
-is linked is contracted.  Then only pairs across the parts that are left are compared.
+is linked is contracted.  Then, in buckets of more than two, only pairs across the parts that are
+left are compared; the largest part isn't paired with itself.
 Components: links are contracted to stars inside tasks of bounded size; where there is more
 than one task, alternating large-star and small-star steps, a checkpoint after each pair, join
 them up.
@@ -32,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import mapped, table, text_of, written
-from .components import components
+from .components import between_parts, components
 
 SHINGLE, DISTANCE = 4, 4
 PIECE = 50_000
@@ -90,16 +91,19 @@ def linked(fps: DataFrame, n: int, distance: int = DISTANCE) -> DataFrame:
     across different parts of a bucket are compared, so that a dense group doesn't write the square of its size.
     """
     rows = placed(fps, n, distance)
-    buckets = written(rows.groupBy("choice", "bits").agg(F.min("fp").alias("u"), F.count("*").alias("n")).where("n > 1").drop("n"), "buckets")
+    buckets = written(rows.groupBy("choice", "bits").agg(F.min("fp").alias("u"), F.count("*").alias("n")).where("n > 1"), "buckets")
     members = written(rows.join(buckets, ["choice", "bits"]), "members")
     close = F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= distance
     stars = written(members.select("u", F.col("fp").alias("v")).where((F.col("u") < F.col("v")) & close).distinct(), "links")
-    parts = members.drop("u").join(components(stars), F.col("fp") == F.col("node"), "left").select("choice", "bits", "fp", F.coalesce("root", "fp").alias("part"))
+    # In a bucket of two the only pair has been compared.
+    parts = members.where("n > 2").join(components(stars), F.col("fp") == F.col("node"), "left").select("choice", "bits", "fp", F.coalesce("root", "fp").alias("part"))
     parts = written(parts, "parts")
-    several = parts.groupBy("choice", "bits").agg(F.min("part").alias("a"), F.max("part").alias("b")).where("a < b").select("choice", "bits")
-    parts = written(parts.join(several, ["choice", "bits"]), "parts")
-    u, v = (parts.select("choice", "bits", F.col("fp").alias(x), F.col("part").alias(f"{x}_part")) for x in "uv")
-    across = u.join(v, ["choice", "bits"]).where((F.col("u_part") < F.col("v_part")) & close)
+    keys = ["choice", "bits"]
+    rest, every = between_parts(parts, keys)
+    u = rest.select(*keys, F.col("fp").alias("u"), F.col("part").alias("u_part"))
+    v = every.select(*keys, F.col("fp").alias("v"), F.col("part").alias("v_part"), "largest")
+    once = (F.col("v_part") == F.col("largest")) | (F.col("u_part") < F.col("v_part"))
+    across = u.join(v, keys).where((F.col("u_part") != F.col("v_part")) & once & close)
     across = across.groupBy("u", "v_part").agg(F.min("v").alias("v")).select("u", "v")  # one link to each other part is enough
     return components(stars.unionByName(written(across, "links")))
 

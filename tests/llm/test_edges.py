@@ -136,6 +136,16 @@ def test_dense_group_writes_no_square(spark, monkeypatch):
     assert len(links) > 1_000_000 and max(n for name, n in sizes if name == "links") < 15 * len(values)  # at most one a choice of blocks
 
 
+def test_largest_part_is_not_paired_with_itself(spark):
+    """Bucket 1: a part of 50, one of 3 and a stranger; bucket 2: a part and nothing else; bucket 3: two parts of one size."""
+    members = [(1, 7, n) for n in range(50)] + [(1, 8, n) for n in range(50, 53)] + [(1, 9, 53)] + [(2, 7, n) for n in range(9)] + [(3, 4, 1), (3, 5, 2)]
+    rest, every = components.between_parts(spark.createDataFrame(members, "key long, part long, node long"), ["key"])
+    assert sorted(r["node"] for r in rest.where("key = 1").collect()) == [50, 51, 52, 53]
+    assert [(r["key"], r["node"]) for r in rest.where("key <> 1").collect()] == [(3, 1)]
+    assert every.groupBy("key").count().orderBy("key").collect() == [(1, 54), (3, 2)]
+
+
+
 @pytest.mark.parametrize("per_task", [1000, 20])
 def test_components(spark, per_task):
     chain = [(i, i + 1) for i in range(0, 60)] + [(100, 101), (101, 105), (-5, 200)] + [(300, i) for i in range(301, 330)]
