@@ -16,7 +16,7 @@ confirmed by the exact similarity of the two sets: no two texts below 0.8 are li
 A large group must not make a square of pairs.  In blocks that up to ``FEW`` sets share all pairs
 are looked at.  In fuller ones each set is first compared with the smallest only; what is
 confirmed is contracted, and then only pairs across the parts whose whole fingerprints are
-close enough (99.8 % of those at 0.8) are compared.  No partner is dropped, whatever their number:
+close enough (99.8 % of those at 0.8) are compared; the largest isn't paired with itself.  No partner is dropped, whatever their number:
 what remains are pairs between unlinked parts of a group with similarities of about 0.74 to 0.8.
 
 Nulls: a null text is empty; texts without words are one group.  Of each group one row stays,
@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import best_rows, mapped, one_row_each, text_of, with_text_hash, written
-from .components import components
+from .components import between_parts, components
 from .words import SPACED, mix, pair, words_of
 
 SHINGLE = 5
@@ -218,10 +218,10 @@ def linked(docs: DataFrame, signs: DataFrame, best: DataFrame) -> DataFrame:
     first = written(confirmed(first, texts), "links")
 
     parts = full.drop("least").join(components(first), "node", "left").select("key", "node", "size", "fp", F.coalesce("root", "node").alias("part"))
-    several = parts.groupBy("key").agg(F.min("part").alias("a"), F.max("part").alias("b")).where("a < b").select("key")
-    parts = written(parts.join(several, "key"), "parts")
-    across = _sided(parts, "u").join(_sided(parts, "v"), "key").where((F.col("u_part") != F.col("v_part")) & (F.col("u_node") < F.col("v_node")) & _close())
-    across = written(across.select(F.col("u_node").alias("u"), F.col("v_node").alias("v")).distinct(), "pairs")
+    rest, every = between_parts(parts, ["key"])
+    once = (F.col("v_part") == F.col("v_largest")) | (F.col("u_node") < F.col("v_node"))
+    across = _sided(rest, "u").join(_sided(every, "v"), "key").where((F.col("u_part") != F.col("v_part")) & once & _close())
+    across = written(across.select(F.least("u_node", "v_node").alias("u"), F.greatest("u_node", "v_node").alias("v")).distinct(), "pairs")
     return components(first.unionByName(written(confirmed(across, texts), "links")))
 
 
