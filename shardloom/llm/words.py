@@ -27,9 +27,12 @@ SPACED = _bytes_table(bytes(b for b in range(256) if b not in b" \t\n\x0b\f\r"),
 SPACED[0] = 255
 
 
-@lru_cache(1)
-def _tables() -> tuple[np.ndarray, int]:
-    random = np.random.default_rng(20240229)
+SEED = 20240229
+
+
+@lru_cache(4)
+def _tables(seed: int = SEED) -> tuple[np.ndarray, int]:
+    random = np.random.default_rng(seed)
     values = random.integers(1, 2**63, 256, dtype=np.uint64)
     values[0] = 0
     return values, int(random.integers(2**62, 2**63, dtype=np.uint64)) | 1
@@ -81,14 +84,14 @@ def raw_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, at - at[0]
 
 
-def _keys(folded: np.ndarray, start: np.ndarray) -> np.ndarray:
+def _keys(folded: np.ndarray, start: np.ndarray, seed: int) -> np.ndarray:
     """Polynomial hashes of the words that begin at ``start``; zero bytes between them add nothing."""
     spans = np.diff(np.append(start, len(folded)))
     offset = np.arange(len(folded)) - np.repeat(start, spans)  # of a byte in its word
-    return np.add.reduceat(_tables()[0][folded] * powers(int(spans.max()))[offset], start)
+    return np.add.reduceat(_tables(seed)[0][folded] * powers(int(spans.max()))[offset], start)
 
 
-def words_of(texts: pa.Array, lut: np.ndarray) -> Words:
+def words_of(texts: pa.Array, lut: np.ndarray, seed: int = SEED) -> Words:
     raw, offsets = raw_of(texts)
     rows = len(offsets) - 1
     empty = np.zeros(0, np.int64)
@@ -110,7 +113,7 @@ def words_of(texts: pa.Array, lut: np.ndarray) -> Words:
     at = 0
     while at < len(start):  # in bounded pieces: a hash takes eight times the bytes of its text
         stop = max(at + 1, int(np.searchsorted(end, start[at] + HASHED_BYTES, side="right")))
-        key[at:stop] = _keys(folded[start[at] : end[stop - 1]], start[at:stop] - start[at])
+        key[at:stop] = _keys(folded[start[at] : end[stop - 1]], start[at:stop] - start[at], seed)
         at = stop
     row = np.searchsorted(offsets, start, side="right") - 1
     return Words(raw, start, end, row, mix(key + length.astype(np.uint64)), rows)
