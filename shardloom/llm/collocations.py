@@ -5,7 +5,7 @@ A text is lower-cased (A-Z) and split at ``[.,;:!?\x0A-\x0D]`` into pieces and t
 a phrase of k words, sorted by piece and position (one number, the slot: words that stand next to
 each other in a piece have slots next to each other, two pieces never do).  Level by level:
 
-1. persist: the relation is a written table, its rows packed in slot order, some 100,000 words a row;
+1. persist: the relation is a written table, its rows packed in slot order, some 500 words a row;
 2. merge-join: an occurrence meets the one at the next slot of its piece, which makes the
    occurrences of k + 1 words; both sides are sorted, and no piece spans two rows;
 3. group-count: counts per task, then a shuffle of counts;
@@ -49,12 +49,14 @@ WORD_BYTES = _bytes_table(bytes(b for b in range(256) if b not in b" \t" + BREAK
 WORD_BYTES[0] = 255  # a zero byte belongs to a word; see words.SPACED
 LOWER = _bytes_table(bytes(range(256)), True)
 IS_BREAK = np.isin(np.arange(256), list(BREAKS))
-#: Bytes of a long text in one step, words of a packed row, rows of counts that a task gathers before it hands them on.
-PORTION, ROW_WORDS, GATHERED = 2 << 20, 100_000, 1_000_000
+#: Bytes of a long text in one step, words of a packed row, packed rows in one step, rows of counts that a task gathers before it hands them on.
+PORTION, ROW_WORDS, ROWS, GATHERED = 2 << 20, 512, 512, 500_000
+#: A word's distance to the slot before it, and the bit that says that a phrase begins at it.
+GAP, LIVE = np.uint32(2), np.uint32(1 << 31)
 #: Bits of the filter: so many for each frequent phrase, up to 16 MB.
 BITS_EACH, MOST_BITS = 16, 1 << 27
 
-RELATION = "slot binary, word binary, live binary"
+RELATION = "step binary, word binary"
 
 
 def portions(texts: pa.Array) -> Iterator[pa.Array]:
@@ -184,24 +186,26 @@ def bit_filter(frequent: DataFrame, k: int, most: int = MOST_BITS) -> Filter:
 
 
 def packed(slot: np.ndarray, word: np.ndarray, live: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Rows of the relation, cut between pieces."""
+    """Rows of the relation, cut between pieces; slots as distances, so that rows of any origin can be read in a row."""
+    if not len(slot):
+        return
     edges = np.flatnonzero(np.diff(slot) > 1) + 1
-    at = 0
-    while at < len(slot):
-        k = int(np.searchsorted(edges, at + ROW_WORDS))
-        stop = int(edges[k]) if k < len(edges) else len(slot)
-        step = np.diff(slot[at:stop], prepend=0).astype(np.uint32)
-        values = (step.tobytes(), word[at:stop].tobytes(), np.packbits(live[at:stop]).tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in values], names=["slot", "word", "live"])
-        at = stop
+    at = np.searchsorted(edges, np.arange(ROW_WORDS, len(slot), ROW_WORDS))
+    ends = np.concatenate([[0], np.unique(edges[at[at < len(edges)]]), [len(slot)]])
+    step = np.minimum(np.diff(slot, prepend=0), LIVE - 1).astype(np.uint32)
+    step[ends[:-1]] = GAP
+    step |= live.astype(np.uint32) << np.uint32(31)
+    columns = [pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer((ends * x.itemsize).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(x))]) for x in (step, word)]
+    yield pa.RecordBatch.from_arrays(columns, names=["step", "word"])
 
 
 def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """slot, word, live of some rows at a time."""
     for batch in batches:
-        for i in range(batch.num_rows):
-            slot, word, live = (batch.column(c)[i].as_py() for c in range(3))
-            slot, word = np.cumsum(np.frombuffer(slot, np.uint32).astype(np.int64)), np.frombuffer(word, np.uint64)
-            yield slot, word, np.unpackbits(np.frombuffer(live, np.uint8), count=len(slot)).astype(bool)
+        for at in range(0, batch.num_rows, ROWS):
+            part = batch.slice(at, ROWS)
+            step, word = (np.frombuffer(b"".join(part.column(i).to_pylist()), kind) for i, kind in enumerate((np.uint32, np.uint64)))
+            yield np.cumsum(step & ~LIVE, dtype=np.int64), word, (step & LIVE) != 0
 
 
 def joined(slot: np.ndarray, live: np.ndarray) -> np.ndarray:
