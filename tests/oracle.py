@@ -26,5 +26,6 @@ def canonical(df):
     df = df[sorted(df.columns)]
     for c in df.columns:
         if df[c].dtype.kind in "iu":
-            df = df.assign(**{c: df[c].astype("float64") if abs(df[c]).max() < 2**53 else df[c].astype(str)})
+            most = abs(df[c]).max()  # missing where every value is
+            df = df.assign(**{c: df[c].astype("float64") if pd.isna(most) or most < 2**53 else df[c].astype(str)})
     return list(df.columns), sorted((tuple(map(_cell, r)) for r in df.astype(object).itertuples(index=False, name=None)), key=repr)
