@@ -5,7 +5,7 @@ A text is lower-cased (A-Z) and split at ``[.,;:!?\x0A-\x0D]`` into pieces and t
 a phrase of k words, sorted by piece and position (one number, the slot: words that stand next to
 each other in a piece have slots next to each other, two pieces never do).  Level by level:
 
-1. persist: the relation is a written table, its rows packed in slot order, some 500 words a row;
+1. persist: the relation is a written table, its rows packed in slot order, some hundred words a row;
 2. merge-join: an occurrence meets the one at the next slot of its piece, which makes the
    occurrences of k + 1 words; both sides are sorted, and no piece spans two rows;
 3. group-count: counts per task, then a shuffle of counts;
@@ -50,7 +50,8 @@ WORD_BYTES[0] = 255  # a zero byte belongs to a word; see words.SPACED
 LOWER = _bytes_table(bytes(range(256)), True)
 IS_BREAK = np.isin(np.arange(256), list(BREAKS))
 #: Bytes of a long text in one step, words of a packed row, packed rows in one step, rows of counts that a task gathers before it hands them on.
-PORTION, ROW_WORDS, ROWS, GATHERED = 2 << 20, 512, 512, 500_000
+PORTION, ROW_WORDS, ROWS, GATHERED = 2 << 20, 128, 1024, 200_000
+EMITTED = 50_000
 #: A word's distance to the slot before it, and the bit that says that a phrase begins at it.
 GAP, LIVE = np.uint32(2), np.uint32(1 << 31)
 #: Bits of the filter: so many for each frequent phrase, up to 16 MB.
@@ -136,6 +137,7 @@ def _summed(held: list[pa.Table]) -> Iterator[pa.RecordBatch]:
     sums = pa.concat_tables(held).group_by(["lang", "word", "key"]).aggregate([("n", "sum")]).rename_columns({"n_sum": "n"})
     schema = pa.schema([("lang", pa.string()), ("word", pa.string()), ("key", pa.int64()), ("n", pa.int64())])
     yield from sums.select(["lang", "word", "key", "n"]).cast(schema).to_batches(max_chunksize=50_000)
+    pa.default_memory_pool().release_unused()
 
 
 def phrase_hash(word: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
@@ -257,9 +259,9 @@ def phrase_counts(relation: DataFrame, k: int) -> DataFrame:
     """w1 .. wk, n of the phrases of ``k`` words, from the relation of one word less."""
 
     def emitted(rows: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
-        for at in range(0, len(n), 100_000):
-            part = rows[at : at + 100_000].view(np.int64)
-            yield pa.RecordBatch.from_arrays([*(pa.array(np.ascontiguousarray(part[:, i])) for i in range(k)), pa.array(n[at : at + 100_000])], names=names)
+        for at in range(0, len(n), EMITTED):
+            part = rows[at : at + EMITTED].view(np.int64)
+            yield pa.RecordBatch.from_arrays([*(pa.array(np.ascontiguousarray(part[:, i])) for i in range(k)), pa.array(n[at : at + EMITTED])], names=names)
 
     names = [*(f"w{i + 1}" for i in range(k)), "n"]
 
