@@ -25,7 +25,7 @@ def repeat(df: DataFrame, n: int) -> DataFrame:
 def shuffle(df: DataFrame, seed: int, key: str) -> DataFrame:
     """Adds ``pos``, a reproducible random order: a full permutation by hash, ties by key."""
     hashed = df.withColumn("__hash", seeded_hash(F.lit(seed), F.col(key)))
-    return global_index(hashed, [F.col("__hash"), F.col(key)], top_bits(F.col("__hash")), "pos").drop("__hash")
+    return global_index(hashed, [F.col("__hash"), F.col(key)], "pos", bucket=top_bits(F.col("__hash"))).drop("__hash")
 
 
 def batch(df: DataFrame, size: int, pos: str = "pos") -> DataFrame:

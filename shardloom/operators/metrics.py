@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.indexing import global_index, row_before, time_bucket
+from ..functions.indexing import global_index, row_before
 from ..functions.scalars import glob_to_regex, task_id
 
 #: Subscriptions up to which their patterns are part of the plan.
@@ -84,10 +84,9 @@ def window_snapshot(metrics: DataFrame, period: str = PERIOD, watermark: str | N
     return found.select(*keys, F.col("w.start").alias("window_start"), F.transform("pairs", lambda x: x["value"]).alias("values"))
 
 
-def metric_sequence(metrics: DataFrame, order: list[str], by: tuple[str, ...] = ("subscriber", "type"), bucket: Column | None = None) -> DataFrame:
+def metric_sequence(metrics: DataFrame, order: list[str], by: tuple[str, ...] = ("subscriber", "type")) -> DataFrame:
     """The FIFO number (from 0) of each metric per subscriber and type."""
-    bucket = time_bucket(metrics) if bucket is None else bucket
-    return global_index(metrics, [F.col(c) for c in order], bucket, "seq", by)
+    return global_index(metrics, [F.col(c) for c in order], "seq", by)
 
 
 def task_actions(reports: DataFrame, tasks: DataFrame) -> DataFrame:
@@ -96,7 +95,7 @@ def task_actions(reports: DataFrame, tasks: DataFrame) -> DataFrame:
     A row per report, so that no task's history has to fit one row; a task without reports has one row.
     """
     rows = reports.select(task_id(F.col("task_name"), F.col("task_index")).alias("task"), "ts", "options")
-    numbered = global_index(rows, [F.col("ts"), F.col("options")], time_bucket(rows), "seq", ("task",))
+    numbered = global_index(rows, [F.col("ts"), F.col("options")], "seq", ("task",))
     found = tasks.select("task").distinct().join(numbered, "task", "left")
     return found.select("task", F.when(F.col("seq").isNotNull(), "OK").otherwise("NOT_FOUND").alias("status"), "seq", "ts", "options")
 

@@ -158,7 +158,7 @@ def rename_part(col: Column, part: Column) -> Column:
 def place_parts(parts: DataFrame, n_dev: int) -> DataFrame:
     """Devices for new parts (device null) of each variable: on from the highest in use, modulo the number of devices."""
     top = parts.groupBy("var").agg(F.coalesce(F.max("device"), F.lit(-1)).alias("__top"))
-    fresh = global_index(parts.where("device is null"), [F.col("part")], F.floor(F.col("part") / 1024), "__nth", ("var",))
+    fresh = global_index(parts.where("device is null"), [F.col("part")], "__nth", ("var",), F.floor(F.col("part") / 1024))
     placed = fresh.join(top, "var").withColumn("device", F.pmod(F.col("__top") + 1 + F.col("__nth"), F.lit(n_dev)).cast("int"))
     return parts.where("device is not null").select("var", "part", "device").unionByName(placed.select("var", "part", "device"))
 

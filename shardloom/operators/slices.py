@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import epoch_seed, seeded_hash, top_bits
-from ..functions.indexing import as_of, global_index, name_bucket, row_before, time_bucket
+from ..functions.indexing import as_of, global_index, row_before
 
 ID_BUCKET = 4096
 
@@ -15,17 +15,15 @@ def _id_bucket(name: str) -> Column:
     return F.floor(F.col(name) / ID_BUCKET)
 
 
-def make_slices(files: DataFrame, slice_size: int, bucket: Column | None = None) -> DataFrame:
+def make_slices(files: DataFrame, slice_size: int) -> DataFrame:
     """Groups of ``slice_size`` consecutive files per directory: slice_id, prefix, names, size.
 
     ``files``: prefix, dir_ord (the directory's place), name.  Slices never span directories,
-    ids run on over directories, the last slice of a directory may be short.  ``bucket`` is a
-    monotone function of the name for the numbering; by default a beginning of it that is long
-    enough for the number of files.
+    ids run on over directories, the last slice of a directory may be short.
     """
     if slice_size < 1:
         raise ValueError("slice_size must be positive")
-    placed = global_index(files, [F.col("name")], name_bucket(files) if bucket is None else bucket, "__idx", ("prefix", "dir_ord"))
+    placed = global_index(files, [F.col("name")], "__idx", ("prefix", "dir_ord"))
     per_dir = files.groupBy("prefix", "dir_ord").agg(F.count("*").alias("__files"))
     before = Window.orderBy("dir_ord", "prefix").rowsBetween(Window.unboundedPreceding, -1)  # over directories
     first = F.coalesce(F.sum(F.ceil(F.col("__files") / slice_size)).over(before), F.lit(0))
@@ -53,7 +51,7 @@ def expand_epochs(slices: DataFrame, num_epochs: int) -> DataFrame:
     """The slice list once per epoch: pos, epoch, idx, slice_id, with pos = epoch * n + idx."""
     if num_epochs < 1:
         raise ValueError("num_epochs must be positive")
-    placed = global_index(slices.select("slice_id"), [F.col("slice_id")], _id_bucket("slice_id"), "idx")
+    placed = global_index(slices.select("slice_id"), [F.col("slice_id")], "idx", bucket=_id_bucket("slice_id"))
     total = placed.agg(F.count("*").alias("__n"))  # one row
     rows = placed.join(F.broadcast(total), F.lit(True)).withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(num_epochs - 1))))
     return rows.select((F.col("epoch") * F.col("__n") + F.col("idx")).alias("pos"), "epoch", "idx", "slice_id")
@@ -69,7 +67,7 @@ def shuffle_epochs(plan: DataFrame, base_seed: int, seeds: DataFrame | None = No
         given = seeds.select("epoch", F.col("seed").alias("__given"))
         seeded = seeded.join(given, "epoch", "left").withColumn("seed", F.coalesce("__given", "seed")).drop("__given")
     hashed = seeded.withColumn("__hash", seeded_hash(F.col("seed"), F.col("slice_id"))).withColumn("__start", F.col("pos") - F.col("idx"))
-    placed = global_index(hashed.drop("idx"), [F.col("__hash"), F.col("slice_id")], top_bits(F.col("__hash")), "idx", ("epoch",))
+    placed = global_index(hashed.drop("idx"), [F.col("__hash"), F.col("slice_id")], "idx", ("epoch",), top_bits(F.col("__hash")))
     return placed.select((F.col("__start") + F.col("idx")).alias("pos"), "epoch", "seed", "idx", "slice_id")
 
 
@@ -91,7 +89,7 @@ def data_state(handed_out: DataFrame, plan: DataFrame) -> DataFrame:
 def state_changes(states: DataFrame, content: list[str], time: str = "saved_at", key: str = "config_name") -> DataFrame:
     """The rows whose content differs from the row before of the same config."""
     digest = F.md5(F.to_json(F.struct(*content), {"ignoreNullFields": "false"}))
-    rows = row_before(states, digest, (time,), "__before", (key,), time)
+    rows = row_before(states, digest, (time,), "__before", (key,))
     return rows.where(~F.col("__before.value").eqNullSafe(digest)).drop("__before")
 
 
@@ -103,11 +101,10 @@ def restore_state(states: DataFrame, configs: DataFrame, time: str = "saved_at")
     return found.select("config_name", pick("epoch_index", F.lit(0)), pick("slice_index", F.lit(0)), pick("shuffle_seed", F.col("seed")), F.col("__state").isNotNull().alias("restored"))
 
 
-def assign_slices(plan: DataFrame, requests: DataFrame, bucket: Column | None = None) -> DataFrame:
+def assign_slices(plan: DataFrame, requests: DataFrame) -> DataFrame:
     """Who gets which slice: the k-th request (by time, then task, then request_id) gets the k-th slice of the plan."""
-    bucket = time_bucket(requests) if bucket is None else bucket
-    asked = global_index(requests, [F.col("ts"), F.col("task"), F.col("request_id")], bucket, "rank")
-    queue = global_index(plan.select("pos", "slice_id"), [F.col("pos")], _id_bucket("pos"), "rank")
+    asked = global_index(requests, [F.col("ts"), F.col("task"), F.col("request_id")], "rank")
+    queue = global_index(plan.select("pos", "slice_id"), [F.col("pos")], "rank", bucket=_id_bucket("pos"))
     return asked.join(queue, "rank").select("request_id", "task", "pos", "slice_id")
 
 
@@ -120,7 +117,7 @@ def dispatch_outcomes(requests: DataFrame, control: DataFrame, plan: DataFrame)
     """
     gated = as_of(requests, control.withColumn("__act", F.col("action")), "__act", "gate", tie="control_id")
     open_ = gated.where(F.col("gate").isin("ready", "start")).select("request_id", "task", "ts")
-    given = assign_slices(plan, open_, time_bucket(requests)).select("request_id", F.col("slice_id"))
+    given = assign_slices(plan, open_).select("request_id", F.col("slice_id"))
     status = (
         F.when(F.col("gate").isNull(), "UNAVAILABLE").when(F.col("gate") == "stop", "RETRY_LATER").when(F.col("slice_id").isNull(), "OUT_OF_RANGE").otherwise("OK")
     )

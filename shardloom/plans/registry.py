@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..functions import tables
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -19,20 +19,12 @@ class Tables:
         self.spark, self.sf_dir = spark, sf_dir
 
     def scratch(self, name: str) -> str:
-        """A new path in the folder that driver and executors share (``spark.checkpoint.dir``; a temporary one where it is unset and Spark runs in one process)."""
-        shared = self.spark.conf.get("spark.checkpoint.dir", None) or self.spark.sparkContext.getCheckpointDir()
-        if not shared:
-            if not self.spark.sparkContext.master.startswith("local["):
-                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-            self.spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-shared-"))
-            shared = self.spark.sparkContext.getCheckpointDir()
-        return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        """A new path in the folder that driver and executors share."""
+        return tables.scratch(self.spark, name)
 
     def cut(self, df: DataFrame, name: str) -> DataFrame:
         """``df`` as a written table, for plans that read it more than once."""
-        path = self.scratch(name)
-        df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        return tables.written(df, name)
 
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("__"):

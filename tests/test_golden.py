@@ -171,8 +171,8 @@ def test_dispatch_statuses(spark):
 
 def test_global_index_with_nulls_and_empty(spark):
     df = spark.createDataFrame([(None,), (5,), (3,), (5,)], "x long")
-    assert sorted(r["i"] for r in global_index(df, [F.col("x")], F.floor(F.col("x") / 4), "i").collect()) == [0, 1, 2, 3]
-    assert global_index(df.where("false"), [F.col("x")], F.col("x"), "i").count() == 0
+    assert sorted(r["i"] for r in global_index(df, [F.col("x")], "i", bucket=F.floor(F.col("x") / 4)).collect()) == [0, 1, 2, 3]
+    assert global_index(df.where("false"), [F.col("x")], "i").count() == 0
 
 
 def test_as_of_carries_over_buckets(spark):
