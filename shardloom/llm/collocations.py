@@ -54,8 +54,8 @@ PORTION, ROW_WORDS, ROWS, GATHERED = 2 << 20, 128, 1024, 200_000
 EMITTED = 50_000
 #: A word's distance to the slot before it, and the bit that says that a phrase begins at it.
 GAP, LIVE = np.uint32(2), np.uint32(1 << 31)
-#: Bits of the filter: so many for each frequent phrase, up to 16 MB.
-BITS_EACH, MOST_BITS = 16, 1 << 27
+#: Bits of the filter: so many for each frequent phrase, up to 16 MB; with four probes less than one rare phrase in a thousand passes.
+BITS_EACH, PROBES, MOST_BITS = 32, 4, 1 << 27
 
 RELATION = "step binary, word binary"
 
@@ -149,7 +149,7 @@ def phrase_hash(word: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
 
 @dataclass
 class Filter:
-    """A bit filter with two probes: never says no to a member."""
+    """A bit filter: never says no to a member."""
 
     cells: np.ndarray
 
@@ -160,8 +160,9 @@ class Filter:
         return found
 
 
-def probes(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    return h & U64(bits - 1), mix(h) & U64(bits - 1)
+def probes(h: np.ndarray, bits: int) -> list[np.ndarray]:
+    step = mix(h) | U64(1)
+    return [(h + U64(i) * step) & U64(bits - 1) for i in range(PROBES)]
 
 
 def bit_filter(frequent: DataFrame, k: int, most: int = MOST_BITS) -> Filter:
