@@ -23,10 +23,10 @@ BUCKET_ROWS = 200_000
 MOST_PARTS = 20_000
 
 
-def parted(df: DataFrame, by: tuple[str, ...], order: list[Column], n: int) -> DataFrame:
+def parted(df: DataFrame, by: tuple[str, ...], order: list[Column], n: int, most: int | None = None) -> DataFrame:
     """The ``n`` rows of ``df`` as a written table in range parts of ``by`` and ``order``, with ``__key`` (by, __part) and the row's place in its part, ``__row``."""
     spark = df.sparkSession
-    parts = min(MOST_PARTS, max(-(-n // BUCKET_ROWS), int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    parts = min(MOST_PARTS, max(-(-n // (most or BUCKET_ROWS)), int(spark.conf.get("spark.sql.shuffle.partitions"))))
     whole = F.xxhash64(*(f"`{f.name}`" for f in df.schema if not isinstance(f.dataType, MapType)))
     keys = [*map(F.col, by), *order, whole]
     placed = written(df.repartitionByRange(parts, *keys).sortWithinPartitions(*keys).withColumn("__id", F.monotonically_increasing_id()), "parted")
@@ -91,7 +91,7 @@ def as_of(left: DataFrame, right: DataFrame, value: str, name: str, time: str =
     return found.select(*(f"`{c}`" for c in left.columns), F.coalesce("__own", "__carried")["v"].alias(name))
 
 
-def _largest(df: DataFrame, by: tuple[str, ...]) -> tuple[int, int]:
+def largest_group(df: DataFrame, by: tuple[str, ...]) -> tuple[int, int]:
     """Rows of the largest group, and of all."""
     largest, n = df.groupBy(*by).agg(F.count("*").alias("n")).agg(F.max("n"), F.sum("n")).first()
     return largest or 0, n or 0
@@ -103,7 +103,7 @@ def row_before(df: DataFrame, value: Column, order: tuple[str, ...], name: str,
     Rows alike in ``order`` follow ``value``.  ``df`` is read several times: pass a table, not a long plan.
     """
     valued, sort = df.withColumn("__value", F.struct(value.alias("value"))), (*order, "__value")
-    largest, n = _largest(df, by)
+    largest, n = largest_group(df, by)
     if largest <= BUCKET_ROWS:
         return valued.withColumn(name, F.lag("__value").over(Window.partitionBy(*by).orderBy(*sort))).drop("__value")
     cut = parted(valued, by, [F.col(c) for c in sort], n)
@@ -116,7 +116,7 @@ def row_before(df: DataFrame, value: Column, order: tuple[str, ...], name: str,
 def sum_before(df: DataFrame, amount: str, order: tuple[str, ...], name: str, by: tuple[str, ...]) -> DataFrame:
     """Adds, as ``name``, the sum of ``amount`` over the rows before in ``order`` of the same ``by``; 0 for the first."""
     total = lambda c, w: F.coalesce(F.sum(c).over(_before(w)), F.lit(0))
-    largest, n = _largest(df, by)
+    largest, n = largest_group(df, by)
     if largest <= BUCKET_ROWS:
         return df.withColumn(name, total(amount, Window.partitionBy(*by).orderBy(*order)))
     cut = parted(df, by, [F.col(c) for c in order], n)

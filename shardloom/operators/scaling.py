@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
+
+from ..functions import indexing, tables
 
 #: Shares of the memory limit, and the most servers that a scale-up asks for.
 OOM, HIGH, LOW, MOST_SERVERS = 0.8, 0.6, 0.4, 100
@@ -170,37 +176,104 @@ def scaling_state(updates: DataFrame) -> DataFrame:
     return last.select("job", action.alias("action"), F.col("s.new_n").alias("target"))
 
 
-def _fires(rows: pd.DataFrame, value: str, n: float, last: float | None) -> tuple[list[bool], float | None]:
+def firings(values: list, n: float, last: float | None) -> tuple[list[bool], float | None]:
+    """For the sorted ``values`` whether a check fires, and the last firing; a null fires nothing."""
     fired = []
-    for x in rows[value].tolist():
-        now = last is None or x - last >= n
-        fired.append(now)
-        last = x if now else last
+    for x in values:
+        fired.append(x is not None and (last is None or x >= last + n))
+        last = x if fired[-1] else last
     return fired, last
 
 
-def every_n_steps(rows: DataFrame, n: int, by: str = "task", value: str = "step") -> DataFrame:
-    """The rows (by, value) at which a check fires: a task's first, then each at least ``n`` after the last firing."""
-    rows = rows.select(by, value)
+def every_n_steps(rows: DataFrame, n: float, by: str = "task", value: str = "step", most: int | None = None) -> DataFrame:
+    """The rows (by, value) at which a check fires: a task's first, then each first one at least ``n`` after the last firing.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    Null values fire nothing; with ``n`` of 0 or less all others do.  Tasks of up to ``most`` rows (``BUCKET_ROWS``
+    of ``indexing``) are read sorted, batch by batch, only the last firing being carried on; if any has more, all are
+    cut into parts (``_firings_of_parts``).
+    """
+    rows = rows.select(by, value).where(F.col(value).isNotNull())
+    if n <= 0:
+        return rows
+    if isinstance(rows.schema[value].dataType, IntegralType):
+        n = math.ceil(n)
+    largest, total = indexing.largest_group(rows, (by,))
+    if largest > (most or indexing.BUCKET_ROWS):
+        return _firings_of_parts(rows, n, by, value, total, most)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, last = None, None
-        for batch in batches:  # sorted; the last firing of a task is carried on
-            kept = []
-            for task, x in zip(batch[by].tolist(), batch[value].tolist(), strict=True):
-                if not _same(task, key):
-                    key, last = task, None
-                kept.append(last is None or x - last >= n)
-                last = x if kept[-1] else last
-            yield batch[kept]
-
-    return rows.repartition(by).sortWithinPartitions(F.col(by), F.col(value).asc_nulls_last()).mapInPandas(run, rows.schema)
-
-
-def every_n_secs(rows: DataFrame, seconds: float, by: str = "task", time: str = "ts") -> DataFrame:
-    """The same by time."""
-    timed = rows.select(by, F.col(time).cast("timestamp").cast("double").alias("__at"))
-    return every_n_steps(timed, seconds, by, "__at").select(by, F.timestamp_seconds("__at").alias(time))
+        for batch in batches:  # sorted
+            tasks, kept = batch.column(0).to_pylist(), []
+            cuts = [i for i in range(len(tasks)) if tasks[i] != (tasks[i - 1] if i else key)]
+            for low, high in zip([0, *cuts], [*cuts, len(tasks)], strict=True):
+                last = None if low in cuts else last
+                fired, last = firings(batch.column(1).slice(low, high - low).to_pylist(), n, last)
+                kept += fired
+            key = tasks[-1] if tasks else key
+            yield batch.filter(pa.array(kept, pa.bool_()))
+
+    return rows.repartition(by).sortWithinPartitions(by, value).mapInArrow(run, rows.schema)
+
+
+def _firings_of_parts(rows: DataFrame, n: float, by: str, value: str, total: int, most: int | None) -> DataFrame:
+    """``every_n_steps`` with no pass over a whole task, by pointer doubling.
+
+    Rows are cut at split points.  In a part each row has a next firing, and so a last one in the part.  A
+    firing chain can enter a part only at rows less than ``n`` after its first, or at the next one: each of
+    them points to where the chain goes on in a later part, found by one lookup over all of them.  Then the chains are
+    followed from the tasks' first rows with pointers over 1, 2, 4, ... parts, in as many joins as that takes, and
+    each part fires from its entry.
+    """
+    kind = rows.schema[value].dataType.simpleString()
+    task = rows.schema[by].dataType.simpleString()
+    cut = indexing.parted(rows, (by,), [F.col(value)], total, most)
+
+    def onwards(values: np.ndarray) -> np.ndarray:
+        return np.searchsorted(values, values + n)
+
+    def ways(part: pa.Table) -> pa.Table:
+        v = np.unique(np.asarray(part.column(value)))
+        last = np.arange(len(v))
+        following = onwards(v)
+        following = np.where(following < len(v), following, last)
+        while (following != last).any():
+            last, following = following, following[following]
+        stop = int(np.searchsorted(v, v[0] + n)) + 1
+        where = part.column("__key")[0].as_py()["__part"]
+        m = min(stop, len(v))
+        return pa.table({by: pa.array([part.column(by)[0].as_py()] * m, part.schema.field(by).type), "__part": np.full(m, where), "v": v[:m], "left": v[last[:m]]})
+
+    def walk(part: pa.Table, entry: pa.Table) -> pa.Table:
+        v, fired = np.unique(np.asarray(part.column(value))), []
+        if entry.num_rows:
+            following, i = onwards(v).tolist(), int(np.searchsorted(v, entry.column("v")[0].as_py()))
+            while i < len(v):
+                fired.append(i)
+                i = following[i]
+        name = part.column(by)[0].as_py() if part.num_rows else None
+        return pa.table({by: pa.array([name] * len(fired), part.schema.field(by).type), value: pa.array(v[fired] if fired else [], part.schema.field(value).type)})
+
+    ways_in = tables.written(cut.groupBy("__key").applyInArrow(ways, f"`{by}` {task}, __part long, v {kind}, left {kind}"), "ways")
+    asked = ways_in.select(by, "v", (-(F.col("left") + n)).alias("__at"))
+    ahead = indexing.as_of(asked, ways_in.select(by, (-F.col("v")).alias("__at"), F.col("v").alias("__to")), "__to", "to", "__at", (by,))
+    jumps = tables.written(ahead.where("to is not null").select(F.col(by).alias("k"), "v", "to"), "jumps")
+    reached = ways_in.groupBy(by).agg(F.min("v").alias("v"))
+    while jumps.limit(1).count():
+        same = F.col(by).eqNullSafe(F.col("k")) & (F.col("v") == F.col("at"))
+        further = reached.join(jumps.select("k", F.col("v").alias("at"), "to"), same).select(by, F.col("to").alias("v"))
+        reached = tables.written(reached.unionByName(further), "reached")
+        twice = jumps.alias("a").join(jumps.alias("b"), F.col("a.k").eqNullSafe(F.col("b.k")) & (F.col("a.to") == F.col("b.v")))
+        jumps = tables.written(twice.select("a.k", "a.v", "b.to"), "jumps")
+    at = ways_in.select(F.struct(by, "__part").alias("__key"), F.col(by).alias("k"), F.col("v").alias("at"))
+    entries = reached.join(at, F.col(by).eqNullSafe(F.col("k")) & (F.col("v") == F.col("at"))).select("__key", "v")
+    return cut.groupBy("__key").cogroup(entries.groupBy("__key")).applyInArrow(walk, rows.schema)
+
+
+def every_n_secs(rows: DataFrame, seconds: float, by: str = "task", time: str = "ts", most: int | None = None) -> DataFrame:
+    """The same by time, to the microsecond."""
+    timed = rows.select(by, F.unix_micros(F.col(time).cast("timestamp")).alias("__at"))
+    return every_n_steps(timed, seconds * 1_000_000, by, "__at", most).select(by, F.timestamp_micros("__at").alias(time))
 
 
 def missing_tasks(specs: DataFrame, status: DataFrame, roles: tuple[str, ...] = ROLES) -> DataFrame:

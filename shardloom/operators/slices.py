@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import epoch_seed, seeded_hash, top_bits
 from ..functions.indexing import as_of, global_index, row_before
+from ..functions.tables import written
 
 ID_BUCKET = 4096
 
@@ -101,26 +102,34 @@ def restore_state(states: DataFrame, configs: DataFrame, time: str = "saved_at")
     return found.select("config_name", pick("epoch_index", F.lit(0)), pick("slice_index", F.lit(0)), pick("shuffle_seed", F.col("seed")), F.col("__state").isNotNull().alias("restored"))
 
 
-def assign_slices(plan: DataFrame, requests: DataFrame) -> DataFrame:
-    """Who gets which slice: the k-th request (by time, then task, then request_id) gets the k-th slice of the plan."""
-    asked = global_index(requests, [F.col("ts"), F.col("task"), F.col("request_id")], "rank")
+def assign_slices(plan: DataFrame, requests: DataFrame, order: tuple[str, ...] = ("ts", "task", "request_id")) -> DataFrame:
+    """Who gets which slice: the k-th request in ``order`` gets the k-th slice of the plan."""
+    asked = global_index(requests, [F.col(c) for c in order], "rank")
     queue = global_index(plan.select("pos", "slice_id"), [F.col("pos")], "rank", bucket=_id_bucket("pos"))
     return asked.join(queue, "rank").select("request_id", "task", "pos", "slice_id")
 
 
-def dispatch_outcomes(requests: DataFrame, control: DataFrame, plan: DataFrame) -> DataFrame:
+OPEN = ("ready", "start")
+
+
+def dispatch_outcomes(requests: DataFrame, control: DataFrame, plan: DataFrame, patience: float | None = None) -> DataFrame:
     """Per request its status and slice.
 
     ``control`` (ts, control_id, action): ``ready`` or ``start`` opens the queue, ``stop`` closes it.
     Before any of them a request is UNAVAILABLE, while closed RETRY_LATER; the rest get slices
-    in order until there is none: OUT_OF_RANGE.
+    in order until there is none: OUT_OF_RANGE.  With ``patience`` a request that finds the queue
+    closed waits so many seconds; if it opens by then, those who wait are served first, in order.
     """
-    gated = as_of(requests, control.withColumn("__act", F.col("action")), "__act", "gate", tie="control_id")
-    open_ = gated.where(F.col("gate").isin("ready", "start")).select("request_id", "task", "ts")
-    given = assign_slices(plan, open_).select("request_id", F.col("slice_id"))
-    status = (
-        F.when(F.col("gate").isNull(), "UNAVAILABLE").when(F.col("gate") == "stop", "RETRY_LATER").when(F.col("slice_id").isNull(), "OUT_OF_RANGE").otherwise("OK")
-    )
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    gated = as_of(requests, control.withColumn("__act", F.col("action")), "__act", "gate", tie="control_id").withColumn("__from", F.when(F.col("gate").isin(*OPEN), micros))
+    if patience is not None:
+        opened = control.where(F.col("action").isin(*OPEN)).select((-micros).alias("__at"), micros.alias("__open"))
+        gated = as_of(gated.withColumn("__at", -micros - 1), opened, "__open", "__next", "__at")  # the first opening after the request
+        waits = (F.col("gate") == "stop") & (F.col("__next") - micros <= int(patience * 1_000_000))
+        gated = gated.withColumn("__from", F.when(waits, F.col("__next")).otherwise(F.col("__from")))
+    gated = written(gated.select("request_id", "task", "ts", "gate", "__from"), "gated")
+    given = assign_slices(plan, gated.where("__from is not null"), ("__from", "ts", "task", "request_id")).select("request_id", F.col("slice_id"))
+    status = F.when(F.col("gate").isNull(), "UNAVAILABLE").when(F.col("__from").isNull(), "RETRY_LATER").when(F.col("slice_id").isNull(), "OUT_OF_RANGE").otherwise("OK")
     return gated.join(given, "request_id", "left").select("request_id", "task", status.alias("status"), "slice_id")
 
 

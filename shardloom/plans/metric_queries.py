@@ -246,6 +246,13 @@ def D22_every_n_steps(t: Tables) -> DataFrame:
     return C.every_n_steps(t.events.select(F.col("user_id").alias("task"), F.col("event_id").alias("step")), 500)
 
 
+@query(_FIRES.format(rows="SELECT CASE WHEN user_id % 3 > 0 THEN 'hot' ELSE 'task-' || user_id END AS task, event_id AS x FROM events", n=7, name="step"))
+def D22_every_n_steps_hot(t: Tables) -> DataFrame:
+    """Two thirds of all rows under one task, cut into parts."""
+    task = F.when(F.col("user_id") % 3 > 0, "hot").otherwise(F.concat(F.lit("task-"), F.col("user_id").cast("string")))
+    return C.every_n_steps(t.events.select(task.alias("task"), F.col("event_id").alias("step")), 7, most=500)
+
+
 @query(_FIRES.format(rows="SELECT user_id AS task, epoch_us(ts) AS x FROM events", n=_DAY * 1_000_000, name="us"))
 def D22_every_n_secs(t: Tables) -> DataFrame:
     return C.every_n_secs(t.events.select(F.col("user_id").alias("task"), "ts"), _DAY).select("task", F.unix_micros("ts").alias("us"))

@@ -9,6 +9,9 @@ from ..sources import readers
 from . import fixtures as X
 from .registry import Tables, query
 
+#: Seconds that a request waits for a closed queue.
+PATIENCE = 1_800
+
 
 @query(f"""
 WITH {X.SLICES_SQL},
@@ -110,6 +113,19 @@ def A22_dispatch_outcomes(t: Tables) -> DataFrame:
     return S.dispatch_outcomes(X.requests(t), X.control(t), X.shuffled(t))
 
 
+@query(f"""
+WITH {X.SHUFFLED_SQL}, {X.REQUESTS_SQL}, {X.CONTROL_SQL},
+u AS (SELECT ts, 0 AS is_request, control_id AS id, action, NULL AS task FROM control UNION ALL SELECT ts, 1, request_id, NULL, task FROM requests),
+g AS (SELECT *, last_value(action IGNORE NULLS) OVER (ORDER BY ts, is_request, id) AS gate,
+      min(CASE WHEN action = 'start' THEN ts END) OVER (ORDER BY ts RANGE BETWEEN INTERVAL 1 MICROSECOND FOLLOWING AND UNBOUNDED FOLLOWING) AS opened FROM u),
+w AS (SELECT id AS request_id, task, ts, gate, CASE WHEN gate = 'start' THEN ts WHEN gate = 'stop' AND opened - ts <= INTERVAL {PATIENCE} SECOND THEN opened END AS since FROM g WHERE is_request = 1),
+o AS (SELECT request_id, row_number() OVER (ORDER BY since, ts, task, request_id) - 1 AS k FROM w WHERE since IS NOT NULL)
+SELECT w.request_id, w.task, CASE WHEN gate IS NULL THEN 'UNAVAILABLE' WHEN since IS NULL THEN 'RETRY_LATER' WHEN slice_id IS NULL THEN 'OUT_OF_RANGE' ELSE 'OK' END AS status, slice_id
+FROM w LEFT JOIN o USING (request_id) LEFT JOIN shuffled ON k = pos""")
+def A22_dispatch_waiting(t: Tables) -> DataFrame:
+    return S.dispatch_outcomes(X.requests(t), X.control(t), X.shuffled(t), PATIENCE)
+
+
 @query(f"""
 WITH {X.SHUFFLED_SQL}, {X.REQUESTS_SQL},
 r AS (SELECT task, row_number() OVER (ORDER BY ts, task, request_id) - 1 AS k FROM requests)

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from ..operators.scaling import CONTROL_SCHEMA, Controller, _fires, control
+from ..operators.scaling import CONTROL_SCHEMA, Controller, control, firings
 
 ROCKSDB = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
@@ -49,16 +49,16 @@ def scaling_controller_stream(events: DataFrame, cooldown: float = 300, clear_fl
 class PeriodicProcessor(StatefulProcessor):
     """Keeps the value of the last firing per key."""
 
-    def __init__(self, by: str, value: str, n: float):
-        self.by, self.value, self.n = by, value, n
+    def __init__(self, by: str, value: str, n: float, kind: str):
+        self.by, self.value, self.n, self.kind = by, value, n, kind
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("last", "last double")
+        self.state = handle.getValueState("last", f"last {self.kind}")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803
         group = pd.concat(list(rows)).sort_values(self.value)
-        fired, last = _fires(group, self.value, self.n, self.state.get()[0] if self.state.exists() else None)
-        self.state.update((float(last),))
+        fired, last = firings(group[self.value].tolist(), self.n, self.state.get()[0] if self.state.exists() else None)
+        self.state.update((last,))
         yield group[fired][[self.by, self.value]]
 
     def close(self) -> None:
@@ -66,6 +66,7 @@ class PeriodicProcessor(StatefulProcessor):
 
 
 def every_n_steps_stream(rows: DataFrame, n: float, by: str = "task", value: str = "step") -> DataFrame:
-    """``every_n_steps`` on a stream; append mode."""
-    kept = rows.select(by, F.col(value))
-    return kept.groupBy(by).transformWithStateInPandas(PeriodicProcessor(by, value, n), kept.schema, "Append", "None")
+    """``every_n_steps`` on a stream, for ``n`` above 0; append mode.  Rows without a value or task fire nothing."""
+    kept = rows.select(by, value).where(F.col(value).isNotNull() & F.col(by).isNotNull())  # a null would turn a batch of longs into doubles
+    kind = kept.schema[value].dataType.simpleString()
+    return kept.groupBy(by).transformWithStateInPandas(PeriodicProcessor(by, value, n, kind), kept.schema, "Append", "None")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from conftest import rows
 from shardloom.functions import indexing
-from shardloom.operators import metrics, slices
+from shardloom.operators import metrics, scaling, slices
 
 
 def sizes(df, by, order):
@@ -86,3 +86,37 @@ def test_operators_over_many_parts(spark, monkeypatch):
     small = rows(found), rows(slices.assign_slices(plan, asked)), rows(metrics.metric_sequence(metric, ["ts"]))
     monkeypatch.setattr(indexing, "BUCKET_ROWS", 16)
     assert small == (rows(slices.make_slices(files, 7)), rows(slices.assign_slices(plan, asked)), rows(metrics.metric_sequence(metric, ["ts"])))
+
+
+def fired(values, n):
+    out, last = [], None
+    for x in sorted(values):
+        if last is None or x >= last + n:
+            out.append(x)
+            last = x
+    return out
+
+
+@pytest.mark.parametrize(("n", "most"), [(1, 5), (7, 1), (7, 40), (300, 10), (5_000, 3), (7, None)])
+def test_firings_of_a_hot_task_equal_the_loop(spark, monkeypatch, n, most):
+    monkeypatch.setattr(indexing, "MOST_PARTS", 60)
+    key = F.when(F.col("id") % 3 > 0, "hot").when(F.col("id") % 6 == 0, F.lit("cold"))  # the rest has no task
+    step = F.when(F.col("id") % 50 > 0, F.pmod(F.xxhash64("id"), F.lit(4_000)) + F.when(F.col("id") > 600, 9_007_199_254_740_993).otherwise(0))
+    df = spark.range(900).select(key.alias("task"), step.alias("step"))
+    wanted = {}
+    for r in df.where("step is not null").collect():
+        wanted.setdefault(r["task"], []).append(r["step"])
+    assert rows(scaling.every_n_steps(df, n, most=most)) == sorted(((k, x) for k, v in wanted.items() for x in fired(v, n)), key=repr)
+
+
+def test_firings_of_a_million_rows_run_in_parts(spark):
+    df = spark.range(1_000_000).select(F.lit("t").alias("task"), F.timestamp_seconds(F.col("id") * 3).alias("ts"))
+    found = scaling.every_n_secs(df, 10)
+    assert found.count() == 250_000 and rows(found.agg(F.max("ts"))) == rows(df.where("ts = timestamp_seconds(2999988)").select("ts"))
+
+
+def test_nulls_and_steps_beyond_doubles(spark):
+    big = 9_007_199_254_740_993
+    df = spark.createDataFrame([("t", None), ("t", big), ("t", big + 1), ("t", None), ("t", big + 2), ("u", None)], "task string, step long")
+    assert rows(scaling.every_n_steps(df, 2)) == [("t", big), ("t", big + 2)]
+    assert rows(scaling.every_n_steps(df, 0)) == [("t", big), ("t", big + 1), ("t", big + 2)]
