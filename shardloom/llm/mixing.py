@@ -2,7 +2,7 @@
 
 Words are summed per source, each source gets a target and from it a repetition rate, and
 each document is emitted floor(rate) times plus one copy with probability equal to the
-fraction, drawn from a hash of seed and doc_id: reruns agree.
+fraction, drawn from a hash of seed, doc_id and text: reruns agree.
 
 Targets: sources in code point order (null last) weigh 3, 1, 2, repeating, and share
 ``share`` times all words; a target stops at ``most`` times its source's words and the
@@ -11,7 +11,7 @@ weight this has a closed form: sources are capped as long as the level of the re
 above their own cap.
 
 Nulls: a null text has no words, a null source is a source of its own, a null doc_id draws
-as the text "null".  Rows that repeat a doc_id draw alike.  A source without words has rate
+as the text "null".  Rows that repeat a doc_id and its text draw alike, those that repeat one of them don't.  A source without words has rate
 0.  The windows run over the table of sources in one task: some millions of sources at most.
 A very long text is one row and may miss its source's target by its size.  Empty tables give empty results.  Other columns pass through ``mixed`` unchanged.
 """
@@ -64,24 +64,28 @@ def looked_up(docs: DataFrame, by_source: DataFrame) -> DataFrame:
     return docs.join(right, F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
 
 
-def copies(rate: Column, seed: str = SEED) -> Column:
-    extra = (unit_hash(F.lit(seed), id_text()) < rate - F.floor(rate)).cast("int")
-    return (F.floor(rate) + extra).cast("int")
+def draw(seed: str = SEED) -> Column:
+    """A document's number in [0, 1)."""
+    return unit_hash(F.lit(seed), id_text(), F.md5(text_of().cast("binary")))
+
+
+def copies(rate: Column, drawn: Column) -> Column:
+    return (F.floor(rate) + (drawn < rate - F.floor(rate)).cast("int")).cast("int")
 
 
 def plan(docs: DataFrame, seed: str = SEED) -> DataFrame:
     """A row per document: doc_id, size, source_size, target, copies."""
-    sizes = written(docs.select("doc_id", "source", n_words().alias("size")), "sizes")
+    sizes = written(docs.select("doc_id", "source", n_words().alias("size"), draw(seed).alias("draw")), "sizes")
     found = looked_up(sizes, written(rates(sizes), "rates"))
-    return found.select("doc_id", "size", "source_size", "target", copies(F.col("rate"), seed).alias("copies"))
+    return found.select("doc_id", "size", "source_size", "target", copies(F.col("rate"), F.col("draw")).alias("copies"))
 
 
 def mixed(docs: DataFrame, seed: str = SEED) -> DataFrame:
     """The mix itself: each document as often as it is taken, with its own columns."""
     by_source = written(rates(docs.select("source", n_words().alias("size"))).select("source", "rate"), "rates")
-    packed = docs.select(F.struct("*").alias("row"), F.col("source"), F.col("doc_id"))  # one column, so that no name clashes
+    packed = docs.select(F.struct("*").alias("row"), F.col("source"), draw(seed).alias("draw"))  # one column, so that no name clashes
     found = looked_up(packed, by_source)
-    return found.select("row", F.explode(F.array_repeat(F.lit(1), copies(F.col("rate"), seed)))).select("row.*")
+    return found.select("row", F.explode(F.array_repeat(F.lit(1), copies(F.col("rate"), F.col("draw"))))).select("row.*")
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,7 +95,7 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL = r"""
 WITH d AS (
-  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, md5(coalesce(text, '')) AS digest FROM documents),
 s AS (
   SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 w AS (
@@ -115,7 +119,7 @@ r AS (
   SELECT source, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate FROM t)
 SELECT doc_id, size, source_size, target,
        size * (floor(rate)::BIGINT
-               + CASE WHEN ('0x' || substr(md5('mix-1:' || coalesce(doc_id::VARCHAR, 'null')), 1, 13))::BIGINT::DOUBLE / 4503599627370496::DOUBLE
+               + CASE WHEN ('0x' || substr(md5('mix-1:' || coalesce(doc_id::VARCHAR, 'null') || ':' || digest), 1, 13))::BIGINT::DOUBLE / 4503599627370496::DOUBLE
                            < rate - floor(rate) THEN 1 ELSE 0 END) AS taken
 FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source
 """

@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import filtered, fold, mapped, table, text_of
+from .common import filtered, fold, mapped, table, text_of, written
 from .words import SPACED, words_of
 
 SAMPLE_ROWS, SAMPLE_BYTES = 4000, 24 << 20
@@ -132,8 +132,8 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column, rows:
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & learn)
     picked = known.groupBy("doc_id").agg(F.min(label).alias("__label")).orderBy(F.md5(F.concat_ws(":", F.lit(label), F.col("doc_id").cast("string")))).limit(rows)
     picked = docs.sparkSession.createDataFrame([(int(r[0]), int(r[1])) for r in picked.collect()], "__id long, __label int")
-    found = docs.join(F.broadcast(picked), F.col("doc_id") == F.col("__id"))  # at most ``rows`` ids
-    found = found.select("__id", "__label", text_of().alias("text")).withColumn("hash", F.xxhash64("text"))
+    texts = docs.select(F.col("doc_id").alias("__id"), text_of().alias("text")).join(F.broadcast(picked), "__id")  # at most ``rows`` ids
+    found = written(texts.select("__id", "__label", "text", F.xxhash64("text").alias("hash")), "labelled")
     sizes = found.groupBy("__id").agg(F.min(F.struct("hash", F.octet_length("text").alias("n"))).alias("one")).select("__id", "one.*").collect()
     total, keep = 0, []
     for r in sorted(sizes, key=lambda r: hashlib.md5(f"{label}:{r['__id']}".encode()).hexdigest()):

@@ -13,8 +13,8 @@ so texts are cut there and each distinct piece is encoded by the tokenizers libr
 per worker; the table of pieces (by 64-bit hashes, compared byte by byte) is bounded and emptied when it is full.  A piece is cut by
 the vocabulary's published pattern and its parts go straight to the library's BPE model,
 which is less than half the work of an encoding with offsets.  A text with blanks beyond
-ASCII or with the content of an added token (``<|endoftext|>``, which becomes that token) is
-encoded as a whole.
+ASCII, with characters that Python's Unicode tables don't know (newer ones, on which the libraries' tables differ) or
+with the content of an added token (``<|endoftext|>``, which becomes that token) is encoded as a whole.
 
 Nulls: a null text is empty and has only the end id; null doc_ids come first.  A very long
 text is encoded as one and makes a block of its own length.  Rows that
@@ -25,6 +25,7 @@ files.  Other columns are not looked at.
 from __future__ import annotations
 
 import re
+import unicodedata
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -44,6 +45,7 @@ BLOCK_IDS, PIECES = 1 << 16, 3 << 19
 BLOCK_SCHEMA = "shard int, block long, start long, n_ids long, width int, doc_ids array<long>, doc_at array<long>, payload binary"
 
 _ODD_BLANK = re.compile("[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200d\u2028\u2029\u202f\u205f\u2060\u3000\ufeff]")
+_UNUSUAL = re.compile("[\u0378-\U0010ffff]")  # from the first unassigned character on
 _PIECE = re.compile(r"[ \t-\r]*[^ \t-\r]+|[ \t-\r]+")
 _NOT_PLAIN = ("  ", " \n", "\n ", "\n\n", "\t", "\r", "\x0b", "\x0c")
 
@@ -62,6 +64,11 @@ _PIECES_APART[[0, 10, 32]] = 255, 0, 0
 _ASCII_WORD = np.isin(np.arange(256), np.frombuffer(b"0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", np.uint8))
 
 
+def unknown(text: str) -> bool:
+    """Whether the text has characters without a category."""
+    return not text.isascii() and bool(_UNUSUAL.search(text)) and any(unicodedata.category(c) == "Cn" for c in set(text))
+
+
 class PieceTable:
     """Ids of pieces by a 64-bit key, in open addressing: numpy looks up a whole batch at once."""
 
@@ -222,7 +229,7 @@ class Encoder:
         for i, text in enumerate(texts):
             if not text:
                 continue
-            if any(x in text for x in self.added):
+            if any(x in text for x in self.added) or unknown(text):
                 out[i] = np.array(self.whole(text), np.uint32)
             elif self.plain(text):
                 plain.append(i)

@@ -8,10 +8,11 @@ terms must also end there.  A match that begins inside an exception phrase doesn
 weighted sum is divided by the square root of the text's length over ``LONG`` and a logistic
 curve, fitted on the same rows, makes it a score.
 
-Learning reads a bounded sample of labelled rows (``quality.sample``); scoring reads every
+Learning reads a bounded sample of labelled rows (``quality.sample``: ``SAMPLE_ROWS`` ids and its bytes of text), whose
+terms all count; scoring reads every
 text whole, in a time that grows with its length.  Nulls: a null text is empty, its score is
 that of no match.  Without labels of both kinds fixed seed terms and a default curve are used.  Empty tables give empty results; rows that
-repeat a doc_id are scored each; other columns are not looked at.
+repeat a doc_id are scored each; other columns of either table, whatever their names, are not looked at.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ from .quality import sample
 
 SAMPLE_ROWS = 8000
 #: A learned term occurs in so many toxic texts, and its log odds are at least this.
-LEAST_DOCS, LEAST_ODDS, TERMS = 6, 4.0, 2000
+LEAST_DOCS, LEAST_ODDS = 6, 4.0
 STEMS, STEM_WORDS = range(4, 8), 3
 #: Terms for use without labels, and phrases in which such words are harmless.
 SEEDS = ("clown", "disgusting", "idiot", "loser", "moron", "pathetic", "scum", "stupid", "trash", "worthless")
@@ -153,7 +154,7 @@ def learn(texts: list[str], labels: list[int]) -> Lexicon:
     taken: set[str] = set()
     for term in strong:  # the shortest beginnings first; what begins with one is covered by it
         bare = term.rstrip("*")
-        if not any(bare[:k] in taken for k in STEMS if k <= len(bare)) and len(weights) < TERMS:
+        if not any(bare[:k] in taken for k in STEMS if k <= len(bare)):
             weights[term] = min(MOST_WEIGHT, odds[term])
             if term[-1] == "*":
                 taken.add(bare)
@@ -178,7 +179,7 @@ def _curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 def scored(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
     """doc_id, score."""
-    shared = docs.sparkSession.sparkContext.broadcast(lexicon)  # at most TERMS terms
+    shared = docs.sparkSession.sparkContext.broadcast(lexicon)  # terms of a bounded sample
 
     def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = [shared.value.score(x) for x in batch.column("text").to_pylist()]
