@@ -52,6 +52,8 @@ IS_BREAK = np.isin(np.arange(256), list(BREAKS))
 #: Bytes of a long text in one step, words of a packed row, packed rows in one step, rows of counts that a task gathers before it hands them on.
 PORTION, ROW_WORDS, ROWS, GATHERED = 2 << 20, 128, 1024, 200_000
 EMITTED = 50_000
+#: Occurrences that one task counts at least: what it hands on is combined, so fewer tasks hand on fewer rows.
+COUNTED = 4_000_000
 #: A word's distance to the slot before it, and the bit that says that a phrase begins at it.
 GAP, LIVE = np.uint32(2), np.uint32(1 << 31)
 #: Bits of the filter: so many for each frequent phrase, up to 16 MB; with four probes less than one rare phrase in a thousand passes.
@@ -305,7 +307,8 @@ def frequent_phrases(docs: DataFrame, longest: int = LONGEST, least: int = LEAST
     for k in range(2, longest + 1):
         shared = spark.sparkContext.broadcast(bit_filter(levels[-1], k - 1))  # at most MOST_BITS
         relation = written(first_relation(rows, shared, seed) if relation is None else next_relation(relation, k - 1, shared), f"occurrences-{k - 1}")
-        levels.append(written(phrase_counts(relation, k).where(F.col("n") >= least), f"phrases-{k}"))
+        live = levels[-1].agg(F.sum("n")).first()[0] or 0
+        levels.append(written(phrase_counts(relation.coalesce(max(1, live // COUNTED)), k).where(F.col("n") >= least), f"phrases-{k}"))
         shared.destroy()
     return words, levels
 
