@@ -112,7 +112,5 @@ def chunk_blobs(df: DataFrame, size: int = CHUNK, key: str = "id", blob: str = "
 
 
 def assemble_blobs(chunks: DataFrame, key: str = "id") -> DataFrame:
-    """The values back from their chunks."""
-    parts = F.array_sort(F.collect_list(F.struct("chunk_no", "chunk")))
-    joined = F.array_join(F.transform(parts, lambda x: F.hex(x["chunk"])), "")  # in one step, not chunk by chunk
-    return chunks.groupBy(key).agg(F.unhex(joined).alias("blob"))
+    """The values back from their chunks, joined as bytes in the order of their numbers."""
+    return chunks.groupBy(key).agg(F.expr("listagg(chunk, X'') WITHIN GROUP (ORDER BY chunk_no)").alias("blob"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.indexing import global_index
+from ..sources.versions import Versions
 
 KEYED = ("var", "key")
 
@@ -38,8 +39,13 @@ def reshard_export(table: DataFrame, n_new: int) -> DataFrame:
 
 
 def reshard_import(table: DataFrame, moved: DataFrame) -> DataFrame:
-    """The table with the moved rows in their new shards; importing twice changes nothing."""
-    rows = moved.withColumn("part", F.col("to_part")).drop("to_part").dropDuplicates(list(KEYED))
+    """The table with the moved rows in their new shards; importing twice changes nothing.
+
+    Of moved rows that repeat a key the one with the greatest version stays.
+    """
+    payload = [c for c in moved.columns if c not in (*KEYED, "to_part")]
+    newest = moved.groupBy(*KEYED).agg(F.max_by(F.struct("to_part", *payload), F.struct("version", "to_part")).alias("__row"))
+    rows = newest.select(*KEYED, "__row.*").withColumn("part", F.col("to_part")).drop("to_part").select(*table.columns)
     stay = table.join(rows.select(*KEYED), list(KEYED), "left_anti")
     return stay.unionByName(rows)
 
@@ -56,6 +62,45 @@ def reshard_with_slots(primary: DataFrame, slots: dict[str, DataFrame], n_new: i
     return [*((name, slot.join(keys, list(KEYED))) for name, slot in sorted(slots.items())), ("primary", plan)]
 
 
+def store_tables(store: Versions, primary: DataFrame, slots: dict[str, DataFrame]) -> None:
+    """Writes a table with ``var``, ``key``, ``part`` and its slot tables as one version, a directory per table and shard."""
+    parts = {}
+    for name, df in [*sorted(slots.items()), ("primary", primary)]:
+        parts |= {f"{name}/{p}": d for p, d in store.write(df).items()}
+    store.commit(parts)
+
+
+def stored_table(store: Versions, name: str) -> DataFrame:
+    """A table of the live version, with its shards as ``part``."""
+    found = {p: d for p, d in store.live().items() if p.split("/")[0] == name}
+    return store.read(found).withColumn("part", F.col("part").cast("int"))
+
+
+def reshard_stored(store: Versions, n_new: int) -> list[int]:
+    """Re-shards all stored tables by ``key mod n_new`` and returns the shards that were written.
+
+    Which rows move is read from keys and shards of the primary alone.  Only shards that lose or get rows are
+    written anew, slots first and the primary last; one manifest then makes all of them live at once.  So a job
+    that dies in between changes nothing and is run again, and the other shards keep their files.
+    """
+    live = store.live()
+    moving = stored_table(store, "primary").select("part", shard_mod(F.col("key"), n_new).alias("to")).where(F.col("part") != F.col("to"))
+    changed = {x for r in moving.distinct().collect() for x in r}  # pairs of shards
+    if not changed:
+        return []
+    fresh = {p: d for p, d in live.items() if int(p.split("/")[1]) not in changed}
+    names = sorted({p.split("/")[0] for p in live}, key=lambda x: (x == "primary", x))
+    for name in names:
+        old = {p: d for p, d in live.items() if p.split("/")[0] == name and int(p.split("/")[1]) in changed}
+        if old:
+            rows = store.read(old).withColumn("part", shard_mod(F.col("key"), n_new))
+            # A hot shard's rows are dealt out to several tasks by key.
+            spread = rows.repartition("part", F.pmod(F.xxhash64("key"), F.lit(8))).sortWithinPartitions("part", "key")
+            fresh |= {f"{name}/{p}": d for p, d in store.write(spread).items()}
+    store.commit(fresh)
+    return sorted(changed)
+
+
 def reshard_plan(table: DataFrame, n_new: int) -> DataFrame:
     """Rows and bytes from each shard to each other: part, to_part, n_rows, n_bytes."""
     row_bytes = F.size("value") * 4 + 24  # floats, key, version, frequency

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as C
 from ..operators import backup as B
+from ..sources.versions import Versions, upsert_newest
 from . import fixtures as X
 from .registry import Tables, query
 
@@ -48,6 +49,15 @@ def E5_latest_cache(t: Tables) -> DataFrame:
     return B.latest_cache(X.ckpt_writes(t))
 
 
+@query(f"WITH {X.WRITES_SQL} SELECT holder, shard, step, n_bytes FROM cache")
+def E5_latest_cache_upserts(t: Tables) -> DataFrame:
+    """The same as a table in versions, into which the writes come in four batches, out of order."""
+    store = Versions(t.spark, t.scratch("cache"))
+    for i in (2, 0, 3, 1):
+        upsert_newest(store, X.ckpt_writes(t).where(f"step % 4 = {i}"), ("holder", "shard"), ("arrival", "step"), 4)
+    return store.read(store.live()).select("holder", "shard", "step", "n_bytes")
+
+
 def _wanted(t: Tables) -> DataFrame:
     """The last version in each holder's cache, and some that aren't there."""
     return t.orders.select((F.col("o_custkey") % 8).alias("shard"), (F.col("o_orderkey") % 1000).alias("step")).distinct()

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from ..operators import capacity, gradients
 from ..operators import features as P
 from ..operators import reshard as R
+from ..sources.versions import Versions
 from . import fixtures as X
 from .registry import Tables, query
 
@@ -51,6 +52,21 @@ def C6_reshard_with_slots(t: Tables) -> DataFrame:
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
+@query(f"""
+WITH {X.EMB_SQL}, s AS (SELECT key, (key % 5)::INT AS part, 'primary' AS name FROM emb UNION ALL SELECT key, (key % 5)::INT, 'adagrad' FROM emb UNION ALL SELECT key, (key % 5)::INT, 'momentum' FROM emb WHERE key % 2 = 0)
+SELECT name, part, count(*) AS n, min(key) AS least, max(key) AS most, sum(key)::BIGINT AS total FROM s GROUP BY 1, 2""")
+def C6_reshard_stored(t: Tables) -> DataFrame:
+    """Tables on disk, from three shards to five, slots and primary in one commit."""
+    table = X.embedding(t)
+    store = Versions(t.spark, t.scratch("stored"))
+    slots = {"adagrad": table.select("var", "key", "part", F.col("value").alias("acc")), "momentum": table.where("key % 2 = 0").select("var", "key", "part", "value")}
+    R.store_tables(store, table, slots)
+    R.reshard_stored(store, 5)
+    found = [R.stored_table(store, x).select(F.lit(x).alias("name"), "key", "part") for x in ("primary", *slots)]
+    rows = found[0].unionByName(found[1]).unionByName(found[2])
+    return rows.groupBy("name", "part").agg(F.count("*").alias("n"), F.min("key").alias("least"), F.max("key").alias("most"), F.sum("key").alias("total"))
+
+
 @query(f"WITH {X.EMB_SQL} SELECT part, (key % 5)::INT AS to_part, count(*) AS n_rows, sum(len(value) * 4 + 24)::BIGINT AS n_bytes FROM emb WHERE part <> key % 5 GROUP BY 1, 2")
 def C7_reshard_plan(t: Tables) -> DataFrame:
     return R.reshard_plan(X.embedding(t), 5)

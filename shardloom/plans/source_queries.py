@@ -73,6 +73,16 @@ def A8_write_state(t: Tables) -> DataFrame:
     return t.spark.read.parquet(path).groupBy("config_name", "slice_index").agg(F.count("*").alias("n"))
 
 
+@query("""WITH s AS (SELECT 'config-' || (user_id % 11) AS config_name, floor(value / 200)::BIGINT AS slice_index, event_id AS saved_at FROM events)
+SELECT config_name, arg_max(slice_index, saved_at) AS slice_index, max(saved_at) AS saved_at FROM s GROUP BY 1""")
+def A8_save_newest_state(t: Tables) -> DataFrame:
+    path = t.scratch("newest")
+    states = t.events.select(F.concat(F.lit("config-"), (F.col("user_id") % 11).cast("string")).alias("config_name"), F.floor(F.col("value") / 200).alias("slice_index"), F.col("event_id").alias("saved_at"))
+    for i in range(3):
+        writers.save_newest_state(states.where(f"saved_at % 3 = {i}"), path)
+    return writers.read_newest_state(t.spark, path)
+
+
 def _report_files(t: Tables) -> str:
     """Reports as JSON files in time order, the last of them a day late: it closes all windows."""
     path = t.scratch("reports")

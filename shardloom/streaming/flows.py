@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators import backup, metrics, scaling
+from ..operators import metrics, scaling
+from ..sources import versions
 
 
 def snapshot_stream(reports: DataFrame, subs: list[tuple[str, str]], period: str = metrics.PERIOD, watermark: str = "1 minute") -> DataFrame:
@@ -19,27 +20,27 @@ def status_stream(updates: DataFrame) -> DataFrame:
     return scaling.latest_status(updates)
 
 
-def upsert_latest_cache(writes: DataFrame, path: str, checkpoint: str, keep: int = 2) -> StreamingQuery:
-    """Keeps the last version per holder and shard as a table.
+CACHE = "holder long, shard long, step long, n_bytes long, arrival long"
 
-    Each batch merges into the generation before it and writes a new one under ``path``, so
-    that a batch that runs again after a failure writes the same rows.  Read it with
-    ``read_latest_cache``.
+
+def upsert_latest_cache(writes: DataFrame, path: str, checkpoint: str, keep: int = 2, n_parts: int = 16) -> StreamingQuery:
+    """Keeps the last version per holder and shard as a table in versions (``sources.versions``).
+
+    Each batch rewrites the parts that its keys hash to and commits a manifest under the batch's number, so
+    that a batch that runs again after a failure gives the same rows.  The last ``keep`` versions stay.
+    Read it with ``read_latest_cache``, also while a batch runs.
     """
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        new = batch.select("holder", "shard", "step", "n_bytes", "arrival")
-        if batch_id:
-            new = spark.read.schema(new.schema).parquet(f"{path}/generation={batch_id - 1}").unionByName(new)
-        last = backup.latest_cache(new).join(new, ["holder", "shard", "step", "n_bytes"]).groupBy("holder", "shard", "step", "n_bytes").agg({"arrival": "max"})
-        last.withColumnRenamed("max(arrival)", "arrival").write.mode("overwrite").parquet(f"{path}/generation={batch_id}")
+        store = versions.Versions(batch.sparkSession, path, keep)
+        rows = batch.select("holder", "shard", "step", "n_bytes", "arrival")
+        versions.upsert_newest(store, rows, ("holder", "shard"), ("arrival", "step"), n_parts, batch_id)
 
     return writes.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def read_latest_cache(spark: SparkSession, path: str) -> DataFrame:
-    """The newest generation."""
-    table = spark.read.parquet(path)
-    newest = table.selectExpr("max(generation)").first()[0]
-    return table.where(f"generation = {newest}").drop("generation")
+    """The newest version: holder, shard, step, n_bytes, arrival."""
+    store = versions.Versions(spark, path)
+    live = store.live()
+    return store.read(live, CACHE).drop("part") if live else spark.createDataFrame([], CACHE)
