@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +16,9 @@ from ..functions.hashing import hash60, seeded_hash, top_bits
 from ..functions.indexing import global_index
 from ..functions.vectors import sum_vectors
 
+#: Counters of a shuffled row, counters that a task holds at most, and ids whose positions it remembers.
+CHUNK, MOST_CELLS, REMEMBERED = 4_096, 1 << 23, 200_000
+
 
 def split_label(df: DataFrame, label: str) -> DataFrame:
     """Per row the label, and the other columns as the struct ``features``."""
@@ -107,18 +115,103 @@ def bloom_positions(col: Column, m: int, k: int) -> Column:
     return F.array(*(F.pmod(hash60(F.concat_ws(":", F.lit(i), col.cast("string"))), F.lit(m)) for i in range(k)))
 
 
+class _Positions:
+    """``bloom_positions`` of ids as text, those asked last remembered."""
+
+    def __init__(self, m: int, k: int):
+        self.m, self.k, self.known = m, k, {}
+
+    def of(self, ids: list[str | None]) -> list[tuple[int, ...]]:
+        if len(self.known) > REMEMBERED:
+            self.known = {}
+        for x in ids:
+            if x not in self.known:
+                texts = (str(i) if x is None else f"{i}:{x}" for i in range(self.k))
+                self.known[x] = tuple({int(hashlib.md5(t.encode()).hexdigest()[:15], 16) % self.m for t in texts})
+        return [self.known[x] for x in ids]
+
+
+def counting_cells(ids: DataFrame, m: int, k: int, key: str = "id") -> DataFrame:
+    """The counters of a counting Bloom filter of ``m`` cells: chunk, cells (``CHUNK`` little-endian longs).
+
+    Each task counts in arrays of its own, and only these are shuffled and added up: at most ``m`` counters a task, whatever
+    the number of rows or ids, and ``m`` is at most ``MOST_CELLS``.  Tables of counters with the same ``m`` and ``k`` merge by
+    ``merged_cells``.
+    """
+    if m > MOST_CELLS:
+        raise ValueError(f"a task would hold {m} counters; at most {MOST_CELLS}")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        positions, cells = _Positions(m, k), {}
+        for batch in batches:
+            found = batch.column(0).value_counts()
+            for n, at in zip(found.field("counts").to_pylist(), positions.of(found.field("values").to_pylist()), strict=True):
+                for p in at:
+                    chunk = cells.get(p // CHUNK)
+                    if chunk is None:
+                        chunk = cells[p // CHUNK] = np.zeros(CHUNK, "<i8")
+                    chunk[p % CHUNK] += n
+        for chunk, values in cells.items():
+            yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([values.tobytes()], pa.binary())], names=["chunk", "cells"])
+
+    return _added(ids.select(F.col(key).cast("string")).mapInArrow(run, "chunk long, cells binary"))
+
+
+def _added(cells: DataFrame) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, total = None, None
+        row = lambda: pa.RecordBatch.from_arrays([pa.array([now], pa.int64()), pa.array([total.tobytes()], pa.binary())], names=["chunk", "cells"])
+        for batch in batches:  # sorted; one chunk is held
+            for chunk, values in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if chunk != now and now is not None:
+                    yield row()
+                more = np.frombuffer(values, "<i8")
+                now, total = chunk, more + total if chunk == now else more
+        if now is not None:
+            yield row()
+
+    return cells.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(run, "chunk long, cells binary")
+
+
+def merged_cells(a: DataFrame, b: DataFrame) -> DataFrame:
+    """The counters of what both have counted."""
+    return _added(a.unionByName(b))
+
+
+def estimated(ids: DataFrame, cells: DataFrame, m: int, k: int, freq: int, key: str = "id") -> DataFrame:
+    """The distinct ids whose smallest counter reaches ``freq``: id, estimate.  Only ids that pass are shuffled."""
+    kind = ids.schema[key].dataType
+    counters = np.zeros((m // CHUNK + 1, CHUNK), "<i8")
+    for r in cells.collect():  # at most MOST_CELLS
+        counters[r["chunk"]] = np.frombuffer(r["cells"], "<i8")
+    shared = ids.sparkSession.sparkContext.broadcast(counters.reshape(-1))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        positions = _Positions(m, k)
+        for batch in batches:
+            found = pc.unique(batch.column(0)).to_pylist()
+            least = [int(shared.value[list(at)].min()) for at in positions.of(found)]
+            kept = [(x, n) for x, n in zip(found, least, strict=True) if n >= freq]
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in kept], pa.string()), pa.array([n for _, n in kept], pa.int64())], names=["id", "estimate"])
+
+    passed = ids.select(F.col(key).cast("string")).mapInArrow(run, "id string, estimate long").distinct()
+    return passed.select(F.col("id").cast(kind).alias(key), "estimate")
+
+
 def bloom_counter_filter(ids: DataFrame, freq: int, capacity: int | None = None, fpp: float = 0.01, key: str = "id") -> DataFrame:
     """Distinct ids whose count, estimated by a counting Bloom filter, reaches ``freq``: id, estimate.
 
-    Own rule: k MD5 positions per id, an id's estimate is its smallest counter.  Counters are
-    summed from one row per id, and an estimate is never below the true count.  Without a
-    ``capacity`` the filter is sized for the number of distinct ids.
+    Own rule: k MD5 positions per id, an id's estimate is its smallest counter, never below the true
+    count.  Without a ``capacity`` the filter is sized for the number of distinct ids.  Up to ``MOST_CELLS``
+    counters tasks count in arrays; beyond, ids are counted, and their counters summed by position.
     """
-    counts = ids.groupBy(key).agg(F.count("*").alias("__n"))
-    m, k = bloom_sizes(max(1, counts.count()) if capacity is None else capacity, fpp)
-    spread = counts.select(key, "__n", F.explode(F.array_distinct(bloom_positions(F.col(key), m, k))).alias("__pos"))
-    cells = spread.groupBy("__pos").agg(F.sum("__n").alias("__cell"))
-    return spread.join(cells, "__pos").groupBy(key).agg(F.min("__cell").alias("estimate")).where(F.col("estimate") >= freq)
+    m, k = bloom_sizes(max(1, ids.select(key).distinct().count()) if capacity is None else capacity, fpp)
+    if m > MOST_CELLS:
+        counts = ids.groupBy(key).agg(F.count("*").alias("__n"))
+        spread = counts.select(key, "__n", F.explode(F.array_distinct(bloom_positions(F.col(key), m, k))).alias("__pos"))
+        cells = spread.groupBy("__pos").agg(F.sum("__n").alias("__cell"))
+        return spread.join(cells, "__pos").groupBy(key).agg(F.min("__cell").alias("estimate")).where(F.col("estimate") >= freq)
+    return estimated(ids, counting_cells(ids, m, k, key), m, k, freq, key)
 
 
 def evict_by_step(table: DataFrame, step: int, steps_to_live: int = 4000) -> DataFrame:

@@ -111,16 +111,31 @@ def B13_counter_filter(t: Tables) -> DataFrame:
     return P.counter_filter(t.lineitem.select(*KEYS, "l_partkey"), 30, "l_partkey").select(*KEYS, "l_partkey")
 
 
-@query(f"""
+_BLOOM = f"""
 WITH n AS (SELECT l_partkey AS id, count(*) AS n FROM lineitem GROUP BY 1),
 z AS (SELECT ceil(-count(*) * ln(0.01::DOUBLE) / (ln(2::DOUBLE) * ln(2::DOUBLE)))::BIGINT AS m FROM n),
 s AS (SELECT DISTINCT id, n, {X.HASH.format("i || ':' || id")} % m AS pos FROM n, z, range(7) AS r(i)),
 c AS (SELECT pos, sum(n) AS cell FROM s GROUP BY 1)
-SELECT id, min(cell)::BIGINT AS estimate FROM s JOIN c USING (pos) GROUP BY id HAVING min(cell) >= 32""")
+SELECT id, min(cell)::BIGINT AS estimate FROM s JOIN c USING (pos) GROUP BY id HAVING min(cell) >= 32"""
+
+
+@query(_BLOOM)
 def B14_bloom_counter_filter(t: Tables) -> DataFrame:
     return P.bloom_counter_filter(t.lineitem.select(F.col("l_partkey").alias("id")), 32)
 
 
+@query(_BLOOM)
+def B14_merged_counters(t: Tables) -> DataFrame:
+    """The same from the counters of four batches, merged."""
+    ids = t.lineitem.select("l_linenumber", F.col("l_partkey").alias("id"))
+    m, k = P.bloom_sizes(ids.select("id").distinct().count(), 0.01)
+    cells = None
+    for i in range(4):
+        batch = P.counting_cells(ids.where(f"l_linenumber % 4 = {i}"), m, k)
+        cells = batch if cells is None else P.merged_cells(cells, batch)
+    return P.estimated(ids, cells, m, k, 32)
+
+
 @query(f"WITH {X.EMB_SQL} SELECT key, version, freq FROM emb WHERE 6000 - version <= 4000")
 def B15_evict_by_step(t: Tables) -> DataFrame:
     return P.evict_by_step(X.embedding(t), 6000).select("key", "version", "freq")

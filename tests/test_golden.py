@@ -187,6 +187,22 @@ def test_bloom_never_undercounts(spark):
     assert all(found[i] >= 12 for i in range(40)) and len(found) == 100
 
 
+def test_counters_merge_and_equal_the_shuffled_form(spark, monkeypatch):
+    ids = spark.range(3_000).select(F.when(F.col("id") % 11 > 0, F.col("id") % 97).alias("id"))
+    monkeypatch.setattr(features, "CHUNK", 16)
+    monkeypatch.setattr(features, "REMEMBERED", 10)
+    m, k = features.bloom_sizes(98, 0.05)
+    halves = [features.counting_cells(ids.where(f"coalesce(id, 0) % 2 = {i}"), m, k) for i in range(2)]
+    merged = rows(features.estimated(ids, features.merged_cells(*halves), m, k, 1))
+    assert merged == rows(features.bloom_counter_filter(ids, 1, 98, 0.05))
+    counts = {r["id"]: r["count"] for r in ids.groupBy("id").count().collect()}
+    assert len(merged) == 98 and all(n >= counts[x] for x, n in merged)
+    monkeypatch.setattr(features, "MOST_CELLS", 1)
+    assert merged == rows(features.bloom_counter_filter(ids, 1, 98, 0.05))
+    with pytest.raises(ValueError, match="at most"):
+        features.counting_cells(ids, m, k)
+
+
 @pytest.mark.parametrize(("combiner", "expected"), [("mean", 1.75), ("sum", 7.0), ("sqrtn", 7.0 / math.sqrt(10))])
 def test_lookup_sparse(spark, combiner, expected):
     table = spark.createDataFrame([(1, [1.0]), (2, [2.0])], "key long, value array<float>")
