@@ -61,8 +61,8 @@ def components(edges: DataFrame, edges_per_task: int = EDGES_PER_TASK) -> DataFr
 
     parts = -(-edges.count() // edges_per_task)
     edges = contracted(edges, max(1, parts)).checkpoint()
-    now, before = state(edges), None
-    while parts > 1 and now != before:
+    now, before = state(edges) if parts > 1 else None, None
+    while now != before:
         edges = star(star(edges, True), False).checkpoint()
         before, now = now, state(edges)
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))

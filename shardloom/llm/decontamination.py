@@ -9,8 +9,8 @@ confirm.  Texts are cut into lanes that all jump at once, so the search is vecto
 The search tables are compiled once, on the driver, from at most ``block_bytes`` of benchmark
 text, and broadcast as arrays.  A larger benchmark is searched block after block: a pass
 over the texts for each, of which only digests of texts with hits and their hits are written
-and joined to the documents at the end.  Nothing is left out and each block's memory is bounded
-(but an item of more bytes than a block is not cut).
+and joined to the documents at the end.  Nothing is left out and each block's memory is bounded: an
+item of more than an eighth of a block is cut into pieces that share ``width`` - 1 words.
 
 Nulls: a null text has no words; a null item_id counts as the text "null".  Items without
 words give no window.  Rows that repeat a doc_id or item_id are searched like others; an item
@@ -91,9 +91,11 @@ class Patterns:
     def block_key(words) -> np.ndarray:
         return pair(words[0], words[1]) if len(words) == 2 else words[0]
 
-    def owners(self, pattern: int) -> list[str]:
-        """The items that have the window."""
-        return [self.bench.names[i] for i in self.owner[self.owner_at[pattern] : self.owner_at[pattern + 1]].tolist()]
+    def owners(self, patterns: np.ndarray) -> list[str]:
+        """The items that have any of the windows."""
+        low, many = self.owner_at[patterns], self.owner_at[patterns + 1] - self.owner_at[patterns]
+        places = np.repeat(low, many) + np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
+        return [self.bench.names[i] for i in np.unique(self.owner[places]).tolist()]
 
     def places(self, w: Words) -> tuple[np.ndarray, np.ndarray]:
         """(last word of a window, pattern) of every occurrence."""
@@ -154,15 +156,18 @@ def search(texts: pa.Array, tables: list[Patterns]) -> tuple[Words, list[list[tu
     spans: list[list[tuple[int, int]]] = [[] for _ in range(w.rows)]
     items: list[set[str]] = [set() for _ in range(w.rows)]
     for t in tables:
+        seen: dict[int, set[int]] = {}
         ends, pattern = t.places(w)
         for end, p in sorted(zip(ends.tolist(), pattern.tolist(), strict=True)):
             row = int(w.row[end])
             first, stop = end - t.length + 1 - int(begin[row]), end + 1 - int(begin[row])
-            items[row].update(t.owners(p))
+            seen.setdefault(row, set()).add(p)
             if spans[row] and spans[row][-1][0] <= first <= spans[row][-1][1]:
                 spans[row][-1] = (spans[row][-1][0], max(stop, spans[row][-1][1]))
             else:
                 spans[row].append((first, stop))
+        for row, patterns in seen.items():  # a pattern's owners once, however often it occurs
+            items[row].update(t.owners(np.array(sorted(patterns))))
     return w, spans, items
 
 
@@ -176,12 +181,36 @@ def united(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
+def pieces_of(texts: pa.Array, width: int, most: int) -> Iterator[tuple[int, str]]:
+    """(row, text) of the texts, those beyond ``most`` bytes cut between words into pieces that share ``width`` - 1 words: no window is lost or new."""
+    for row, text in enumerate(texts.to_pylist()):
+        raw = text.encode()
+        if len(raw) <= most:
+            yield row, text
+            continue
+        w = words_of(pa.array([text], pa.large_string()), ALNUM)
+        at = 0
+        while at < len(w.start):
+            stop = max(at + width, int(np.searchsorted(w.end, w.start[at] + most, side="right")))
+            stop = min(stop, len(w.start))
+            yield row, raw[w.start[at] : w.end[stop - 1]].decode()
+            if stop == len(w.start):
+                break
+            at = stop - width + 1
+
+
 def pattern_blocks(benchmark: DataFrame, width: int, block_bytes: int) -> Iterator[tuple[Broadcast, bool]]:
     """The search tables of about ``block_bytes`` of benchmark at a time, broadcast, and whether the block is the only one.
 
     Items that repeat id and text count once.  A block leaves the driver and the executors before the next one comes.
     """
-    bench = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item"), text_of().alias("text")).distinct()
+
+    def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = list(pieces_of(batch.column("text"), width, max(1, block_bytes // 8)))
+        return pa.RecordBatch.from_arrays([batch.column("item").take(pa.array([r for r, _ in found], pa.int64())), pa.array([x for _, x in found], pa.string())], names=["item", "text"])
+
+    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item"), text_of().alias("text"))
+    bench = mapped(items, fn, "item string, text string").distinct()
     size = bench.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = int(size // block_bytes) + 1
     for k in range(blocks):

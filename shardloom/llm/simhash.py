@@ -10,8 +10,12 @@ verified in the join condition.
 key stays selective at any size; every ``b`` finds all pairs.
 
 A bucket is a star first: each fingerprint is compared with the bucket's smallest, and what
-is linked is contracted.  Then, in buckets of more than two, only pairs across the parts that are
-left are compared; the largest part isn't paired with itself.
+is linked is contracted.  Then only pairs across the parts that are left are compared; the largest
+part isn't paired with itself.  A bucket in which more than ``FULL`` members stand outside of its
+largest part is split instead: its members agree on the bits of its key, so two of them differ in at
+most ``distance`` of the others, which are cut into ``distance + 1`` further blocks; a close pair agrees on
+one of them.  That is repeated while buckets are full and more than ``LAST_BITS`` bits are free, so no bucket
+costs the square of its size and no pair is lost.
 Components: links are contracted to stars inside tasks of bounded size; where there is more
 than one task, alternating large-star and small-star steps, a checkpoint after each pair, join
 them up.
@@ -33,9 +37,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import mapped, table, text_of, written
-from .components import between_parts, components
+from .components import components
 
 SHINGLE, DISTANCE = 4, 4
+#: Members outside of the largest part up to which a bucket's pairs are compared; where no more than ``LAST_BITS`` bits are
+#: free there can't be more than so many parts (a code of 12 bits at distance 5 has 32 words). Levels at most.
+FULL, LAST_BITS, MOST_LEVELS = 32, 12, 16
 PIECE = 50_000
 
 
@@ -74,38 +81,69 @@ def blocks_for(n: int, distance: int) -> int:
     return b
 
 
-def placed(fps: DataFrame, n: int, distance: int = DISTANCE) -> DataFrame:
-    """fp, choice, bits: each fingerprint under every choice of so many blocks that two close ones must share one."""
-    b = blocks_for(n, distance)
-    edges = [64 * i // b for i in range(b + 1)]
-    masks = [((1 << (hi - lo)) - 1) << lo for lo, hi in zip(edges, edges[1:], strict=False)]
-    signed = lambda x: x - (1 << 64) if x >> 63 else x
-    kept = F.array(*(F.lit(signed(sum(masks[i] for i in c))) for c in combinations(range(b), b - distance)))
-    return fps.select("fp", F.posexplode(kept).alias("choice", "mask")).select("fp", "choice", F.col("fp").bitwiseAND(F.col("mask")).alias("bits"))
+def cut(mask: int, many: int) -> list[int]:
+    """The bits of a mask in ``many`` blocks of about one size."""
+    bits = [i for i in range(64) if mask >> i & 1]
+    edges = [len(bits) * i // many for i in range(many + 1)]
+    return [sum(1 << i for i in bits[lo:hi]) for lo, hi in zip(edges, edges[1:], strict=False)]
 
 
-def linked(fps: DataFrame, n: int, distance: int = DISTANCE) -> DataFrame:
-    """(node, root) of the distinct fingerprints in ``fps`` that have links, as of ``components``.
+def choices(n: int, distance: int) -> list[int]:
+    """For ``n`` fingerprints the bits that the two of a close pair may agree on."""
+    blocks = cut((1 << 64) - 1, blocks_for(n, distance))
+    return [sum(c) for c in combinations(blocks, len(blocks) - distance)]
 
-    Each fingerprint is compared with the smallest of its bucket and what is close is contracted; then only pairs
-    across different parts of a bucket are compared, so that a dense group doesn't write the square of its size.
+
+def _signed(mask: int) -> int:
+    return mask - (1 << 64) if mask >> 63 else mask
+
+
+def placed(fps: DataFrame, masks: list[int]) -> DataFrame:
+    """fp, mask, key: each fingerprint under each mask; keys that meet by chance only bring candidates."""
+    rows = fps.select("fp", F.explode(F.array(*(F.lit(_signed(m)) for m in masks))).alias("mask"))
+    return rows.select("fp", "mask", F.xxhash64("mask", F.col("fp").bitwiseAND(F.col("mask"))).alias("key"))
+
+
+def split(rows: DataFrame, level: int, distance: int) -> DataFrame:
+    """The rows (fp, mask, key) under further blocks of the bits that their masks don't cover.
+
+    The 64 bits are dealt out to ``distance + 1`` blocks, at each level in another order; two members of a bucket agree on
+    its mask, so if they are close there is a block whose other bits they agree on as well.
     """
-    rows = placed(fps, n, distance)
-    buckets = written(rows.groupBy("choice", "bits").agg(F.min("fp").alias("u"), F.count("*").alias("n")).where("n > 1"), "buckets")
-    members = written(rows.join(buckets, ["choice", "bits"]), "members")
+    order = sorted(range(64), key=lambda i: (i * (5, 11, 23, 37, 43, 59)[level % 6] + level) % 64)
+    edges = [64 * i // (distance + 1) for i in range(distance + 2)]
+    blocks = [_signed(sum(1 << i for i in order[lo:hi])) for lo, hi in zip(edges, edges[1:], strict=False)]
+    found = rows.select("fp", "key", "mask", F.posexplode(F.array(*map(F.lit, blocks))).alias("nth", "block"))
+    found = found.select("fp", F.col("mask").bitwiseOR(F.col("block")).alias("mask"), "key", "nth")
+    return found.select("fp", "mask", F.xxhash64("key", "nth", F.col("fp").bitwiseAND(F.col("mask"))).alias("key"))
+
+
+def linked(fps: DataFrame, n: int, distance: int = DISTANCE, full: int = FULL) -> DataFrame:
+    """(node, root) of the distinct fingerprints in ``fps`` that have links, as of ``components``."""
+    rows, links, level = placed(fps, choices(n, distance)), None, 0
     close = F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= distance
-    stars = written(members.select("u", F.col("fp").alias("v")).where((F.col("u") < F.col("v")) & close).distinct(), "links")
-    # In a bucket of two the only pair has been compared.
-    parts = members.where("n > 2").join(components(stars), F.col("fp") == F.col("node"), "left").select("choice", "bits", "fp", F.coalesce("root", "fp").alias("part"))
-    parts = written(parts, "parts")
-    keys = ["choice", "bits"]
-    rest, every = between_parts(parts, keys)
-    u = rest.select(*keys, F.col("fp").alias("u"), F.col("part").alias("u_part"))
-    v = every.select(*keys, F.col("fp").alias("v"), F.col("part").alias("v_part"), "largest")
-    once = (F.col("v_part") == F.col("largest")) | (F.col("u_part") < F.col("v_part"))
-    across = u.join(v, keys).where((F.col("u_part") != F.col("v_part")) & once & close)
-    across = across.groupBy("u", "v_part").agg(F.min("v").alias("v")).select("u", "v")  # one link to each other part is enough
-    return components(stars.unionByName(written(across, "links")))
+    while True:
+        buckets = rows.groupBy("key").agg(F.min("fp").alias("u"), F.count("*").alias("n")).where("n > 1")
+        members = written(rows.join(buckets, "key"), "members")
+        stars = written(members.select("u", F.col("fp").alias("v")).where((F.col("u") < F.col("v")) & close).distinct(), "links")
+        links = stars if links is None else links.unionByName(stars)
+        # In a bucket of two the only pair has been compared.
+        parts = members.where("n > 2").join(components(links), F.col("fp") == F.col("node"), "left").select("key", "mask", "n", "fp", F.coalesce("root", "fp").alias("part"))
+        parts = written(parts, "parts")
+        sizes = parts.groupBy("key", "part").agg(F.count("*").alias("m"), F.first("n").alias("n"))
+        largest = sizes.groupBy("key").agg(F.max(F.struct("m", "part")).alias("most"), F.first("n").alias("n")).where("most.m < n")
+        largest = largest.select("key", F.col("most.part").alias("largest"), (F.col("n") - F.col("most.m") > full).alias("full"))
+        free = 64 - F.bit_count("mask")
+        parts = written(parts.drop("n").join(largest, "key").withColumn("full", F.col("full") & (free > LAST_BITS) & F.lit(level < MOST_LEVELS)), "parts")
+        u = parts.where("part != largest").select("key", F.col("fp").alias("u"), F.col("part").alias("u_part"), "full")
+        v = parts.select("key", F.col("fp").alias("v"), F.col("part").alias("v_part"), "largest")
+        once = (F.col("v_part") == F.col("largest")) | (F.col("u_part") < F.col("v_part"))
+        across = u.where(~F.col("full")).join(v, "key").where((F.col("u_part") != F.col("v_part")) & once & close)
+        across = across.groupBy("u", "v_part").agg(F.min("v").alias("v")).select("u", "v")  # one link to each other part is enough
+        links = links.unionByName(written(across, "links"))
+        if not parts.where("full").limit(1).count():
+            return components(links)
+        rows, level = split(parts.where("full").select("fp", "mask", "key"), level, distance), level + 1
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:

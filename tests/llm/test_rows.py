@@ -11,7 +11,7 @@ from conftest import rows
 from oracle import canonical
 from pyspark.sql import functions as F
 
-from shardloom.llm import exact_dedup, mixing, quality, token_files, toxicity
+from shardloom.llm import decontamination, exact_dedup, mixing, quality, simhash, token_files, toxicity
 
 
 def test_one_row_of_a_text_stays(spark):
@@ -110,3 +110,75 @@ def test_rows_of_one_id_with_other_texts_draw_apart(spark):
     docs = spark.createDataFrame([(1, f"text {i}", "s") for i in range(50)], "doc_id long, text string, source string")
     assert docs.select(mixing.draw().alias("d")).distinct().count() == 50
     assert rows(mixing.mixed(docs)) == rows(mixing.mixed(docs.repartition(3)))
+
+
+def brute_links(values, distance=4):
+    found = np.array(sorted(values), np.uint64)
+    root = {int(v): int(v) for v in found}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, v in enumerate(found):
+        for w in found[i + 1 :][np.bitwise_count(found[i + 1 :] ^ v) <= distance]:
+            a, b = find(int(v)), find(int(w))
+            root[max(a, b)] = min(a, b)
+    return {v: find(v) for v in root}
+
+
+@pytest.mark.parametrize("n", [100, 5_000_000, 2**40])
+def test_full_buckets_are_split(spark, n, monkeypatch):
+    """Fingerprints with common high bits, a few of them linked, beside a dense group: no bucket costs its square."""
+    draw = random.Random(4)
+    high = 0x5A5A5A5 << 36
+    values = {high | draw.getrandbits(36) for _ in range(1_400)}
+    base = sorted(values)[:31]
+    values |= {v ^ (1 << draw.randrange(20)) ^ (1 << 21 + draw.randrange(10)) for v in base}  # true links
+    values |= {high ^ (1 << i) ^ (1 << j) for i in range(20) for j in range(i)}  # one dense group
+    compared, real = [], simhash.written
+
+    def counting(df, name):
+        out = real(df, name)
+        if name == "parts" and "full" in out.columns:
+            open_ = out.where("not full")
+            u = open_.where("part != largest").groupBy("key").agg(F.count("*").alias("u"))
+            compared.append(u.join(open_.groupBy("key").agg(F.count("*").alias("v")), "key").agg(F.sum(F.col("u") * F.col("v"))).first()[0] or 0)
+        return out
+
+    monkeypatch.setattr(simhash, "written", counting)
+    fps = spark.createDataFrame([(v,) for v in values], "fp long")
+    got = dict(rows(simhash.linked(fps, n)))
+    wanted = brute_links(values)
+    assert {v: r for v, r in wanted.items() if v != r or r in got.values()} == {**{r: r for r in got.values()}, **got}
+    assert sum(compared) < 150_000 and (len(compared) > 1 or n > 10**9), compared
+
+
+def test_owners_of_a_window_are_looked_up_once_a_text(spark):
+    n = 2_000
+    bench = spark.createDataFrame([(i, "yes") for i in range(n)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "yes " * 20_000), (2, "no")], "doc_id long, text string")
+    tables = decontamination.compile_patterns([(str(i), "yes") for i in range(n)])
+    asked, real = [], decontamination.Patterns.owners
+    decontamination.Patterns.owners = lambda self, p: asked.append(len(p)) or real(self, p)
+    try:
+        _, spans, items = decontamination.search(quality.pa.array(["yes " * 20_000], quality.pa.large_string()), tables)
+    finally:
+        decontamination.Patterns.owners = real
+    assert asked == [1] and len(items[0]) == n and spans == [[(0, 20_000)]]
+    found = {r["doc_id"]: (r["n_words"], len(r["items"])) for r in decontamination.find_passages(docs, bench).collect()}
+    assert found == {1: (20_000, n), 2: (1, 0)}
+
+
+def test_a_long_item_is_cut_without_losing_windows(spark):
+    draw = random.Random(6)
+    words = [f"w{draw.randrange(10**6)}" for _ in range(3_000)]
+    bench = spark.createDataFrame([(1, " ".join(words)), (2, "short item"), (3, None), (4, "é!" + " ü" * 3)], "item_id long, text string")
+    docs = spark.createDataFrame([(i, "before " + " ".join(words[i * 100 + 3 : i * 100 + 3 + n]) + " after") for i, n in enumerate([10, 9, 12, 200, 300] * 5)] + [(99, "a short item and é ü ü ü")], "doc_id long, text string")
+    whole = rows(decontamination.find_passages(docs, bench))
+    assert sum(bool(r[3]) for r in whole) == 21
+    pieces = list(decontamination.pieces_of(quality.pa.array([" ".join(words)]), 10, 500))
+    assert len(pieces) > 40 and max(len(p) for _, p in pieces) < 600
+    for size in (2_000, 20_000):
+        assert rows(decontamination.find_passages(docs, bench, block_bytes=size)) == whole
