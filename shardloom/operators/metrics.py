@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.indexing import global_index, row_before
 from ..functions.scalars import glob_to_regex, task_id
+from ..functions.tables import written
 
 #: Subscriptions up to which their patterns are part of the plan.
 MOST_PATTERNS = 1000
@@ -42,15 +43,50 @@ def subscribe(metrics: DataFrame, subs: DataFrame) -> DataFrame:
     """Metrics for each subscriber with a matching glob (subscriber, pattern), once per subscriber.
 
     Up to ``MOST_PATTERNS`` subscriptions are tested on each metric as it passes, without a join or
-    a second reading.  More are matched to the distinct metric types, and metrics join their types.
+    a second reading.  More are matched to the distinct metric types (``matching_types``), and metrics join their types.
     """
     listed = subs.select("subscriber", "pattern").distinct().limit(MOST_PATTERNS + 1).collect()
     if len(listed) <= MOST_PATTERNS:
         return subscribe_small(metrics, [tuple(r) for r in listed])
-    rules = subs.select("subscriber", glob_to_regex(F.col("pattern")).alias("regex")).distinct()
-    types = metrics.select("type").distinct()
-    wanted = types.join(rules, F.expr("type rlike regex")).select("type", "subscriber").distinct()
-    return metrics.join(wanted, "type")
+    return metrics.join(matching_types(metrics.select("type").distinct(), subs), "type")
+
+
+def _grams(text: Column, q: int) -> Column:
+    """The distinct parts of ``q`` characters."""
+    return F.when(F.length(text) >= q, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - q + 1), lambda i: F.substring(text, i, F.lit(q))))).otherwise(F.array().cast("array<string>"))
+
+
+def literals(pattern: Column) -> Column:
+    """What every match of a glob contains: the runs between ``*``, ``?`` and classes."""
+    return F.filter(F.split(F.regexp_replace(pattern, r"\[!?\]?[^\]]*\]", "*"), r"[*?\[]"), lambda x: x != "")
+
+
+def matching_types(types: DataFrame, subs: DataFrame) -> DataFrame:
+    """(type, subscriber) of the distinct ``types`` and the globs (subscriber, pattern) that match them.
+
+    An index of parts: every match of a pattern contains the pattern's literal runs, so it meets only the types that have
+    the rarest part of these, six characters long where there are such runs, else three.  The few distinct patterns
+    without a run of three are tested in blocks of ``MOST_PATTERNS`` as the types pass.
+    """
+    types = written(types, "types")
+    patterns = subs.select("pattern").where("pattern is not null").distinct()
+    parts = lambda q: F.array_distinct(F.flatten(F.transform(literals(F.col("pattern")), lambda x: _grams(x, q))))
+    patterns = patterns.withColumn("long", parts(6)).withColumn("parts", F.when(F.size("long") > 0, F.col("long")).otherwise(parts(3))).drop("long")
+    patterns = written(patterns.withColumn("regex", glob_to_regex(F.col("pattern"))), "patterns")
+    there = written(types.select("type", F.explode(F.concat(_grams(F.col("type"), 6), _grams(F.col("type"), 3))).alias("part")), "parts")
+    asked = patterns.select("pattern", F.explode("parts").alias("part"))
+    often = there.groupBy("part").agg(F.count("*").alias("n"))
+    # A part that no type has rules the pattern out, so it counts 0.
+    rarest = asked.join(often, "part", "left").groupBy("pattern").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "part")).alias("least"))
+    chosen = rarest.where("least.n > 0").join(patterns.select("pattern", "regex"), "pattern").select("pattern", "regex", F.col("least.part").alias("part"))
+    found = there.join(chosen, "part").where(F.expr("type rlike regex")).select("type", "pattern")
+    rest = patterns.where(F.size("parts") == 0).select("pattern", "regex")
+    blocks = -(-rest.count() // MOST_PATTERNS)
+    for k in range(blocks):
+        block = rest.where(F.pmod(F.xxhash64("pattern"), F.lit(blocks)) == k).collect()
+        hits = F.array_compact(F.array(*(F.when(F.col("type").rlike(r["regex"]), F.lit(r["pattern"])) for r in block))) if block else F.array().cast("array<string>")
+        found = found.unionByName(types.select("type", F.explode(hits).alias("pattern")))
+    return found.join(subs.select("subscriber", "pattern"), "pattern").select("type", "subscriber").distinct()
 
 
 def subscribe_small(metrics: DataFrame, subs: list[tuple[str, str]]) -> DataFrame:

@@ -48,6 +48,19 @@ def D4_subscribe(t: Tables) -> DataFrame:
     return subscribed(t).groupBy("subscriber", "type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
 
 
+@query("""WITH types AS (SELECT DISTINCT p_name || '/' || p_brand AS type FROM part),
+subs AS (SELECT 'c' || s_suppkey AS subscriber, CASE s_suppkey % 5 WHEN 0 THEN left(s_name, 1) || '*' WHEN 1 THEN '*d ' || s_nationkey || '*' WHEN 2 THEN '*#' || (s_nationkey % 5 + 1) || '?' WHEN 3 THEN '[a-m]*#[1-3]*' ELSE '*' || right(s_suppkey::VARCHAR, 1) || '/*' END AS pattern FROM supplier)
+SELECT DISTINCT type, subscriber FROM types, subs WHERE type GLOB pattern""")
+def D4_matching_types(t: Tables) -> DataFrame:
+    """Patterns of all suppliers against the types of all parts, by their rarest parts."""
+    nation, key = F.col("s_nationkey"), F.col("s_suppkey")
+    kind = key % 5
+    pattern = F.when(kind == 0, F.concat(F.substring("s_name", 1, 1), F.lit("*"))).when(kind == 1, F.concat(F.lit("*d "), nation, F.lit("*"))).when(kind == 2, F.concat(F.lit("*#"), nation % 5 + 1, F.lit("?")))
+    pattern = pattern.when(kind == 3, "[a-m]*#[1-3]*").otherwise(F.concat(F.lit("*"), F.substring(key.cast("string"), -1, 1), F.lit("/*")))
+    subs = t.supplier.select(F.concat(F.lit("c"), key.cast("string")).alias("subscriber"), pattern.alias("pattern"))
+    return M.matching_types(t.part.select(F.concat_ws("/", "p_name", "p_brand").alias("type")).distinct(), subs)
+
+
 @query(f"""WITH {SUBSCRIBED_SQL}
 SELECT subscriber, type, (sec // 10 * 10)::BIGINT AS window_start, count(*) AS n, string_agg(round(value * 100)::BIGINT, ',' ORDER BY ts, value) AS values FROM sub GROUP BY 1, 2, 3""")
 def D5_window_snapshot(t: Tables) -> DataFrame:
