@@ -22,7 +22,9 @@ Tokens: words of the lower-cased (A-Z) text, then one end; the context of the fi
 the end.  Hashes have 64 bits.  The base score is a smoothed unigram model of its own.
 
 Nulls: a null text is empty and has only the end; a null doc_id counts as the text "null".
-Rows that repeat a doc_id are one row each; rows that repeat id and text share a group.  A text
+Rows that repeat a doc_id are one row each.  Rows that repeat id and text share a group; if they are more than ``REPEATS``
+and one in 10,000 of all rows, they are counted first, scored as one row that weighs as many, and get its score, so that no
+group holds them all.  A text
 longer than a group is a group's only large one.  Without training documents all counts are 0.
 Empty tables give empty results; other columns are not looked at.
 """
@@ -41,6 +43,7 @@ from .words import SPACED, U64, pair, words_of
 
 MODULUS, HELD_OUT, TUNING = 7, 2, 5
 GROUP_BYTES, RANGE_BYTES, ROW_BYTES = 12 << 20, 24 << 20, 600
+REPEATS, MOST_REPEATED = 1_000, 10_000
 END = U64(0x5851F42D4C957F2D)
 BINS_PER_OCTAVE, ROUNDS = 8, 30
 LEVELS = 34  # buckets of context frequency: none, then one per power of two
@@ -62,18 +65,31 @@ def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return token, pair(before, token), np.repeat(np.arange(w.rows), counts + 1)
 
 
-def grouped(docs: DataFrame, group_bytes: int = GROUP_BYTES, range_bytes: int = RANGE_BYTES) -> tuple[DataFrame, int, int]:
-    """(doc_id, text, part, grp) with part 0 held out, 1 training, 2 training and tuning; the number of groups and of ranges."""
-    size = docs.agg(F.sum(F.octet_length(text_of()))).first()[0] or 0
+def grouped(docs: DataFrame, group_bytes: int = GROUP_BYTES, range_bytes: int = RANGE_BYTES) -> tuple[DataFrame, int, int, DataFrame | None]:
+    """(doc_id, text, part, grp, times, hot) with part 0 held out, 1 training, 2 training and tuning; the number of groups and of ranges.
+
+    ``times`` is how many rows a row stands for, ``hot`` the hash of id and text where it is more than one;
+    last the hashes of all rows that are not rows of their own.
+    """
+    size, n = docs.agg(F.sum(F.octet_length(text_of())), F.count("*")).first()
+    size = size or 0
     least = int((size * ROW_BYTES) ** 0.5)
     groups, ranges = int(size // max(group_bytes, least)) + 1, int(size // max(range_bytes, least)) + 1
     rest = fold(MODULUS)
     part = F.when(rest == HELD_OUT, 0).when(rest == TUNING, 2).otherwise(1)
     tuning = int(groups // MODULUS) + 1  # tuning documents have groups of their own
     spread = F.xxhash64("doc_id", "text")
-    dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).withColumn("part", part)
-    grp = F.when(F.col("part") == 2, -1 - F.pmod(spread, F.lit(tuning))).otherwise(F.pmod(spread, F.lit(groups)))
-    return dealt.select("doc_id", "text", "part", grp.cast("int").alias("grp")), groups, ranges
+    dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).withColumn("part", part).withColumn("hot", spread)
+    often = dealt.groupBy("hot").count().where(F.col("count") > max(REPEATS, n // MOST_REPEATED)).select("hot").collect()  # fewer than MOST_REPEATED
+    grp = F.when(F.col("part") == 2, -1 - F.pmod(spread, F.lit(tuning))).otherwise(F.pmod(spread, F.lit(groups))).cast("int").alias("grp")
+    columns = ("doc_id", "text", "part", grp, "times", "hot")
+    if not often:
+        return dealt.withColumns({"times": F.lit(1).cast("long"), "hot": F.lit(None).cast("long")}).select(*columns), groups, ranges, None
+    keys = F.broadcast(docs.sparkSession.createDataFrame(often, "hot long"))
+    repeated = dealt.join(keys, "hot", "left_semi")
+    once = repeated.groupBy("doc_id", "text", "part", "hot").agg(F.count("*").alias("times"))
+    single = dealt.join(keys, "hot", "left_anti").withColumns({"times": F.lit(1).cast("long"), "hot": F.lit(None).cast("long")})
+    return single.select(*columns).unionByName(once.select(*columns)), groups, ranges, repeated.select("hot")
 
 
 class Group:
@@ -82,7 +98,8 @@ class Group:
     def __init__(self, batches: list[pa.RecordBatch]):
         parts = [(tokens(x.column("text")), x) for b in batches for x in steps(b)]
         self.doc_id = pa.concat_arrays([x.column("doc_id") for _, x in parts])
-        self.part = np.concatenate([np.asarray(x.column("part")) for _, x in parts])
+        self.part, self.times = (np.concatenate([np.asarray(x.column(c)) for _, x in parts]) for c in ("part", "times"))
+        self.hot = pa.concat_arrays([x.column("hot") for _, x in parts])
         base = np.cumsum([0] + [x.num_rows for _, x in parts])
         self.row = np.concatenate([t[2] + b for (t, _), b in zip(parts, base, strict=False)])
         token, bigram = (np.concatenate([t[i] for t, _ in parts]) for i in (0, 1))
@@ -90,7 +107,7 @@ class Group:
         self.kinds = []
         for x in (token, bigram):
             hashes, place = np.unique(x, return_inverse=True)
-            self.kinds.append((hashes, place, np.bincount(place[trained], minlength=len(hashes))))
+            self.kinds.append((hashes, place, np.bincount(place[trained], self.times[self.row[trained]], len(hashes)).astype(np.int64)))
         self.first = np.concatenate([[True], self.row[1:] != self.row[:-1]]) if len(self.row) else np.zeros(0, bool)
 
     def requests(self, ranges: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -225,7 +242,7 @@ def unbinned(b: np.ndarray) -> np.ndarray:
 def score(docs: DataFrame, group_bytes: int = GROUP_BYTES, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """A row per document: doc_id, part, n_tokens, n_known, train_tokens, base_score, score (log10 probability)."""
     spark = docs.sparkSession
-    dealt, _, ranges = grouped(docs, group_bytes, range_bytes)
+    dealt, _, ranges, repeated = grouped(docs, group_bytes, range_bytes)
     answers = written(counted(dealt, ranges), "counts")
     sums = {r["kind"]: r for r in answers.groupBy("kind").agg(F.sum("tokens").alias("n"), F.sum("distinct").alias("v"), F.sum("tuned").alias("kept")).collect()}
     n, v, kept = (int(sums[0][x]) if 0 in sums else 0 for x in ("n", "v", "kept"))
@@ -235,8 +252,9 @@ def score(docs: DataFrame, group_bytes: int = GROUP_BYTES, range_bytes: int = RA
     def bins(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         group = Group(left.combine_chunks().to_batches())
         bucket, bi, uni, _ = estimates(group, right.to_pylist(), "kept", kept)
-        cells, many = np.unique(np.stack([bucket, binned(bi), binned(uni)]), axis=1, return_counts=True)
-        return pa.table({"bucket": cells[0], "bi": cells[1], "uni": cells[2], "n": many.astype(np.float64)})
+        cells, at = np.unique(np.stack([bucket, binned(bi), binned(uni)]), axis=1, return_inverse=True)
+        many = np.bincount(at.reshape(-1), group.times[group.row].astype(np.float64), cells.shape[1])
+        return pa.table({"bucket": cells[0], "bi": cells[1], "uni": cells[2], "n": many})
 
     tuning = dealt.where("part = 2").groupBy("grp").cogroup(answers.where("grp < 0").select(*columns).groupBy("grp"))
     cells = tuning.applyInArrow(bins, "bucket long, bi long, uni long, n double").groupBy("bucket", "bi", "uni").agg(F.sum("n").alias("n"))
@@ -254,12 +272,17 @@ def score(docs: DataFrame, group_bytes: int = GROUP_BYTES, range_bytes: int = RA
         base = np.log10((c + 1) / (n + (v + 1)))
         rows = len(group.part)
         add = lambda x: np.bincount(group.row, x, rows)
-        values = [group.doc_id, group.part, np.bincount(group.row, minlength=rows), add(c > 0).astype(np.int64), np.full(rows, n), add(base), add(p)]
+        values = [group.doc_id, group.part, np.bincount(group.row, minlength=rows), add(c > 0).astype(np.int64), np.full(rows, n), add(base), add(p), group.hot]
         return pa.table([pa.array(x, k) for x, k in zip(values, out.types, strict=True)], names=out.names)
 
-    out = pa.schema([("doc_id", pa.int64()), ("part", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
+    out = pa.schema([("doc_id", pa.int64()), ("part", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()), ("hot", pa.int64())])
     pairs = dealt.groupBy("grp").cogroup(answers.select(*columns).groupBy("grp"))
-    return pairs.applyInArrow(scores, "doc_id long, part long, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    found = pairs.applyInArrow(scores, "doc_id long, part long, n_tokens long, n_known long, train_tokens long, base_score double, score double, hot long")
+    if repeated is None:
+        return found.drop("hot")
+    found = written(found, "scores")
+    every = repeated.join(F.broadcast(found.where("hot is not null")), "hot")  # fewer than MOST_REPEATED rows
+    return found.where("hot is null").drop("hot").unionByName(every.drop("hot"))
 
 
 def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ from conftest import rows
 from oracle import canonical
 from pyspark.sql import functions as F
 
-from shardloom.llm import decontamination, exact_dedup, mixing, quality, simhash, token_files, toxicity
+from shardloom.llm import decontamination, exact_dedup, lm_scoring, mixing, quality, simhash, token_files, toxicity
 
 
 def test_one_row_of_a_text_stays(spark):
@@ -182,3 +182,19 @@ def test_a_long_item_is_cut_without_losing_windows(spark):
     assert len(pieces) > 40 and max(len(p) for _, p in pieces) < 600
     for size in (2_000, 20_000):
         assert rows(decontamination.find_passages(docs, bench, block_bytes=size)) == whole
+
+
+def test_scores_of_rows_that_repeat_id_and_text(spark, monkeypatch):
+    """Many equal rows are counted and scored as one; the rows are those of the plain way."""
+    draw = random.Random(9)
+    texts = [" ".join(f"w{draw.randrange(40)}" for _ in range(draw.randrange(30))) for _ in range(60)]
+    data = [(i, t) for i, t in enumerate(texts)] + [(None, "the same text")] * 40 + [(3, texts[3])] * 30 + [(4, None)] * 25 + [(12, "tuned the same")] * 30
+    docs = spark.createDataFrame(data, "doc_id long, text string").repartition(4)
+    plain = lm_scoring.score(docs)
+    wanted = sorted(((r["doc_id"], r["part"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 9), round(r["score"], 6)) for r in plain.collect()), key=repr)
+    monkeypatch.setattr(lm_scoring, "REPEATS", 10)
+    monkeypatch.setattr(lm_scoring, "MOST_REPEATED", 100)
+    dealt, *_, repeated = lm_scoring.grouped(docs)
+    assert repeated is not None and dealt.groupBy("doc_id", "text").count().agg(F.max("count")).first()[0] == 1
+    got = sorted(((r["doc_id"], r["part"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 9), round(r["score"], 6)) for r in lm_scoring.score(docs).collect()), key=repr)
+    assert got == wanted and len(got) == len(data)

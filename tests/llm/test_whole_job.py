@@ -140,7 +140,7 @@ def test_packed_rows_grow_with_the_input(spark):
     texts = [" ".join(random.choice(words, 60)) for _ in range(3200)]
     for n in (200, 800, 3200):
         docs = spark.createDataFrame(list(enumerate(texts[:n])), "doc_id long, text string")
-        dealt, groups, ranges = lm_scoring.grouped(docs, 1, 1)
+        dealt, groups, ranges, _ = lm_scoring.grouped(docs, 1, 1)
         found.append((groups, ranges, lm_scoring.counted(dealt, ranges).count()))
     rows_ = [x[2] for x in found]
     assert found[2][0] > found[0][0] > 5 and rows_[1] < 5 * rows_[0] and rows_[2] < 5 * rows_[1]
@@ -148,6 +148,6 @@ def test_packed_rows_grow_with_the_input(spark):
 
 def test_rows_without_ids_are_spread_over_groups(spark):
     docs = spark.createDataFrame([(None, f"{i:04d} words") for i in range(400)], "doc_id long, text string")
-    dealt, groups, _ = lm_scoring.grouped(docs, 1, 1)
+    dealt, groups, *_ = lm_scoring.grouped(docs, 1, 1)
     sizes = [r["count"] for r in dealt.groupBy("grp").count().collect()]
     assert groups > 1 and max(sizes) < 3 * 400 / groups
