@@ -289,3 +289,28 @@ def task_changes(before: DataFrame, after: DataFrame) -> DataFrame:
     both = before.select("task", F.col("uid").alias("old")).join(after.select("task", F.col("uid").alias("new")), "task", "full")
     change = F.when(F.col("old").isNull(), "added").when(F.col("new").isNull(), "deleted").when(F.col("old") != F.col("new"), "replaced").otherwise("running")
     return both.select("task", change.alias("change"))
+
+
+PRESENCE = "task string, micros long, change string, uid string"
+
+
+def task_presence(updates: DataFrame, patience: float, until: int | None = None) -> DataFrame:
+    """What becomes of tasks over time, from their statuses (task, ts, uid): task, micros, change, uid.
+
+    ``added`` at a task's first status, ``lost`` once it has been silent for ``patience`` seconds (at that time, with the
+    last uid), then ``returned`` at its next status; ``replaced`` where the uid is another one.  Statuses of one time stand by
+    uid, a null uid is the empty text.  Silence after a task's last status counts up to ``until`` (microseconds), by default the last time of all.
+    """
+    span = int(patience * 1_000_000)
+    rows = updates.select(F.col("task").cast("string").alias("task"), F.unix_micros(F.col("ts").cast("timestamp")).alias("micros"), F.coalesce(F.col("uid").cast("string"), F.lit("")).alias("uid")).where("task is not null and micros is not null")
+    rows = indexing.row_before(rows, F.struct("micros", "uid"), ("micros", "uid"), "__before", ("task",))
+    before = F.col("__before.value")
+    silent = F.col("micros") - before["micros"] > span
+    row = lambda at, change, uid: F.struct(at.alias("micros"), F.lit(change).alias("change"), uid.alias("uid"))
+    now = F.when(before.isNull(), row(F.col("micros"), "added", F.col("uid"))).when(before["uid"] != F.col("uid"), row(F.col("micros"), "replaced", F.col("uid"))).when(silent, row(F.col("micros"), "returned", F.col("uid")))
+    inside = rows.select("task", F.explode(F.array_compact(F.array(F.when(silent, row(before["micros"] + span, "lost", before["uid"])), now))).alias("x")).select("task", "x.*")
+    last = rows.groupBy("task").agg(F.max(F.struct("micros", "uid")).alias("last"))
+    if until is None:
+        until = last.agg(F.max("last.micros")).first()[0] or 0
+    ends = last.where(F.lit(until) - F.col("last.micros") > span).select("task", (F.col("last.micros") + span).alias("micros"), F.lit("lost").alias("change"), F.col("last.uid").alias("uid"))
+    return inside.unionByName(ends)

@@ -295,6 +295,16 @@ def D24_task_changes(t: Tables) -> DataFrame:
     return C.task_changes(before, after)
 
 
+@query("""WITH u AS (SELECT 'task-' || user_id AS task, epoch_us(ts) AS t, (event_id // 3000)::VARCHAR AS uid FROM events),
+b AS (SELECT *, lag(t) OVER w AS bt, lag(uid) OVER w AS bu FROM u WINDOW w AS (PARTITION BY task ORDER BY t, uid)),
+l AS (SELECT task, max(t) AS t, arg_max(uid, (t, uid)) AS uid, (SELECT max(t) FROM u) AS last FROM u GROUP BY 1),
+x AS (SELECT task, t AS micros, CASE WHEN bt IS NULL THEN 'added' WHEN bu <> uid THEN 'replaced' WHEN t - bt > 86400000000 THEN 'returned' END AS change, uid FROM b
+  UNION ALL SELECT task, bt + 86400000000, 'lost', bu FROM b WHERE t - bt > 86400000000 UNION ALL SELECT task, t + 86400000000, 'lost', uid FROM l WHERE last - t > 86400000000)
+SELECT * FROM x WHERE change IS NOT NULL""")
+def D24_task_presence(t: Tables) -> DataFrame:
+    return C.task_presence(t.events.select(F.concat(F.lit("task-"), F.col("user_id").cast("string")).alias("task"), "ts", F.floor(F.col("event_id") / 3000).alias("uid")), _DAY)
+
+
 @query(f"""WITH {X.REPORTS_SQL},
 s AS (SELECT sec // 86400 AS day, split_part(type, '/', 5) AS task, arg_max(value, (ts, value)) AS mb FROM metrics WHERE type LIKE 'sys/mem/job_ps/%/%/%' GROUP BY 1, 2),
 k AS (SELECT day, count(*) FILTER (mb * 1048576 / {X.LIMIT}.0 > 0.8) AS oom, count(*) FILTER (mb * 1048576 / {X.LIMIT}.0 > 0.6 AND mb * 1048576 / {X.LIMIT}.0 <= 0.8) AS up,

@@ -4,10 +4,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import DATA, rows
-from shardloom.operators import slices
+from shardloom.operators import scaling, slices
 from shardloom.plans import fixtures
 from shardloom.plans.registry import Tables
-from shardloom.streaming import dispatch
+from shardloom.streaming import dispatch, stateful
 
 
 def tables(spark):
@@ -55,3 +55,20 @@ def test_patience(spark):
     plan = spark.range(3).select(F.col("id").alias("pos"), F.col("id").alias("slice_id"))
     found = {r["request_id"]: (r["status"], r["slice_id"]) for r in slices.dispatch_outcomes(asked, told, plan, 10).collect()}
     assert found == {0: ("UNAVAILABLE", None), 1: ("OK", 0), 2: ("RETRY_LATER", None), 3: ("OK", 1), 4: ("OK", 2), 5: ("OUT_OF_RANGE", None)}
+
+
+def test_presence_stream_equals_batch_over_restarts(spark, tmp_path):
+    updates = Tables(spark, DATA).events.select(F.concat(F.lit("t"), F.col("user_id") % 25).alias("task"), F.col("ts").cast("timestamp").alias("ts"), F.when(F.col("event_id") % 7 > 0, F.floor(F.col("event_id") / 300).cast("string")).alias("uid"))
+    closing = updates.orderBy(F.col("ts").desc()).limit(1).withColumns({"ts": F.col("ts") + F.expr("interval 30 days"), "task": F.lit("other")})
+    every = updates.unionByName(closing)
+    cut = [r["ts"] for r in updates.orderBy("ts").collect()]
+    cut = [cut[len(cut) // 3], cut[2 * len(cut) // 3]]
+    kinds = F.when(F.col("ts") <= F.lit(cut[0]), 0).when(F.col("ts") <= F.lit(cut[1]), 1).otherwise(2)
+    for i in range(3):
+        every.where(kinds == i).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        for _ in range(2):
+            stream = stateful.task_presence_stream(spark.readStream.schema(every.schema).parquet(str(tmp_path / "in")), 40_000)
+            stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start().awaitTermination()
+    batch = scaling.task_presence(every, 40_000)
+    assert {r["change"] for r in batch.select("change").distinct().collect()} == {"added", "lost", "returned", "replaced"}
+    assert rows(spark.read.parquet(str(tmp_path / "out")).select(*batch.columns)) == rows(batch)
