@@ -116,19 +116,23 @@ def bloom_positions(col: Column, m: int, k: int) -> Column:
 
 
 class _Positions:
-    """``bloom_positions`` of ids as text, those asked last remembered."""
+    """``bloom_positions`` of ids as text, a row each, those asked last remembered; a position that repeats in its row is ``m``."""
 
     def __init__(self, m: int, k: int):
-        self.m, self.k, self.known = m, k, {}
+        self.m, self.k, self.known, self.table = m, k, {}, np.zeros((0, k), np.int64)
 
-    def of(self, ids: list[str | None]) -> list[tuple[int, ...]]:
+    def of(self, ids: list[str | None]) -> np.ndarray:
         if len(self.known) > REMEMBERED:
-            self.known = {}
-        for x in ids:
-            if x not in self.known:
-                texts = (str(i) if x is None else f"{i}:{x}" for i in range(self.k))
-                self.known[x] = tuple({int(hashlib.md5(t.encode()).hexdigest()[:15], 16) % self.m for t in texts})
-        return [self.known[x] for x in ids]
+            self.known, self.table = {}, self.table[:0]
+        new = [x for x in dict.fromkeys(ids) if x not in self.known]
+        rows = np.full((len(new), self.k), self.m, np.int64)
+        for row, x in enumerate(new):
+            self.known[x] = len(self.known)
+            texts = (str(i) if x is None else f"{i}:{x}" for i in range(self.k))
+            found = {int(hashlib.md5(t.encode()).hexdigest()[:15], 16) % self.m for t in texts}
+            rows[row, : len(found)] = list(found)
+        self.table = np.concatenate([self.table, rows]) if new else self.table
+        return self.table[[self.known[x] for x in ids]]
 
 
 def counting_cells(ids: DataFrame, m: int, k: int, key: str = "id") -> DataFrame:
@@ -142,16 +146,16 @@ def counting_cells(ids: DataFrame, m: int, k: int, key: str = "id") -> DataFrame
         raise ValueError(f"a task would hold {m} counters; at most {MOST_CELLS}")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        positions, cells = _Positions(m, k), {}
+        positions, cells = _Positions(m, k), np.zeros((m // CHUNK + 1) * CHUNK, "<i8")
         for batch in batches:
-            found = batch.column(0).value_counts()
-            for n, at in zip(found.field("counts").to_pylist(), positions.of(found.field("values").to_pylist()), strict=True):
-                for p in at:
-                    chunk = cells.get(p // CHUNK)
-                    if chunk is None:
-                        chunk = cells[p // CHUNK] = np.zeros(CHUNK, "<i8")
-                    chunk[p % CHUNK] += n
-        for chunk, values in cells.items():
+            if batch.num_rows:
+                found = batch.column(0).value_counts()
+                at = positions.of(found.field("values").to_pylist())
+                np.add.at(cells, at, np.asarray(found.field("counts"))[:, None])
+        cells[m:] = 0
+        cells = cells.reshape(-1, CHUNK)
+        for chunk in np.flatnonzero(cells.any(axis=1)).tolist():
+            values = cells[chunk]
             yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([values.tobytes()], pa.binary())], names=["chunk", "cells"])
 
     return _added(ids.select(F.col(key).cast("string")).mapInArrow(run, "chunk long, cells binary"))
@@ -184,13 +188,15 @@ def estimated(ids: DataFrame, cells: DataFrame, m: int, k: int, freq: int, key:
     counters = np.zeros((m // CHUNK + 1, CHUNK), "<i8")
     for r in cells.collect():  # at most MOST_CELLS
         counters[r["chunk"]] = np.frombuffer(r["cells"], "<i8")
-    shared = ids.sparkSession.sparkContext.broadcast(counters.reshape(-1))
+    counters = counters.reshape(-1)
+    counters[m:] = np.iinfo(np.int64).max  # what repeats in a row doesn't count
+    shared = ids.sparkSession.sparkContext.broadcast(counters)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         positions = _Positions(m, k)
         for batch in batches:
             found = pc.unique(batch.column(0)).to_pylist()
-            least = [int(shared.value[list(at)].min()) for at in positions.of(found)]
+            least = shared.value[positions.of(found)].min(axis=1).tolist() if found else []
             kept = [(x, n) for x, n in zip(found, least, strict=True) if n >= freq]
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in kept], pa.string()), pa.array([n for _, n in kept], pa.int64())], names=["id", "estimate"])
 
