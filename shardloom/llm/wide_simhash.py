@@ -4,20 +4,23 @@ Words are parted by the six ASCII blanks, A-Z count as a-z; a text of fewer word
 Texts with one set are one row from the start.  Each shingle's hash is spread to ``BITS`` bits and
 the fingerprint is their majority: two sets with a Jaccard similarity of 0.8 differ in 15 % of
 the bits, more alike ones in fewer.  64 bits are too few for that: a pigeonhole over 16 differing
-ones of 64 takes thousands of keys a text.  ``BITS`` are enough to be split into many blocks.
+ones of 64 takes thousands of keys a text, and one over wide fingerprints takes more keys the more texts
+there are.
 
-Blocks: ``blocks_of(n)`` cuts the bits into disjoint blocks of about log2(n) bits, so that a
-random text shares a block with about one other, and takes as many of them as let a pair at 0.8
-share none with a probability of ``MISS`` (1 %; at 0.85 it is below 0.1 %, at 0.9 below 0.001 %).
-The number of blocks grows with the power 0.24 of the number of texts.  The join is on the
-blocks, the Hamming distance is verified in its condition, and every pair that passes is
+Blocks: the join is on ``BANDS`` keys of a text, whatever the number of texts.  A key is made of ``ROWS`` minima
+of the set's hashes under seeded functions, each of which two sets share with a probability of their similarity:
+a pair at 0.8 shares no key in 0.04 % of cases, one at 0.85 in 0.001 %, sets of few shingles no more often.
+The Hamming distance of the fingerprints is verified in the join's condition, and every pair that passes is
 confirmed by the exact similarity of the two sets: no two texts below 0.8 are linked.
 
 A large group must not make a square of pairs.  In blocks that up to ``FEW`` sets share all pairs
 are looked at.  In fuller ones each set is first compared with the smallest only; what is
-confirmed is contracted, and then only pairs across the parts whose whole fingerprints are
-close enough (99.8 % of those at 0.8) are compared; the largest isn't paired with itself.  No partner is dropped, whatever their number:
-what remains are pairs between unlinked parts of a group with similarities of about 0.74 to 0.8.
+confirmed is contracted, and then only pairs across the parts are compared; the largest isn't paired with itself.
+Both ways find the same links but for Hamming distances beyond five standard deviations (``furthest``), less than one pair
+in ten thousand at 0.8.  No partner is dropped, whatever their number:
+what remains are pairs between unlinked parts of a group with similarities of about 0.7 to 0.8.
+
+A set is known by 128 bits, 64 of them its name; sets of one name are told apart by the others (``told_apart``).
 
 Nulls: a null text is empty; texts without words are one group.  Of each group one row stays,
 whatever its ids: see ``common.one_row_each``.  Ties in the majority are 0.  Very long texts
@@ -42,29 +45,22 @@ SHINGLE = 5
 ALIKE, OF = 4, 5
 WORDS = 32
 BITS = 64 * WORDS
-MISS, FEW = 0.01, 8
+#: Keys of a text, and minima in each.
+BANDS, ROWS = 20, 5
+FEW = 8
 #: Share of bits in which sets at the least similarity differ.
 DIFFERS = math.acos(2 * ALIKE / (ALIKE + OF)) / math.pi
 #: Hashes spread at once.
 SPREAD = 1 << 14
 _OFFSETS = np.random.default_rng(20240501).integers(1, 2**63, WORDS, dtype=np.uint64)
-
-
-def blocks_of(n: int) -> list[np.ndarray]:
-    """The places of each block's bits in the fingerprint, for ``n`` texts."""
-    width = max(8, math.ceil(math.log2(max(2, n))))
-    many = math.ceil(-math.log(MISS) / (1 - DIFFERS) ** width)
-    random = np.random.default_rng(20240502)
-    cuts: list[np.ndarray] = []
-    while len(cuts) < many:  # one splitting of the bits, and where that isn't enough, others
-        order = random.permutation(BITS)
-        cuts += [order[i : i + width] for i in range(0, BITS - width + 1, width)]
-    return cuts[:many]
+#: Each spreads a hash to two functions of 32 bits.
+_ORDERS = np.random.default_rng(20240502).integers(1, 2**63, BANDS * ROWS // 2, dtype=np.uint64)
+_OTHER = np.uint64(0x9E3779B97F4A7C15)
 
 
 def furthest(bits: int) -> float:
-    """Differing bits of ``bits`` that a pair at the least similarity exceeds in 0.2 % of cases or fewer."""
-    return bits * DIFFERS + 3 * math.sqrt(bits * DIFFERS * (1 - DIFFERS))
+    """Differing bits of ``bits``, five standard deviations above those of a pair at the least similarity."""
+    return bits * DIFFERS + 5 * math.sqrt(bits * DIFFERS * (1 - DIFFERS))
 
 
 def shingle_sets(texts: pa.Array, width: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -133,28 +129,55 @@ def _signed(values: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(values).ravel().view(np.int64))
 
 
-def signatures(docs: DataFrame, blocks: list[np.ndarray]) -> DataFrame:
-    """A row per document: doc_id, text_hash, set_key, size, fp (the fingerprint's words), blocks (a key of each)."""
-    width = len(blocks[0])
-    places = np.concatenate(blocks)
+def band_keys(hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """``BANDS`` keys of each set (a row each); zeros for a set without shingles."""
+    some = np.flatnonzero(np.diff(at))
+    keys = np.zeros((len(at) - 1, BANDS), np.uint64)
+    if not len(some):
+        return keys
+    minima = np.empty((len(some), BANDS * ROWS), np.uint64)
+    for i, order in enumerate(_ORDERS):
+        minima[:, 2 * i : 2 * i + 2] = np.minimum.reduceat(mix(hashes + order).view(np.uint32).reshape(-1, 2), at[some])
+    for band in range(BANDS):
+        key = np.full(len(some), band, np.uint64)
+        for i in range(band * ROWS, (band + 1) * ROWS):
+            key = pair(key, minima[:, i])
+        keys[some, band] = key
+    return keys
+
+
+def set_names(hashes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent 64-bit hashes of each set; zeros for a set without shingles."""
+    size = np.diff(at)
+    some = np.flatnonzero(size)
+    names = np.zeros((2, len(size)), np.uint64)
+    if len(some):
+        for i, h in enumerate((mix(hashes), mix(mix(hashes ^ _OTHER)))):
+            names[i, some] = mix(np.add.reduceat(h, at[some]) + size[some].astype(np.uint64))
+    return names[0], names[1]
+
+
+def signatures(docs: DataFrame) -> DataFrame:
+    """A row per document: doc_id, text_hash, set_key and other_key (128 bits of its set), size, fp (the fingerprint's words), blocks (its keys)."""
 
     def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
         hashes, at = shingle_sets(batch.column("text"))
-        size = np.diff(at)
-        some = np.flatnonzero(size)
-        set_key = np.zeros(batch.num_rows, np.uint64)
-        if len(some):
-            set_key[some] = mix(np.add.reduceat(mix(hashes), at[some]) + size[some].astype(np.uint64))
-        bits = majorities(hashes, at)
-        fp = np.packbits(bits, axis=1).view(">u8").astype(np.uint64)
-        cut = np.packbits(bits[:, places].reshape(batch.num_rows, len(blocks), width), axis=2)
-        keys = np.zeros((*cut.shape[:2], 8), np.uint8)
-        keys[..., : cut.shape[2]] = cut
-        keys = pair(np.broadcast_to(np.arange(len(blocks), dtype=np.uint64), keys.shape[:2]), keys.view(np.uint64)[..., 0])
-        lists = [pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * x.shape[1]), _signed(x)) for x in (fp, keys)]
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), _signed(set_key), pa.array(size.astype(np.int64)), *lists], names=["doc_id", "text_hash", "set_key", "size", "fp", "blocks"])
-
-    return mapped(_source(docs), fn, "doc_id long, text_hash long, set_key long, size long, fp array<long>, blocks array<long>")
+        fp = np.packbits(majorities(hashes, at), axis=1).view(">u8").astype(np.uint64)
+        lists = [pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * x.shape[1]), _signed(x)) for x in (fp, band_keys(hashes, at))]
+        names = map(_signed, set_names(hashes, at))
+        columns = [batch.column("doc_id"), batch.column("text_hash"), *names, pa.array(np.diff(at).astype(np.int64)), *lists]
+        return pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_hash", "set_key", "other_key", "size", "fp", "blocks"])
+
+    return mapped(_source(docs), fn, "doc_id long, text_hash long, set_key long, other_key long, size long, fp array<long>, blocks array<long>")
+
+
+def told_apart(signs: DataFrame) -> DataFrame:
+    """``signs`` in which no two sets have one set_key: of those that do, all but the smallest other_key get a new one."""
+    shared = written(signs.groupBy("set_key").agg(F.min("other_key").alias("first"), F.max("other_key").alias("last")).where("first != last").select("set_key", "first"), "shared_keys")
+    if not shared.limit(1).count():
+        return signs
+    own = F.when(F.col("other_key") > F.col("first"), F.xxhash64("set_key", "other_key")).otherwise(F.col("set_key"))
+    return signs.join(shared, "set_key", "left").withColumn("set_key", own).drop("first")
 
 
 def _source(docs: DataFrame) -> DataFrame:
@@ -227,7 +250,7 @@ def linked(docs: DataFrame, signs: DataFrame, best: DataFrame) -> DataFrame:
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """One row of each group of near copies, with its own columns."""
-    signs = written(signatures(docs, blocks_of(docs.count())), "signatures")
+    signs = told_apart(written(signatures(docs), "signatures"))
     best = written(best_rows(signs, "set_key"), "representatives")
     roots = linked(docs, signs, best)
     groups = best.join(roots, best.set_key == roots.node, "left").select(F.coalesce("root", "set_key").alias("root"), "none", "id", "hash", "rows")
