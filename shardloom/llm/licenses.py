@@ -8,7 +8,8 @@ Every place of such a word, less its offset in the template, proposes a start; t
 on which two of the words agree are what is left after intersecting the postings, and there
 the template's mandatory key phrases must stand, at their offsets: exactly for base templates,
 whose key is the whole phrase, and within ``SLACK`` words for the others, which may have
-names or changes inside.  Templates are data: more of them make a longer index, not a longer plan.
+names or changes inside: there a key has several short phrases, any of which will do, so that a changed
+word rarely hides a licence.  A place is where the template's text would begin.  Templates are data: more of them make a longer index, not a longer plan.
 
 A file's words are kept for the second step only if two of them are licence words other than
 ``COMMON``; each base phrase has two such words.
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import ascii_lower, table, text_of, written
 
 SPLIT = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-TOP, SLACK, KEPT, RARE = 4, 16, 8, 20
+TOP, SLACK, KEPT, RARE = 8, 16, 8, 20
 COMMON = {*"a above all and any are as at be by can for from if in is it may not of on one or other out that the this to under was will with you".split()}
 
 
@@ -42,20 +43,22 @@ def cut(text: str) -> list[str]:
 class Template:
     label: str
     text: str
-    keys: tuple[tuple[str, int | None], ...] = field(default=())  # phrases that must stand there, and offsets of those that the text doesn't have
+    keys: tuple[tuple[str, ...], ...] = field(default=())  # of each key any phrase must stand there
     base: bool = False
+    at: int | None = None  # the offset of phrases that the text doesn't have
 
     @property
     def words(self) -> list[str]:
         return cut(self.text)
 
-    def phrases(self) -> list[tuple[int, list[str]]]:
-        """(offset, words) of the mandatory phrases; without any the whole text is one."""
-        words, found = self.words, []
-        for key, offset in self.keys:
-            k = cut(key)
-            found.append((offset if offset is not None else next(i for i in range(len(words)) if words[i : i + len(k)] == k), k))
-        return found or [(0, words)]
+    def phrases(self) -> list[list[tuple[int, list[str]]]]:
+        """(offset, words) of the phrases of each mandatory key; without any the whole text is one."""
+        words = self.words
+
+        def place(k: list[str]) -> int:
+            return next((i for i in range(len(words)) if words[i : i + len(k)] == k), self.at)
+
+        return [[(place(k), k) for k in map(cut, key)] for key in self.keys] or [[(0, words)]]
 
 
 #: Phrases, texts and labels.
@@ -68,45 +71,62 @@ TEMPLATES = (
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, "
         "including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished "
         "to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
-        (("permission is hereby granted free of charge", None), ("without restriction", None)),
+        (
+            ("hereby granted", "free of charge", "person obtaining", "associated documentation", "to deal in"),
+            ("without restriction", "modify merge", "publish distribute", "persons to whom", "substantial portions"),
+        ),
     ),
     Template(
         "isc",
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice "
         "appear in all copies.",
-        (("with or without fee is hereby granted", None),),
+        (
+            ("permission to use copy", "or distribute this", "for any purpose with", "with or without", "without fee"),
+            ("without fee", "fee is", "is hereby granted", "provided that the above", "appear in all copies"),
+        ),
     ),
     Template(
         "bsd",
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the "
         "above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the "
         "following disclaimer in the documentation and/or other materials provided with the distribution.",
-        (("redistribution and use in source and binary forms", None), ("with or without modification", None)),
+        (
+            ("redistribution and use", "source and binary", "binary forms", "with or without", "without modification"),
+            ("without modification", "are permitted provided", "redistributions of source", "source code must", "list of conditions", "redistributions in binary", "following disclaimer"),
+        ),
     ),
     Template(
         "zlib",
         "This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is "
         "granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely",
-        (("authors be held liable", None), ("alter it and redistribute it freely", None)),
+        (
+            ("express or implied", "no event will", "authors be held", "held liable", "damages arising"),
+            ("granted to anyone", "commercial applications", "alter it", "and redistribute it", "it freely"),
+        ),
     ),
     Template(
         "gpl",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of "
         "the License, or (at your option) any later version.",
-        (("free software", None), ("gnu general public license", None)),
+        (("program is free", "free software", "can redistribute", "redistribute it", "or modify it"), ("gnu general",)),
     ),
     Template(
         "lgpl",
         "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 "
         "of the License, or (at your option) any later version.",
-        (("free software", None), ("gnu lesser general public license", None)),
+        (("library is free", "free software", "can redistribute", "redistribute it", "or modify it"), ("gnu lesser", "lesser general")),
+    ),
+    Template(
+        "apache-2",
+        "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at",
+        (("apache license", "license version 2", "the apache"), ("may not use", "this file except", "in compliance", "compliance with", "may obtain")),
     ),
-    Template("gpl", "licensed under the gnu general public license"),
-    Template("lgpl", "licensed under the gnu lesser general public license"),
-    Template("mpl-2", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", (("source code form", None), ("mozilla public license v 2 0", None))),
-    Template("unlicense", "This is free and unencumbered software released into the public domain."),
+    Template("gpl", "licensed under the gnu general public license", (("licensed under", "under the", "public license"), ("gnu general",))),
+    Template("lgpl", "licensed under the gnu lesser general public license", (("licensed under", "under the", "public license"), ("gnu lesser", "lesser general"))),
+    Template("mpl-2", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", (("source code form", "code form is", "form is subject", "subject to the terms"), ("mozilla public", "the mozilla", "public license v", "license v 2", "v 2 0"))),
+    Template("unlicense", "This is free and unencumbered software released into the public domain.", (("free and unencumbered", "and unencumbered", "unencumbered software"), ("software released", "released into", "public domain"))),
     Template("cc-by-sa", "cc by sa"),
-    Template("all-rights-reserved", "all rights reserved", (("all rights reserved", None), ("copyright", -SLACK // 2))),
+    Template("all-rights-reserved", "all rights reserved", (("all rights reserved",), ("copyright",)), at=-SLACK // 2),
     *(
         Template(label, f"spdx license identifier {name}")
         for label, name in (("apache-2", "apache 2 0"), ("bsd", "bsd 2 clause"), ("bsd", "bsd 3 clause"), ("gpl", "gpl 2 0"), ("gpl", "gpl 3 0"), ("isc", "isc"), ("lgpl", "lgpl 2 1"), ("lgpl", "lgpl 3 0"), ("mit", "mit"), ("mpl-2", "mpl 2 0"), ("unlicense", "unlicense"), ("zlib", "zlib"))
@@ -159,7 +179,8 @@ def looked_up(files: DataFrame, postings: DataFrame) -> DataFrame:
 
 def _templates() -> Column:
     def one(t: Template) -> Column:
-        keys = F.array(*(F.struct(F.lit(at).alias("at"), F.array(*map(F.lit, words)).alias("words")) for at, words in t.phrases()))
+        phrase = lambda at, words: F.struct(F.lit(at).alias("at"), F.array(*map(F.lit, words)).alias("words"))
+        keys = F.array(*(F.array(*(phrase(*p) for p in key)) for key in t.phrases()))
         return F.struct(F.lit(t.label).alias("label"), F.lit(t.base).alias("base"), F.lit(0 if t.base else SLACK).alias("slack"), keys.alias("keys"))
 
     return F.array(*map(one, TEMPLATES))
@@ -171,21 +192,31 @@ def _agreed(anchors: Column, rare: Column) -> Column:
     def starts(a: Column) -> Column:
         return F.flatten(F.transform(F.filter(rare, lambda x: x["word"] == a["word"]), lambda x: F.transform(a["offsets"], lambda o: x["place"] - o)))
 
-    proposed = F.transform(anchors, starts)
-    both = F.transform(proposed, lambda s, i: F.flatten(F.transform(F.slice(proposed, i + 2, F.lit(TOP)), lambda other: F.array_intersect(s, other))))
-    return F.array_distinct(F.flatten(both))
+    # Each anchor proposes a start once, so in order those of two anchors stand beside each other.
+    proposed = F.sort_array(F.flatten(F.transform(anchors, lambda a: F.array_distinct(starts(a)))))
+    twice = F.transform(F.array(proposed), lambda all_: F.filter(all_, lambda s, i: (i > 0) & (s == F.get(all_, i - 1))))
+    return F.array_distinct(F.flatten(twice))
 
 
 def _places(template: Column, agreed: Column, words: Column) -> Column:
-    """Where the first key phrase stands, for the starts at which all of them do."""
+    """Where the template begins by the first phrase of its first key that stands, for the starts at which all keys do."""
+
+    def near(phrase: Column, start: Column) -> Column:
+        low, high = (F.greatest(F.lit(0), start + phrase["at"] + x) for x in (-template["slack"], template["slack"]))
+        return F.sequence(low, high)
+
+    def stands(phrase: Column, p: Column) -> Column:
+        return (F.get(words, p) == F.get(phrase["words"], F.lit(0))) & (F.slice(words, p + 1, F.size(phrase["words"])) == phrase["words"])
+
+    def has(key: Column, start: Column) -> Column:
+        return F.exists(key, lambda k: F.exists(near(k, start), lambda p: stands(k, p)))
 
-    def stands(key: Column, start: Column) -> Column:
-        low, high = F.greatest(F.lit(0), start + key["at"] - template["slack"]), F.greatest(F.lit(0), start + key["at"] + template["slack"])
-        return F.filter(F.sequence(low, high), lambda p: F.slice(words, p + 1, F.size(key["words"])) == key["words"])
+    def begins(start: Column) -> Column:
+        found = F.transform(F.get(template["keys"], F.lit(0)), lambda k: F.transform(F.filter(near(k, start), lambda p: stands(k, p)), lambda p: F.greatest(F.lit(0), p - k["at"])))
+        return F.get(F.flatten(found), F.lit(0))
 
-    sure = F.filter(agreed, lambda s: (~template["base"] | (s >= 0)) & F.forall(template["keys"], lambda k: F.size(stands(k, s)) > 0))
-    first = F.transform(sure, lambda s: F.get(stands(F.get(template["keys"], F.lit(0)), s), F.lit(0)))
-    return F.transform(F.array_distinct(first), lambda p: F.struct(template["label"].alias("label"), p.alias("place"), template["base"].alias("base")))
+    sure = F.filter(agreed, lambda s: (~template["base"] | (s >= 0)) & F.forall(template["keys"], lambda key: has(key, s)))
+    return F.transform(F.array_distinct(F.transform(sure, begins)), lambda p: F.struct(template["label"].alias("label"), p.alias("place"), template["base"].alias("base")))
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -227,12 +258,12 @@ def _rows(values) -> str:
 
 def sql() -> str:
     """The same rows without the index: all template words of all texts, numbered, joined and counted."""
-    keys = [(t, k, at, words) for t, template in enumerate(TEMPLATES) for k, (at, words) in enumerate(template.phrases())]
+    keys = [(t, k, alt, at, words) for t, template in enumerate(TEMPLATES) for k, key in enumerate(template.phrases()) for alt, (at, words) in enumerate(key)]
     return f"""
 WITH templates(template, label, base, slack) AS (VALUES {_rows((t, x.label, x.base, 0 if x.base else SLACK) for t, x in enumerate(TEMPLATES))}),
 template_words(template, place, word) AS (VALUES {_rows((t, i, w) for t, x in enumerate(TEMPLATES) for i, w in enumerate(x.words))}),
-keys(template, k, off, n) AS (VALUES {_rows((t, k, at, len(words)) for t, k, at, words in keys)}),
-key_words(template, k, i, word) AS (VALUES {_rows((t, k, i, w) for t, k, _, words in keys for i, w in enumerate(words))}),
+keys(template, k, alt, off, n) AS (VALUES {_rows((t, k, alt, at, len(words)) for t, k, alt, at, words in keys)}),
+key_words(template, k, alt, i, word) AS (VALUES {_rows((t, k, alt, i, w) for t, k, alt, _, words in keys for i, w in enumerate(words))}),
 common(word) AS (VALUES {_rows((w,) for w in sorted(COMMON))}),
 d AS MATERIALIZED (
   SELECT row_number() OVER () AS file, doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
@@ -255,15 +286,15 @@ starts AS (
   FROM (SELECT * FROM hits SEMI JOIN searched USING (file) WHERE nth <= {TOP} AND n > 1) h JOIN w USING (file, word) JOIN template_words t ON t.template = h.template AND t.word = w.word
   GROUP BY ALL HAVING count(DISTINCT w.word) > 1),
 stands AS (
-  SELECT file, template, k, w.place - i AS place FROM w JOIN key_words USING (word) JOIN keys USING (template, k) GROUP BY file, template, k, w.place - i, n HAVING count(*) = n),
+  SELECT file, template, k, alt, w.place - i AS place FROM w JOIN key_words USING (word) JOIN keys USING (template, k, alt) GROUP BY file, template, k, alt, w.place - i, n HAVING count(*) = n),
 found AS (
-  SELECT s.file, s.template, s.start, k, min(p.place) AS place
-  FROM starts s JOIN templates USING (template) JOIN keys USING (template) JOIN stands p USING (file, template, k)
+  SELECT s.file, s.template, s.start, k, min((alt, greatest(0, p.place - off))) AS best
+  FROM starts s JOIN templates USING (template) JOIN keys USING (template) JOIN stands p USING (file, template, k, alt)
   WHERE (NOT base OR start >= 0) AND p.place BETWEEN greatest(0, start + off - slack) AND greatest(0, start + off + slack)
   GROUP BY ALL),
 sure AS (
-  SELECT file, template, min(place) FILTER (k = 0) AS place FROM found GROUP BY file, template, start
-  HAVING count(*) = (SELECT count(*) FROM keys WHERE keys.template = found.template)),
+  SELECT file, template, min(best[2]) FILTER (k = 0) AS place FROM found GROUP BY file, template, start
+  HAVING count(*) = (SELECT count(DISTINCT keys.k) FROM keys WHERE keys.template = found.template)),
 places AS (SELECT DISTINCT file, label, base, template, place FROM sure JOIN templates USING (template)),
 by_file AS (
   SELECT file, count(*) FILTER (base) AS n_base, min(place) FILTER (base) AS first_word, max(place) FILTER (base) AS last_word,

@@ -4,7 +4,7 @@ import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
-from conftest import rows
+from conftest import DATA, rows
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from oracle import canonical
@@ -385,7 +385,7 @@ def brute_licenses(text):
                 starts.setdefault(i - o, set()).add(x)
         slack = 0 if t.base else licenses.SLACK
         for start in (s for s, words in starts.items() if len(words) > 1 and (s >= 0 or not t.base)):
-            stands = [[p for p in range(max(0, start + at - slack), max(0, start + at + slack) + 1) if w[p : p + len(k)] == k] for at, k in t.phrases()]
+            stands = [[max(0, p - at) for at, k in key for p in range(max(0, start + at - slack), max(0, start + at + slack) + 1) if w[p : p + len(k)] == k] for key in t.phrases()]
             if all(stands):
                 found.add((t.label, stands[0][0]))
     return found
@@ -406,6 +406,31 @@ def test_license_labels_equal_brute_force(spark):
     assert len(changed) <= 1
 
 
+def changed_licenses(share, copies, seed=5):
+    """(label, text): the long templates, with about this share of their words replaced."""
+    random = np.random.default_rng(seed)
+    long = [t for t in licenses.TEMPLATES if not t.base and len(t.words) > 10]
+    return [(t.label, " ".join(f"changed{i}" if random.random() < share else w for i, w in enumerate(t.words))) for t in long for _ in range(copies)]
+
+
+def license_recall(spark, share, copies):
+    """The found part of changed licences by label, and the labels of 500 other texts."""
+    texts = changed_licenses(share, copies)
+    other = [(None, r["text"]) for r in spark.read.parquet(f"{DATA}/documents.parquet").limit(500).collect()]
+    docs = spark.createDataFrame([(i, x) for i, (_, x) in enumerate(texts + other)], "doc_id long, text string")
+    got = {r["doc_id"]: {p["label"] for p in r["places"]} for r in licenses.scan(docs).collect()}
+    by_label = {}
+    for i, (label, _) in enumerate(texts):
+        by_label.setdefault(label, []).append(label in got[i])
+    return {k: sum(v) / len(v) for k, v in by_label.items()}
+
+
+@pytest.mark.parametrize("share, least, on_average", [(0.05, 0.8, 0.95), (0.1, 0.65, 0.9)])
+def test_changed_licenses_are_found(spark, share, least, on_average):
+    got = license_recall(spark, share, 40)
+    assert len(got) == 9 and min(got.values()) >= least and sum(got.values()) / len(got) >= on_average, got
+
+
 def test_license_of_a_long_text(spark):
     text = "copy person license " * 20_000 + "under the mit license " + "spdx license " * 5000
     got = licenses.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()["places"]
