@@ -36,6 +36,81 @@ def shuffle(df: DataFrame, seed: int, key: str) -> DataFrame:
     return global_index(hashed, [F.col("__hash"), F.col(key)], "pos", bucket=top_bits(F.col("__hash"))).drop("__hash")
 
 
+def _through_buffer(buffer: int):
+    """Rows (row, __step, __hash), each stream from step 0 on, to (row, pos) in the order in which they leave the buffer."""
+
+    def left(held: pa.Table | None, place: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if held is not None and len(held):
+            step = np.asarray(held["__step"])
+            at = np.lexsort((step, np.asarray(held["__hash"])))
+            yield from placed(held, at, step.max() + 1 - len(held) + np.arange(len(held)))
+
+    def placed(rows: pa.Table, at: np.ndarray, pos: np.ndarray) -> Iterator[pa.RecordBatch]:
+        out = rows.select(["row"]).take(pa.array(at)).append_column("pos", pa.array(pos.astype(np.int64)))
+        yield from out.combine_chunks().to_batches()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, place = None, np.zeros(buffer, np.int64)  # the waiting rows, and where each slot's row is among them
+        for batch in batches:
+            starts = np.flatnonzero(np.asarray(batch.column("__step")) == 0).tolist()
+            for a, b in zip(sorted({0, *starts}), [*(x for x in starts if x), batch.num_rows]):
+                if a == b:
+                    continue
+                if a in starts:
+                    yield from left(held, place)
+                    held = None
+                new = pa.Table.from_batches([batch.slice(a, b - a)])
+                old = len(held) if held is not None else 0
+                pool = pa.concat_tables([held, new]) if old else new
+                step = np.asarray(new["__step"])
+                slot = np.where(step < buffer, step, np.asarray(new["__hash"]) % buffer)
+                by_slot = np.argsort(slot, kind="stable")
+                same = np.zeros(len(slot), bool)  # whether the row before in by_slot has the slot, too
+                same[1:] = slot[by_slot[1:]] == slot[by_slot[:-1]]
+                before = place[slot]  # the row that each new one drives out
+                before[by_slot[1:][same[1:]]] = old + by_slot[:-1][same[1:]]
+                out = np.flatnonzero(step >= buffer)
+                if len(out):
+                    yield from placed(pool, before[out], step[out] - buffer)
+                place[slot[by_slot]] = old + by_slot  # of several rows of a slot the last stays
+                full = min(buffer, int(step[-1]) + 1)
+                held = pool.take(pa.array(place[:full])).combine_chunks()
+                place[:full] = np.arange(full)
+        yield from left(held, place)
+
+    return run
+
+
+def _buffered(df: DataFrame, seed: int, stream: Column, step: Column, buffer: int) -> DataFrame:
+    row = F.struct(*(f"`{c}`" for c in df.columns if c != "pos"))
+    drawn = seeded_hash(F.lit(seed), F.concat_ws(":", F.coalesce(stream.cast("string"), F.lit("")), step.cast("string")))
+    rows = df.select(row.alias("row"), step.cast("long").alias("__step"), drawn.alias("__hash"))
+    return rows.mapInArrow(_through_buffer(buffer), f"row {rows.schema['row'].dataType.simpleString()}, pos long").select("row.*", "pos")
+
+
+def buffered_shuffle(df: DataFrame, seed: int, stream: str, step: str, buffer: int = 20_000) -> DataFrame:
+    """Adds ``pos``, the place of each row in its stream behind a shuffle buffer of ``buffer`` rows, the cheap form of ``shuffle``.
+
+    The rows of a stream (``step``: 0, 1, ... in each) fill the buffer; from then on each row takes a
+    slot that is drawn by hash of seed, stream and step, and the row that waited there leaves.  At the end the
+    waiting rows leave in the order of their hashes.  So no row leaves ``buffer`` or more places early, and a stream that
+    is no longer than the buffer is wholly permuted.  A stream is one task's sequence, with the buffer's rows in memory; cut a
+    long input into streams of bounded length (files, slices, spans of positions).
+    """
+    return _buffered(df.repartition(F.col(stream)).sortWithinPartitions(stream, step), seed, F.col(stream), F.col(step), buffer)
+
+
+def buffered_shuffle_partitions(df: DataFrame, seed: int, buffer: int = 20_000) -> DataFrame:
+    """As ``buffered_shuffle``, with each partition of ``df`` as a stream, in its own order: no row is shuffled between tasks.
+
+    Reproducible as long as the partitions and their order are: over files, or rows sorted within partitions.
+    """
+    at = F.monotonically_increasing_id()
+    marked = df.withColumn("__at", at)
+    found = _buffered(marked, seed, F.shiftright("__at", 33), F.col("__at").bitwiseAND(F.lit((1 << 33) - 1)), buffer)
+    return found.drop("__at")
+
+
 def batch(df: DataFrame, size: int, pos: str = "pos") -> DataFrame:
     """Adds the batch number and the place in the batch; the last batch may be short."""
     return df.withColumns({"batch_no": F.floor(F.col(pos) / size), "batch_pos": F.col(pos) % size})

@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashing import hash_bucket
+from ..functions.indexing import global_index
 from ..operators import evaluation as E
 from ..operators import features as P
 from . import fixtures as X
@@ -38,6 +39,24 @@ def B3_shuffle(t: Tables) -> DataFrame:
     return P.shuffle(t.orders.select("o_orderkey"), 11, "o_orderkey")
 
 
+SPAN, BUFFER = 4096, 500
+
+
+@query(f"""
+WITH a AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS place FROM orders),
+s AS (SELECT o_orderkey, place // {SPAN} AS stream, place % {SPAN} AS step, {X.HASH.format(f"'11:' || (place // {SPAN}) || ':' || (place % {SPAN})")} AS h FROM a),
+w AS (SELECT *, CASE WHEN step < {BUFFER} THEN step ELSE h % {BUFFER} END AS slot FROM s),
+n AS (SELECT *, lead(step) OVER (PARTITION BY stream, slot ORDER BY step) AS next, count(*) OVER (PARTITION BY stream) AS n FROM w)
+SELECT o_orderkey, stream::BIGINT AS stream,
+       CASE WHEN next IS NULL THEN greatest(n - {BUFFER}, 0) + row_number() OVER (PARTITION BY stream, next IS NULL ORDER BY h, step) - 1 ELSE next - {BUFFER} END::BIGINT AS pos
+FROM n""")
+def B3_buffered_shuffle(t: Tables) -> DataFrame:
+    """Orders in spans of their positions, each behind a buffer."""
+    placed = global_index(t.orders.select("o_orderkey"), [F.col("o_orderkey")], "at")
+    rows = placed.select("o_orderkey", F.floor(F.col("at") / SPAN).alias("stream"), (F.col("at") % SPAN).alias("step"))
+    return P.buffered_shuffle(rows, 11, "stream", "step", BUFFER).select("o_orderkey", "stream", "pos")
+
+
 @query(f"WITH {_SHUFFLED} SELECT o_orderkey, (pos // 2048)::BIGINT AS batch_no, (pos % 2048)::BIGINT AS batch_pos FROM s")
 def B4_batch(t: Tables) -> DataFrame:
     return P.batch(P.shuffle(t.orders.select("o_orderkey"), 11, "o_orderkey"), 2048).select("o_orderkey", "batch_no", "batch_pos")
