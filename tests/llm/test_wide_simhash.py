@@ -80,32 +80,3 @@ def test_repeated_shingles_do_not_link(spark):
 def test_short_texts(spark, text):
     assert kept(spark, [text, text, "other words"]) == [0, 2]
     assert rows(wide_simhash.deduplicated(spark.createDataFrame([], "doc_id long, text string"))) == []
-
-
-@pytest.mark.parametrize("similarity", [0.8, 0.85, 0.9])
-def test_recall_of_pairs(spark, similarity):
-    """Of 300 pairs at (just above) a similarity nearly all are found."""
-    random, texts = np.random.default_rng(int(similarity * 100)), []
-    for _ in range(300):
-        words = [f"w{x}" for x in random.integers(0, 50_000, 454)]
-        texts += [" ".join(words), " ".join(edited(random, words, similarity - 1e-9))]
-    alike = sum(5 * len(a & b) >= 4 * len(a | b) for a, b in ((shingles(texts[i]), shingles(texts[i + 1])) for i in range(0, 600, 2)))
-    assert alike > 290
-    assert 600 - len(kept(spark, texts)) >= 0.99 * alike
-
-
-def test_sets_of_one_name_are_told_apart(spark):
-    signs = spark.createDataFrame([(1, 10, 5), (2, 10, 5), (3, 10, 6), (4, 11, 5), (5, 12, 0)], "doc_id long, set_key long, other_key long")
-    got = {r["doc_id"]: r["set_key"] for r in wide_simhash.told_apart(signs).collect()}
-    assert got[1] == got[2] == 10 and got[4] == 11 and got[5] == 12 and len(set(got.values())) == 4
-    assert wide_simhash.told_apart(signs.where("doc_id != 3")).count() == 4
-
-
-def test_keys_are_minima(spark):
-    """Equal sets share all keys, a set without shingles has zeros, and each minimum is shared about as often as the similarity says."""
-    random = np.random.default_rng(3)
-    hashes = np.unique(random.integers(0, 2**63, 10_000, dtype=np.uint64))
-    a, b = hashes[: 9 * len(hashes) // 10], hashes[len(hashes) // 10 :]
-    keys = wide_simhash.band_keys(np.concatenate([a, a, b]), np.array([0, 0, len(a), 2 * len(a), 2 * len(a) + len(b)]))
-    assert not keys[0].any() and (keys[1] == keys[2]).all() and keys[1].all()
-    assert 1 <= (keys[1] == keys[3]).sum() <= 14  # 0.8 to the fifth power of 20
