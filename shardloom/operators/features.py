@@ -182,6 +182,7 @@ def counter_filter(ids: DataFrame, filter_freq: int = 3, key: str = "id") -> Dat
 
 def bloom_sizes(capacity: int, fpp: float) -> tuple[int, int]:
     """Counters and hash functions for so many ids and this false-positive rate."""
+    capacity = max(1, capacity)
     m = max(8, math.ceil(-capacity * math.log(fpp) / math.log(2) ** 2))
     return m, max(1, round(m / capacity * math.log(2)))
 
@@ -252,13 +253,29 @@ def _added(cells: DataFrame) -> DataFrame:
     return cells.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(run, "chunk long, cells binary")
 
 
+def spread_cells(ids: DataFrame, m: int, k: int, key: str = "id") -> DataFrame:
+    """The counters of ``counting_cells`` for any ``m``, as rows: pos, cell.  Ids are counted, and their counts summed by position."""
+    counts = ids.groupBy(key).agg(F.count("*").alias("__n"))
+    spread = counts.select("__n", F.explode(F.array_distinct(bloom_positions(F.col(key), m, k))).alias("pos"))
+    return spread.groupBy("pos").agg(F.sum("__n").alias("cell"))
+
+
+def batch_cells(ids: DataFrame, m: int, k: int, key: str = "id") -> DataFrame:
+    """The counters of a batch: in arrays up to ``MOST_CELLS`` of them, else as rows."""
+    return counting_cells(ids, m, k, key) if m <= MOST_CELLS else spread_cells(ids, m, k, key)
+
+
 def merged_cells(a: DataFrame, b: DataFrame) -> DataFrame:
-    """The counters of what both have counted."""
-    return _added(a.unionByName(b))
+    """The counters of what both have counted, both in arrays or both as rows."""
+    both = a.unionByName(b)
+    return both.groupBy("pos").agg(F.sum("cell").alias("cell")) if "pos" in a.columns else _added(both)
 
 
 def estimated(ids: DataFrame, cells: DataFrame, m: int, k: int, freq: int, key: str = "id") -> DataFrame:
-    """The distinct ids whose smallest counter reaches ``freq``: id, estimate.  Only ids that pass are shuffled."""
+    """The distinct ids whose smallest counter reaches ``freq``: id, estimate.  Only ids that pass are shuffled; those that meet counters as rows, all distinct ones."""
+    if "pos" in cells.columns:
+        spread = ids.select(key).distinct().select(key, F.explode(F.array_distinct(bloom_positions(F.col(key), m, k))).alias("pos"))
+        return spread.join(cells, "pos").groupBy(key).agg(F.min("cell").alias("estimate")).where(F.col("estimate") >= freq)
     kind = ids.schema[key].dataType
     counters = np.zeros((m // CHUNK + 1, CHUNK), "<i8")
     for r in cells.collect():  # at most MOST_CELLS
@@ -287,12 +304,7 @@ def bloom_counter_filter(ids: DataFrame, freq: int, capacity: int | None = None,
     counters tasks count in arrays; beyond, ids are counted, and their counters summed by position.
     """
     m, k = bloom_sizes(max(1, ids.select(key).distinct().count()) if capacity is None else capacity, fpp)
-    if m > MOST_CELLS:
-        counts = ids.groupBy(key).agg(F.count("*").alias("__n"))
-        spread = counts.select(key, "__n", F.explode(F.array_distinct(bloom_positions(F.col(key), m, k))).alias("__pos"))
-        cells = spread.groupBy("__pos").agg(F.sum("__n").alias("__cell"))
-        return spread.join(cells, "__pos").groupBy(key).agg(F.min("__cell").alias("estimate")).where(F.col("estimate") >= freq)
-    return estimated(ids, counting_cells(ids, m, k, key), m, k, freq, key)
+    return estimated(ids, batch_cells(ids, m, k, key), m, k, freq, key)
 
 
 def evict_by_step(table: DataFrame, step: int, steps_to_live: int = 4000) -> DataFrame:

@@ -150,7 +150,7 @@ def B14_merged_counters(t: Tables) -> DataFrame:
     m, k = P.bloom_sizes(ids.select("id").distinct().count(), 0.01)
     cells = None
     for i in range(4):
-        batch = P.counting_cells(ids.where(f"l_linenumber % 4 = {i}"), m, k)
+        batch = P.batch_cells(ids.where(f"l_linenumber % 4 = {i}"), m, k)
         cells = batch if cells is None else P.merged_cells(cells, batch)
     return P.estimated(ids, cells, m, k, 32)
 

@@ -203,6 +203,19 @@ def test_counters_merge_and_equal_the_shuffled_form(spark, monkeypatch):
         features.counting_cells(ids, m, k)
 
 
+def test_batches_merge_beyond_the_most_cells(spark, monkeypatch):
+    from shardloom.plans.catalog import QUERIES
+    from conftest import DATA
+
+    wanted = rows(QUERIES["B14_merged_counters"](spark, DATA))
+    monkeypatch.setattr(features, "MOST_CELLS", 100)
+    assert wanted and rows(QUERIES["B14_merged_counters"](spark, DATA)) == wanted
+    ids = spark.createDataFrame([(None,), (None,), (3,)], "id long")
+    halves = [features.batch_cells(ids.where(w), 500, 3) for w in ("id is null", "id = 3")]
+    assert rows(features.estimated(ids, features.merged_cells(*halves), 500, 3, 2)) == [(None, 2)]
+    assert features.bloom_sizes(0, 0.01) == features.bloom_sizes(1, 0.01)
+
+
 @pytest.mark.parametrize(("combiner", "expected"), [("mean", 1.75), ("sum", 7.0), ("sqrtn", 7.0 / math.sqrt(10))])
 def test_lookup_sparse(spark, combiner, expected):
     table = spark.createDataFrame([(1, [1.0]), (2, [2.0])], "key long, value array<float>")
