@@ -13,11 +13,12 @@ The number of blocks grows with the power 0.24 of the number of texts.  The join
 blocks, the Hamming distance is verified in its condition, and every pair that passes is
 confirmed by the exact similarity of the two sets: no two texts below 0.8 are linked.
 
-A large group must not make a square of pairs.  In blocks that up to ``FEW`` sets share all pairs
-are looked at.  In fuller ones each set is first compared with the smallest only; what is
-confirmed is contracted, and then only pairs across the parts whose whole fingerprints are
-close enough (99.8 % of those at 0.8) are compared; the largest isn't paired with itself.  No partner is dropped, whatever their number:
-what remains are pairs between unlinked parts of a group with similarities of about 0.74 to 0.8.
+A large group must not make a square of pairs.  In fuller blocks than those that up to ``FEW`` sets
+share, each set is first compared with one only: of the smallest sets of its blocks the one whose fingerprint is
+nearest.  What is confirmed is contracted, then all pairs of the small blocks between different parts are compared, and then the
+pairs across the parts of full blocks whose whole fingerprints are close enough (99.8 % of those at 0.8), again the nearest one of each set first
+and, once these are contracted, all that are still between different parts.  No partner is dropped, whatever their number: what remains are pairs
+between unlinked parts of a group with similarities of about 0.74 to 0.8.
 
 Nulls: a null text is empty; texts without words are one group.  Of each group one row stays,
 whatever its ids: see ``common.one_row_each``.  Ties in the majority are 0.  Very long texts
@@ -206,23 +207,41 @@ def linked(docs: DataFrame, signs: DataFrame, best: DataFrame) -> DataFrame:
     some = _sided(few, "u").join(_sided(few, "v"), "key").where((F.col("u_node") < F.col("v_node")) & near)
     some = some.select(F.col("u_node").alias("u"), F.col("v_node").alias("v")).distinct()
 
+    some = written(some, "some")
     prints = sets.select("node", "size", "fp")
     full = written(members.where(F.col("n") > FEW).select("key", "node", "least").join(prints, "node"), "full")
+    nodes = some.select(F.col("u").alias("node")).union(some.select("v")).union(full.select("node")).distinct()
+    texts = written(sets_of(docs, best.join(nodes, best.set_key == nodes.node, "left_semi").select(F.col("set_key").alias("node"), "id", "hash")), "shingles")
+
     stars = full.where("node > least").groupBy("least", "node").agg(F.first("size").alias("v_size"), F.first("fp").alias("v_fp"))
     hubs = prints.select(F.col("node").alias("least"), F.col("size").alias("u_size"), F.col("fp").alias("u_fp"))
-    stars = stars.join(hubs, "least").where(_close()).select(F.col("least").alias("u"), F.col("node").alias("v"))
-    first = written(some.unionByName(stars).distinct(), "pairs")
-
-    nodes = first.select(F.col("u").alias("node")).union(first.select("v")).union(full.select("node")).distinct()
-    texts = written(sets_of(docs, best.join(nodes, best.set_key == nodes.node, "left_semi").select(F.col("set_key").alias("node"), "id", "hash")), "shingles")
-    first = written(confirmed(first, texts), "links")
+    stars = stars.join(hubs, "least").where(_close()).select(F.col("least").alias("u"), F.col("node").alias("v"), _distance(range(WORDS)).alias("d"))
+    links = written(confirmed(written(_nearest(stars), "pairs"), texts), "links")
+    roots = written(components(links), "roots")
+    links = written(links.unionByName(confirmed(written(_across(some, roots), "pairs"), texts)), "links")
+    roots = written(components(links), "roots")
 
-    parts = full.drop("least").join(components(first), "node", "left").select("key", "node", "size", "fp", F.coalesce("root", "node").alias("part"))
+    parts = full.drop("least").join(roots, "node", "left").select("key", "node", "size", "fp", F.coalesce("root", "node").alias("part"))
     rest, every = between_parts(parts, ["key"])
     once = (F.col("v_part") == F.col("v_largest")) | (F.col("u_node") < F.col("v_node"))
     across = _sided(rest, "u").join(_sided(every, "v"), "key").where((F.col("u_part") != F.col("v_part")) & once & _close())
-    across = written(across.select(F.least("u_node", "v_node").alias("u"), F.greatest("u_node", "v_node").alias("v")).distinct(), "pairs")
-    return components(first.unionByName(written(confirmed(across, texts), "links")))
+    across = written(across.select(F.least("u_node", "v_node").alias("u"), F.greatest("u_node", "v_node").alias("v"), _distance(range(WORDS)).alias("d")).distinct(), "across")
+    tried = written(_nearest(across), "pairs")
+    links = written(links.unionByName(confirmed(tried, texts)), "links")
+    left = _across(across.select("u", "v").join(tried, ["u", "v"], "left_anti"), written(components(links), "roots"))
+    return components(links.unionByName(written(confirmed(written(left, "pairs"), texts), "links")))
+
+
+def _nearest(pairs: DataFrame) -> DataFrame:
+    """Of the pairs (u, v, d) for each v the one that differs least."""
+    return pairs.groupBy("v").agg(F.min(F.struct("d", "u")).alias("best")).select(F.col("best.u").alias("u"), "v")
+
+
+def _across(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs that ``roots`` doesn't link yet; the others have nothing to add."""
+    of = lambda x: roots.select(F.col("node").alias(x), F.col("root").alias(f"{x}_root"))
+    apart = F.coalesce("u_root", "u") != F.coalesce("v_root", "v")
+    return pairs.join(of("u"), "u", "left").join(of("v"), "v", "left").where(apart).select("u", "v")
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:

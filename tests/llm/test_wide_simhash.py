@@ -80,3 +80,18 @@ def test_repeated_shingles_do_not_link(spark):
 def test_short_texts(spark, text):
     assert kept(spark, [text, text, "other words"]) == [0, 2]
     assert rows(wide_simhash.deduplicated(spark.createDataFrame([], "doc_id long, text string"))) == []
+
+
+def test_a_large_group_is_contracted_before_its_pairs_are_compared(spark, monkeypatch):
+    draw = np.random.default_rng(5)
+    base = [f"w{i}" for i in range(120)]
+    texts = []
+    for i in range(150):
+        words = list(base)
+        for at in draw.integers(0, 120, 2):
+            words[at] = f"x{i}-{at}"
+        texts.append((i, " ".join(words)))
+    asked, confirmed = [], wide_simhash.confirmed
+    monkeypatch.setattr(wide_simhash, "confirmed", lambda pairs, sets: asked.append(pairs.count()) or confirmed(pairs, sets))
+    assert wide_simhash.deduplicated(spark.createDataFrame(texts, "doc_id long, text string")).count() == 1
+    assert asked[0] <= 150, asked
