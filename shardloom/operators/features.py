@@ -18,6 +18,8 @@ from ..functions.vectors import sum_vectors
 
 #: Counters of a shuffled row, counters that a task holds at most, and ids whose positions it remembers.
 CHUNK, MOST_CELLS, REMEMBERED = 4_096, 1 << 23, 200_000
+#: Numbers of vectors that are broadcast at most (16 MB as floats).
+MOST_NUMBERS = 1 << 22
 
 
 def split_label(df: DataFrame, label: str) -> DataFrame:
@@ -136,15 +138,21 @@ def embedding_lookup(ids: DataFrame, table: DataFrame, dim: int, init: float = 0
 def embedding_lookup_sparse(bags: DataFrame, table: DataFrame, dim: int, combiner: str = "mean", init: float = 0.0) -> DataFrame:
     """One vector per bag (row_id): the weighted mean, sum or sqrtn of its ids' vectors.
 
-    ``bags``: row_id, id, optional weight.  Sums are combined per bag before the shuffle, so
-    that a large bag is no large group.
+    ``bags``: row_id, id, optional weight.  Up to ``MOST_NUMBERS`` numbers of asked vectors go to every task: a bag's ids are first
+    made distinct, so that a large bag has no more rows than vectors are asked, and no vector is shuffled.  Beyond, ids join their vectors, and sums are
+    combined per bag before the shuffle.
     """
     if combiner not in ("mean", "sum", "sqrtn"):
         raise ValueError(f"unknown combiner {combiner}")
     weight = F.coalesce(F.col("weight").cast("double"), F.lit(1.0)) if "weight" in bags.columns else F.lit(1.0)
     ids = bags.select("row_id", F.col("id").alias("key"), weight.alias("weight"))
+    asked = table.select("key", "value").join(ids.select("key").distinct(), "key", "left_semi")
+    ids = ids.withColumn("square", F.col("weight") * F.col("weight"))
+    if asked.limit(MOST_NUMBERS // max(1, dim) + 1).count() * dim <= MOST_NUMBERS:
+        once = ids.groupBy("row_id", "key").agg(F.sum("weight").alias("weight"), F.sum("square").alias("square"))
+        ids, table = once.repartition("row_id"), F.broadcast(asked)
     found = embedding_lookup(ids, table, dim, init)
-    norms = (F.sum("weight").alias("w"), F.sum(F.col("weight") * F.col("weight")).alias("w2"))
+    norms = (F.sum("weight").alias("w"), F.sum("square").alias("w2"))
     sums = sum_vectors(found, "row_id", F.col("value"), dim, F.col("weight"), norms)
     by = {"mean": F.col("w"), "sqrtn": F.sqrt("w2"), "sum": F.lit(1.0)}[combiner]
     return sums.select("row_id", by.alias("by"), "value").select("row_id", F.transform("value", lambda x: x / F.col("by")).alias("value"))

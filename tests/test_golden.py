@@ -203,6 +203,18 @@ def test_counters_merge_and_equal_the_shuffled_form(spark, monkeypatch):
         features.counting_cells(ids, m, k)
 
 
+def test_lookup_sparse_shuffles_no_vectors(spark, monkeypatch):
+    table = spark.range(50).select(F.col("id").alias("key"), F.array(*(F.col("id").cast("float") + i for i in range(8))).alias("value"))
+    bags = spark.range(500).select((F.col("id") % 40).alias("row_id"), F.when(F.col("id") % 9 > 0, F.col("id") % 60).alias("id"), (F.col("id") % 7).cast("double").alias("weight"))
+    shown = lambda df: df.select("row_id", F.transform("value", lambda x: F.round(x, 9)))
+    found = {c: features.embedding_lookup_sparse(bags, table, 8, c, 0.5) for c in ("mean", "sum", "sqrtn")}
+    plan = found["mean"]._jdf.queryExecution().executedPlan().toString()
+    assert not any("Exchange hashpartitioning(row_id" in line and "ENSURE_REQUIREMENTS" in line and "key" not in line for line in plan.splitlines())
+    monkeypatch.setattr(features, "MOST_NUMBERS", 0)
+    for c, df in found.items():
+        assert rows(shown(df)) == rows(shown(features.embedding_lookup_sparse(bags, table, 8, c, 0.5)))
+
+
 def test_batches_merge_beyond_the_most_cells(spark, monkeypatch):
     from shardloom.plans.catalog import QUERIES
     from conftest import DATA
