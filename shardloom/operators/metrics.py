@@ -11,6 +11,8 @@ from ..functions.tables import written
 
 #: Subscriptions up to which their patterns are part of the plan.
 MOST_PATTERNS = 1000
+#: Types and subscribers of a pattern that meet in one cell, and tasks over which the cells are dealt at most.
+CELL, MOST_TASKS = 1000, 10_000
 REPORT_JSON = "MetricType array<string>, MetricValue array<double>"
 PERIOD = "10 seconds"
 
@@ -86,7 +88,28 @@ def matching_types(types: DataFrame, subs: DataFrame) -> DataFrame:
         block = rest.where(F.pmod(F.xxhash64("pattern"), F.lit(blocks)) == k).collect()
         hits = F.array_compact(F.array(*(F.when(F.col("type").rlike(r["regex"]), F.lit(r["pattern"])) for r in block))) if block else F.array().cast("array<string>")
         found = found.unionByName(types.select("type", F.explode(hits).alias("pattern")))
-    return found.join(subs.select("subscriber", "pattern"), "pattern").select("type", "subscriber").distinct()
+    return _subscribers(written(found, "found"), written(subs.select("subscriber", "pattern").distinct(), "subs"))
+
+
+def _subscribers(found: DataFrame, subs: DataFrame) -> DataFrame:
+    """(type, subscriber) from the distinct (type, pattern) and (subscriber, pattern).
+
+    A pattern's product is cut into cells of about ``CELL`` types and ``CELL`` subscribers, dealt out by the rows they make.  Only pairs of
+    subscribers with several patterns can repeat and are made distinct.
+    """
+    sizes = found.groupBy("pattern").agg(F.count("*").alias("types")).join(subs.groupBy("pattern").agg(F.count("*").alias("names")), "pattern")
+    sizes = written(sizes, "sizes")
+    tasks = min(MOST_TASKS, 1 + (sizes.agg(F.sum(F.col("types") * F.col("names"))).first()[0] or 0) // CELL**2)
+    cut = lambda n: F.ceil(F.col(n) / CELL)
+    of = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), cut(n) - 1))
+    key = ["pattern", "i", "j"]
+    several = subs.groupBy("subscriber").agg((F.count("*") > 1).alias("several"))
+    names = subs.join(sizes, "pattern").join(several.withColumnRenamed("subscriber", "__name"), F.col("subscriber").eqNullSafe(F.col("__name")))
+    names = names.select("subscriber", "several", "pattern", F.pmod(F.xxhash64("subscriber"), cut("names")).alias("j"), of("types").alias("i"))
+    types = found.join(sizes, "pattern").select("type", "pattern", F.pmod(F.xxhash64("type"), cut("types")).alias("i"), of("names").alias("j")).repartition(tasks, *key)
+    names = written(names, "names")
+    pairs = lambda which: types.join(names.where(which).repartition(tasks, *key), key).select("type", "subscriber")
+    return pairs("not several").unionByName(pairs("several").distinct())
 
 
 def subscribe_small(metrics: DataFrame, subs: list[tuple[str, str]]) -> DataFrame:

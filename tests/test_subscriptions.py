@@ -33,3 +33,13 @@ def test_ten_thousand_patterns_take_no_nested_loop(spark):
     found = metrics.subscribe(types.selectExpr("type", "1 as value"), subs)
     assert "NestedLoop" not in found._jdf.queryExecution().toString() and "Cartesian" not in found._jdf.queryExecution().toString()
     assert found.count() == 10_000
+
+
+def test_a_pattern_of_many_subscribers_is_cut_into_cells(spark, monkeypatch):
+    monkeypatch.setattr(metrics, "CELL", 10)
+    types = spark.range(55).selectExpr("concat('sys/', id) as type")
+    subs = spark.range(130).selectExpr("if(id > 120, null, concat('s', id % 100)) as subscriber", "if(id < 100, '*', 'sys/1*') as pattern")
+    found = metrics.matching_types(types, subs)
+    wanted = {(f"sys/{t}", f"s{i}") for t in range(55) for i in range(100)} | {(f"sys/{t}", None) for t in range(55) if str(t)[0] == "1"}
+    assert rows(found) == sorted(wanted, key=repr)
+    assert found.rdd.getNumPartitions() > 8
