@@ -21,18 +21,32 @@ from .tables import written
 BUCKET_ROWS = 200_000
 #: Parts at most; with more rows, each part has more.
 MOST_PARTS = 20_000
+#: Rows of what parts take over that are broadcast at most.
+MOST_CARRIED = 100_000
 
 
 def parted(df: DataFrame, by: tuple[str, ...], order: list[Column], n: int, most: int | None = None) -> DataFrame:
-    """The ``n`` rows of ``df`` as a written table in range parts of ``by`` and ``order``, with ``__key`` (by, __part) and the row's place in its part, ``__row``."""
+    """The ``n`` rows of ``df`` as a written table in range parts of ``by`` and ``order``, with ``__key`` (by, __part) and the row's place in its range, ``__row``.
+
+    Parts of fewer rows than ``BUCKET_ROWS`` (``most``) are cut from such ranges, so tasks don't grow in number with them; rows that repeat each other may
+    then be cut apart: pass distinct ones.
+    """
     spark = df.sparkSession
-    parts = min(MOST_PARTS, max(-(-n // (most or BUCKET_ROWS)), int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    parts = min(MOST_PARTS, max(-(-n // max(most or 0, BUCKET_ROWS)), int(spark.conf.get("spark.sql.shuffle.partitions"))))
     whole = F.xxhash64(*(f"`{f.name}`" for f in df.schema if not isinstance(f.dataType, MapType)))
     keys = [*map(F.col, by), *order, whole]
     placed = written(df.repartitionByRange(parts, *keys).sortWithinPartitions(*keys).withColumn("__id", F.monotonically_increasing_id()), "parted")
     # As a struct the key is never null, so plain equality joins it.
-    key = F.struct(*by, F.shiftright("__id", 33).alias("__part"))
-    return placed.withColumn("__key", key).withColumn("__row", F.col("__id").bitwiseAND(F.lit((1 << 33) - 1))).drop("__id")
+    part, row = F.shiftright("__id", 33), F.col("__id").bitwiseAND(F.lit((1 << 33) - 1))
+    if most:
+        part = F.shiftleft(part, 33) + F.floor(row / most)
+    return placed.withColumn("__key", F.struct(*by, part.alias("__part"))).withColumn("__row", row).drop("__id")
+
+
+def _taken_over(rows: DataFrame, carried: DataFrame) -> DataFrame:
+    """Joins what parts take over, a row per part and group; up to ``MOST_CARRIED`` go to every task, and the rows stay where they are."""
+    carried = written(carried, "carried")
+    return rows.join(F.broadcast(carried) if carried.count() <= MOST_CARRIED else carried, "__key")
 
 
 def _parts_of(by: tuple[str, ...]) -> WindowSpec:
@@ -56,7 +70,7 @@ def global_index(df: DataFrame, order: list[Column], name: str, by: tuple[str, .
         rows = parted(df, by, order, n)
         counts = rows.groupBy("__key").agg(F.count("*").alias("__n"), F.min("__row").alias("__first"))
         offset = F.coalesce(F.sum("__n").over(_before(_parts_of(by))), F.lit(0)) - F.col("__first")
-        found = rows.join(counts.select("__key", offset.alias("__offset")), "__key")
+        found = _taken_over(rows, counts.select("__key", offset.alias("__offset")))
         return found.withColumn(name, F.col("__row") + F.col("__offset")).drop("__key", "__row", "__offset")
     if bucket is None:
         return df.withColumn(name, (F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1).cast("long"))

@@ -227,7 +227,7 @@ def _firings_of_parts(rows: DataFrame, n: float, by: str, value: str, total: int
     """
     kind = rows.schema[value].dataType.simpleString()
     task = rows.schema[by].dataType.simpleString()
-    cut = indexing.parted(rows, (by,), [F.col(value)], total, most)
+    cut = indexing.parted(rows.distinct(), (by,), [F.col(value)], total, most)  # of equal rows one can fire
 
     def onwards(values: np.ndarray) -> np.ndarray:
         return np.searchsorted(values, values + n)

@@ -120,3 +120,17 @@ def test_nulls_and_steps_beyond_doubles(spark):
     df = spark.createDataFrame([("t", None), ("t", big), ("t", big + 1), ("t", None), ("t", big + 2), ("u", None)], "task string, step long")
     assert rows(scaling.every_n_steps(df, 2)) == [("t", big), ("t", big + 2)]
     assert rows(scaling.every_n_steps(df, 0)) == [("t", big), ("t", big + 1), ("t", big + 2)]
+
+
+def test_small_parts_take_no_tasks_of_their_own(spark):
+    df = spark.range(6_000).select(F.lit("hot").alias("task"), F.floor(F.col("id") / 3).alias("step"))
+    cut = indexing.parted(df.distinct(), ("task",), [F.col("step")], 6_000, 20)
+    assert len({r["__key"]["__part"] for r in cut.select("__key").distinct().collect()}) >= 100 and len(cut.inputFiles()) <= 8
+    assert sorted(r["step"] for r in scaling.every_n_steps(df, 7, most=20).collect()) == list(range(0, 2000, 7))
+
+
+def test_offsets_move_no_rows(spark, monkeypatch):
+    monkeypatch.setattr(indexing, "BUCKET_ROWS", 100)
+    found = indexing.global_index(spark.range(1_000).select((F.col("id") * 7 % 1_000).alias("id")), [F.col("id")], "pos")
+    assert "SortMergeJoin" not in found._jdf.queryExecution().executedPlan().toString()
+    assert all(r["id"] == r["pos"] for r in found.collect())
