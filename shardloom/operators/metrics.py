@@ -145,7 +145,7 @@ def window_snapshot(metrics: DataFrame, period: str = PERIOD, watermark: str | N
 
 def metric_sequence(metrics: DataFrame, order: list[str], by: tuple[str, ...] = ("subscriber", "type")) -> DataFrame:
     """The FIFO number (from 0) of each metric per subscriber and type."""
-    return global_index(metrics, [F.col(c) for c in order], "seq", by)
+    return global_index(written(metrics, "metrics"), [F.col(c) for c in order], "seq", by)
 
 
 def task_actions(reports: DataFrame, tasks: DataFrame) -> DataFrame:
@@ -154,7 +154,7 @@ def task_actions(reports: DataFrame, tasks: DataFrame) -> DataFrame:
     A row per report, so that no task's history has to fit one row; a task without reports has one row.
     """
     rows = reports.select(task_id(F.col("task_name"), F.col("task_index")).alias("task"), "ts", "options")
-    numbered = global_index(rows, [F.col("ts"), F.col("options")], "seq", ("task",))
+    numbered = global_index(written(rows, "reports"), [F.col("ts"), F.col("options")], "seq", ("task",))
     found = tasks.select("task").distinct().join(numbered, "task", "left")
     return found.select("task", F.when(F.col("seq").isNotNull(), "OK").otherwise("NOT_FOUND").alias("status"), "seq", "ts", "options")
 
