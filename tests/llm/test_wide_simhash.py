@@ -84,12 +84,11 @@ def test_short_texts(spark, text):
 
 def test_a_large_group_is_contracted_before_its_pairs_are_compared(spark, monkeypatch):
     draw = np.random.default_rng(5)
-    base = [f"w{i}" for i in range(120)]
+    base = [f"w{i}" for i in range(240)]
     texts = []
     for i in range(150):
         words = list(base)
-        for at in draw.integers(0, 120, 2):
-            words[at] = f"x{i}-{at}"
+        words[draw.integers(0, 240)] = f"x{i}"
         texts.append((i, " ".join(words)))
     asked, confirmed = [], wide_simhash.confirmed
     monkeypatch.setattr(wide_simhash, "confirmed", lambda pairs, sets: asked.append(pairs.count()) or confirmed(pairs, sets))
