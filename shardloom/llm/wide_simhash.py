@@ -15,10 +15,12 @@ confirmed by the exact similarity of the two sets: no two texts below 0.8 are li
 
 A large group must not make a square of pairs.  In fuller blocks than those that up to ``FEW`` sets
 share, each set is first compared with one only: of the smallest sets of its blocks the one whose fingerprint is
-nearest.  What is confirmed is contracted, then all pairs of the small blocks between different parts are compared, and then the
-pairs across the parts of full blocks whose whole fingerprints are close enough (99.8 % of those at 0.8), again the nearest one of each set first
-and, once these are contracted, all that are still between different parts.  No partner is dropped, whatever their number: what remains are pairs
-between unlinked parts of a group with similarities of about 0.74 to 0.8.
+nearest.  What is confirmed is contracted, then all pairs of the small blocks between different parts are compared.  Sets whose fingerprints are
+close enough to such a smallest set (99.8 % of those at 0.8) are its family, and so are families that share sets.  All pairs between the parts of a family
+are compared in cells of bounded size, fingerprints first, then the exact sets; a cell gives only what joins its parts up, so pairs never become
+rows.  What is left are pairs of one full block and of two families, again the nearest one of each set first.
+No partner is dropped, whatever their number; the comparisons of a family grow with its square, in many tasks, its rows with the square divided by
+``CELL_SETS``.
 
 Nulls: a null text is empty; texts without words are one group.  Of each group one row stays,
 whatever its ids: see ``common.one_row_each``.  Ties in the majority are 0.  Very long texts
@@ -48,6 +50,8 @@ MISS, FEW = 0.01, 8
 DIFFERS = math.acos(2 * ALIKE / (ALIKE + OF)) / math.pi
 #: Hashes spread at once.
 SPREAD = 1 << 14
+#: Of a family, sets and shingles in a chunk (on average), and sets of a chunk compared with another at once.
+CELL_SETS, CELL_SHINGLES, STRIP = 1000, 1_000_000, 64
 _OFFSETS = np.random.default_rng(20240501).integers(1, 2**63, WORDS, dtype=np.uint64)
 
 
@@ -215,13 +219,19 @@ def linked(docs: DataFrame, signs: DataFrame, best: DataFrame) -> DataFrame:
 
     stars = full.where("node > least").groupBy("least", "node").agg(F.first("size").alias("v_size"), F.first("fp").alias("v_fp"))
     hubs = prints.select(F.col("node").alias("least"), F.col("size").alias("u_size"), F.col("fp").alias("u_fp"))
-    stars = stars.join(hubs, "least").where(_close()).select(F.col("least").alias("u"), F.col("node").alias("v"), _distance(range(WORDS)).alias("d"))
+    stars = written(stars.join(hubs, "least").where(_close()).select(F.col("least").alias("u"), F.col("node").alias("v"), _distance(range(WORDS)).alias("d")), "stars")
     links = written(confirmed(written(_nearest(stars), "pairs"), texts), "links")
     roots = written(components(links), "roots")
     links = written(links.unionByName(confirmed(written(_across(some, roots), "pairs"), texts)), "links")
     roots = written(components(links), "roots")
 
-    parts = full.drop("least").join(roots, "node", "left").select("key", "node", "size", "fp", F.coalesce("root", "node").alias("part"))
+    # All pairs of a family are compared in cells; those of one block but of two families are joined.
+    family = written(components(stars.select("u", "v").unionByName(links)), "families")
+    whole = family.union(family.select("root", "root").distinct()).toDF("node", "family")
+    whole = prints.join(whole, "node").join(roots, "node", "left").select("node", "size", "fp", "family", F.coalesce("root", "node").alias("part"))
+    links = written(links.unionByName(within(whole, texts)), "links")
+
+    parts = full.drop("least").join(family, "node", "left").select("key", "node", "size", "fp", F.coalesce("root", "node").alias("part"))
     rest, every = between_parts(parts, ["key"])
     once = (F.col("v_part") == F.col("v_largest")) | (F.col("u_node") < F.col("v_node"))
     across = _sided(rest, "u").join(_sided(every, "v"), "key").where((F.col("u_part") != F.col("v_part")) & once & _close())
@@ -232,6 +242,62 @@ def linked(docs: DataFrame, signs: DataFrame, best: DataFrame) -> DataFrame:
     return components(links.unionByName(written(confirmed(written(left, "pairs"), texts), "links")))
 
 
+def within(members: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (u, v) between the parts of each family, of ``members`` (node, size, fp, family, part).
+
+    A family's members are dealt into chunks by their hash, and each cell, the rows of two chunks, is one step of a task: fingerprints
+    first, then the exact sets.  A cell gives what joins its parts up, a row less than it has parts at most.
+    """
+    every = written(between_parts(members, ["family"])[1].join(texts, "node"), "family-sets")
+    rest = every.where("part != largest")
+    many = lambda rows, name: rows.groupBy("family").agg(F.ceil(F.greatest(F.count("*") / CELL_SETS, F.sum("size") / CELL_SHINGLES)).cast("int").alias(name))
+    chunks = written(many(rest, "rests").join(many(every, "alls"), "family"), "chunks")
+    own, others = (lambda n: F.pmod(F.xxhash64("node"), n).cast("int")), (lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1)))
+    columns = ["family", "node", "part", "largest", "size", "fp", "shingles"]
+    first = rest.join(chunks, "family").select(*columns, own(F.col("rests")).alias("i"), others("alls").alias("j"), F.lit(True).alias("first"))
+    second = every.join(chunks, "family").select(*columns, others("rests").alias("i"), own(F.col("alls")).alias("j"), F.lit(False).alias("first"))
+    return first.unionByName(second).groupBy("family", "i", "j").applyInArrow(cell_links, "u long, v long")
+
+
+def cell_links(rows: pa.Table) -> pa.Table:
+    """Links that join up the parts of a cell, nearest fingerprints first."""
+    rows = rows.combine_chunks()
+    first = np.asarray(rows["first"].to_numpy())
+    node, part, size = (rows[c].to_numpy() for c in ("node", "part", "size"))
+    fp = np.asarray(rows["fp"].combine_chunks().flatten()).view(np.uint64).reshape(-1, WORDS)
+    lists = rows["shingles"].combine_chunks()
+    shingles, ends = np.asarray(lists.flatten()).view(np.uint64), np.concatenate([[0], np.cumsum(np.asarray(lists.value_lengths()))])
+    u, v = np.flatnonzero(first), np.flatnonzero(~first)
+    anchored = part[v] == rows["largest"].to_numpy()[v]
+    close = []
+    for at in range(0, len(u), STRIP):
+        a = u[at : at + STRIP, None]
+        apart = (part[a] != part[v]) & (anchored | (node[a] < node[v])) & (size[a] * OF >= size[v] * ALIKE) & (size[v] * OF >= size[a] * ALIKE)
+        x, y = np.nonzero(apart)
+        x, y = a[x, 0], v[y]
+        for i in range(0, len(x), SPREAD):
+            xs, ys = x[i : i + SPREAD], y[i : i + SPREAD]
+            d = np.bitwise_count(fp[xs] ^ fp[ys]).sum(1, dtype=np.int64)
+            near = d <= furthest(BITS) + BITS / 8 / np.maximum(1, np.minimum(size[xs], size[ys]))
+            close.append(np.stack([d[near], xs[near], ys[near]]))
+    root = {p: p for p in part.tolist()}
+
+    def find(p: int) -> int:
+        while root[p] != p:
+            root[p] = p = root[root[p]]
+        return p
+
+    found, close = [], np.concatenate(close, 1) if close else np.zeros((3, 0), np.int64)
+    for _, x, y in close[:, np.lexsort(close[::-1])].T.tolist():
+        if (a := find(int(part[x]))) != (b := find(int(part[y]))):
+            p, q = shingles[ends[x] : ends[x + 1]], shingles[ends[y] : ends[y + 1]]
+            shared = int((p[np.minimum(np.searchsorted(p, q), len(p) - 1)] == q).sum())
+            if shared * (ALIKE + OF) >= (len(p) + len(q)) * ALIKE:
+                root[a] = b
+                found.append((node[x], node[y]))
+    return pa.table({"u": pa.array([x for x, _ in found], pa.int64()), "v": pa.array([x for _, x in found], pa.int64())})
+
+
 def _nearest(pairs: DataFrame) -> DataFrame:
     """Of the pairs (u, v, d) for each v the one that differs least."""
     return pairs.groupBy("v").agg(F.min(F.struct("d", "u")).alias("best")).select(F.col("best.u").alias("u"), "v")

@@ -1,6 +1,7 @@
 """The pipeline's near-duplicate stage against brute force."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import DATA, rows
 from pyspark.sql import functions as F
@@ -94,3 +95,30 @@ def test_a_large_group_is_contracted_before_its_pairs_are_compared(spark, monkey
     monkeypatch.setattr(wide_simhash, "confirmed", lambda pairs, sets: asked.append(pairs.count()) or confirmed(pairs, sets))
     assert wide_simhash.deduplicated(spark.createDataFrame(texts, "doc_id long, text string")).count() == 1
     assert asked[0] <= 150, asked
+
+
+def test_unlinked_near_copies_are_not_all_listed(spark, monkeypatch):
+    """A group mostly below the least similarity: its pairs are compared, but don't become rows."""
+    draw = np.random.default_rng(6)
+    base, texts = [f"w{i}" for i in range(500)], []
+    for i in range(200):
+        words = list(base)
+        for at in draw.choice(96, 7, False):
+            words[at * 5 + 2] = f"x{i}"
+        texts.append(" ".join(words))
+    asked, confirmed = [], wide_simhash.confirmed
+    monkeypatch.setattr(wide_simhash, "confirmed", lambda pairs, sets: asked.append(pairs.count()) or confirmed(pairs, sets))
+    monkeypatch.setattr(wide_simhash, "CELL_SETS", 30)
+    wanted = sorted(set(groups(texts)))
+    assert 1 < len(wanted) < 180
+    assert kept(spark, texts) == wanted
+    assert sum(asked) < 1500, asked  # of 19,900
+
+
+def test_a_cell_joins_its_parts_up():
+    sets = [np.arange(100), np.arange(100), np.arange(5, 105), np.arange(40, 140), np.arange(60, 160)]
+    at = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
+    fp = np.packbits(wide_simhash.majorities(wide_simhash.mix(np.concatenate(sets).astype(np.uint64)), at), axis=1).view(">u8").astype(np.uint64)
+    table = {"node": [1, 1, 2, 3, 4], "part": [1, 1, 2, 3, 4], "largest": [2] * 5, "size": [100] * 5, "first": [True, False, False, False, False]}
+    table |= {"fp": [x.view(np.int64).tolist() for x in fp], "shingles": [s.tolist() for s in sets]}
+    assert wide_simhash.cell_links(pa.table(table)).to_pylist() == [{"u": 1, "v": 2}]
