@@ -8,7 +8,7 @@ each other in a piece have slots next to each other, two pieces never do).  Leve
 1. persist: the relation is a written table, its rows packed in slot order, some hundred words a row;
 2. merge-join: an occurrence meets the one at the next slot of its piece, which makes the
    occurrences of k + 1 words; both sides are sorted, and no piece spans two rows;
-3. group-count: counts per task, then a shuffle of counts;
+3. group-count: counts per task, then a shuffle of counts, the words as numbers of 32 bits while at most ``MOST_NUMBERED`` are frequent;
 4. semi-join: before the next level only occurrences of frequent phrases stay.
 
 The semi-join tests a bit filter of the frequent phrases (at most ``MOST_BITS`` bits, whatever the
@@ -58,6 +58,8 @@ COUNTED = 4_000_000
 GAP, LIVE = np.uint32(2), np.uint32(1 << 31)
 #: Bits of the filter: so many for each frequent phrase, up to 16 MB; with four probes less than one rare phrase in a thousand passes.
 BITS_EACH, PROBES, MOST_BITS = 32, 4, 1 << 27
+#: Frequent words up to which they are numbered: 16 MB to every task.
+MOST_NUMBERED = 2_000_000
 
 RELATION = "step binary, word binary"
 
@@ -258,15 +260,50 @@ def _unique(rows: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return found, sums
 
 
-def phrase_counts(relation: DataFrame, k: int) -> DataFrame:
-    """w1 .. wk, n of the phrases of ``k`` words, from the relation of one word less."""
+def numbered_words(frequent: DataFrame, most: int = MOST_NUMBERED) -> np.ndarray | None:
+    """The frequent words in order, of which each one's place is its number; none if there are more than ``most``."""
+    return np.sort(np.asarray(frequent.select("w1").toArrow()["w1"]).view(np.uint64)) if frequent.count() <= most else None
+
+
+def numbers(rows: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The words' numbers, two in a column, of those rows that have numbered words only, and which rows these are."""
+    place = np.minimum(np.searchsorted(words, rows), max(0, len(words) - 1))
+    known = (words[place] == rows).all(1) if len(words) else np.zeros(len(rows), bool)
+    place = place[known].astype(np.uint64)
+    place = np.concatenate([place, np.zeros((len(place), place.shape[1] % 2), np.uint64)], 1)
+    return place[:, 0::2] << U64(32) | place[:, 1::2], known
+
+
+def spelled_out(coded: np.ndarray, k: int, words: np.ndarray) -> np.ndarray:
+    """The rows of words with these numbers."""
+    return words[np.stack([coded >> U64(32), coded & U64(0xFFFFFFFF)], 2).reshape(len(coded), -1)[:, :k]]
+
+
+def phrase_counts(relation: DataFrame, k: int, least: int, shared: Broadcast) -> DataFrame:
+    """w1 .. wk, n of the phrases of ``k`` words with at least ``least`` occurrences, from the relation of one word less.
+
+    Where ``shared`` has the numbered words, these numbers are shuffled, two in a column, and not the words' hashes.
+    """
+
+    def arrays(rows: np.ndarray, n: np.ndarray, of: list[str]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([*(pa.array(np.ascontiguousarray(x)) for x in rows.view(np.int64).T), pa.array(n)], names=of)
 
     def emitted(rows: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if coded:
+            rows, known = numbers(rows, shared.value)
+            n = n[known]
         for at in range(0, len(n), EMITTED):
-            part = rows[at : at + EMITTED].view(np.int64)
-            yield pa.RecordBatch.from_arrays([*(pa.array(np.ascontiguousarray(part[:, i])) for i in range(k)), pa.array(n[at : at + EMITTED])], names=names)
+            yield arrays(rows[at : at + EMITTED], n[at : at + EMITTED], keys)
+
+    def words_again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                rows = np.stack([np.asarray(x).view(np.uint64) for x in batch.columns[:-1]], 1)
+                yield arrays(spelled_out(rows, k, shared.value), np.asarray(batch.column("n")), names)
 
+    coded = shared.value is not None
     names = [*(f"w{i + 1}" for i in range(k)), "n"]
+    keys = [*(f"p{i + 1}" for i in range((k + 1) // 2)), "n"] if coded else names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, counts, fresh = [], [], 0
@@ -284,8 +321,9 @@ def phrase_counts(relation: DataFrame, k: int) -> DataFrame:
         if rows:
             yield from emitted(*_unique(np.concatenate(rows), np.concatenate(counts)))
 
-    schema = ", ".join(f"{x} long" for x in names)
-    return relation.mapInArrow(run, schema).groupBy(*names[:-1]).agg(F.sum("n").alias("n"))
+    schema = lambda of: ", ".join(f"{x} long" for x in of)
+    found = relation.mapInArrow(run, schema(keys)).groupBy(*keys[:-1]).agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    return found.mapInArrow(words_again, schema(names)) if coded else found
 
 
 def _words_with_keys(docs: DataFrame) -> tuple[DataFrame, int]:
@@ -303,13 +341,14 @@ def frequent_phrases(docs: DataFrame, longest: int = LONGEST, least: int = LEAST
     rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), text_of().alias("text"))
     words, seed = _words_with_keys(rows)
     levels = [written(words.where(F.col("n") >= least).select(F.col("key").alias("w1"), "n"), "phrases-1")]
-    relation = None
+    relation, words_shared = None, spark.sparkContext.broadcast(numbered_words(levels[0], MOST_NUMBERED))
     for k in range(2, longest + 1):
         shared = spark.sparkContext.broadcast(bit_filter(levels[-1], k - 1))  # at most MOST_BITS
         relation = written(first_relation(rows, shared, seed) if relation is None else next_relation(relation, k - 1, shared), f"occurrences-{k - 1}")
         live = levels[-1].agg(F.sum("n")).first()[0] or 0
-        levels.append(written(phrase_counts(relation.coalesce(max(1, live // COUNTED)), k).where(F.col("n") >= least), f"phrases-{k}"))
+        levels.append(written(phrase_counts(relation.coalesce(max(1, live // COUNTED)), k, least, words_shared), f"phrases-{k}"))
         shared.destroy()
+    words_shared.destroy()
     return words, levels
 
 

@@ -117,3 +117,15 @@ def test_portions_cut_after_breaks():
     text = "äb c. " * 1_000_000
     parts = [p[0].as_py() for p in C.portions(pa.array([text], pa.large_string()))]
     assert len(parts) > 1 and "".join(parts) == text and all(p.endswith(".") for p in parts[:-1])
+
+
+def test_numbers_of_words_are_shuffled(spark, table, monkeypatch):
+    """Few columns in the shuffle, rare words dropped before it, and the same result where words have no numbers."""
+    words = np.array([3, 5, 1 << 63], np.uint64)
+    rows_of = np.array([[5, 3, 1 << 63], [3, 4, 5]], np.uint64)
+    coded, known = C.numbers(rows_of, words)
+    assert coded.shape == (1, 2) and known.tolist() == [True, False]
+    assert C.spelled_out(coded, 3, words).tolist() == rows_of[:1].tolist()
+    df = spark.createDataFrame(table, "lang string, text string")
+    monkeypatch.setattr(C, "MOST_NUMBERED", 0)
+    assert rows(C.collocations(df, 50, 4, 20)) == plain(table, 50, 4, 20, 80)
