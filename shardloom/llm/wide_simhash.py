@@ -213,13 +213,15 @@ def linked(docs: DataFrame, signs: DataFrame, best: DataFrame) -> DataFrame:
 
     some = written(some, "some")
     prints = sets.select("node", "size", "fp")
-    full = written(members.where(F.col("n") > FEW).select("key", "node", "least").join(prints, "node"), "full")
+    # A row per set: its fingerprint and its part are joined once, not in each of its blocks.
+    full = members.where(F.col("n") > FEW).groupBy("node").agg(F.collect_list("key").alias("keys"), F.collect_set("least").alias("leasts"))
+    full = written(full.join(prints, "node"), "full")
+    u, v = ([F.col(c).alias(f"{side}_{c}" if c != "node" else side) for c in ("node", "size", "fp")] for side in "uv")
     nodes = some.select(F.col("u").alias("node")).union(some.select("v")).union(full.select("node")).distinct()
     texts = written(sets_of(docs, best.join(nodes, best.set_key == nodes.node, "left_semi").select(F.col("set_key").alias("node"), "id", "hash")), "shingles")
 
-    stars = full.where("node > least").groupBy("least", "node").agg(F.first("size").alias("v_size"), F.first("fp").alias("v_fp"))
-    hubs = prints.select(F.col("node").alias("least"), F.col("size").alias("u_size"), F.col("fp").alias("u_fp"))
-    stars = written(stars.join(hubs, "least").where(_close()).select(F.col("least").alias("u"), F.col("node").alias("v"), _distance(range(WORDS)).alias("d")), "stars")
+    stars = full.select(*v, F.explode("leasts").alias("u")).where("v > u").join(full.select(*u), "u")
+    stars = written(stars.where(_close()).select("u", "v", _distance(range(WORDS)).alias("d")), "stars")
     links = written(confirmed(written(_nearest(stars), "pairs"), texts), "links")
     roots = written(components(links), "roots")
     links = written(links.unionByName(confirmed(written(_across(some, roots), "pairs"), texts)), "links")
@@ -229,9 +231,9 @@ def linked(docs: DataFrame, signs: DataFrame, best: DataFrame) -> DataFrame:
     family = written(components(stars.select("u", "v").unionByName(links)), "families")
     whole = family.union(family.select("root", "root").distinct()).toDF("node", "family")
     whole = prints.join(whole, "node").join(roots, "node", "left").select("node", "size", "fp", "family", F.coalesce("root", "node").alias("part"))
-    links = written(links.unionByName(within(whole, texts)), "links")
+    links = written(links.unionByName(within(written(whole, "whole"), texts)), "links")
 
-    parts = full.drop("least").join(family, "node", "left").select("key", "node", "size", "fp", F.coalesce("root", "node").alias("part"))
+    parts = full.join(family, "node", "left").select(F.explode("keys").alias("key"), "node", "size", "fp", F.coalesce("root", "node").alias("part"))
     rest, every = between_parts(parts, ["key"])
     once = (F.col("v_part") == F.col("v_largest")) | (F.col("u_node") < F.col("v_node"))
     across = _sided(rest, "u").join(_sided(every, "v"), "key").where((F.col("u_part") != F.col("v_part")) & once & _close())

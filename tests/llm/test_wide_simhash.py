@@ -115,6 +115,25 @@ def test_unlinked_near_copies_are_not_all_listed(spark, monkeypatch):
     assert sum(asked) < 1500, asked  # of 19,900
 
 
+def test_fingerprints_and_parts_are_joined_once_a_set(spark, monkeypatch):
+    """Sets of a large group share many full blocks; joins on the set must not make a row for each of them."""
+    draw = np.random.default_rng(9)
+    base, texts = [f"w{i}" for i in range(300)], []
+    for i in range(60):
+        words = list(base)
+        for at in draw.choice(59, 3 + i % 6, False):
+            words[at * 5 + 2] = f"x{i}"
+        texts.append(" ".join(words))
+    texts += [" ".join(f"y{x}" for x in draw.integers(0, 5000, 100)) for _ in range(20)]
+    made, written = {}, wide_simhash.written
+    wanted = sorted(set(groups(texts)))
+    monkeypatch.setattr(wide_simhash, "written", lambda df, name: made.setdefault(name, []).append(written(df, name)) or made[name][-1])
+    assert kept(spark, texts) == wanted
+    crowded = made["members"][0].where(F.col("n") > wide_simhash.FEW)
+    assert crowded.count() > 240  # rows of sets in full blocks, three a set at least
+    assert made["full"][0].count() == crowded.select("node").distinct().count() <= 80
+
+
 def test_a_cell_joins_its_parts_up():
     sets = [np.arange(100), np.arange(100), np.arange(5, 105), np.arange(40, 140), np.arange(60, 160)]
     at = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
