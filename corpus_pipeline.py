@@ -20,16 +20,19 @@ from shardloom.llm import common, decontamination, mixing, wide_simhash, quality
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier rejects go."""
+    common.small_batches(spark)
     return quality.accepted(docs, quality.fitted(docs, common.table(spark, sf_dir, "labels")))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays: five-word shingles, similarity 0.8 or more."""
+    common.small_batches(spark)
     return wide_simhash.deduplicated(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a benchmark passage go."""
+    common.small_batches(spark)
     return decontamination.clean(docs, common.table(spark, sf_dir, "benchmark"))
 
 
@@ -40,6 +43,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token files of the mix; a row per document in them."""
+    common.small_batches(spark)
     return token_files.token_output(docs)
 
 

@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import filtered, fold, mapped, table, text_of, written
+from .common import SMALL_STEP_BYTES, filtered, fold, mapped, table, text_of, written
 from .words import SPACED, words_of
 
 SAMPLE_ROWS, SAMPLE_BYTES = 4000, 24 << 20
@@ -152,7 +152,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
     def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(shared.value.scores(batch.column("text")))], names=["doc_id", "score"])
 
-    return mapped(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")), fn, "doc_id long, score double")
+    return mapped(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")), fn, "doc_id long, score double", SMALL_STEP_BYTES)
 
 
 def fitted(docs: DataFrame, labels: DataFrame) -> Model:

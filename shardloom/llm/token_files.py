@@ -37,11 +37,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import freed_shuffles, scratch, steps, table, text_of
+from .common import SMALL_STEP_BYTES, freed_shuffles, scratch, steps, table, text_of
 from .words import mix, raw_of, words_of
 
 TOKENIZER, END_ID, VOCABULARY = "byte_bpe_50k.json", 2, 50_257
 BLOCK_IDS, PIECES = 1 << 16, 3 << 19
+#: Pieces that a new table has room for; it grows with what it holds.
+FIRST_PIECES = 1 << 16
 BLOCK_SCHEMA = "shard int, block long, start long, n_ids long, width int, doc_ids array<long>, doc_at array<long>, payload binary"
 
 _ODD_BLANK = re.compile("[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200d\u2028\u2029\u202f\u205f\u2060\u3000\ufeff]")
@@ -74,7 +76,7 @@ class PieceTable:
 
     def __init__(self, limit: int):
         self.limit = limit
-        self.mask = (1 << (2 * limit - 1).bit_length()) - 1
+        self.mask = (1 << (2 * min(limit, FIRST_PIECES) - 1).bit_length()) - 1
         self.clear()
 
     def clear(self) -> None:
@@ -121,10 +123,10 @@ class PieceTable:
         self.data_start[entry], self.data_length[entry] = self.data_used + np.cumsum(bytes_) - bytes_, bytes_
         self.data[self.data_used : self.data_used + int(bytes_.sum())] = np.frombuffer(b"".join(pieces), np.uint8)
         self.n, self.used, self.data_used = self.n + len(keys), self.used + total, self.data_used + int(bytes_.sum())
-        if 2 * self.n > self.mask:  # a batch of more pieces than the limit
+        if 2 * self.n > self.mask:
             full = self.keys != 0
             keys, entry = np.concatenate([self.keys[full], keys]), np.concatenate([self.values[full], entry])
-            self.mask = (1 << (4 * self.n).bit_length()) - 1
+            self.mask = (1 << (2 * self.n).bit_length()) - 1
             self.keys, self.values = np.zeros(self.mask + 1, np.uint64), np.zeros(self.mask + 1, np.int32)
         slot = (keys & np.uint64(self.mask)).astype(np.int64)
         while len(keys):
@@ -303,7 +305,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str | None = None,
             return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds, strict=True)], names=[x.split()[0] for x in BLOCK_SCHEMA.split(", ")])
 
         for batch in batches:
-            for part in steps(batch):
+            for part in steps(batch, limit=SMALL_STEP_BYTES):
                 for doc, found in zip(part.column("doc_id").to_pylist(), coder.encode(part.column("text").to_pylist()), strict=True):
                     ids.append(np.append(found, np.uint32(end_id)))
                     docs_in.append(doc)

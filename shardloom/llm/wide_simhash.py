@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import best_rows, mapped, one_row_each, text_of, with_text_hash, written
+from .common import SMALL_STEP_BYTES, best_rows, mapped, one_row_each, text_of, with_text_hash, written
 from .components import between_parts, components
 from .words import SPACED, mix, pair, words_of
 
@@ -159,7 +159,7 @@ def signatures(docs: DataFrame, blocks: list[np.ndarray]) -> DataFrame:
         lists = [pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * x.shape[1]), _signed(x)) for x in (fp, keys)]
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), _signed(set_key), pa.array(size.astype(np.int64)), *lists], names=["doc_id", "text_hash", "set_key", "size", "fp", "blocks"])
 
-    return mapped(_source(docs), fn, "doc_id long, text_hash long, set_key long, size long, fp array<long>, blocks array<long>")
+    return mapped(_source(docs), fn, "doc_id long, text_hash long, set_key long, size long, fp array<long>, blocks array<long>", SMALL_STEP_BYTES)
 
 
 def _source(docs: DataFrame) -> DataFrame:
@@ -175,7 +175,7 @@ def sets_of(docs: DataFrame, rows: DataFrame) -> DataFrame:
 
     source = _source(docs)
     wanted = source.join(rows.hint("merge"), source.doc_id.eqNullSafe(rows.id) & (source.text_hash == rows.hash)).select("node", "text")
-    return mapped(wanted, fn, "node long, shingles array<long>").dropDuplicates(["node"])
+    return mapped(wanted, fn, "node long, shingles array<long>", SMALL_STEP_BYTES).dropDuplicates(["node"])
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:

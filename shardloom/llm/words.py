@@ -19,7 +19,7 @@ def _bytes_table(keep: bytes, lower: bool) -> np.ndarray:
 
 
 #: Bytes of text hashed at once.
-HASHED_BYTES = 4 << 20
+HASHED_BYTES = 1 << 18
 #: What a byte becomes; 0 parts words. All bytes of characters beyond ASCII belong to words.
 ALNUM = _bytes_table(bytes([*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]), True)
 SPACED = _bytes_table(bytes(b for b in range(256) if b not in b" \t\n\x0b\f\r"), True)
